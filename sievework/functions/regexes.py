@@ -11,8 +11,6 @@ regex, and then case-sensitively on lower-cased text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,30 +45,46 @@ def fold_case(text: Column) -> Column:
     )
 
 
-def _contains_all(lowered: Column, groups: list[list[str]]) -> Column:
-    """Every group has at least one literal in the text."""
-    return reduce(
-        lambda a, b: a & b,
-        [reduce(lambda a, b: a | b, [lowered.contains(w) for w in g]) for g in groups],
-    )
+def literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def present(
-    text: Column,
-    lowered: Column,
+def present_sql(
+    text: str,
+    lowered: str,
     body: str,
     ignore_case: bool,
     anchors: list[list[str]] | None = None,
     first: str = "",
-) -> Column:
-    """``first``: a character class for the first character, tried before anything dearer."""
+) -> str:
+    """SQL test for a match of ``body`` in column ``text``.
+
+    ``anchors``: groups of literals, each group with at least one in every match.
+    ``first``: a character class for the first character, tried before anything dearer.
+
+    Long conditions are written as SQL text: one call to the JVM instead of hundreds.
+    """
     hint = f"(?={first})" if first else ""
-    test = (
-        lowered.rlike(pattern(hint + body.lower()))
-        if ignore_case
-        else text.rlike(pattern(hint + body))
-    )
-    return (_contains_all(lowered, anchors) & test) if anchors else test
+    if ignore_case:
+        test = f"{lowered} RLIKE {literal(pattern(hint + body.lower()))}"
+    else:
+        test = f"{text} RLIKE {literal(pattern(hint + body))}"
+    groups = [
+        "(" + " OR ".join(f"contains({lowered}, {literal(w)})" for w in group) + ")"
+        for group in anchors or []
+    ]
+    return "(" + " AND ".join([*groups, test]) + ")"
+
+
+def present(text: str, lowered: str, body: str, ignore_case: bool, anchors=None, first="") -> Column:
+    return F.expr(present_sql(text, lowered, body, ignore_case, anchors, first))
+
+
+def _names(tests: list[tuple[str, str]]) -> Column:
+    """array<string>: the names whose SQL test holds."""
+    cases = ", ".join(f"CASE WHEN {test} THEN {literal(name)} END" for name, test in tests)
+    return F.expr(f"array_compact(array({cases}))")
 
 
 _OVERRIDE = ["ignore", "disregard", "forget", "override", "bypass", "overrule"]
@@ -123,38 +137,34 @@ ANY_INJECTION = pattern(any_of([body for _, body in lx.INJECTION_FAMILIES]), Tru
 PII = [(kind, pattern(body, ci)) for kind, body, ci in lx.PII_TYPES]
 
 
-def families_present(text: Column, lowered: Column) -> Column:
+def families_present(text: str, lowered: str) -> Column:
     """array<string>: hidden-instruction families with at least one match."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(present(text, lowered, body, True, INJECTION_ANCHORS[pid]), pid)
-                for pid, body in lx.INJECTION_FAMILIES
-            ]
-        )
+    return _names(
+        [
+            (pid, present_sql(text, lowered, body, True, INJECTION_ANCHORS[pid]))
+            for pid, body in lx.INJECTION_FAMILIES
+        ]
     )
 
 
-def pii_present(text: Column, lowered: Column) -> Column:
+def pii_present(text: str, lowered: str) -> Column:
     """array<string>: personal-data types with at least one match."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    present(
-                        text, lowered, body, ci, PII_ANCHORS.get(kind), PII_FIRST.get(kind, "")
-                    ),
-                    kind,
-                )
-                for kind, body, ci in lx.PII_TYPES
-            ]
-        )
+    return _names(
+        [
+            (
+                kind,
+                present_sql(
+                    text, lowered, body, ci, PII_ANCHORS.get(kind), PII_FIRST.get(kind, "")
+                ),
+            )
+            for kind, body, ci in lx.PII_TYPES
+        ]
     )
 
 
-def buzz_hits(text: Column, lowered: Column) -> Column:
-    hits = [
-        F.when(present(text, lowered, body, True, [[anchor]]), 1).otherwise(0)
+def buzz_hits(text: str, lowered: str) -> Column:
+    tests = [
+        f"CAST({present_sql(text, lowered, body, True, [[anchor]])} AS INT)"
         for body, anchor in zip(lx.BUZZ_PHRASES, BUZZ_ANCHORS)
     ]
-    return reduce(lambda a, b: a + b, hits)
+    return F.expr(" + ".join(tests))

@@ -1,125 +1,111 @@
-"""Match spans with offsets, built from split and extract (no Python)."""
+"""Match spans with offsets, built from split and extract (no Python per row).
+
+The expressions are written as SQL text over column names: they nest deeply, and
+one call to the JVM replaces hundreds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 256
-_INTS = "array<int>"
+from sievework.functions.regexes import literal
+
+BLOCK = 256
 SPAN_TYPE = "array<struct<start:int,end:int,match:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _sums(part: Column) -> Column:
-    return F.aggregate(
-        part,
-        F.array().cast(_INTS),
-        lambda acc, x: F.concat(
-            acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))
-        ),
+def _sums(part: str) -> str:
+    return (
+        f"aggregate({part}, cast(array() AS array<int>), "
+        "(acc, x) -> concat(acc, array(x + coalesce(get(acc, size(acc) - 1), 0))))"
     )
 
 
-def running_totals(lengths: Column) -> Column:
+def running_totals_sql(lengths: str) -> str:
     """Inclusive prefix sums of an int array.
 
     Long arrays are summed in blocks of fixed size that are then shifted, so the
     cost grows as n * block rather than n squared in documents with many matches.
     """
-
-    def blocked(xs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(xs), F.lit(_BLOCK))
-        blocks = F.transform(starts, lambda s: _sums(F.slice(xs, s, F.lit(_BLOCK))))
-
-        def shifted(bs: Column) -> Column:
-            ends = _sums(F.transform(bs, lambda b: F.get(b, F.size(b) - 1)))
-            offsets = F.concat(F.array(F.lit(0)), ends)
-            return F.flatten(
-                F.zip_with(
-                    bs,
-                    F.slice(offsets, F.lit(1), F.size(bs)),
-                    lambda b, o: F.transform(b, lambda x: x + o),
-                )
-            )
-
-        return let(blocks, shifted)
-
-    return let(
-        lengths,
-        lambda xs: F.when(F.size(xs) <= _BLOCK, _sums(xs)).otherwise(blocked(xs)),
+    blocks = f"transform(sequence(1, size(xs), {BLOCK}), s -> {_sums(f'slice(xs, s, {BLOCK})')})"
+    ends = _sums("transform(bs, b -> get(b, size(b) - 1))")
+    shifted = (
+        f"flatten(zip_with(bs, slice(concat(array(0), {ends}), 1, size(bs)), "
+        "(b, o) -> transform(b, y -> y + o)))"
     )
+    both = (
+        f"CASE WHEN size(xs) <= {BLOCK} THEN {_sums('xs')} "
+        f"ELSE {let(blocks, 'bs', shifted)} END"
+    )
+    return let(lengths, "xs", both)
 
 
-def find_spans(text: Column, regex: str, present: Column | None = None) -> Column:
-    """Every non-overlapping match, left to right: array<struct<start, end, match>>.
+def spans_sql(text: str, regex: str) -> str:
+    """Every non-overlapping match, left to right; for texts known to hold a match.
 
-    Offsets are code points from 0; ``end`` is exclusive.  ``present`` is a cheaper
-    test for "there is a match", when the caller has one.
+    Offsets are code points from 0; ``end`` is exclusive.
     """
+    lengths = (
+        f"zip_with(slice(split({text}, {literal(regex)}, -1), 1, size(found)), found, "
+        "(g, m) -> length(g) + length(m))"
+    )
+    placed = (
+        f"zip_with({running_totals_sql(lengths)}, found, "
+        "(e, m) -> named_struct('start', e - length(m), 'end', e, 'match', m))"
+    )
+    return let(f"regexp_extract_all({text}, {literal(regex)}, 0)", "found", placed)
 
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(found))
-        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
-        return F.zip_with(
-            running_totals(lengths),
-            found,
-            lambda e, m: F.struct(
-                (e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")
-            ),
-        )
 
-    guard = text.rlike(regex) if present is None else present
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return F.when(guard, let(found, placed)).otherwise(F.array().cast(SPAN_TYPE))
+def find_spans(text: str, regex: str) -> Column:
+    """``spans_sql`` for any text; empty where nothing matches."""
+    return F.expr(
+        f"CASE WHEN {text} RLIKE {literal(regex)} THEN {spans_sql(text, regex)} "
+        f"ELSE cast(array() AS {SPAN_TYPE}) END"
+    )
 
 
-def touched_lines(text: Column, regex: str, mark: str = "\u200b") -> Column:
+def touched_lines_sql(text: str, regex: str, mark: str = "\u200b") -> str:
     """array<boolean>, one per line: does a match touch the line?
 
     Every line of every match is tagged with ``mark``, a character the caller
     guarantees to be absent from ``text``.
     """
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    tagged = F.transform(
-        found, lambda m: F.concat(F.lit(mark), F.replace(m, F.lit("\n"), F.lit("\n" + mark)))
+    m, tag = literal(mark), literal("\n" + mark)
+    tagged = (
+        f"transform(regexp_extract_all({text}, {literal(regex)}, 0), "
+        f"m -> concat({m}, replace(m, '\\n', {tag})))"
     )
-    rebuilt = F.array_join(
-        F.zip_with(
-            F.split(text, regex, -1), tagged, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))
-        ),
-        "",
+    rebuilt = (
+        f"array_join(zip_with(split({text}, {literal(regex)}, -1), {tagged}, "
+        "(g, t) -> concat(g, coalesce(t, ''))), '')"
     )
-    return F.transform(F.split(rebuilt, "\n", -1), lambda line: line.contains(mark))
+    return f"transform(split({rebuilt}, '\\n', -1), l -> contains(l, {m}))"
 
 
-def snippet(text: Column, start: Column, end: Column, reach: int = 30) -> Column:
-    left = F.greatest(start - reach, F.lit(0))
-    piece = F.substring(text, left + 1, end + reach - left)
-    return F.concat(F.lit("..."), F.replace(piece, F.lit("\n"), F.lit(" ")), F.lit("..."))
+def snippet_sql(text: str, start: str, end: str, reach: int = 30) -> str:
+    left = f"greatest({start} - {reach}, 0)"
+    piece = f"substring({text}, {left} + 1, {end} + {reach} - {left})"
+    return f"concat('...', replace({piece}, '\\n', ' '), '...')"
 
 
-def suppress_overlaps(groups: Column, kept_type: str) -> Column:
-    """Fold an array of span arrays in priority order.
+def suppress_overlaps_sql(groups: list[str], kept_type: str) -> str:
+    """Fold span arrays in priority order.
 
     A span is dropped when its start or its end falls inside a span kept from an
     earlier group.  Spans of one group never overlap, so whole groups are
     filtered at once.
     """
-
-    def clashes(span: Column, kept: Column) -> Column:
-        return F.exists(
-            kept,
-            lambda k: ((k["start"] <= span["start"]) & (span["start"] < k["end"]))
-            | ((k["start"] < span["end"]) & (span["end"] <= k["end"])),
-        )
-
-    return F.aggregate(
-        groups,
-        F.array().cast(kept_type),
-        lambda kept, group: F.concat(kept, F.filter(group, lambda s: ~clashes(s, kept))),
+    clash = (
+        "exists(kept, k -> (k.start <= s.start AND s.start < k.`end`) "
+        "OR (k.start < s.`end` AND s.`end` <= k.`end`))"
+    )
+    return (
+        f"aggregate(array({', '.join(groups)}), cast(array() AS {kept_type}), "
+        f"(kept, grp) -> concat(kept, filter(grp, s -> NOT {clash})))"
     )

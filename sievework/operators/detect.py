@@ -11,100 +11,97 @@ from pyspark.sql import functions as F
 from sievework.functions import lexicon as lx
 from sievework.functions import regexes as rx
 from sievework.functions import text as tx
-from sievework.functions.spans import find_spans, snippet, suppress_overlaps
+from sievework.functions.spans import snippet_sql, spans_sql, suppress_overlaps_sql
+from sievework.operators.fence import fence
 
 INJECTION_TYPE = "array<struct<pattern_id:string,matched_text:string,context:string>>"
 PII_SPAN_TYPE = "array<struct<pii_type:string,start:int,end:int,matched_text:string>>"
 PII_TYPE = "array<struct<pii_type:string,matched_text:string>>"
 
 
-def _no_injections() -> Column:
-    return F.array().cast(INJECTION_TYPE)
+_NO_INJECTIONS = f"cast(array() AS {INJECTION_TYPE})"
+_NO_PII = f"cast(array() AS {PII_SPAN_TYPE})"
 
 
-def family_findings(text: Column, family: str, present: Column | None = None) -> Column:
-    """Findings of one family in already normalised text."""
+def _family_sql(text: str, family: str) -> str:
     regex = dict(rx.INJECTIONS)[family]
-    there = text.rlike(regex) if present is None else present
-    return F.when(
-        there,
-        F.transform(
-            find_spans(text, regex, F.lit(True)),
-            lambda s: F.struct(
-                F.lit(family).alias("pattern_id"),
-                s["match"].alias("matched_text"),
-                snippet(text, s["start"], s["end"]).alias("context"),
-            ),
-        ),
-    ).otherwise(_no_injections())
+    return (
+        f"transform({spans_sql(text, regex)}, f -> named_struct('pattern_id', '{family}', "
+        f"'matched_text', f.match, 'context', {snippet_sql(text, 'f.start', 'f.`end`')}))"
+    )
+
+
+def family_findings(text: str, family: str) -> Column:
+    """Findings of one family in a column of already normalised text."""
+    regex = rx.literal(dict(rx.INJECTIONS)[family])
+    return F.expr(
+        f"CASE WHEN {text} RLIKE {regex} THEN {_family_sql(text, family)} "
+        f"ELSE {_NO_INJECTIONS} END"
+    )
 
 
-def injections_in(text: Column, families: Column) -> Column:
+def injections_in(text: str, families: str) -> Column:
     """All families, in family order.  Families are not de-duplicated against each other.
 
-    ``families``: the families known to occur, see ``regexes.families_present``.
+    ``families``: column of families known to occur, see ``regexes.families_present``.
     """
-    return F.when(
-        F.size(families) > 0,
-        F.concat(
-            *[
-                family_findings(text, family, F.array_contains(families, family))
-                for family, _ in rx.INJECTIONS
-            ]
-        ),
-    ).otherwise(_no_injections())
+    parts = [
+        f"CASE WHEN array_contains({families}, '{family}') THEN {_family_sql(text, family)} "
+        f"ELSE {_NO_INJECTIONS} END"
+        for family, _ in rx.INJECTIONS
+    ]
+    return F.expr(
+        f"CASE WHEN size({families}) > 0 THEN concat({', '.join(parts)}) "
+        f"ELSE {_NO_INJECTIONS} END"
+    )
 
 
-def base64_injections(decoded: Column, normalised: Column) -> Column:
+def base64_injections(decoded: str, normalised: str) -> Column:
     """Findings inside decoded strings; ``normalised[i]`` is the folded ``decoded[i]``."""
+    parts = [
+        f"transform(regexp_extract_all(norm, {rx.literal(regex)}, 0), m -> named_struct("
+        f"'pattern_id', '{family}', 'matched_text', concat('[base64] ', m), "
+        "'context', concat('Decoded from base64: ', left(plain, 80))))"
+        for family, regex in rx.INJECTIONS
+    ]
+    inside = (
+        f"CASE WHEN norm RLIKE {rx.literal(rx.ANY_INJECTION)} THEN concat({', '.join(parts)}) "
+        f"ELSE {_NO_INJECTIONS} END"
+    )
+    return F.expr(
+        f"CASE WHEN size({decoded}) > 0 "
+        f"THEN flatten(zip_with({decoded}, {normalised}, (plain, norm) -> {inside})) "
+        f"ELSE {_NO_INJECTIONS} END"
+    )
 
-    def of_family(family: str, regex: str, plain: Column, norm: Column) -> Column:
-        context = F.concat(F.lit("Decoded from base64: "), F.left(plain, F.lit(80)))
-        return F.transform(
-            F.regexp_extract_all(norm, F.lit(regex), F.lit(0)),
-            lambda m: F.struct(
-                F.lit(family).alias("pattern_id"),
-                F.concat(F.lit("[base64] "), m).alias("matched_text"),
-                context.alias("context"),
-            ),
-        )
 
-    def inside(plain: Column, norm: Column) -> Column:
-        per_family = [of_family(family, regex, plain, norm) for family, regex in rx.INJECTIONS]
-        return F.when(norm.rlike(rx.ANY_INJECTION), F.concat(*per_family)).otherwise(
-            _no_injections()
-        )
+def _typed_sql(text: str, kind: str) -> str:
+    return (
+        f"transform({spans_sql(text, dict(rx.PII)[kind])}, f -> named_struct('pii_type', '{kind}', "
+        "'start', f.start, 'end', f.`end`, 'matched_text', f.match))"
+    )
 
-    return F.when(
-        F.size(decoded) > 0, F.flatten(F.zip_with(decoded, normalised, inside))
-    ).otherwise(_no_injections())
 
+def typed_spans(text: str, kinds: str) -> Column:
+    """Matches of every personal-data type, before the priority rule."""
+    return F.expr(f"concat({', '.join(_typed_groups(text, kinds))})")
 
-def typed_spans(text: Column, kind: str, present: Column) -> Column:
-    """All matches of one personal-data type, before the priority rule."""
-    spans = F.transform(
-        find_spans(text, dict(rx.PII)[kind], F.lit(True)),
-        lambda s: F.struct(
-            F.lit(kind).alias("pii_type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["match"].alias("matched_text"),
-        ),
-    )
-    return F.when(present, spans).otherwise(F.array().cast(PII_SPAN_TYPE))
+
+def _typed_groups(text: str, kinds: str) -> list[str]:
+    return [
+        f"CASE WHEN array_contains({kinds}, '{kind}') THEN {_typed_sql(text, kind)} "
+        f"ELSE {_NO_PII} END"
+        for kind, _ in rx.PII
+    ]
 
 
-def pii_spans(text: Column, kinds: Column) -> Column:
+def pii_spans(text: str, kinds: str) -> Column:
     """Personal data with offsets, after the priority rule.
 
-    ``kinds``: the types known to occur, see ``regexes.pii_present``.
+    ``kinds``: column of types known to occur, see ``regexes.pii_present``.
     """
-    groups = F.array(
-        *[typed_spans(text, kind, F.array_contains(kinds, kind)) for kind, _ in rx.PII]
-    )
-    return F.when(F.size(kinds) > 0, suppress_overlaps(groups, PII_SPAN_TYPE)).otherwise(
-        F.array().cast(PII_SPAN_TYPE)
-    )
+    kept = suppress_overlaps_sql(_typed_groups(text, kinds), PII_SPAN_TYPE)
+    return F.expr(f"CASE WHEN size({kinds}) > 0 THEN {kept} ELSE {_NO_PII} END")
 
 
 def without_offsets(spans: Column) -> Column:
@@ -120,7 +117,7 @@ def first_pii(findings: Column, kind: str) -> Column:
     return F.get(F.filter(findings, lambda f: f["pii_type"] == kind), F.lit(0))["matched_text"]
 
 
-def buzz_score(text: Column, lowered: Column, words: Column) -> Column:
+def buzz_score(text: str, lowered: str, words: Column) -> Column:
     """Distinct padded phrases over ten, capped at 1; short texts score 0."""
     hits = rx.buzz_hits(text, lowered)
     return F.when(words > 50, F.least(F.lit(1.0), hits / F.lit(10.0))).otherwise(F.lit(0.0))
@@ -213,7 +210,7 @@ def normalise(docs: DataFrame, text: str = "text") -> DataFrame:
     folded), ``decoded``/``decoded_norm`` (base64 runs), ``lowered``, and
     ``families``: the hidden-instruction families present in ``normalised``.
     """
-    return (
+    forms = (
         docs.withColumn("stripped", tx.strip_invisible(F.col(text)))
         .withColumn("decoded", tx.decode_base64_tokens(F.col("stripped")))
         .withColumns(
@@ -236,31 +233,32 @@ def normalise(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
         .withColumn(
-            "families", rx.families_present(F.col("normalised"), F.col("_norm_lowered"))
+            "families", rx.families_present("normalised", "_norm_lowered")
         )
         .drop("_norm_lowered")
     )
+    return fence(
+        forms, ["stripped", "normalised", "lowered", "decoded", "decoded_norm", "families"]
+    )
 
 
 def detect(normalised_docs: DataFrame) -> DataFrame:
     """Add findings and scores to the output of :func:`normalise`."""
-    return (
+    scored = (
         normalised_docs.withColumns(
             {
-                "_kinds": rx.pii_present(F.col("stripped"), F.col("lowered")),
+                "_kinds": rx.pii_present("stripped", "lowered"),
                 "n_words": tx.word_count(F.col("stripped")),
             }
         )
         .withColumns(
             {
                 "prompt_injection_findings": F.concat(
-                    injections_in(F.col("normalised"), F.col("families")),
-                    base64_injections(F.col("decoded"), F.col("decoded_norm")),
-                ),
-                "pii_findings": without_offsets(pii_spans(F.col("stripped"), F.col("_kinds"))),
-                "ai_text_score": buzz_score(
-                    F.col("stripped"), F.col("lowered"), F.col("n_words")
+                    injections_in("normalised", "families"),
+                    base64_injections("decoded", "decoded_norm"),
                 ),
+                "pii_findings": without_offsets(pii_spans("stripped", "_kinds")),
+                "ai_text_score": buzz_score("stripped", "lowered", F.col("n_words")),
             }
         )
         .withColumns(
@@ -286,10 +284,15 @@ def detect(normalised_docs: DataFrame) -> DataFrame:
             }
         )
     )
+    return fence(scored.drop("_kinds"), ["n_words", *RISK_COLUMNS])
 
 
+RISK_COLUMNS = [
+    "prompt_injection_findings", "pii_findings", "ai_text_score", "ai_text_likelihood",
+    "risk_score", "risk_level", "summary",
+]
 WORK_COLUMNS = [
-    "stripped", "normalised", "decoded", "decoded_norm", "lowered", "families", "n_words", "_kinds",
+    "stripped", "normalised", "decoded", "decoded_norm", "lowered", "families", "n_words",
 ]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
+from sievework.operators.fence import fence
 
 
 def sentence_signal(sentence: Column) -> Column:
@@ -36,7 +37,7 @@ def summarise_notes(notes: DataFrame, text: str = "notes") -> DataFrame:
         picked = F.filter("_scored", lambda s: s["signal"] == sign)
         return F.slice(F.transform(picked, lambda s: s["sentence"]), 1, lx.MAX_NOTE_FLAGS)
 
-    return (
+    flagged = (
         notes.withColumn(
             "_scored",
             F.transform(
@@ -48,6 +49,7 @@ def summarise_notes(notes: DataFrame, text: str = "notes") -> DataFrame:
         .withColumn("recommended_step", recommended_step(F.col("green_flags"), F.col("red_flags")))
         .drop("_scored")
     )
+    return fence(flagged, ["green_flags", "red_flags", "recommended_step"])
 
 
 def draft_outreach(

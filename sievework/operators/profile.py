@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievework.functions import lexicon as lx
 from sievework.functions import regexes as rx
 from sievework.functions import text as tx
+from sievework.operators.fence import fence
 
 STRINGS = "array<string>"
 SKILL_MAP = "map<string,array<string>>"
@@ -37,23 +38,21 @@ def _strings(values: list[str]) -> Column:
 # ------------------------------------------------------------------------ skills
 
 
-def skill_hits(text: Column, lowered: Column | None = None) -> Column:
-    """Taxonomy skills present in the text, as one flat array.
+def skill_hits(text: str, lowered: str) -> Column:
+    """Taxonomy skills present in the text column, as one flat array.
 
     A skill made of word characters is present exactly when it is one of the
     text's words, so one split and one hash intersection replace a hundred
     regex passes.  Only skills with other characters keep a pattern.
-    ``lowered``: ``regexes.fold_case`` of the text, when the caller has it.
+    ``lowered``: column holding ``regexes.fold_case`` of the text.
     """
-    low = rx.fold_case(text) if lowered is None else lowered
-    found = F.array_intersect(
-        _strings([s.lower() for s in _WORD_SKILLS]), F.split(low, r"[^\p{L}\p{N}_]+", -1)
-    )
+    words = F.split(F.col(lowered), r"[^\p{L}\p{N}_]+", -1)
+    found = F.array_intersect(_strings([s.lower() for s in _WORD_SKILLS]), words)
     by_pattern = F.array_compact(
         F.array(
             *[
                 F.when(
-                    rx.present(text, low, rf"\b{_escape(s)}\b", True, [[s.lower()]]), s.lower()
+                    rx.present(text, lowered, rf"\b{_escape(s)}\b", True, [[s.lower()]]), s.lower()
                 )
                 for s in _OTHER_SKILLS
             ]
@@ -77,10 +76,6 @@ def group_skills(hits: Column) -> Column:
     return F.when(F.size(hits) > 0, grouped).otherwise(empty)
 
 
-def extract_skills(text: Column) -> Column:
-    return group_skills(skill_hits(text))
-
-
 def flat_skills(skills: Column) -> Column:
     """Distinct, trimmed, lower-case skills of a skill map."""
     all_skills = F.flatten(F.map_values(skills))
@@ -118,9 +113,8 @@ def max_years(claims: Column) -> Column:
     return F.array_max(claims)
 
 
-def seniority_score(text: Column) -> Column:
+def seniority_score(lowered: str) -> Column:
     """Highest score among words that start with a seniority keyword."""
-    lowered = F.lower(text)
     out = F
     for score, words in lx.SENIORITY.items():
         firsts = "".join(sorted({w[0] for w in words}))
@@ -178,7 +172,7 @@ def education_section(text: Column) -> Column:
     return F.when(maybe, F.when(start > 0, section))
 
 
-def education_level(scope: Column, lowered_scope: Column) -> Column:
+def education_level(scope: str, lowered_scope: str) -> Column:
     """Highest level named in the section, or in the whole text when there is none."""
     firsts = ["[pd]", "m", "b", "a", "[hsdg]", "[bsoc]"]
     out = F
@@ -198,19 +192,19 @@ _CLAIM_ANCHORS = [
 ]
 
 
-def claim_present(text: Column, lowered: Column) -> list[Column]:
+def claim_present(text: str, lowered: str) -> list[Column]:
     return [
         rx.present(text, lowered, body, True, [anchors])
         for body, anchors in zip(lx.CLAIM_PATTERNS, _CLAIM_ANCHORS)
     ]
 
 
-def raw_claims(text: Column, lowered: Column) -> Column:
+def raw_claims(text: str, lowered: str) -> Column:
     """Every claim-like phrase, pattern by pattern, trimmed."""
     none = F.array().cast(STRINGS)
     found = [
         F.when(
-            there, F.regexp_extract_all(text, F.lit(rx.pattern(body, True)), F.lit(0))
+            there, F.regexp_extract_all(F.col(text), F.lit(rx.pattern(body, True)), F.lit(0))
         ).otherwise(none)
         for body, there in zip(lx.CLAIM_PATTERNS, claim_present(text, lowered))
     ]
@@ -234,8 +228,11 @@ def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims")
     """Add up to five verifiable claims; a claim that is itself an injection is dropped."""
     folded = F.transform(F.col("_claim_norm"), tx.fold_lookalikes)
     decoded_folded = F.transform(F.col("_decoded_norm"), tx.fold_lookalikes)
-    return (
-        docs.withColumn("_claims", raw_claims(F.col(text), rx.fold_case(F.col(text))))
+    low = docs.withColumn(
+        "_claim_low", F.col("_low") if "_low" in docs.columns else rx.fold_case(F.col(text))
+    )
+    kept = (
+        low.withColumn("_claims", raw_claims(text, "_claim_low"))
         .withColumn("_stripped", F.transform("_claims", tx.strip_invisible))
         .withColumn(
             "_tokens",
@@ -262,8 +259,9 @@ def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims")
             out,
             first_claims(F.filter("_claims", lambda c, i: ~F.get(F.col("_bad"), i))),
         )
-        .drop("_claims", "_stripped", "_tokens", "_claim_norm", "_decoded_norm", "_bad")
+        .drop("_claims", "_claim_low", "_stripped", "_tokens", "_claim_norm", "_decoded_norm", "_bad")
     )
+    return fence(kept, [out])
 
 
 # ------------------------------------------------------------------ completeness
@@ -278,7 +276,7 @@ _COMPLETENESS_ANCHORS = {
 }
 
 
-def completeness_breakdown(text: Column, lowered: Column, words: Column) -> Column:
+def completeness_breakdown(text: str, lowered: str, words: Column) -> Column:
     """map<signal, boolean> over the nine signals."""
     pairs = []
     for label, _, body, ci in lx.COMPLETENESS:
@@ -409,17 +407,17 @@ ANALYSIS_FIELDS = [
 def extract_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Skills, years, tier and education columns, plus the working counts."""
     t = F.col(text)
-    return (
-        docs.withColumns({"_low": rx.fold_case(t), "_scope": F.coalesce(education_section(t), t)})
+    facts = (
+        docs.withColumns({"_low": rx.fold_case(t), "_plain_low": F.lower(t), "_scope": F.coalesce(education_section(t), t)})
         .withColumns(
             {
-                "_hits": skill_hits(t, F.col("_low")),
+                "_hits": skill_hits(text, "_low"),
                 "_years": year_claims(t),
                 "_words": tx.word_count(t),
                 "_scope_low": F.when(F.col("_scope") == t, F.col("_low")).otherwise(
                     rx.fold_case(F.col("_scope"))
                 ),
-                "_seniority": seniority_score(t),
+                "_seniority": seniority_score("_plain_low"),
                 "_employers": F.size(employers(t)),
             }
         )
@@ -427,12 +425,18 @@ def extract_facts(docs: DataFrame, text: str = "text") -> DataFrame:
             {
                 "skills": group_skills(F.col("_hits")),
                 "years_experience": max_years(F.col("_years")),
-                "education_level": education_level(F.col("_scope"), F.col("_scope_low")),
+                "education_level": education_level("_scope", "_scope_low"),
             }
         )
         .withColumn(
             "experience_tier", experience_tier(F.col("years_experience"), F.col("_seniority"))
         )
+        .drop("_scope", "_scope_low", "_plain_low", "_seniority", "_hits")
+    )
+    return fence(
+        facts,
+        ["_low", "_years", "_words", "_employers", "skills", "years_experience",
+         "education_level", "experience_tier"],
     )
 
 
@@ -473,7 +477,7 @@ def complete_analysis(facts: DataFrame, text: str = "text") -> DataFrame:
     total = total_skills(F.col("skills"))
     out = add_key_claims(facts, text)
     out = out.withColumn(
-        "_breakdown", completeness_breakdown(t, F.col("_low"), F.col("_words"))
+        "_breakdown", completeness_breakdown(text, "_low", F.col("_words"))
     )
     analysis = F.struct(
         F.col("skills").alias("skills"),
@@ -503,10 +507,19 @@ def complete_analysis(facts: DataFrame, text: str = "text") -> DataFrame:
         ).alias("red_flags"),
         F.col("match_engine").alias("match_engine"),
     )
-    return out.withColumn("match_analysis", analysis).drop(
-        "_low", "_scope", "_scope_low", "_hits", "_years", "_words", "_seniority", "_employers", "_breakdown",
-        "skills", "experience_tier", "years_experience", "education_level", "key_claims",
-        "match_engine",
+    done = out.withColumn("match_analysis", analysis).drop(
+        "_low", "_years", "_words", "_employers", "_breakdown", "skills", "experience_tier",
+        "years_experience", "education_level", "key_claims", "match_engine",
+    )
+    return fence(done, ["match_analysis"])
+
+
+def add_skills(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the skill map alone."""
+    staged = docs.withColumn("_low", rx.fold_case(F.col(text)))
+    hits = staged.withColumn("_hits", skill_hits(text, "_low"))
+    return fence(
+        hits.withColumn("skills", group_skills(F.col("_hits"))).drop("_low", "_hits"), ["skills"]
     )
 
 

@@ -10,35 +10,31 @@ from pyspark.sql import functions as F
 from sievework.functions import lexicon as lx
 from sievework.functions import regexes as rx
 from sievework.functions import text as tx
-from sievework.functions.spans import touched_lines
+from sievework.functions.spans import touched_lines_sql
+from sievework.operators.fence import fence
 
 _MARK = lx.REMOVED_LINE
 
 
-def remove_injected_lines(text: Column, families: Column) -> Column:
+def remove_injected_lines(text: str, families: str) -> Column:
     """array<string>: lines, with every line touched by a match replaced by the marker.
 
     Matches are found in the whole text, so an instruction broken over lines goes
     as a whole.  ``text`` must be normalised (no zero-width characters); ``families``
     are the families known to occur in it.
     """
-    lines = F.split(text, "\n", -1)
-
-    def either(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: x | y)
-
-    untouched = F.transform(lines, lambda _: F.lit(False))
-    flags = reduce(
-        either,
-        [
-            F.when(F.array_contains(families, family), touched_lines(text, regex)).otherwise(
-                untouched
-            )
-            for family, regex in rx.INJECTIONS
-        ],
+    lines = f"split({text}, '\\n', -1)"
+    flags = f"transform({lines}, l -> false)"
+    for family, regex in rx.INJECTIONS:
+        touched = (
+            f"CASE WHEN array_contains({families}, '{family}') "
+            f"THEN {touched_lines_sql(text, regex)} END"
+        )
+        # A family that does not occur yields null, which zip_with would spread.
+        flags = f"zip_with({flags}, coalesce({touched}, array()), (x, y) -> x OR coalesce(y, false))"
+    return F.expr(
+        f"zip_with({lines}, {flags}, (l, hit) -> CASE WHEN hit THEN {rx.literal(_MARK)} ELSE l END)"
     )
-    replaced = F.zip_with(lines, flags, lambda line, hit: F.when(hit, _MARK).otherwise(line))
-    return F.when(F.size(families) > 0, replaced).otherwise(lines)
 
 
 def collapse_markers(lines: Column) -> Column:
@@ -67,19 +63,19 @@ def add_safe_copy(normalised_docs: DataFrame, out: str = "safe_copy_text") -> Da
     The line work is staged in its own column and only done for documents that
     hold an instruction.
     """
-    text = F.col("normalised")
-    return (
+    copied = (
         normalised_docs.withColumn(
             "_lines",
             F.when(
-                F.size("families") > 0, remove_injected_lines(text, F.col("families"))
+                F.size("families") > 0, remove_injected_lines("normalised", "families")
             ),
         )
         .withColumn("_lines", F.when(F.col("_lines").isNotNull(), collapse_markers(F.col("_lines"))))
         .withColumn(
             "_clean",
-            F.coalesce(F.array_join(sweep_lines(F.col("_lines")), "\n"), text),
+            F.coalesce(F.array_join(sweep_lines(F.col("_lines")), "\n"), "normalised"),
         )
         .withColumn(out, annotate_pii(F.col("_clean")))
         .drop("_lines", "_clean")
     )
+    return fence(copied, [out])

@@ -97,7 +97,7 @@ def shortlist_report(jobs: DataFrame, cards: DataFrame) -> DataFrame:
     lines = cards.select(
         "job_id", "candidate_id", "full_name", "created_at",
         F.coalesce(F.nullif(F.col("headline"), F.lit("")), F.lit("—")).alias("headline"),
-        F.initcap(F.replace("status", F.lit("_"), F.lit(" "))).alias("status"),
+        F.initcap("status").alias("status"),
         risk_text(F.col("risk_level"), F.col("risk_score")).alias("risk"),
     )
     return jobs.select(
