@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.operators.fence import fence
+
 EVENT_OBJECT = (
     "struct<id:string,customer:string,subscription:string,client_reference_id:string,"
     "status:string,current_period_end:long,"
@@ -85,7 +87,7 @@ def unix_timestamp(value: Column) -> Column:
 def parse_events(raw: DataFrame, column: str = "payload") -> DataFrame:
     """JSON events to columns; ``is_valid`` is false without an id or a type."""
     body = F.from_json(F.col(column), EVENT_SCHEMA, {"mode": "PERMISSIVE"})
-    return (
+    parsed = (
         raw.withColumn("_e", body)
         .withColumns(
             {
@@ -98,3 +100,4 @@ def parse_events(raw: DataFrame, column: str = "payload") -> DataFrame:
         .withColumn("is_valid", F.col("event_id").isNotNull() & F.col("event_type").isNotNull())
         .drop("_e")
     )
+    return fence(parsed, ["event_id", "event_type", "created", "object", "is_valid"])
