@@ -312,7 +312,7 @@ def dashboard_metrics(
 
 
 def outcome_funnel(outcomes: DataFrame, keys: list[str], every: DataFrame | None = None):
-    """Zero-filled counts over the six types, with total and placed.
+    """Zero-filled counts over the six types, with ``total`` and ``success`` (hired or placed).
 
     ``every``: rows that must appear even without an outcome (for example all jobs).
     """
@@ -321,7 +321,7 @@ def outcome_funnel(outcomes: DataFrame, keys: list[str], every: DataFrame | None
         counts = every.select(*keys).distinct().join(counts, keys, "left").na.fill(0)
     total = sum((F.col(t) for t in lx.OUTCOME_TYPES), F.lit(0))
     placed = sum((F.col(t) for t in lx.PLACED_TYPES), F.lit(0))
-    return counts.withColumns({"total": total, "placed": placed})
+    return counts.withColumns({"total": total, "success": placed})
 
 
 def unread_count(notifications: DataFrame, *keys: str) -> DataFrame:

@@ -107,7 +107,9 @@ def parse_assessments(
         return tx.strip_think(F.coalesce(c, F.lit(default)))
 
     def clean_all(c: Column) -> Column:
-        return F.transform(F.coalesce(c, F.array().cast("array<string>")), clean)
+        return F.transform(
+            F.coalesce(c, F.array().cast("array<string>")), lambda item: clean(item)
+        )
 
     p = F.col("_p")
     empty = F.array().cast("array<struct<name:string,text:string,bullets:array<string>>>")

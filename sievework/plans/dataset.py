@@ -144,8 +144,12 @@ def skills_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidate_columns(table(spark, sf_dir, "customer"))
+
+
+def candidate_columns(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return customer.select(
         k.alias("candidate_id"),
         user_of(F.col("c_nationkey")).alias("user_id"),
         org_of(F.col("c_nationkey")).alias("org_id"),
@@ -225,10 +229,16 @@ def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_no"),
+        line_number().alias("row_no"),
         F.col("l_partkey").alias("job_id"),
         F.col("o_custkey").alias("candidate_id"),
-    )
+    ).distinct()
+
+
+def line_number() -> Column:
+    """A number per (order, line, part); order and line alone repeat in the data."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return line * 1_000_003 + F.col("l_partkey")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +291,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("placed")
     )
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("outcome_id"),
+        line_number().alias("outcome_id"),
         F.col("l_partkey").alias("job_id"),
         F.col("o_custkey").alias("candidate_id"),
         user_of(F.col("l_partkey")).alias("user_id"),
@@ -332,7 +342,7 @@ def with_payload(events: DataFrame) -> DataFrame:
     name = F.concat(F.lit("u"), u.cast("string"))
     obj = F.struct(
         F.concat(F.lit("sub_"), e.cast("string")).alias("id"),
-        F.when(e % 29 != 0, F.concat(F.lit("cus_"), (u % 90).cast("string"))).alias("customer"),
+        F.when(e % 29 != 0, F.concat(F.lit("cus_"), ((u + F.when(e % 11 == 0, 1).otherwise(0)) % 90).cast("string"))).alias("customer"),
         F.when(e % 2 == 0, F.concat(F.lit("sub_c"), e.cast("string"))).alias("subscription"),
         F.when(e % 14 == 2, name).alias("client_reference_id"),
         F.when(e % 31 != 0, pick(e, {0: "active", 1: "trialing", 2: "past_due", 3: "canceled"}))

@@ -17,7 +17,7 @@ def q(value: str) -> str:
 
 
 def arr(values: list[str]) -> str:
-    return "[" + ", ".join(q(v) for v in values) + "]::VARCHAR[]"
+    return "CAST([" + ", ".join(q(v) for v in values) + "] AS VARCHAR[])"
 
 
 def pick(number: str, values: dict) -> str:
@@ -156,29 +156,24 @@ def _skill_pattern(skill: str) -> str:
     return "(?i)" + EDGE_L + esc + tail
 
 
-_SKILL_ROWS = ", ".join(
-    f"({ci_}, {si}, {q(cat)}, {q(s)}, {q(_skill_pattern(s))})"
-    for ci_, (cat, skills) in enumerate(lx.SKILLS.items())
-    for si, s in enumerate(skills)
-)
-SKILL_TABLE = f"taxonomy(c_ord, s_ord, category, skill, p) AS (VALUES {_SKILL_ROWS})"
-
-
 def doc_skills(name: str, source: str, key: str, text: str) -> str:
-    return (
-        f"{name} AS MATERIALIZED (SELECT {key}, c_ord, s_ord, category, skill "
-        f"FROM {source}, taxonomy WHERE regexp_matches({text}, p))"
+    parts = " UNION ALL ".join(
+        f"SELECT {key}, {c} AS c_ord, {i} AS s_ord, {q(category)} AS category, {q(s)} AS skill "
+        f"FROM {source} WHERE regexp_matches({text}, {q(_skill_pattern(s))})"
+        for c, (category, skills) in enumerate(lx.SKILLS.items())
+        for i, s in enumerate(skills)
     )
+    return f"{name} AS MATERIALIZED ({parts})"
 
 
-SKILLS = f"{DOCS},\n{SKILL_TABLE},\n{doc_skills('dskills', 'docs', 'doc_id', 'text')}"
+SKILLS = f"{DOCS},\n{doc_skills('dskills', 'docs', 'doc_id', 'text')}"
 _SEN = " ".join(
     f"WHEN regexp_matches(lower(text), {q(EDGE_L + '(?:' + '|'.join(words) + ')')}) THEN {score}"
     for score, words in lx.SENIORITY.items()
 )
 YEARS = f"""years AS MATERIALIZED (
   SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, {ci(lx.YEARS)}, 1),
-         y -> TRY_CAST(y AS INTEGER)), y -> y > 0 AND y <= 50) AS ys,
+         lambda y: TRY_CAST(y AS INTEGER)), lambda y: y > 0 AND y <= 50) AS ys,
          CASE {_SEN} ELSE 0 END AS seniority FROM docs)"""
 TIER = """tier AS MATERIALIZED (
   SELECT doc_id, text, ys, max_years, seniority, CASE WHEN max_years IS NULL THEN 'Entry' ELSE
@@ -198,11 +193,11 @@ _EDU_CASES = " ".join(
 )
 EDU = f"""lined AS MATERIALIZED (
   SELECT doc_id, text, lines, list_position(list_transform(lines,
-         l -> regexp_matches(trim(l), {ci(lx.EDUCATION_HEADER)})), true) AS h
+         lambda l: regexp_matches(trim(l), {ci(lx.EDUCATION_HEADER)})), true) AS h
   FROM (SELECT doc_id, text, string_split_regex(text, '\\r\\n|[\\n\\r]') AS lines FROM docs)),
 bodies AS MATERIALIZED (
   SELECT doc_id, text, h, body, list_position(list_transform(body,
-         l -> regexp_matches(trim(l), {ci(lx.OTHER_HEADER)})), true) AS stop
+         lambda l: regexp_matches(trim(l), {ci(lx.OTHER_HEADER)})), true) AS stop
   FROM (SELECT *, CASE WHEN h > 0 THEN lines[h + 1 : h + 60] END AS body FROM lined)),
 edu AS MATERIALIZED (
   SELECT doc_id, section, CASE {_EDU_CASES} ELSE 'Not specified' END AS level FROM (
@@ -266,7 +261,7 @@ stages AS MATERIALIZED (
          CAST(9 - n.n AS INTEGER) AS position
   FROM jobs, (VALUES (0), (1), (2)) n(n) WHERE n.n < job_id % 4)"""
 REQUESTS = """reqs AS MATERIALIZED (
-  SELECT l_orderkey * 100 + l_linenumber AS row_no, l_partkey AS job_id, o_custkey AS candidate_id
+  SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS row_no, l_partkey AS job_id, o_custkey AS candidate_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 PAIRS = f"""{REQUESTS},
 prs AS MATERIALIZED (
@@ -281,7 +276,7 @@ SHORT = f"""shortl AS MATERIALIZED (
   SELECT row_no AS entry_id, job_id, candidate_id, {user_of('job_id')} AS user_id,
          {org_of('job_id')} AS org_id, {minutes('row_no % 7000')} AS created_at FROM prs)"""
 OUTCOMES = f"""outc AS MATERIALIZED (
-  SELECT l_orderkey * 100 + l_linenumber AS outcome_id, l_partkey AS job_id,
+  SELECT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS outcome_id, l_partkey AS job_id,
          o_custkey AS candidate_id, {user_of('l_partkey')} AS user_id,
          CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'interviewed' WHEN 'AO' THEN 'offered'
               WHEN 'NF' THEN 'hired' WHEN 'NO' THEN 'rejected' WHEN 'RF' THEN 'withdrawn'

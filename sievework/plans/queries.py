@@ -302,13 +302,13 @@ text_query(
     "search_tokens",
     lambda t: joined(F.array_sort(tx.search_tokens(t))),
     "array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), "
-    f"'{lx.SEARCH_TOKEN}')), x -> len(x) > 1 AND NOT list_contains({_STOPS}, x))), '|')",
+    f"'{lx.SEARCH_TOKEN}')), lambda x: len(x) > 1 AND NOT list_contains({_STOPS}, x))), '|')",
 )
 text_query(
     "split_sentences",
     lambda t: joined(tx.split_sentences(t)),
     r"array_to_string(list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), "
-    r"x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> ''), '|')",
+    r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')",
 )
 
 
@@ -355,8 +355,8 @@ def clean_cells(spark, sf):
 @register(
     "skill_parts",
     f"WITH {o.JOBS} SELECT job_id, skill, array_to_string(list_sort(list_distinct(list_append("
-    r"list_filter(string_split_regex(skill, '[.\s/,]+'), x -> x <> ''), skill))), '|') AS parts "
-    "FROM (SELECT job_id, unnest(list_transform(required_skills, s -> lower(trim(s)))) AS skill "
+    r"list_filter(string_split_regex(skill, '[.\s/,]+'), lambda x: x <> ''), skill))), '|') AS parts "
+    "FROM (SELECT job_id, unnest(list_transform(required_skills, lambda s: lower(trim(s)))) AS skill "
     "FROM jobs)",
 )
 def skill_parts(spark, sf):
@@ -1027,7 +1027,7 @@ sents AS (SELECT conv_id, turn, i, s, len(list_intersect(w, {_GREEN})) AS g,
   SELECT conv_id, turn, i, s, list_distinct(regexp_extract_all(lower(s), '[a-z'']+')) AS w FROM (
     SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
       SELECT conv_id, turn, list_filter(list_transform(string_split_regex(notes, '[.!?\\n]+'),
-             x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), x -> x <> '') AS l FROM notes))))"""
+             lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM notes))))"""
 
 
 @register(

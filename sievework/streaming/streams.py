@@ -121,7 +121,7 @@ def funnel_stream(outcomes: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumns(
         {
             "total": sum((F.col(t) for t in lx.OUTCOME_TYPES), F.lit(0)),
-            "placed": sum((F.col(t) for t in lx.PLACED_TYPES), F.lit(0)),
+            "success": sum((F.col(t) for t in lx.PLACED_TYPES), F.lit(0)),
         }
     )
 
