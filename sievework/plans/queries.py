@@ -11,20 +11,21 @@ from sievework.functions import lexicon as lx
 from sievework.functions import regexes as rx
 from sievework.functions import spans as sp
 from sievework.functions import text as tx
-from sievework.operators import (
-    billing, crm, detect, hidden, imports, matching, notes, profile, prompts, redact,
-)
+from sievework.operators import crm, detect, hidden, notes, profile, prompts, redact
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
 from sievework.session import work_dir
 from sievework.sources import files, sinks, tables
-from sievework.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-AS_OF = F.to_timestamp(F.lit("2024-01-15 12:00:00"))
+def as_of():
+    """A fixed "now" (a function: columns need a session)."""
+    return F.to_timestamp(F.lit("2024-01-15 12:00:00"))
+
+
 AS_OF_SQL = "TIMESTAMP '2024-01-15 12:00:00'"
 
 
@@ -312,10 +313,8 @@ text_query(
 )
 
 
-@register(
-    "decode_base64_tokens",
-    f"WITH {o.TEXT_CTES}, {o.BASE64} SELECT doc_id, decoded FROM b64",
-)
+# No SQL twin: undecodable bytes are dropped, which SQL cannot express; tested against Python.
+@register("decode_base64_tokens")
 def decode_base64_tokens(spark, sf):
     docs = detect.normalise(ds.documents(spark, sf))
     return docs.select("doc_id", F.explode("decoded").alias("decoded"))
@@ -716,9 +715,6 @@ def scan_corpus(spark, sf):
     )
 
 
-_HID = {0: "A,H", 1: "B", 2: "G", 3: "F"}
-
-
 @register(
     "hidden_surfaces",
     "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'PR-01-A|PR-01-H' WHEN 1 THEN 'PR-01-B' "

@@ -8,7 +8,7 @@ from sievework.functions import lexicon as lx
 from sievework.operators import billing, crm, detect, imports, matching, profile, redact
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
-from sievework.plans.queries import AS_OF, AS_OF_SQL, joined, register, stamp
+from sievework.plans.queries import AS_OF_SQL, as_of, joined, register, stamp
 from sievework.session import materialise, work_dir
 from sievework.sources import tables
 from sievework.streaming import streams
@@ -302,7 +302,7 @@ def detect_and_analyse(docs):
 def public_share_view(spark, sf):
     view = crm.public_share_view(
         ds.shares(spark, sf), ds.jobs(spark, sf), ds.shortlist(spark, sf),
-        ds.candidates(spark, sf), ds.scans(spark, sf), AS_OF,
+        ds.candidates(spark, sf), ds.scans(spark, sf), as_of(),
     )
     return view.select("token", "job_title", "full_name", "risk_level")
 
@@ -401,7 +401,7 @@ def status_and_name_filters(spark, sf):
     f"SELECT event_id FROM events WHERE ts >= date_trunc('month', {AS_OF_SQL})",
 )
 def since_month_start(spark, sf):
-    return crm.since_month_start(ds.table(spark, sf, "events"), AS_OF, "ts").select("event_id")
+    return crm.since_month_start(ds.table(spark, sf, "events"), as_of(), "ts").select("event_id")
 
 
 @register(
@@ -410,7 +410,7 @@ def since_month_start(spark, sf):
     f"expires_at >= {AS_OF_SQL}",
 )
 def unexpired_shares(spark, sf):
-    return crm.unexpired_shares(ds.shares(spark, sf), AS_OF).select("token")
+    return crm.unexpired_shares(ds.shares(spark, sf), as_of()).select("token")
 
 
 @register(
@@ -798,7 +798,7 @@ def import_jobs_plan(spark, sf):
     f"TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 30 AS INTEGER)) > {AS_OF_SQL}",
 )
 def active_subscriptions(spark, sf):
-    return billing.active_subscriptions(_subs(spark, sf), AS_OF).select(
+    return billing.active_subscriptions(_subs(spark, sf), as_of()).select(
         F.col("user_id").cast("long")
     )
 
@@ -820,7 +820,7 @@ def _subs(spark, sf):
 )
 def scans_used(spark, sf):
     made = ds.usage_events(spark, sf).filter("kind = 'scan'").withColumnRenamed("ts", "created_at")
-    return billing.scans_used(made, AS_OF)
+    return billing.scans_used(made, as_of())
 
 
 _MONTHLY = (
@@ -872,7 +872,7 @@ def effective_plan(spark, sf):
         F.to_timestamp(F.lit("2025-01-01")).alias("current_period_end"),
     )
     usage = billing.monthly_usage(ds.usage_events(spark, sf))
-    plan = billing.effective_plan(users, _subs(spark, sf), org, usage, AS_OF)
+    plan = billing.effective_plan(users, _subs(spark, sf), org, usage, as_of())
     return plan.select("user_id", "plan", "via_org", "scans_used")
 
 
