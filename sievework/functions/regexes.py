@@ -147,19 +147,21 @@ def families_present(text: str, lowered: str) -> Column:
     )
 
 
-def pii_present(text: str, lowered: str) -> Column:
-    """array<string>: personal-data types with at least one match."""
-    return _names(
-        [
-            (
-                kind,
-                present_sql(
-                    text, lowered, body, ci, PII_ANCHORS.get(kind), PII_FIRST.get(kind, "")
-                ),
-            )
-            for kind, body, ci in lx.PII_TYPES
-        ]
-    )
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}")
+
+
+def pii_present(text: str, lowered: str, digits: str) -> Column:
+    """array<string>: personal-data types with at least one match.
+
+    ``digits``: column telling whether the text holds any digit; most types need one.
+    """
+
+    def test(kind: str, body: str, ci: bool) -> str:
+        sql = present_sql(text, lowered, body, ci, PII_ANCHORS.get(kind), PII_FIRST.get(kind, ""))
+        return f"({digits} AND {sql})" if r"\d" in body else sql
+
+    return _names([(kind, test(kind, body, ci)) for kind, body, ci in lx.PII_TYPES])
 
 
 def buzz_hits(text: str, lowered: str) -> Column:

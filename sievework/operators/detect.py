@@ -245,9 +245,10 @@ def normalise(docs: DataFrame, text: str = "text") -> DataFrame:
 def detect(normalised_docs: DataFrame) -> DataFrame:
     """Add findings and scores to the output of :func:`normalise`."""
     scored = (
-        normalised_docs.withColumns(
+        normalised_docs.withColumn("_digits", rx.has_digit(F.col("stripped")))
+        .withColumns(
             {
-                "_kinds": rx.pii_present("stripped", "lowered"),
+                "_kinds": rx.pii_present("stripped", "lowered", "_digits"),
                 "n_words": tx.word_count(F.col("stripped")),
             }
         )
@@ -284,7 +285,7 @@ def detect(normalised_docs: DataFrame) -> DataFrame:
             }
         )
     )
-    return fence(scored.drop("_kinds"), ["n_words", *RISK_COLUMNS])
+    return fence(scored.drop("_kinds", "_digits"), ["n_words", *RISK_COLUMNS])
 
 
 RISK_COLUMNS = [

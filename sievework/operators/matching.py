@@ -81,28 +81,28 @@ def jd_match_corpus(cvs: DataFrame, jds: DataFrame) -> DataFrame:
     """
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        flat = F.array_join(F.array_sort(_flat(F.col("skills"))), "\x1f")
-        return df.withColumn(name, F.xxhash64(flat)).withColumn(f"{name}_text", flat)
+        return df.withColumn(name, F.array_join(F.array_sort(_flat(F.col("skills"))), _SEP))
 
-    cv_rows, jd_rows = keyed(cvs, "cv_set"), keyed(jds, "jd_set")
-    cv_sets = cv_rows.groupBy("cv_set_text").agg(F.first("skills").alias("cv_skills"))
-    jd_sets = jd_rows.groupBy("jd_set_text").agg(F.first("skills").alias("jd_skills"))
+    cv_rows, jd_rows = keyed(cvs, "_cv_set"), keyed(jds, "_jd_set")
+    # A skill belongs to one category, so equal sets have equal maps.
+    cv_sets = cv_rows.groupBy("_cv_set").agg(F.first("skills").alias("cv_skills"))
+    jd_sets = jd_rows.groupBy("_jd_set").agg(F.first("skills").alias("jd_skills"))
 
     def exploded(df: DataFrame, key: str, skills: str) -> DataFrame:
         return df.select(key, F.explode(_flat(F.col(skills))).alias("skill"))
 
     sharing = (
-        exploded(jd_sets, "jd_set_text", "jd_skills")
-        .join(exploded(cv_sets, "cv_set_text", "cv_skills"), "skill")
-        .select("cv_set_text", "jd_set_text")
+        exploded(jd_sets, "_jd_set", "jd_skills")
+        .join(exploded(cv_sets, "_cv_set", "cv_skills"), "skill")
+        .select("_cv_set", "_jd_set")
         .distinct()
     )
-    scored = jd_match(sharing.join(cv_sets, "cv_set_text").join(jd_sets, "jd_set_text"))
+    scored = jd_match(sharing.join(cv_sets, "_cv_set").join(jd_sets, "_jd_set"))
     scored = scored.drop("cv_skills", "jd_skills")
     return (
-        scored.join(jd_rows.select("jd_id", "jd_set_text"), "jd_set_text")
-        .join(cv_rows.select("doc_id", "cv_set_text"), "cv_set_text")
-        .drop("cv_set_text", "jd_set_text")
+        scored.join(jd_rows.select("jd_id", "_jd_set"), "_jd_set")
+        .join(cv_rows.select("doc_id", "_cv_set"), "_cv_set")
+        .drop("_cv_set", "_jd_set")
     )
 
 
@@ -127,7 +127,7 @@ def visible_to(rows: DataFrame, principals: DataFrame, user: str, org: str) -> D
 
 def _required(jobs: DataFrame) -> DataFrame:
     kept = F.filter(F.transform("required_skills", tx.normalise_skill), lambda s: s != "")
-    return jobs.withColumn("_req", kept).withColumn("_req_key", F.array_join("_req", "\x1f"))
+    return jobs.withColumn("_req", kept).withColumn("_req_key", F.array_join("_req", _SEP))
 
 
 def score_profiles(req_sets: DataFrame, skill_sets: DataFrame) -> DataFrame:
@@ -162,37 +162,40 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     ``jobs``: ``job_id, user_id, org_id, required_skills``;
     ``candidates``: ``candidate_id, user_id, org_id, full_name, skills`` (skill map).
     """
-    job_rows = _required(jobs).select(
-        "job_id", F.col("user_id").alias("p_user"), F.col("org_id").alias("p_org"), "_req_key",
-        "_req",
-    )
-    people = (
-        candidates.withColumn("_skills", F.array_sort(flat_skills(F.col("skills"))))
-        .withColumn("_skill_key", F.array_join("_skills", "\x1f"))
-        .filter(F.size("_skills") > 0)
-    )
+    job_rows = _required(jobs).select("job_id", "user_id", "org_id", "_req_key")
+    people = candidates.select(
+        "candidate_id", "full_name", "user_id", "org_id",
+        F.array_join(F.array_sort(flat_skills(F.col("skills"))), _SEP).alias("_skill_key"),
+    ).filter(F.col("_skill_key") != "")
     scores = score_profiles(
-        job_rows.groupBy("_req_key").agg(F.first("_req").alias("_req")),
-        people.groupBy("_skill_key").agg(F.first("_skills").alias("_skills")),
-    )
-    rows = people.select(
-        "_skill_key", "candidate_id", "full_name",
-        F.col("user_id").alias("c_user"), F.col("org_id").alias("c_org"),
+        _sets(job_rows, "_req_key", "_req"), _sets(people, "_skill_key", "_skills")
     )
-    wanted = job_rows.drop("_req").join(scores, "_req_key")
-    own = wanted.join(
-        rows, (wanted["_skill_key"] == rows["_skill_key"]) & (F.col("p_user") == F.col("c_user"))
-    ).drop(rows["_skill_key"])
-    shared = (
-        wanted.join(
-            rows, (wanted["_skill_key"] == rows["_skill_key"]) & (F.col("p_org") == F.col("c_org"))
-        )
-        .drop(rows["_skill_key"])
-        .filter(~F.col("c_user").eqNullSafe(F.col("p_user")))
+    wanted = _scoped(job_rows.join(scores, "_req_key").withColumnRenamed("user_id", "p_user"), "p_user")
+    offered = _scoped(people.withColumnRenamed("user_id", "c_user"), "c_user")
+    return (
+        wanted.join(offered, ["_skill_key", "_scope", "_by_org"])
+        # A pair that meets through its user is not listed again through its organisation.
+        .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user")))
+        .select("job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills")
     )
-    return own.unionByName(shared).select(
-        "job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills"
+
+
+_SEP = "\x1f"
+
+
+def _sets(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Distinct keys and the array each stands for (a hash aggregate on strings only)."""
+    items = F.filter(F.split(F.col(key), _SEP, -1), lambda s: s != "")
+    return rows.select(key).distinct().withColumn(out, items)
+
+
+def _scoped(rows: DataFrame, user: str) -> DataFrame:
+    """Each row under its user and under its organisation, for one equi-join on scope."""
+    scopes = F.array(
+        F.struct(F.col(user).alias("_scope"), F.lit(False).alias("_by_org")),
+        F.struct(F.col("org_id").alias("_scope"), F.lit(True).alias("_by_org")),
     )
+    return rows.select("*", F.inline(scopes)).filter(F.col("_scope").isNotNull()).drop("org_id")
 
 
 def match_order() -> list[Column]:

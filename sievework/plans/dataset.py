@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import detect, profile
+from sievework.session import materialise
 
 BASE = "2024-01-01 00:00:00"
 
@@ -139,6 +140,12 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text").withColumnsRenamed({"doc_id": "scan_id", "upload_name": "filename"})
 
 
+def stored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form that relational queries read: scanned once, then a narrow table."""
+    columns = ["scan_id", "user_id", "org_id", "risk_level", "risk_score"]
+    return materialise(scans(spark, sf_dir).select(*columns), "scans")
+
+
 def skills_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.add_skills(documents(spark, sf_dir)).select("doc_id", "skills")
 
@@ -168,8 +175,13 @@ def candidate_columns(customer: DataFrame) -> DataFrame:
 
 
 def candidates_with_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skills come from the linked scan; candidates without one have an empty map."""
-    skills = skills_of_documents(spark, sf_dir).withColumnRenamed("doc_id", "scan_id")
+    """Skills come from the linked scan; candidates without one have an empty map.
+
+    The skill table is written once, as a stored scan would be, so that texts are
+    read once however often a query needs the skills.
+    """
+    extracted = skills_of_documents(spark, sf_dir).withColumnRenamed("doc_id", "scan_id")
+    skills = materialise(extracted, "skills")
     people = candidates(spark, sf_dir).join(skills, "scan_id", "left")
     empty = F.create_map().cast("map<string,array<string>>")
     return people.withColumn("skills", F.coalesce("skills", empty))

@@ -546,8 +546,8 @@ for _kind, _pattern in o.PII_PATTERNS:
 )
 def suppress_overlaps(spark, sf):
     docs = detect.normalise(ds.documents(spark, sf)).withColumn(
-        "kinds", rx.pii_present("stripped", "lowered")
-    )
+        "digits", rx.has_digit(F.col("stripped"))
+    ).withColumn("kinds", rx.pii_present("stripped", "lowered", "digits"))
     found = docs.select("doc_id", F.explode(detect.pii_spans("stripped", "kinds")).alias("x"))
     return found.select(
         "doc_id", "x.pii_type", F.col("x.start").cast("long").alias("s"),

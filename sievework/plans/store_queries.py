@@ -9,7 +9,7 @@ from sievework.operators import billing, crm, detect, imports, matching, profile
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
 from sievework.plans.queries import AS_OF_SQL, as_of, joined, register, stamp
-from sievework.session import materialise, work_dir
+from sievework.session import work_dir
 from sievework.sources import tables
 from sievework.streaming import streams
 
@@ -611,7 +611,7 @@ def _queue_sql(name: str, source: str, item: str, label: str) -> str:
 def today_queue(spark, sf):
     sparse = ds.placements(spark, sf).filter(F.col("placement_id") % 40 == 0)
     out = crm.today_queue(
-        ds.candidates(spark, sf), ds.scans(spark, sf), ds.jobs(spark, sf), sparse
+        ds.candidates(spark, sf), ds.stored_scans(spark, sf), ds.jobs(spark, sf), sparse
     )
     return out.withColumn("rank", F.col("rank").cast("long"))
 
@@ -986,8 +986,7 @@ def stream_scan(spark, sf):
 )
 def stream_high_risk_alerts(spark, sf):
     raw = streams.read_table_stream(spark, f"{sf}/customer*.parquet", CUSTOMERS)
-    stored = materialise(ds.scans(spark, sf).select("scan_id", "risk_level"), "scans")
-    alerts = streams.high_risk_alerts(ds.candidate_columns(raw), stored)
+    alerts = streams.high_risk_alerts(ds.candidate_columns(raw), ds.stored_scans(spark, sf))
     return streams.drain_to_files(alerts, work_dir(spark, "out")).select("candidate_id", "title")
 
 

@@ -104,7 +104,9 @@ def test_pii_priority_rule(spark):
     ]
     texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(8)) for _ in range(300)]
     df = detect.normalise(spark.createDataFrame([(t,) for t in texts], "text string"))
-    df = df.withColumn("k", rx.pii_present("stripped", "lowered"))
+    df = df.withColumn("d", rx.has_digit(F.col("stripped"))).withColumn(
+        "k", rx.pii_present("stripped", "lowered", "d")
+    )
     for row in df.select("stripped", detect.pii_spans("stripped", "k").alias("p")).collect():
         assert [(x.pii_type, x.start, x.end) for x in row.p] == brute_pii(row.stripped), row.stripped
 
