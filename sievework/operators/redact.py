@@ -50,11 +50,38 @@ def sweep_lines(lines: Column) -> Column:
     )
 
 
-def annotate_pii(text: Column) -> Column:
-    tagged = reduce(
-        lambda t, p: F.regexp_replace(t, p[1], f"[PII:{p[0].upper()}]"), rx.PII, text
+def annotate_pii(text: Column, kinds: Column | None = None) -> Column:
+    """Tag personal data type by type, then trim.
+
+    ``kinds``: the types known to occur in ``text``; others are not searched for.  A
+    visa match may end inside a word and so set free a later type, so once one
+    occurs the later types are always searched for.
+    """
+    names = [kind for kind, _ in rx.PII]
+    after_visa = names[names.index("visa_status") + 1 :]
+
+    if kinds is None:
+        steps = reduce(lambda acc, p: F.regexp_replace(acc, p[1], f"[PII:{p[0].upper()}]"), rx.PII, text)
+        return tx.trim_space(steps)
+    return tx.trim_space(
+        F.aggregate(
+            F.filter(F.array(*[F.lit(n) for n in names]), lambda n: _wanted(n, kinds, after_visa)),
+            text,
+            lambda acc, n: _tag_one(acc, n),
+        )
     )
-    return tx.trim_space(tagged)
+
+
+def _wanted(name: Column, kinds: Column, after_visa: list[str]) -> Column:
+    freed = name.isin(after_visa) & F.array_contains(kinds, "visa_status")
+    return F.array_contains(kinds, name) | freed
+
+
+def _tag_one(text: Column, name: Column) -> Column:
+    out = F
+    for kind, regex in rx.PII:
+        out = out.when(name == kind, F.regexp_replace(text, regex, f"[PII:{kind.upper()}]"))
+    return out.otherwise(text)
 
 
 def add_safe_copy(normalised_docs: DataFrame, out: str = "safe_copy_text") -> DataFrame:
@@ -75,7 +102,16 @@ def add_safe_copy(normalised_docs: DataFrame, out: str = "safe_copy_text") -> Da
             "_clean",
             F.coalesce(F.array_join(sweep_lines(F.col("_lines")), "\n"), "normalised"),
         )
-        .withColumn(out, annotate_pii(F.col("_clean")))
-        .drop("_lines", "_clean")
+        .withColumns(
+            {"_low": rx.fold_case(F.col("_clean")), "_digits": rx.has_digit(F.col("_clean"))}
+        )
+        .withColumn("_kinds", rx.pii_present("_clean", "_low", "_digits"))
+        .withColumn(
+            out,
+            F.when(F.size("_kinds") > 0, annotate_pii(F.col("_clean"), F.col("_kinds"))).otherwise(
+                tx.trim_space(F.col("_clean"))
+            ),
+        )
+        .drop("_lines", "_clean", "_low", "_digits", "_kinds")
     )
     return fence(copied, [out])

@@ -76,7 +76,7 @@ def test_random_documents(spark):
     rng = random.Random(3)
     bits = [c for c, _ in CASES[:9]] + [
         "ignore", "all", "previous", "instructions", "you are now", "mode", "debug", "hire", "\n",
-        "\n", "ada@example.org", "married", "é", "plain words", ".", "system:", "pass",
+        "\n", "ada@example.org", "married", "é", "visa 2027health wife", "06-0273-0123456-00", "plain words", ".", "system:", "pass",
     ]
     texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(250)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
