@@ -129,27 +129,34 @@ def _tok(expr: str) -> str:
     )
 
 
-@register(
-    "talent_search",
-    f"""WITH {o.SKILLS}, {o.CAND}, qs AS (SELECT item_id AS query_id,
+_SEARCH = f"""WITH {o.SKILLS}, {o.CAND}, qs AS (SELECT item_id AS query_id,
   {_tok(o.pick('item_id', ds.SEARCHES))} AS terms FROM benchmark),
 terms AS (SELECT query_id, len(terms) AS n, unnest(terms) AS token FROM qs),
 idx AS MATERIALIZED (SELECT candidate_id, lower(skill) AS token FROM cand JOIN dskills ON scan_id = doc_id
   UNION SELECT candidate_id, unnest({_tok('skill')}) FROM cand JOIN dskills ON scan_id = doc_id
   UNION SELECT candidate_id, unnest({_tok("coalesce(headline, '')")}) FROM cand
-  UNION SELECT candidate_id, unnest({_tok('full_name')}) FROM cand)
-SELECT query_id, candidate_id, CAST(round_even(100.0 * count(*) / max(n), 0) AS BIGINT) AS score
-FROM terms JOIN idx USING (token) GROUP BY 1, 2""",
-)
+  UNION SELECT candidate_id, unnest({_tok('full_name')}) FROM cand),
+hits AS (SELECT query_id, candidate_id, CAST(round_even(100.0 * count(*) / max(n), 0) AS BIGINT) AS score
+FROM terms JOIN idx USING (token) GROUP BY 1, 2)"""
+
+
+@register("talent_search", f"{_SEARCH} SELECT query_id, candidate_id, score FROM hits")
 def talent_search(spark, sf):
     hits = matching.talent_search(ds.searches(spark, sf), ds.candidates_with_skills(spark, sf))
     return hits.select("query_id", "candidate_id", F.col("score").cast("long"))
 
 
-@register("rank_hits")
+@register(
+    "rank_hits",
+    f"{_SEARCH} SELECT query_id, rank, candidate_id, score FROM (SELECT query_id, candidate_id, score, "
+    "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(full_name), candidate_id) AS rank "
+    "FROM hits JOIN cand USING (candidate_id)) WHERE rank <= 10",
+)
 def rank_hits(spark, sf):
     hits = matching.talent_search(ds.searches(spark, sf), ds.candidates_with_skills(spark, sf))
-    return matching.rank_hits(hits, 10).select("query_id", "rank", "candidate_id", "score")
+    return matching.rank_hits(hits, 10).select(
+        "query_id", F.col("rank").cast("long"), "candidate_id", F.col("score").cast("long")
+    )
 
 
 @register(
