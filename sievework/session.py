@@ -30,17 +30,23 @@ def build_session(app: str = "sievework", master: str | None = None, **conf) ->
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``, gone when the session ends.
 
-    A machine-local folder is used only where the setting is absent, as in tests.
+    Where the setting is absent, a session in this one process (``local``) gets a folder of its
+    own; on a cluster that would be a folder other machines cannot see, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or (
+            spark.sparkContext.master.startswith("local-cluster")
+        ):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sievework-")
-        spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
