@@ -68,3 +68,52 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "text"
     )
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+    WITH t AS (
+      SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, text_sha256
+    FROM t WINDOW w AS (PARTITION BY text_sha256)
+    """,
+)
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.decontaminate import leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") == 0).alias("kept"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.coalesce(F.array_max("leaks.similarity"), F.lit(0.0)).alias("similarity"),
+        "leaks",
+    )
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.personal import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality import judged, measured, train
+
+    rows = measured(table(spark, sf_dir, "documents"))
+    model = train(rows, table(spark, sf_dir, "labels"))
+    return judged(rows, model).select("doc_id", "kept", "evidence", "posterior")
