@@ -117,3 +117,40 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measured(table(spark, sf_dir, "documents"))
     model = train(rows, table(spark, sf_dir, "labels"))
     return judged(rows, model).select("doc_id", "kept", "evidence", "posterior")
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_chat",
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+             AS loss_sha256,
+           sum(length('<s>[] </s>' || regexp_replace(role || text, '([\\<\[\]])', '\\\1', 'g')))::BIGINT
+             AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.chat import prefix_forest, read_back
+
+    awkward = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", awkward), (-1, 1, "assistant", awkward)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(prefix_forest(turns.unionByName(extra)))
