@@ -154,3 +154,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(prefix_forest(turns.unionByName(extra)))
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.jaccard import components_of
+
+    return components_of(table(spark, sf_dir, "documents"))
