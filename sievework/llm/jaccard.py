@@ -3,15 +3,17 @@
 A document is the set of its 5-word shingles.  All sets are sorted by one global order, rare shingles first;
 two sets of similarity t or more then share a shingle among their first ``n - ceil(t n) + 1``.
 
-1. *Order.*  A shingle ranks by the document frequency of its rarest word, read from a table
-   of ``CELLS`` word cells counted over all documents: fixed size, whatever the corpus.  The order only
-   decides how many candidates there are, never which links are found.
+1. *Order.*  A shingle ranks by an upper bound of its document frequency: the smaller of the counts of its
+   own cell and of its rarest word's cell, in two tables of hash cells counted over all documents.
+   Their size is fixed, whatever the corpus.  The order only decides how many candidates there are,
+   never which links are found.
 2. *Groups.*  Documents with identical prefix and size have the same group key, a hash of both, so a
    group enters the join once however many copies it has.  Documents with identical sets form one class.
-3. *Postings.*  One row per group and prefix shingle.  How long a shingle's posting can get is known from its
-   word's frequency; longer ones are salted, so no task gathers a hot shingle.
-4. *Stars.*  Each posting links its groups to one of them.  These few pairs are verified on whole sets and
-   settle nearly all components: a group of thousands of near copies costs one pair per member.
+3. *Postings.*  One row per group and prefix shingle.  That bound also says how long a shingle's posting can
+   get, before any shuffle; long ones are salted, so no task gathers a hot shingle.
+4. *Stars.*  Each posting links its groups to the one in whose order the shingle stands first, which has the
+   fewest rarer shingles of its own: among edited copies that is the least edited one.  These pairs,
+   one or a few per group, are verified on whole sets and settle nearly all components.
 5. *The rest.*  Pairs of groups that share a posting, fit in size and position, and are not in one
    component yet are expanded to classes and verified, so no link between components is lost.
 
@@ -36,40 +38,44 @@ from sievework.llm.words import documents_words, mix, shingles
 from sievework.session import materialise
 
 WIDTH, NUM, DEN = 5, 3, 4  # similarity of NUM / DEN
-CELLS_LOG = 17
-CELLS = 1 << CELLS_LOG
+WORD_CELLS, SHINGLE_CELLS = 1 << 17, 1 << 18
 SALT_ROWS = 20_000
 _NO_ID = -(1 << 63)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, dtype=np.int64)
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(WORD_CELLS + SHINGLE_CELLS, dtype=np.int64)
     for batch in batches:
         for words, _, _ in documents_words(batch["text"], True):
-            counts[np.unique(words >> np.uint64(64 - CELLS_LOG))] += 1
+            counts[np.unique(_cells(words, WORD_CELLS))] += 1
+            counts[np.unique(_cells(shingles(words, WIDTH), SHINGLE_CELLS)) + WORD_CELLS] += 1
     cells = np.flatnonzero(counts)
     yield pa.record_batch({"cell": cells.astype(np.int32), "n": counts[cells]})
 
 
-def word_cells(docs: DataFrame) -> np.ndarray:
-    """Rank of every word cell: 1024 times the binary logarithm of its document frequency."""
+def cell_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of every word cell and shingle cell: 1024 times the binary logarithm of its frequency."""
     counted = (
-        docs.select("text").mapInArrow(_count_words, "cell int, n long")
+        docs.select("text").mapInArrow(_count_cells, "cell int, n long")
         .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     )
-    ranks = np.zeros(CELLS, dtype=np.uint16)
-    ranks[counted["cell"].to_numpy()] = 1024 * np.log2(1.0 + counted["n"].to_numpy())
-    return ranks
+    ranks = np.zeros(WORD_CELLS + SHINGLE_CELLS, dtype=np.uint16)
+    ranks[counted["cell"].to_numpy()] = np.ceil(1024 * np.log2(1.0 + counted["n"].to_numpy()))
+    return ranks[:WORD_CELLS], ranks[WORD_CELLS:]
 
 
 class Set:
     """A document's shingles in the global order."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray):
+    def __init__(self, words: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]):
         found = shingles(words, WIDTH)
-        own = ranks[(words >> np.uint64(64 - CELLS_LOG)).astype(np.int64)]
-        rarest = own[: len(found)].copy()
+        own = ranks[0][_cells(words, WORD_CELLS)]
+        rarest = np.minimum(own[: len(found)], ranks[1][_cells(found, SHINGLE_CELLS)])
         for k in range(1, min(WIDTH, len(words))):
             np.minimum(rarest, own[k : k + len(found)], out=rarest)
         self.hashes, at = np.unique(found, return_index=True)
@@ -89,7 +95,7 @@ class Set:
         return int(mix(np.array([x]))[0].view(np.int64))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [Set(w, ranks) for w, _, _ in documents_words(batch["text"], True)]
         yield pa.record_batch(
@@ -102,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.R
         )
 
 
-def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # groups of this task, each written once
 
     def out(parts: list) -> pa.RecordBatch:
@@ -140,6 +146,12 @@ def _fits(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
+def _may_link(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Can they, if this is the first shingle they share?  Nothing before it is shared."""
+    need = F.ceil((n_a + n_b) * NUM / (NUM + DEN))
+    return _fits(n_a, n_b) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
+
+
 def _posting_rows(texts: DataFrame, ranks: Broadcast) -> DataFrame:
     """Postings shared by two groups or more: ``token, gid, n, pos, hub``."""
     rows = texts.select("text").mapInArrow(
@@ -150,21 +162,27 @@ def _posting_rows(texts: DataFrame, ranks: Broadcast) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod("gid", salts).cast("int"))
     one = Window.partitionBy("token", "salt")
     rows = rows.withColumns(
-        {"hub": F.min(F.struct("gid", "n")).over(one), "other": F.max("gid").over(one)}
+        {
+            "hub": F.min(F.struct("pos", "n", "gid")).over(one),
+            "low": F.min("gid").over(one),
+            "high": F.max("gid").over(one),
+        }
     )
     return materialise(
-        rows.filter((F.col("hub.gid") != F.col("other")) | (salts > 1)).drop("other"), "jaccard-postings"
+        rows.filter((F.col("low") != F.col("high")) | (salts > 1)).drop("low", "high"), "jaccard-postings"
     )
 
 
 def _star_pairs(postings: DataFrame) -> DataFrame:
     """``g1, g2``: each group with the hub of its posting, and hubs of salts with each other."""
-    inner = postings.filter((F.col("gid") != F.col("hub.gid")) & _fits(F.col("n"), F.col("hub.n"))).select(
-        F.col("hub.gid").alias("g1"), F.col("gid").alias("g2")
-    )
+    inner = postings.filter(
+        (F.col("gid") != F.col("hub.gid"))
+        & _may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
+    ).select(F.col("hub.gid").alias("g1"), F.col("gid").alias("g2"))
     hubs = postings.select("token", "salt", "hub").distinct()
     hubs = hubs.withColumn("top", F.min("hub").over(Window.partitionBy("token"))).filter(
-        (F.col("hub.gid") != F.col("top.gid")) & _fits(F.col("hub.n"), F.col("top.n"))
+        (F.col("hub.gid") != F.col("top.gid"))
+        & _may_link(F.col("hub.n"), F.col("hub.pos"), F.col("top.n"), F.col("top.pos"))
     )
     return inner.union(hubs.select(F.col("top.gid").alias("g1"), F.col("hub.gid").alias("g2"))).distinct()
 
@@ -182,11 +200,9 @@ def _other_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     smaller_first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
     indexed = F.col("a.pos") <= F.col("a.n") - F.ceil(F.col("a.n") * (2 * NUM) / (NUM + DEN))
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * NUM / (NUM + DEN))
-    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    may = _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
     apart = F.col("a.root").isNull() | F.col("b.root").isNull() | (F.col("a.root") != F.col("b.root"))
-    on = (F.col("a.token") == F.col("b.token")) & smaller_first & _fits(F.col("a.n"), F.col("b.n"))
-    pairs = a.join(b, on & indexed & (room >= need) & apart)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller_first & indexed & may & apart)
     return pairs.select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).distinct()
 
 
@@ -232,7 +248,7 @@ class Classes:
 def join_classes(docs: DataFrame) -> Classes:
     """Find the links between the distinct shingle sets of ``docs``."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
-    ranks = docs.sparkSession.sparkContext.broadcast(word_cells(texts))
+    ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(texts))
     documents = materialise(
         texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, n long, cid binary, gid long"),
         "jaccard-documents",
