@@ -161,3 +161,36 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.jaccard import components_of
 
     return components_of(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_phrase_dedup",
+    r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), windows AS (
+      SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+    ), firsts AS (
+      SELECT k, min(doc_id) AS owner FROM windows GROUP BY k HAVING min(doc_id) <> max(doc_id)
+    ), gone AS (
+      SELECT DISTINCT doc_id, i + j AS pos
+      FROM windows JOIN firsts USING (k), (SELECT unnest(range(0, 13)) AS j) WHERE doc_id > owner
+    ), words AS (
+      SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w
+    ), kept AS (
+      SELECT words.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed,
+             coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (gone.pos IS NULL), '') AS kept
+      FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id
+    )
+    SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
+)
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.phrases import cut_phrases
+
+    return cut_phrases(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
