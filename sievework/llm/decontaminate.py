@@ -158,21 +158,23 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
 _HITS = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,similarity:double>>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, out: str = "leaks") -> DataFrame:
     """``docs`` with ``leaks``: per benchmark item that a window of the text repeats, the best window."""
-    rows = docs.withColumn("leaks", F.array().cast(_HITS))
+    names = ("item_id", "first_word", "n_words", "similarity")
+    rows = docs.withColumn(out, F.array().cast(_HITS))
     for index in _indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
             for batch in batches:
-                known = batch["leaks"].to_pylist()
-                found = [
-                    [*old, *(dict(zip(("item_id", "first_word", "n_words", "similarity"), h, strict=True)) for h in shared.value.matches(w, least))]
-                    for old, (w, _, _) in zip(known, documents_words(batch["text"], True), strict=True)
-                ]
-                at = batch.schema.get_field_index("leaks")
-                yield batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+                found = []
+                texts = documents_words(batch["text"], True)
+                for old, (words, _, _) in zip(batch[out].to_pylist(), texts, strict=True):
+                    new = shared.value.matches(words, least)
+                    found.append([*old, *(dict(zip(names, hit, strict=True)) for hit in new)])
+                at = batch.schema.get_field_index(out)
+                field = batch.schema.field(at)
+                yield batch.set_column(at, field, pa.array(found, field.type))
 
         rows = rows.mapInArrow(search, T.StructType(rows.schema.fields))
     return rows
@@ -180,5 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
     """The documents without a leak, with their columns."""
-    columns = [c for c in docs.columns if c != "leaks"]
-    return leaks(docs.select(*columns), benchmark, least).filter(F.size("leaks") == 0).select(*columns)
+    out = "leaks"
+    while out in docs.columns:
+        out += "_"
+    found = leaks(docs, benchmark, least, out).filter(F.size(out) == 0)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.words import WORD
+from sievework.llm.words import WORD, whole_row
 from sievework.session import materialise
 
 DEPTH = 6
@@ -69,16 +69,19 @@ def drop_recurring(
         .filter("any_drop")
         .select(F.col("_id"), F.col("_text"), F.col("flags.drop").alias("_drop"))
     )
-    split = F.split(F.col("d.text"), "\n")
-    kept = F.when(F.col("f._drop").isNull(), F.col("d.text")).otherwise(
+    text = F.col("d.doc.text")
+    split = F.split(text, "\n")
+    kept = F.when(F.col("f._drop").isNull(), text).otherwise(
         F.array_join(F.filter(split, lambda _, i: ~F.get(F.col("f._drop"), i)), "\n")
     )
-    removed = F.coalesce(F.size(F.filter("f._drop", lambda x: x)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    removed = F.when(F.col("f._drop").isNull(), 0).otherwise(F.size(F.filter("f._drop", lambda x: x)))
+    rows = docs.select(
+        whole_row(docs).alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text")
+    )
     on = (F.col("d._id") == F.col("f._id")) & (F.col("d._text") == F.col("f._text"))
     joined = rows.alias("d").join(flags.alias("f"), on, "left")
     return joined.select(
-        *[kept.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in columns],
-        F.when(F.col("d.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("f._drop").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"),
+        *[kept.alias(c) if c == "text" else F.col(f"d.doc.`{c}`") for c in columns],
+        F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        removed.cast("long").alias("n_removed"),
     )

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.words import word_count
+from sievework.llm.words import whole_row, word_count
 from sievework.session import materialise
 
 _DONE = "array<struct<doc_id:bigint,size:bigint,copies:bigint>>"
@@ -200,8 +200,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
     )
     plan = plan.withColumn("_nth", F.row_number().over(same_id))
-    rows = docs.withColumns(
-        {"_id": F.col("doc_id").cast("long"), "_size": word_count(F.col("text"))}
+    rows = docs.select(
+        whole_row(docs).alias("doc"),
+        F.col("doc_id").cast("long").alias("_id"),
+        word_count(F.col("text")).alias("_size"),
     ).withColumn("_nth", F.row_number().over(same_id))
     on = (
         F.col("d._id").eqNullSafe(F.col("p._id"))
@@ -210,4 +212,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
     taken = rows.alias("d").join(plan.alias("p"), on).filter(F.col("p._copies") > 0)
     kept = [c for c in docs.columns if c != "copies"]
-    return taken.select(*[F.col(f"d.`{c}`") for c in kept], F.col("p._copies").alias("copies"))
+    return taken.select(*[F.col(f"d.doc.`{c}`") for c in kept], F.col("p._copies").alias("copies"))

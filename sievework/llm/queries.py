@@ -194,3 +194,10 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_phrases(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
