@@ -189,20 +189,28 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
 
 def _other_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """``g1, g2`` that may hold a link and are not in one component; ``groups``: ``gid, root``,
-    the root null where a group's classes are in several."""
-    rows = postings.join(groups, "gid")
+    the root null where a group's classes are in several.
+
+    Only the first shingle two groups share can decide, so a pair is not formed at a shingle whose
+    predecessors among the groups' shared shingles are the same: they share that one as well."""
+    own = Window.partitionBy("gid").orderBy("pos")
+    rows = postings.withColumns({"prev": F.lag("token").over(own), "prev_pos": F.lag("pos").over(own)})
+    # Each task that has read a copy of a group wrote the group's postings: one of them is enough.
+    rows = rows.filter(F.col("prev_pos").isNull() | (F.col("prev_pos") < F.col("pos"))).drop("prev_pos")
+    rows = rows.join(groups, "gid")
     spread = (
         rows.groupBy("token")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("root").isNull()).alias("mixed"))
         .filter("low <> high or mixed")
     )
-    rows = rows.join(spread.select("token"), "token").select("token", "gid", "n", "pos", "root")
+    rows = rows.join(spread.select("token"), "token").select("token", "gid", "n", "pos", "prev", "root")
     a, b = rows.alias("a"), rows.alias("b")
     smaller_first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
     indexed = F.col("a.pos") <= F.col("a.n") - F.ceil(F.col("a.n") * (2 * NUM) / (NUM + DEN))
     may = _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+    first = F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True))
     apart = F.col("a.root").isNull() | F.col("b.root").isNull() | (F.col("a.root") != F.col("b.root"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller_first & indexed & may & apart)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller_first & indexed & may & first & apart)
     return pairs.select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).distinct()
 
 
