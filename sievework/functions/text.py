@@ -81,11 +81,14 @@ def nonblank(text: Column) -> Column:
     return text.rlike(pattern(NOT_SPACE))
 
 
+def shortened(text: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters; all of them without a limit."""
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
 def decode_base64_tokens(text: Column) -> Column:
-    """Readable strings hidden in base64 runs, in text order."""
-    tokens = F.slice(
-        F.regexp_extract_all(text, F.lit(lx.BASE64_TOKEN), F.lit(0)), 1, lx.MAX_BASE64_TOKENS
-    )
+    """Readable strings hidden in base64 runs, in text order, however many there are."""
+    tokens = F.regexp_extract_all(text, F.lit(lx.BASE64_TOKEN), F.lit(0))
 
     def body(token: Column) -> Column:
         return F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
@@ -129,8 +132,8 @@ def strip_think(text: Column) -> Column:
     return trim_space(F.regexp_replace(text, r"(?isu)<think>.*?</think>", ""))
 
 
-def clean_cell(cell: Column, limit: int = 256) -> Column:
-    return F.nullif(F.left(trim_space(cell), F.lit(limit)), F.lit(""))
+def clean_cell(cell: Column, limit: int | None = None) -> Column:
+    return F.nullif(shortened(trim_space(cell), limit), F.lit(""))
 
 
 def first_alias(*cells: Column) -> Column:
@@ -182,13 +185,13 @@ def filename_stem(filename: Column) -> Column:
     return F.coalesce(F.nullif(stem, F.lit("")), F.lit("Unnamed candidate"))
 
 
-def safe_title(title: Column) -> Column:
-    return F.left(F.regexp_replace(title, r"[^\p{L}\p{N} _-]", ""), F.lit(60))
+def safe_title(title: Column, limit: int | None = None) -> Column:
+    return shortened(F.regexp_replace(title, r"[^\p{L}\p{N} _-]", ""), limit)
 
 
-def sanitise_filename(name: Column) -> Column:
+def sanitise_filename(name: Column, limit: int | None = None) -> Column:
     base = F.element_at(F.split(name, "/", -1), -1)
-    safe = F.left(F.regexp_replace(base, r"[^\p{L}\p{N}_.\-]", "_"), F.lit(128))
+    safe = shortened(F.regexp_replace(base, r"[^\p{L}\p{N}_.\-]", "_"), limit)
     return F.coalesce(F.nullif(safe, F.lit("")), F.lit("upload"))
 
 

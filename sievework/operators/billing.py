@@ -1,10 +1,7 @@
-"""Quotas, plans, subscription replay and request-rate accounting."""
+"""Quotas, plans and subscription replay."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,67 +234,6 @@ def subscription_state(replayed: DataFrame) -> DataFrame:
         F.coalesce(last("status", change), F.lit("incomplete")).alias("status"),
         last("period_end", change).alias("current_period_end"),
         F.max("created").alias("last_event_at"),
-    )
-
-
-# --------------------------------------------------------------------- request rate
-
-
-def _bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Token bucket over rows sorted by (session key, time); constant memory."""
-    key, tokens, last = None, 0.0, 0
-    for batch in batches:
-        keys = list(
-            zip(batch["route"], batch["identity"], batch["session_us"], strict=True)
-        )
-        times = batch["ts_us"].to_numpy()
-        rates = batch["per_min"].to_numpy()
-        allowed, retry = [], []
-        for this, now, per_min in zip(keys, times, rates, strict=True):
-            if this != key:
-                key, tokens, last = this, float(per_min), now
-            rate = per_min / 60.0
-            tokens = min(float(per_min), tokens + (now - last) / 1e6 * rate)
-            last = now
-            if tokens >= 1:
-                tokens -= 1
-                allowed.append(True)
-                retry.append(0.0)
-            else:
-                allowed.append(False)
-                retry.append((1 - tokens) / rate)
-        yield batch.assign(allowed=allowed, retry_after=retry)[
-            ["request_id", "route", "identity", "allowed", "retry_after"]
-        ]
-
-
-def rate_exceedance(requests: DataFrame, slice_seconds: int = 3600) -> DataFrame:
-    """Which requests a token bucket per (route, identity) would refuse.
-
-    ``requests``: request_id (unique), route, identity, ts, per_min.  A pause of a
-    minute always refills the bucket, so each key is cut at such pauses into
-    independent sessions that spread over tasks.  Rows of a session are read in
-    order as a stream; no group is ever held in memory.
-    """
-    keys = ["route", "identity"]
-    us = requests.withColumn("ts_us", F.unix_micros("ts")).withColumn(
-        "_at", F.struct("ts_us", "request_id")
-    )
-    piece = F.floor(F.col("ts_us") / (slice_seconds * 1_000_000))
-    prior = running_max_before(us, keys, "_at", F.col("ts_us"), "_prev", piece)
-    start = F.when(
-        F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev") >= 60_000_000), F.col("ts_us")
-    )
-    opened = running_max_before(
-        prior.withColumn("_start", start), keys, "_at", F.col("_start"), "_open", piece
-    )
-    sessions = opened.withColumn("session_us", F.coalesce("_start", "_open"))
-    return (
-        sessions.select("request_id", *keys, "session_us", "ts_us", "per_min")
-        .repartition(*keys, "session_us")
-        .sortWithinPartitions(*keys, "session_us", "ts_us", "request_id")
-        .mapInPandas(
-            _bucket,
-            "request_id long, route string, identity string, allowed boolean, retry_after double",
-        )
+        # Nothing but checkouts so far: the status is a placeholder, not an event's.
+        (F.count_if(change) == 0).alias("from_checkout"),
     )

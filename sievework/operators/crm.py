@@ -9,7 +9,8 @@ from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
 from sievework.operators.detect import first_pii
 from sievework.operators.profile import headline
-from sievework.operators.skew import first_per_key, flag_members, rank_top
+from sievework.operators.scope import CELL, summed_for, top_for
+from sievework.operators.skew import first_per_key, flag_members
 
 # ------------------------------------------------------------- filters and lookups
 
@@ -54,9 +55,15 @@ def unread(notifications: DataFrame) -> DataFrame:
     return notifications.filter(F.col("read") == 0)
 
 
-def mark_read(notifications: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def mark_read(
+    notifications: DataFrame, ids: DataFrame | None = None, user: str | None = None, org: str | None = None
+) -> DataFrame:
+    """Listed notifications are read; without a list, all that the principal may see."""
     if ids is None:
-        return notifications.withColumn("read", F.lit(1))
+        mine = F.coalesce(F.col("user_id") == user, F.lit(False))
+        if org:
+            mine = mine | F.coalesce(F.col("org_id") == org, F.lit(False))
+        return notifications.withColumn("read", F.when(mine, 1).otherwise(F.col("read")))
     flagged = flag_members(
         notifications, ids.select("notification_id").distinct(), "notification_id", "_now"
     )
@@ -120,6 +127,7 @@ def pipeline_board(
 ) -> DataFrame:
     """One row per (stage, card); empty stages keep one row without a card.
 
+    ``stages`` holds every job that has cards; ``seed_stages`` gives the others the default ones.
     A placement without a stage of its own job falls into the job's first stage.
     Cards stay as rows: a stage with very many candidates never becomes one cell.
     """
@@ -138,7 +146,11 @@ def pipeline_board(
         .drop("_own", "_first", "job_id")
         .join(people, "candidate_id")
     )
-    return stages.select("job_id", "stage_id", "name", "position").join(cards, "stage_id", "left")
+    # The cards are the large side and stay on the left, where a hot stage can be split.
+    columns = stages.select("stage_id", "job_id", "name", "position")
+    filled = cards.join(columns, "stage_id")
+    empty = columns.join(cards.select("stage_id").distinct(), "stage_id", "left_anti")
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def high_risk_candidates(candidates: DataFrame, scans: DataFrame) -> DataFrame:
@@ -183,9 +195,7 @@ def promote_scans(requests: DataFrame, scans: DataFrame) -> DataFrame:
     match = F.col("match_analysis")
     return joined.select(
         "request_id", "user_id", "org_id", "scan_id",
-        F.left(filled("full_name", tx.filename_stem(F.col("filename"))), F.lit(256)).alias(
-            "full_name"
-        ),
+        filled("full_name", tx.filename_stem(F.col("filename"))).alias("full_name"),
         filled("email", first_pii(F.col("pii_findings"), "email")).alias("email"),
         filled("phone", first_pii(F.col("pii_findings"), "phone")).alias("phone"),
         filled("headline", headline(match["experience_tier"], match["years_experience"])).alias(
@@ -282,32 +292,31 @@ def dashboard_metrics(
     placements: DataFrame,
     shortlist: DataFrame,
     statuses: list[str],
-    key: str = "user_id",
+    principals: DataFrame,
 ) -> DataFrame:
-    """One row per tenant key: totals and breakdowns, zero where a table has no row.
+    """One row per principal: totals and breakdowns of all rows it may see, zero where there are none.
 
-    Each table is reduced to one row per tenant before the small results meet.
+    Each table is aggregated once per (user, organisation); principals sum these cells.
     """
 
-    def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(key, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != key])
-
-    def total(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    def cells(df: DataFrame, prefix: str, column: str | None = None, values=()) -> DataFrame:
+        return df.groupBy(*CELL).agg(
+            *[F.count_if(F.col(column) == v).alias(f"{prefix}_{v}") for v in values],
+            F.count(F.lit(1)).alias(f"{prefix}_total"),
+        )
 
     parts = [
-        prefixed(zero_filled(candidates, [key], "status", statuses), "candidates_"),
-        total(candidates, "candidates_total"),
-        prefixed(zero_filled(jobs, [key], "status", lx.JOB_STATUSES), "jobs_"),
-        total(jobs, "jobs_total"),
-        prefixed(risk_breakdown(scans, key), "risk_"),
-        total(placements, "placements_total"),
-        total(shortlist, "shortlist_total"),
+        cells(candidates, "candidates", "status", statuses),
+        cells(jobs, "jobs", "status", lx.JOB_STATUSES),
+        cells(scans, "risk", "risk_level", ["GREEN", "ORANGE", "RED"]).drop("risk_total"),
+        cells(placements, "placements"),
+        cells(shortlist, "shortlist"),
     ]
-    out = parts[0]
+    every = parts[0]
     for part in parts[1:]:
-        out = out.join(part, key, "full")
-    out = out.na.fill(0)
+        every = every.unionByName(part, allowMissingColumns=True)
+    measures = [c for c in every.columns if c not in CELL]
+    out = summed_for(every.na.fill(0, measures), principals)
     return out.withColumn("open_jobs", F.col("jobs_open"))
 
 
@@ -319,33 +328,49 @@ def outcome_funnel(outcomes: DataFrame, keys: list[str], every: DataFrame | None
     counts = zero_filled(outcomes, keys, "type", lx.OUTCOME_TYPES)
     if every is not None:
         counts = every.select(*keys).distinct().join(counts, keys, "left").na.fill(0)
-    total = sum((F.col(t) for t in lx.OUTCOME_TYPES), F.lit(0))
-    placed = sum((F.col(t) for t in lx.PLACED_TYPES), F.lit(0))
-    return counts.withColumns({"total": total, "success": placed})
+    return counts.withColumns(_funnel_sums())
+
 
+def _funnel_sums() -> dict[str, Column]:
+    return {
+        "total": sum((F.col(t) for t in lx.OUTCOME_TYPES), F.lit(0)),
+        "success": sum((F.col(t) for t in lx.PLACED_TYPES), F.lit(0)),
+    }
 
-def unread_count(notifications: DataFrame, *keys: str) -> DataFrame:
-    return unread(notifications).groupBy(*keys).agg(F.count(F.lit(1)).alias("unread_count"))
+
+def tenant_funnel(outcomes: DataFrame, principals: DataFrame) -> DataFrame:
+    """The funnel of all outcomes a principal may see."""
+    out = summed_for(zero_filled(outcomes, CELL, "type", lx.OUTCOME_TYPES), principals)
+    return out.withColumns(_funnel_sums())
+
+
+def unread_count(notifications: DataFrame, principals: DataFrame) -> DataFrame:
+    """True number of unread notifications per principal, zero included."""
+    cells = unread(notifications).groupBy(*CELL).agg(F.count(F.lit(1)).alias("unread_count"))
+    return summed_for(cells, principals)
 
 
 def today_queue(
-    candidates: DataFrame, scans: DataFrame, jobs: DataFrame, placements: DataFrame, k: int = 10
+    candidates: DataFrame,
+    scans: DataFrame,
+    jobs: DataFrame,
+    placements: DataFrame,
+    principals: DataFrame,
+    k: int = 10,
 ) -> DataFrame:
-    """Per user: new candidates, high-risk candidates, open jobs without anyone.
+    """Per principal: new candidates, high-risk candidates, open jobs without anyone.
 
-    Long form, one row per listed item; every row carries its list's true count.
+    Long form, one row per listed item, with its list's true count; an empty list keeps one row
+    without an item and with count 0.
     """
 
     def listed(df: DataFrame, name: str, item: str, label: str) -> DataFrame:
-        rows = df.select(
-            "user_id", F.lit(name).alias("queue"), F.col(item).alias("item_id"),
+        return df.select(
+            *CELL, F.lit(name).alias("queue"), F.col(item).alias("item_id"),
             F.col(label).alias("label"), "created_at",
         )
-        counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("queue_count"))
-        top = rank_top(rows, ["user_id"], [F.desc("created_at"), "item_id"], k)
-        return top.join(counts, "user_id").drop("created_at")
 
-    return (
+    rows = (
         listed(by_status(candidates, "new"), "new_candidates", "candidate_id", "full_name")
         .unionByName(
             listed(
@@ -353,11 +378,23 @@ def today_queue(
             )
         )
         .unionByName(
-            listed(
-                open_jobs_without_candidates(jobs, placements), "open_jobs", "job_id", "title"
-            )
+            listed(open_jobs_without_candidates(jobs, placements), "open_jobs", "job_id", "title")
         )
     )
+    queues = F.array(*[F.lit(q) for q in ("new_candidates", "high_risk", "open_jobs")])
+    every = principals.select("p_user", "p_org", F.explode(queues).alias("queue"))
+    cells = rows.groupBy(*CELL, "queue").agg(F.count(F.lit(1)).alias("queue_count"))
+    counts = summed_for(cells, every, ["queue"])
+    top = top_for(rows, principals, [F.desc("created_at"), F.asc("item_id")], k, ["queue"]).select(
+        F.col("p_user").alias("_u"), F.col("p_org").alias("_o"), F.col("queue").alias("_q"),
+        "item_id", "label", "rank",
+    )
+    on = (
+        (F.col("p_user") == F.col("_u"))
+        & F.col("p_org").eqNullSafe(F.col("_o"))
+        & (F.col("queue") == F.col("_q"))
+    )
+    return counts.join(top, on, "left").drop("_u", "_o", "_q")
 
 
 def corpus_findings_summary(scans: DataFrame) -> DataFrame:
@@ -398,12 +435,15 @@ def newest_first(df: DataFrame, key: str, ts: str = "created_at") -> DataFrame:
     return df.orderBy(F.desc(ts), key)
 
 
-def notification_page(notifications: DataFrame, size: int = 50) -> DataFrame:
-    return notifications.orderBy("read", F.desc("created_at"), "notification_id").limit(size)
+def notification_page(notifications: DataFrame, principals: DataFrame, size: int = 50) -> DataFrame:
+    """First page of each principal: unread first, then newest."""
+    order = [F.asc("read"), F.desc("created_at"), F.asc("notification_id")]
+    return top_for(notifications, principals, order, size)
 
 
-def audit_page(audit: DataFrame, size: int = 200) -> DataFrame:
-    return audit.orderBy(F.desc("created_at"), "audit_id").limit(size)
+def audit_page(audit: DataFrame, principals: DataFrame, size: int = 200) -> DataFrame:
+    """First page of each principal: newest first."""
+    return top_for(audit, principals, [F.desc("created_at"), F.asc("audit_id")], size)
 
 
 def seed_stages(jobs: DataFrame, stages: DataFrame) -> DataFrame:

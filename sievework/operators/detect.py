@@ -61,7 +61,7 @@ def base64_injections(decoded: str, normalised: str) -> Column:
     parts = [
         f"transform(regexp_extract_all(norm, {rx.literal(regex)}, 0), m -> named_struct("
         f"'pattern_id', '{family}', 'matched_text', concat('[base64] ', m), "
-        "'context', concat('Decoded from base64: ', left(plain, 80))))"
+        "'context', concat('Decoded from base64: ', plain)))"
         for family, regex in rx.INJECTIONS
     ]
     inside = (

@@ -8,50 +8,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
+from sievework.operators.scope import CELL
 from sievework.operators.skew import first_per_key, flag_members
 
-CANDIDATE_ALIASES = {
-    "full_name": (["full_name", "name", "candidate"], 256),
-    "email": (["email"], 256),
-    "phone": (["phone", "phone_number"], 64),
-    "headline": (["headline", "title", "role"], 256),
-    "location": (["location", "city"], 128),
-}
-JOB_ALIASES = {
-    "title": (["title", "job_title", "role"], 256),
-    "client_name": (["client_name", "client"], 256),
-    "location": (["location"], 128),
-}
-SKILL_ALIASES = ["required_skills", "skills"]
-
-
-def _cleaned(rows: DataFrame, aliases: dict) -> dict[str, Column]:
-    def pick(names: list[str], limit: int) -> Column:
+def _cleaned(
+    rows: DataFrame, aliases: dict[str, list[str]], widths: dict[str, int] | None
+) -> dict[str, Column]:
+    """Whole cells; a caller with fixed column widths passes them by target column."""
+
+    def pick(target: str, names: list[str]) -> Column:
         present = [F.col(n) for n in names if n in rows.columns]
         if not present:
             return F.lit(None).cast("string")
-        return tx.clean_cell(tx.first_alias(*present), limit)
+        return tx.clean_cell(tx.first_alias(*present), (widths or {}).get(target))
 
-    return {target: pick(names, limit) for target, (names, limit) in aliases.items()}
+    return {target: pick(target, names) for target, names in aliases.items()}
 
 
-def clean_candidates(rows: DataFrame, keep: list[str]) -> DataFrame:
-    return rows.select(
-        *keep, *[c.alias(n) for n, c in _cleaned(rows, CANDIDATE_ALIASES).items()]
-    )
+def clean_candidates(
+    rows: DataFrame, keep: list[str], widths: dict[str, int] | None = None
+) -> DataFrame:
+    cleaned = _cleaned(rows, lx.CANDIDATE_ALIASES, widths)
+    return rows.select(*keep, *[c.alias(n) for n, c in cleaned.items()])
 
 
-def clean_jobs(rows: DataFrame, keep: list[str]) -> DataFrame:
-    present = [F.col(n) for n in SKILL_ALIASES if n in rows.columns]
+def clean_jobs(rows: DataFrame, keep: list[str], widths: dict[str, int] | None = None) -> DataFrame:
+    present = [F.col(n) for n in lx.SKILL_ALIASES if n in rows.columns]
     raw = F.coalesce(tx.first_alias(*present), F.lit("")) if present else F.lit("")
-    skills = F.slice(
-        F.transform(tx.split_skills(raw), lambda s: F.left(s, F.lit(64))), 1, 50
-    )
     return rows.select(
         *keep,
-        *[c.alias(n) for n, c in _cleaned(rows, JOB_ALIASES).items()],
-        skills.alias("required_skills"),
+        *[c.alias(n) for n, c in _cleaned(rows, lx.JOB_ALIASES, widths).items()],
+        tx.split_skills(raw).alias("required_skills"),
     )
 
 
@@ -60,13 +49,16 @@ def _disposition(
 ) -> DataFrame:
     """created / skipped / invalid per row.
 
+    A row is a duplicate if its keys exist among what its principal may see (rows of its user, or
+    of its organisation), or earlier in the same principal's import.
+
     The winner of each key is its lowest ``row_no``; rows meet the winners again
     through ``row_no``, which is unique, so a key shared by very many rows is no
     hot spot.
     """
-    firsts = first_per_key(cleaned.filter(usable & keyed), keys, "row_no").join(
-        existing.select(*keys).distinct(), keys, "left_anti"
-    )
+    firsts = first_per_key(cleaned.filter(usable & keyed), [*CELL, *keys], "row_no")
+    for owner in CELL:
+        firsts = firsts.join(existing.select(owner, *keys).distinct(), [owner, *keys], "left_anti")
     flagged = flag_members(cleaned, firsts, "row_no", "_first")
     return flagged.withColumn(
         "disposition",
@@ -76,32 +68,32 @@ def _disposition(
     ).drop("_first")
 
 
-def plan_candidates(rows: DataFrame, existing: DataFrame, tenant: str = "user_id") -> DataFrame:
-    """``rows``: tenant, row_no and string cells; ``existing``: candidates with email."""
-    cleaned = clean_candidates(rows, [tenant, "row_no"]).withColumn("_key", F.lower("email"))
+def plan_candidates(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """``rows``: user_id, org_id, row_no and string cells; ``existing``: candidates with email."""
+    cleaned = clean_candidates(rows, [*CELL, "row_no"]).withColumn("_key", F.lower("email"))
     have = existing.filter(F.coalesce(F.col("email"), F.lit("")) != "").select(
-        tenant, F.lower("email").alias("_key")
+        *CELL, F.lower("email").alias("_key")
     )
     plan = _disposition(
-        cleaned, [tenant, "_key"], have, F.col("full_name").isNotNull(), F.col("_key").isNotNull()
+        cleaned, ["_key"], have, F.col("full_name").isNotNull(), F.col("_key").isNotNull()
     )
     return plan.drop("_key")
 
 
-def plan_jobs(rows: DataFrame, existing: DataFrame, tenant: str = "user_id") -> DataFrame:
-    cleaned = clean_jobs(rows, [tenant, "row_no"]).withColumns(
+def plan_jobs(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    cleaned = clean_jobs(rows, [*CELL, "row_no"]).withColumns(
         {
             "_title": F.lower("title"),
             "_client": F.lower(F.coalesce("client_name", F.lit(""))),
         }
     )
     have = existing.select(
-        tenant,
+        *CELL,
         F.lower("title").alias("_title"),
         F.lower(F.coalesce("client_name", F.lit(""))).alias("_client"),
     )
     plan = _disposition(
-        cleaned, [tenant, "_title", "_client"], have, F.col("title").isNotNull(), F.lit(True)
+        cleaned, ["_title", "_client"], have, F.col("title").isNotNull(), F.lit(True)
     )
     return plan.drop("_title", "_client")
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
 from sievework.operators.profile import STRINGS, flat_skills
+from sievework.operators.scope import visible_to
 from sievework.operators.skew import rank_top
 
 
@@ -106,22 +107,6 @@ def jd_match_corpus(cvs: DataFrame, jds: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------- tenant scope
-
-
-def visible_to(rows: DataFrame, principals: DataFrame, user: str, org: str) -> DataFrame:
-    """Rows each principal may see: its own, or those of its organisation.
-
-    An OR join would be a nested loop; the two cases are disjoint equi-joins.
-    ``principals`` carries ``p_user, p_org`` and any further columns.
-    """
-    own = principals.join(rows, F.col("p_user") == F.col(user))
-    shared = principals.join(rows, F.col("p_org") == F.col(org)).filter(
-        ~F.col(user).eqNullSafe(F.col("p_user"))
-    )
-    return own.unionByName(shared)
-
-
 # --------------------------------------------------------------------- auto-match
 
 
@@ -162,6 +147,19 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     ``jobs``: ``job_id, user_id, org_id, required_skills``;
     ``candidates``: ``candidate_id, user_id, org_id, full_name, skills`` (skill map).
     """
+    job_rows, people, scores = _scored(jobs, candidates)
+    wanted = _scoped(job_rows.join(scores, "_req_key").withColumnRenamed("user_id", "p_user"), "p_user")
+    offered = _scoped(people.withColumnRenamed("user_id", "c_user"), "c_user")
+    return (
+        wanted.join(offered, ["_skill_key", "_scope", "_by_org"])
+        # A pair that meets through its user is not listed again through its organisation.
+        .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user")))
+        .select("job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills")
+    )
+
+
+def _scored(jobs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs with ``_req_key``, people with ``_skill_key``, and the scores of their distinct pairs."""
     job_rows = _required(jobs).select("job_id", "user_id", "org_id", "_req_key")
     people = candidates.select(
         "candidate_id", "full_name", "user_id", "org_id",
@@ -170,14 +168,51 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     scores = score_profiles(
         _sets(job_rows, "_req_key", "_req"), _sets(people, "_skill_key", "_skills")
     )
-    wanted = _scoped(job_rows.join(scores, "_req_key").withColumnRenamed("user_id", "p_user"), "p_user")
-    offered = _scoped(people.withColumnRenamed("user_id", "c_user"), "c_user")
-    return (
-        wanted.join(offered, ["_skill_key", "_scope", "_by_org"])
-        # A pair that meets through its user is not listed again through its organisation.
-        .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user")))
-        .select("job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills")
+    return job_rows, people, scores
+
+
+def best_matches(jobs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` candidates per job, found before any pair is formed.
+
+    People of one tenant cell with the same skill set differ only by name, so ``k`` of them are
+    enough.  Per principal and requirement list, cells are ranked by score and taken until ``k``
+    people are surely better than the rest; only these meet, and only ``k`` rows meet the jobs.
+    """
+    job_rows, people, scores = _scored(jobs, candidates)
+    cell = ["user_id", "org_id", "_skill_key"]
+    few = rank_top(people, cell, [F.lower("full_name"), F.asc("candidate_id")], k).drop("rank")
+    sizes = few.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = job_rows.select(
+        F.col("user_id").alias("p_user"), F.col("org_id").alias("p_org"), "_req_key"
+    ).distinct()
+    principals = wanted.select("p_user", "p_org").distinct()
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    seen = visible_to(sizes, principals, "user_id", "org_id").withColumnsRenamed(
+        {"p_user": "_u", "p_org": "_o"}
+    )
+    value = F.col("score") * 1000 + F.size("matched_skills")
+    better = (
+        Window.partitionBy("p_user", "p_org", "_req_key")
+        .orderBy(F.desc("_value"))
+        .rangeBetween(Window.unboundedPreceding, -1)
     )
+    chosen = (
+        wanted.join(seen, (F.col("p_user") == F.col("_u")) & same("p_org", "_o"))
+        .drop("_u", "_o")
+        .join(scores, ["_req_key", "_skill_key"])
+        .withColumn("_value", value)
+        .withColumn("_ahead", F.coalesce(F.sum("_n").over(better), F.lit(0)))
+        .filter(F.col("_ahead") < k)
+        .drop("_n", "_value", "_ahead")
+    )
+    there = few.withColumnsRenamed({"user_id": "_u", "org_id": "_o", "_skill_key": "_s"})
+    on = (F.col("user_id") == F.col("_u")) & same("org_id", "_o") & (F.col("_skill_key") == F.col("_s"))
+    ranked = rank_top(
+        chosen.join(there, on), ["p_user", "p_org", "_req_key"], match_order(), k
+    ).select("p_user", "p_org", F.col("_req_key").alias("_r"), "candidate_id", "full_name", "score",
+             "matched_skills", "missing_skills", "rank")
+    at = (F.col("user_id") == F.col("p_user")) & same("org_id", "p_org") & (F.col("_req_key") == F.col("_r"))
+    return job_rows.join(ranked, at).drop("p_user", "p_org", "_r", "_req_key", "user_id", "org_id")
 
 
 _SEP = "\x1f"
@@ -214,17 +249,20 @@ def rank_matches(matches: DataFrame, k: int | None = None) -> DataFrame:
 # ------------------------------------------------------------------- talent search
 
 
-def talent_search(
-    queries: DataFrame, candidates: DataFrame, scope: tuple[str, str] | None = None
-) -> DataFrame:
-    """Share of a query's distinct terms found in skills, headline or name.
+def talent_search(queries: DataFrame, candidates: DataFrame, k: int | None = None) -> DataFrame:
+    """Share of a query's distinct terms found in skills, headline or name, within tenant scope.
 
-    ``queries``: ``query_id, query`` (with ``user_id, org_id`` when scoped);
-    ``candidates``: ``candidate_id, full_name, headline, skills``.
+    ``queries``: ``query_id, query, user_id, org_id``; ``candidates``: ``candidate_id, full_name,
+    headline, skills, user_id, org_id``.  Each list of terms is scored once per principal; with ``k``,
+    the best ``k`` are kept before they meet the queries.
     """
-    terms = queries.withColumn("_terms", F.array_distinct(tx.search_tokens(F.col("query"))))
-    wanted = terms.select(
-        "query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("token")
+    asked = queries.select(
+        "query_id", F.col("user_id").alias("q_user"), "org_id",
+        F.array_sort(F.array_distinct(tx.search_tokens(F.col("query")))).alias("_terms"),
+    ).withColumn("_org", F.coalesce("org_id", F.lit("")))
+    lists = asked.select("q_user", "org_id", "_org", "_terms").distinct()
+    wanted = _scoped(lists, "q_user").select(
+        "q_user", "_org", "_terms", "_scope", "_by_org", F.explode("_terms").alias("token")
     )
     skills = flat_skills(F.col("skills"))
     tokens = reduce(
@@ -237,22 +275,27 @@ def talent_search(
         ],
     )
     # array_union already makes tokens distinct within a candidate: no shuffle for that.
-    index = candidates.select("candidate_id", F.explode(tokens).alias("token"))
+    offered = _scoped(
+        candidates.select(
+            "candidate_id", F.col("user_id").alias("c_user"), "org_id", F.explode(tokens).alias("token")
+        ),
+        "c_user",
+    )
     hits = (
-        wanted.join(index, "token")
-        .groupBy("query_id", "candidate_id")
-        .agg(F.count(F.lit(1)).alias("_hits"), F.first("_n").alias("_n"))
-        .withColumn("score", F.bround(100 * F.col("_hits") / F.col("_n")).cast("int"))
-        .drop("_hits", "_n")
+        wanted.join(offered, ["token", "_scope", "_by_org"])
+        .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("q_user")))
+        .groupBy("q_user", "_org", "_terms", "candidate_id")
+        .agg(F.count(F.lit(1)).alias("_hits"))
+        .withColumn("score", F.bround(100 * F.col("_hits") / F.size("_terms")).cast("int"))
+        .drop("_hits")
+        .join(candidates.select("candidate_id", "full_name", "headline"), "candidate_id")
     )
-    return hits.join(candidates.select("candidate_id", "full_name", "headline"), "candidate_id")
+    if k is not None:
+        hits = rank_top(hits, ["q_user", "_org", "_terms"], search_order(), k)
+    return asked.select("query_id", "q_user", "_org", "_terms").join(
+        hits, ["q_user", "_org", "_terms"]
+    ).drop("q_user", "_org", "_terms")
 
 
 def search_order() -> list[Column]:
     return [F.desc("score"), F.lower("full_name"), "candidate_id"]
-
-
-def rank_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
-    if k is None:
-        return hits.orderBy("query_id", *search_order())
-    return rank_top(hits, ["query_id"], search_order(), k)

@@ -31,11 +31,11 @@ def recommended_step(green: Column, red: Column) -> Column:
 
 
 def summarise_notes(notes: DataFrame, text: str = "notes") -> DataFrame:
-    """Add ``green_flags``, ``red_flags`` (at most eight each) and ``recommended_step``."""
+    """Add ``green_flags``, ``red_flags`` (every such sentence) and ``recommended_step``."""
 
     def of_sign(sign: int) -> Column:
         picked = F.filter("_scored", lambda s: s["signal"] == sign)
-        return F.slice(F.transform(picked, lambda s: s["sentence"]), 1, lx.MAX_NOTE_FLAGS)
+        return F.transform(picked, lambda s: s["sentence"])
 
     flagged = (
         notes.withColumn(

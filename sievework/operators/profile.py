@@ -162,7 +162,7 @@ def education_section(text: Column) -> Column:
     start = F.array_position(
         F.transform(stripped, lambda s: rx.matches(s, lx.EDUCATION_HEADER, True)), True
     )
-    body = F.slice(lines, start.cast("int") + 1, F.lit(lx.EDUCATION_SECTION_LINES))
+    body = F.slice(lines, start.cast("int") + 1, F.size(lines))
     stop = F.array_position(
         F.transform(body, lambda s: rx.matches(tx.trim_space(s), lx.OTHER_HEADER, True)), True
     ).cast("int")
@@ -211,21 +211,29 @@ def raw_claims(text: str, lowered: str) -> Column:
     return F.transform(F.concat(*found), tx.trim_space)
 
 
-def first_claims(claims: Column) -> Column:
-    """First five claims that differ when lower-cased."""
-    return F.aggregate(
-        claims,
-        F.array().cast(STRINGS),
-        lambda kept, c: F.when(
-            (F.size(kept) >= lx.MAX_CLAIMS)
-            | F.exists(kept, lambda k: F.lower(k) == F.lower(c)),
-            kept,
-        ).otherwise(F.concat(kept, F.array(c))),
+def ordered_claims(claims: Column) -> Column:
+    """Claims with their lower-cased form and place, sorted by both."""
+    return F.array_sort(
+        F.transform(
+            claims,
+            lambda c, i: F.struct(F.lower(c).alias("low"), i.alias("at"), c.alias("claim")),
+        )
+    )
+
+
+def first_claims(ordered: str) -> Column:
+    """In text order, the claims that differ when lower-cased; linear in their number."""
+    kept = F.filter(
+        ordered, lambda x, i: (i == 0) | (F.get(F.col(ordered), i - 1)["low"] != x["low"])
+    )
+    by_place = F.array_sort(
+        F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["claim"].alias("claim")))
     )
+    return F.transform(by_place, lambda x: x["claim"])
 
 
 def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims") -> DataFrame:
-    """Add up to five verifiable claims; a claim that is itself an injection is dropped."""
+    """Add the verifiable claims; a claim that is itself an injection is dropped."""
     folded = F.transform(F.col("_claim_norm"), tx.fold_lookalikes)
     decoded_folded = F.transform(F.col("_decoded_norm"), tx.fold_lookalikes)
     low = docs.withColumn(
@@ -256,10 +264,11 @@ def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims")
             ),
         )
         .withColumn(
-            out,
-            first_claims(F.filter("_claims", lambda c, i: ~F.get(F.col("_bad"), i))),
+            "_ordered",
+            ordered_claims(F.filter("_claims", lambda c, i: ~F.get(F.col("_bad"), i))),
         )
-        .drop("_claims", "_claim_low", "_stripped", "_tokens", "_claim_norm", "_decoded_norm", "_bad")
+        .withColumn(out, first_claims("_ordered"))
+        .drop("_claims", "_ordered", "_claim_low", "_stripped", "_tokens", "_claim_norm", "_decoded_norm", "_bad")
     )
     return fence(kept, [out])
 

@@ -8,6 +8,8 @@ carried back into the chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ def running_max_before(
     """Largest ``value`` among the key's earlier rows; null for the first.
 
     ``chunk`` must not decrease with ``order`` and bounds the rows one task sees.
-    ``order`` must be unique within a key.
+    ``order`` must be unique within a key.  Null keys form a key of their own; rows whose chunk is
+    null come first, in a chunk of their own.
     """
     marked = df.withColumns({"_chunk": chunk, "_value": value})
     by_chunk = (
@@ -36,10 +39,17 @@ def running_max_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = marked.withColumn("_local", F.max("_value").over(inside))
+    right = carried.select(
+        *[F.col(k).alias(f"_r{i}") for i, k in enumerate([*keys, "_chunk"])], "_carry"
+    )
+    on = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate([*keys, "_chunk"])],
+    )
     return (
-        local.join(carried, [*keys, "_chunk"])
+        local.join(right, on)
         .withColumn(out, F.greatest("_local", "_carry"))
-        .drop("_chunk", "_value", "_local", "_carry")
+        .drop("_chunk", "_value", "_local", "_carry", *[f"_r{i}" for i in range(len(keys) + 1)])
     )
 
 

@@ -213,11 +213,25 @@ def job_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("item_id")
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), pick(F.col("item_id"), SEARCHES).alias("query")
+        k.alias("query_id"), pick(k, SEARCHES).alias("query"),
+        user_of(k).alias("user_id"), org_of(k).alias("org_id"),
     )
 
 
+def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone who owns a job, as (user, organisation), and one newcomer without rows."""
+    k = F.col("p_partkey")
+    owners = table(spark, sf_dir, "part").select(
+        user_of(k).alias("p_user"), org_of(k).alias("p_org")
+    ).distinct()
+    newcomer = owners.limit(1).select(
+        F.lit("nobody").alias("p_user"), F.lit(None).cast("string").alias("p_org")
+    )
+    return owners.union(newcomer)
+
+
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to four stages for three jobs in four; stage ids are job * 10 + n."""
     n = F.pmod(F.col("job_id"), F.lit(4)).cast("int")
@@ -318,6 +332,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("notification_id"),
         user_of(F.col("user_id")).alias("user_id"),
+        org_of(F.col("user_id")).alias("org_id"),
         F.lit("info").alias("type"),
         F.concat(F.lit("Error for "), F.col("user_id").cast("string")).alias("title"),
         (F.col("event_id") % 2).cast("int").alias("read"),
@@ -386,20 +401,6 @@ def billing_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_payload(table(spark, sf_dir, "events"))
 
 
-def with_request_columns(events: DataFrame) -> DataFrame:
-    """A month of events squeezed into twelve minutes, so that buckets do run dry."""
-    start = F.unix_micros(F.to_timestamp(F.lit(BASE)))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    squeezed = F.timestamp_micros(start + F.floor((at - start) / 3600).cast("long"))
-    return events.select(
-        F.col("event_id").alias("request_id"),
-        F.concat(F.lit("/"), F.col("event_type")).alias("route"),
-        F.concat(F.lit("user:"), (F.col("user_id") % 10).cast("string")).alias("identity"),
-        squeezed.alias("ts"),
-        F.lit(5).alias("per_min"),
-    )
-
-
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.col("job_id")
     made = jobs(spark, sf_dir).withColumn("_days", F.when(j % 3 != 0, (j % 30 + 1).cast("int")))

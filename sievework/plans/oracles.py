@@ -198,7 +198,7 @@ EDU = f"""lined AS MATERIALIZED (
 bodies AS MATERIALIZED (
   SELECT doc_id, text, h, body, list_position(list_transform(body,
          lambda l: regexp_matches(trim(l), {ci(lx.OTHER_HEADER)})), true) AS stop
-  FROM (SELECT *, CASE WHEN h > 0 THEN lines[h + 1 : h + 60] END AS body FROM lined)),
+  FROM (SELECT *, CASE WHEN h > 0 THEN lines[h + 1 :] END AS body FROM lined)),
 edu AS MATERIALIZED (
   SELECT doc_id, section, CASE {_EDU_CASES} ELSE 'Not specified' END AS level FROM (
     SELECT doc_id, section, coalesce(section, text) AS scope FROM (
@@ -214,7 +214,7 @@ claims AS MATERIALIZED (
   SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY prio, i) AS pos FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY prio, i) AS dup FROM (
       SELECT doc_id, prio, i, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS c FROM rawclaims)
-    WHERE NOT regexp_matches(c, {q(ANY_INJ)})) WHERE dup = 1 QUALIFY pos <= 5)"""
+    WHERE NOT regexp_matches(c, {q(ANY_INJ)})) WHERE dup = 1)"""
 WORDS = r"len(regexp_extract_all(text, '\S+'))"
 _COMP = {
     label: (
@@ -277,16 +277,26 @@ SHORT = f"""shortl AS MATERIALIZED (
          {org_of('job_id')} AS org_id, {minutes('row_no % 7000')} AS created_at FROM prs)"""
 OUTCOMES = f"""outc AS MATERIALIZED (
   SELECT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS outcome_id, l_partkey AS job_id,
-         o_custkey AS candidate_id, {user_of('l_partkey')} AS user_id,
+         o_custkey AS candidate_id, {user_of('l_partkey')} AS user_id, {org_of('l_partkey')} AS org_id,
          CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'interviewed' WHEN 'AO' THEN 'offered'
               WHEN 'NF' THEN 'hired' WHEN 'NO' THEN 'rejected' WHEN 'RF' THEN 'withdrawn'
               ELSE 'placed' END AS type, l_shipdate AS occurred_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 NOTIF = f"""notif AS MATERIALIZED (
-  SELECT event_id AS notification_id, {user_of('user_id')} AS user_id,
+  SELECT event_id AS notification_id, {user_of('user_id')} AS user_id, {org_of('user_id')} AS org_id,
          'Error for ' || CAST(user_id AS VARCHAR) AS title,
          CAST(event_id % 2 AS INTEGER) AS "read", ts AS created_at
   FROM events WHERE event_type = 'error')"""
+PRINCIPALS = f"""ps AS MATERIALIZED (
+  SELECT DISTINCT {user_of('p_partkey')} AS u, {org_of('p_partkey')} AS g FROM part
+  UNION ALL SELECT 'nobody', NULL)"""
+
+
+def seen(table: str, alias: str) -> str:
+    """Principals with every row they may see, and one empty row where they see none."""
+    return f"ps LEFT JOIN {table} {alias} ON {alias}.user_id = ps.u OR {alias}.org_id = ps.g"
+
+
 USAGE = """usage AS MATERIALIZED (
   SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts,
          CASE WHEN event_type = 'view' THEN 'scan' ELSE 'assessment' END AS kind

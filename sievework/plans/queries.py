@@ -97,13 +97,13 @@ def triage_files(spark, sf):
         "page_id", name.alias("filename"), body.cast("binary").alias("content"),
         kind.alias("content_type"),
     )
-    return files.triage_files(uploads).select("page_id", "status", "safe_name")
+    return files.triage_files(uploads, max_bytes=lx.MAX_UPLOAD_BYTES).select("page_id", "status", "safe_name")
 
 
 @register(
     "sanitise_filename",
-    r"""SELECT page_id, coalesce(nullif(left(regexp_replace(
-        list_extract(string_split(url, '/'), -1), '[^\p{L}\p{N}_.\-]', '_', 'g'), 128), ''),
+    r"""SELECT page_id, coalesce(nullif(regexp_replace(
+        list_extract(string_split(url, '/'), -1), '[^\p{L}\p{N}_.\-]', '_', 'g'), ''),
         'upload') AS safe_name FROM pages""",
 )
 def sanitise_filename(spark, sf):
@@ -129,10 +129,15 @@ def decode_text(spark, sf):
     )
 
 
-@register("cap_text", "SELECT doc_id, least(len(text), 2000000) AS n FROM documents")
+@register(
+    "cap_text",
+    "SELECT doc_id, least(len(text), 500) AS n, len(text) AS whole FROM documents",
+)
 def cap_text(spark, sf):
+    """The operator is a cap: a caller's width on one side, no width on the other."""
     return ds.table(spark, sf, "documents").select(
-        "doc_id", F.length(files.cap_text(F.col("text"))).cast("long").alias("n")
+        "doc_id", F.length(files.cap_text(F.col("text"), 500)).cast("long").alias("n"),
+        F.length(files.cap_text(F.col("text"))).cast("long").alias("whole"),
     )
 
 
@@ -291,8 +296,10 @@ text_query(
 )
 text_query(
     "strip_think",
-    lambda t: tx.strip_think(F.concat(F.lit(" <THINK>\n"), t, F.lit("</think> ok "))),
-    "'ok'",
+    lambda t: tx.strip_think(
+        F.concat(F.lit(" <THINK>\n"), t, F.lit("</think> ok <think>"), t, F.lit("</Think>"), t)
+    ),
+    "regexp_replace('ok ' || text, '\s+$', '')",
 )
 text_query(
     "word_count", lambda t: tx.word_count(t).cast("string"),
@@ -383,7 +390,7 @@ def split_join_skills(spark, sf):
     "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'there' ELSE "
     "string_split(p_name, ' ')[1] END AS first_name, CASE WHEN p_partkey % 5 = 0 THEN "
     "'Unnamed candidate' ELSE p_name || '.v1' END AS stem, "
-    "left(regexp_replace(p_brand || ': ' || p_name, '[^A-Za-z0-9 _-]', '', 'g'), 60) AS safe_title "
+    "regexp_replace(p_brand || ': ' || p_name, '[^A-Za-z0-9 _-]', '', 'g') AS safe_title "
     "FROM part",
 )
 def names_and_titles(spark, sf):
@@ -510,7 +517,7 @@ def scan_injections(spark, sf):
 @register(
     "scan_base64_injections",
     f"WITH {o.B64_CTES} SELECT doc_id, kind AS pattern_id, '[base64] ' || m AS matched_text, "
-    "'Decoded from base64: ' || left(decoded, 80) AS context FROM b64inj",
+    "'Decoded from base64: ' || decoded AS context FROM b64inj",
 )
 def scan_base64_injections(spark, sf):
     docs = detect.normalise(ds.documents(spark, sf))
@@ -1046,8 +1053,10 @@ def sentence_signal(spark, sf):
 @register(
     "summarise_notes",
     f"WITH {_SIGNS}, flags AS (SELECT conv_id, turn, "
-    "least(8, count(*) FILTER (g > r)) AS ng, least(8, count(*) FILTER (r > g)) AS nr "
-    "FROM sents GROUP BY 1, 2) SELECT conv_id, turn, ng, nr, CASE WHEN ng = 0 AND nr = 0 THEN "
+    "count(*) FILTER (g > r) AS ng, count(*) FILTER (r > g) AS nr, "
+    "coalesce(string_agg(s, '|' ORDER BY i) FILTER (g > r), '') AS green, "
+    "coalesce(string_agg(s, '|' ORDER BY i) FILTER (r > g), '') AS red "
+    "FROM sents GROUP BY 1, 2) SELECT conv_id, turn, green, red, CASE WHEN ng = 0 AND nr = 0 THEN "
     f"{o.q(_NS['neutral'])} WHEN nr = 0 THEN {o.q(_NS['strong'])} WHEN ng > nr THEN "
     f"{o.q(_NS['positive'])} WHEN nr > ng THEN {o.q(_NS['negative'])} ELSE {o.q(_NS['mixed'])} END "
     "AS step FROM flags",
@@ -1055,8 +1064,8 @@ def sentence_signal(spark, sf):
 def summarise_notes(spark, sf):
     done = notes.summarise_notes(ds.notes(spark, sf))
     return done.select(
-        "conv_id", "turn", F.size("green_flags").cast("long").alias("ng"),
-        F.size("red_flags").cast("long").alias("nr"), F.col("recommended_step").alias("step"),
+        "conv_id", "turn", joined("green_flags").alias("green"), joined("red_flags").alias("red"),
+        F.col("recommended_step").alias("step"),
     )
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
-from sievework.operators import billing, crm, detect, imports, matching, profile, redact
+from sievework.operators import billing, crm, detect, imports, matching, profile, redact, scope
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
 from sievework.plans.queries import AS_OF_SQL, as_of, joined, register, stamp
 from sievework.session import work_dir
-from sievework.sources import tables
+from sievework.sources import sinks, tables
 from sievework.streaming import streams
 
 EVENTS = (
@@ -112,13 +112,15 @@ def auto_match(spark, sf):
 
 @register(
     "rank_matches",
-    f"{_MATCH} SELECT job_id, candidate_id, score, rank FROM (SELECT *, CAST(row_number() OVER ("
+    f"{_MATCH} SELECT job_id, candidate_id, score, matched, rank FROM (SELECT *, CAST(row_number() OVER ("
     "PARTITION BY job_id ORDER BY score DESC, n_matched DESC, lower(full_name), candidate_id) AS "
     "BIGINT) AS rank FROM matches) WHERE rank <= 5",
 )
 def rank_matches(spark, sf):
-    return matching.rank_matches(_matches(spark, sf), 5).select(
-        "job_id", "candidate_id", F.col("score").cast("long"), F.col("rank").cast("long")
+    best = matching.best_matches(ds.jobs(spark, sf), ds.candidates_with_skills(spark, sf), 5)
+    return best.select(
+        "job_id", "candidate_id", F.col("score").cast("long"),
+        joined("matched_skills").alias("matched"), F.col("rank").cast("long"),
     )
 
 
@@ -129,15 +131,16 @@ def _tok(expr: str) -> str:
     )
 
 
-_SEARCH = f"""WITH {o.SKILLS}, {o.CAND}, qs AS (SELECT item_id AS query_id,
-  {_tok(o.pick('item_id', ds.SEARCHES))} AS terms FROM benchmark),
-terms AS (SELECT query_id, len(terms) AS n, unnest(terms) AS token FROM qs),
+_SEARCH = f"""WITH {o.SKILLS}, {o.CAND}, qs AS (SELECT item_id AS query_id, {o.user_of('item_id')} AS u,
+  {o.org_of('item_id')} AS g, {_tok(o.pick('item_id', ds.SEARCHES))} AS terms FROM benchmark),
+terms AS (SELECT query_id, u, g, len(terms) AS n, unnest(terms) AS token FROM qs),
 idx AS MATERIALIZED (SELECT candidate_id, lower(skill) AS token FROM cand JOIN dskills ON scan_id = doc_id
   UNION SELECT candidate_id, unnest({_tok('skill')}) FROM cand JOIN dskills ON scan_id = doc_id
   UNION SELECT candidate_id, unnest({_tok("coalesce(headline, '')")}) FROM cand
   UNION SELECT candidate_id, unnest({_tok('full_name')}) FROM cand),
 hits AS (SELECT query_id, candidate_id, CAST(round_even(100.0 * count(*) / max(n), 0) AS BIGINT) AS score
-FROM terms JOIN idx USING (token) GROUP BY 1, 2)"""
+FROM terms JOIN idx USING (token) JOIN cand c USING (candidate_id)
+WHERE c.user_id = terms.u OR c.org_id = terms.g GROUP BY 1, 2)"""
 
 
 @register("talent_search", f"{_SEARCH} SELECT query_id, candidate_id, score FROM hits")
@@ -153,8 +156,8 @@ def talent_search(spark, sf):
     "FROM hits JOIN cand USING (candidate_id)) WHERE rank <= 10",
 )
 def rank_hits(spark, sf):
-    hits = matching.talent_search(ds.searches(spark, sf), ds.candidates_with_skills(spark, sf))
-    return matching.rank_hits(hits, 10).select(
+    hits = matching.talent_search(ds.searches(spark, sf), ds.candidates_with_skills(spark, sf), 10)
+    return hits.select(
         "query_id", F.col("rank").cast("long"), "candidate_id", F.col("score").cast("long")
     )
 
@@ -190,7 +193,7 @@ _RISKY = f"WITH {o.SCAN_CTES}, {o.CAND}"
     "LEFT JOIN scan s ON c.scan_id = s.doc_id",
 )
 def candidates_with_risk(spark, sf):
-    return crm.candidates_with_risk(ds.candidates(spark, sf), ds.scans(spark, sf)).select(
+    return crm.candidates_with_risk(ds.candidates(spark, sf), ds.stored_scans(spark, sf)).select(
         "candidate_id", "risk_level", F.col("risk_score").cast("string")
     )
 
@@ -203,24 +206,36 @@ def candidates_with_risk(spark, sf):
 )
 def shortlist_cards(spark, sf):
     cards = crm.shortlist_cards(
-        ds.shortlist(spark, sf), ds.candidates(spark, sf), ds.scans(spark, sf)
+        ds.shortlist(spark, sf), ds.candidates(spark, sf), ds.stored_scans(spark, sf)
     )
     return cards.select("entry_id", "job_id", "candidate_id", "full_name", "status", "risk_level")
 
 
+_BOARD_STAGES = (
+    f"{o.STAGES}, full_stages AS (SELECT stage_id, job_id, name, position FROM stages UNION ALL "
+    f"SELECT job_id * 10 + n - 1, job_id, {o.arr(lx.DEFAULT_STAGES)}[n], CAST(n - 1 AS INTEGER) FROM jobs, "
+    "(VALUES (1), (2), (3), (4), (5)) v(n) WHERE job_id NOT IN (SELECT job_id FROM stages))"
+)
+
+
 @register(
     "pipeline_board",
-    f"{_RISKY}, {o.STAGES}, {o.PLACE}, firsts AS (SELECT job_id, first(stage_id ORDER BY position, "
-    "stage_id) AS first_id FROM stages GROUP BY 1), cards AS (SELECT coalesce(own.stage_id, f.first_id) "
+    f"{_RISKY}, {_BOARD_STAGES}, {o.PLACE}, firsts AS (SELECT job_id, first(stage_id ORDER BY position, "
+    "stage_id) AS first_id FROM full_stages GROUP BY 1), cards AS (SELECT coalesce(own.stage_id, f.first_id) "
     "AS stage_id, p.placement_id, c.full_name, s.risk_level FROM place p JOIN firsts f USING (job_id) "
-    "LEFT JOIN stages own ON own.stage_id = p.stage_id AND own.job_id = p.job_id "
+    "LEFT JOIN full_stages own ON own.stage_id = p.stage_id AND own.job_id = p.job_id "
     "JOIN cand c USING (candidate_id) LEFT JOIN scan s ON c.scan_id = s.doc_id) "
     "SELECT job_id, stage_id, name, position, CAST(placement_id AS VARCHAR) AS placement_id, full_name, "
-    "risk_level FROM stages LEFT JOIN cards USING (stage_id)",
+    "risk_level FROM full_stages LEFT JOIN cards USING (stage_id)",
 )
 def pipeline_board(spark, sf):
+    stages = ds.stages(spark, sf)
+    seeded = crm.seed_stages(ds.jobs(spark, sf), stages).withColumn(
+        "stage_id", F.col("job_id") * 10 + F.col("position")
+    )
     board = crm.pipeline_board(
-        ds.stages(spark, sf), ds.placements(spark, sf), ds.candidates(spark, sf), ds.scans(spark, sf)
+        stages.unionByName(seeded.select(*stages.columns)),
+        ds.placements(spark, sf), ds.candidates(spark, sf), ds.stored_scans(spark, sf),
     )
     return board.select(
         "job_id", "stage_id", "name", "position", F.col("placement_id").cast("string"),
@@ -234,7 +249,7 @@ def pipeline_board(spark, sf):
     "ON c.scan_id = s.doc_id WHERE risk_level = 'RED'",
 )
 def high_risk_candidates(spark, sf):
-    return crm.high_risk_candidates(ds.candidates(spark, sf), ds.scans(spark, sf)).select(
+    return crm.high_risk_candidates(ds.candidates(spark, sf), ds.stored_scans(spark, sf)).select(
         "candidate_id", "full_name", F.col("risk_score").cast("long")
     )
 
@@ -242,22 +257,27 @@ def high_risk_candidates(spark, sf):
 @register(
     "open_jobs_without_candidates",
     f"WITH {o.JOBS}, {o.PLACE} SELECT job_id, title FROM jobs WHERE status = 'open' AND job_id NOT IN "
-    "(SELECT job_id FROM place WHERE placement_id % 40 = 0)",
+    "(SELECT job_id FROM place)",
 )
 def open_jobs_without_candidates(spark, sf):
-    sparse = ds.placements(spark, sf).filter(F.col("placement_id") % 40 == 0)
-    return crm.open_jobs_without_candidates(ds.jobs(spark, sf), sparse).select("job_id", "title")
+    return crm.open_jobs_without_candidates(ds.jobs(spark, sf), ds.placements(spark, sf)).select(
+        "job_id", "title"
+    )
 
 
 @register(
     "available_candidates",
-    f"WITH {o.PAIRS} SELECT DISTINCT r.job_id, r.candidate_id FROM reqs r WHERE NOT EXISTS (SELECT 1 "
-    "FROM prs p WHERE p.job_id = r.job_id AND p.candidate_id = r.candidate_id AND p.row_no % 2 = 0)",
+    f"WITH {o.PAIRS}, {o.JOBS} SELECT j.job_id, c.c_custkey AS candidate_id FROM jobs j JOIN customer c "
+    "ON c.c_custkey % 25 = j.job_id % 25 WHERE NOT EXISTS (SELECT 1 FROM prs p WHERE p.job_id = j.job_id "
+    "AND p.candidate_id = c.c_custkey)",
 )
 def available_candidates(spark, sf):
-    taken = ds.pairs(spark, sf).filter(F.col("row_no") % 2 == 0)
-    wanted = ds.pairs(spark, sf).select("job_id", "candidate_id")
-    return crm.available_candidates(wanted, taken)
+    """Offers of every candidate to a fixed share of the jobs, minus those already placed."""
+    slot = lambda df, key: df.select(key, (F.col(key) % 25).alias("slot"))
+    wanted = slot(ds.jobs(spark, sf), "job_id").join(
+        slot(ds.candidates(spark, sf), "candidate_id"), "slot"
+    ).select("job_id", "candidate_id")
+    return crm.available_candidates(wanted, ds.pairs(spark, sf))
 
 
 @register(
@@ -309,7 +329,7 @@ def detect_and_analyse(docs):
 def public_share_view(spark, sf):
     view = crm.public_share_view(
         ds.shares(spark, sf), ds.jobs(spark, sf), ds.shortlist(spark, sf),
-        ds.candidates(spark, sf), ds.scans(spark, sf), as_of(),
+        ds.candidates(spark, sf), ds.stored_scans(spark, sf), as_of(),
     )
     return view.select("token", "job_title", "full_name", "risk_level")
 
@@ -388,7 +408,7 @@ def visible_to_many(spark, sf):
     who = ds.jobs(spark, sf).select(
         F.col("user_id").alias("p_user"), F.col("org_id").alias("p_org")
     ).distinct()
-    seen = matching.visible_to(ds.candidates(spark, sf), who, "user_id", "org_id")
+    seen = scope.visible_to(ds.candidates(spark, sf), who, "user_id", "org_id")
     return seen.groupBy("p_user", F.coalesce("p_org", F.lit("")).alias("p_org")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -519,23 +539,35 @@ _STATUS = ", ".join(
 _JSTATUS = ", ".join(f"count(*) FILTER (status = {o.q(s)}) AS jobs_{s}" for s in lx.JOB_STATUSES)
 
 
+_WHO = "u AS p_user, coalesce(g, '') AS p_org"
+
+
+def _named(df):
+    return df.withColumn("p_org", F.coalesce("p_org", F.lit("")))
+
+
 @register(
     "dashboard_metrics",
-    f"{_RISKY}, {o.JOBS}, {o.PLACE}, {o.SHORT}, "
-    f"a AS (SELECT user_id, {_STATUS}, count(*) AS candidates_total FROM cand GROUP BY 1), "
-    f"b AS (SELECT user_id, {_JSTATUS}, count(*) AS jobs_total FROM jobs GROUP BY 1), "
-    "r AS (SELECT user_id, count(*) FILTER (risk_level = 'GREEN') AS risk_GREEN, "
+    f"{_RISKY}, {o.JOBS}, {o.PLACE}, {o.SHORT}, {o.PRINCIPALS}, "
+    f"a AS (SELECT {_WHO}, {_STATUS}, count(t.candidate_id) AS candidates_total FROM "
+    f"{o.seen('cand', 't')} GROUP BY 1, 2), "
+    f"b AS (SELECT {_WHO}, {_JSTATUS}, count(t.job_id) AS jobs_total FROM {o.seen('jobs', 't')} "
+    "GROUP BY 1, 2), "
+    f"r AS (SELECT {_WHO}, count(*) FILTER (risk_level = 'GREEN') AS risk_GREEN, "
     "count(*) FILTER (risk_level = 'ORANGE') AS risk_ORANGE, "
-    "count(*) FILTER (risk_level = 'RED') AS risk_RED FROM scan GROUP BY 1), "
-    "p AS (SELECT user_id, count(*) AS placements_total FROM place GROUP BY 1), "
-    "s AS (SELECT user_id, count(*) AS shortlist_total FROM shortl GROUP BY 1) "
-    "SELECT *, jobs_open AS open_jobs FROM a JOIN b USING (user_id) JOIN r USING (user_id) "
-    "JOIN p USING (user_id) JOIN s USING (user_id)",
+    f"count(*) FILTER (risk_level = 'RED') AS risk_RED FROM {o.seen('scan', 't')} GROUP BY 1, 2), "
+    f"p AS (SELECT {_WHO}, count(t.job_id) AS placements_total FROM {o.seen('place', 't')} GROUP BY 1, 2), "
+    f"s AS (SELECT {_WHO}, count(t.job_id) AS shortlist_total FROM {o.seen('shortl', 't')} GROUP BY 1, 2) "
+    "SELECT *, jobs_open AS open_jobs FROM a JOIN b USING (p_user, p_org) JOIN r USING (p_user, p_org) "
+    "JOIN p USING (p_user, p_org) JOIN s USING (p_user, p_org)",
 )
 def dashboard_metrics(spark, sf):
-    return crm.dashboard_metrics(
-        ds.candidates(spark, sf), ds.jobs(spark, sf), ds.scans(spark, sf),
-        ds.placements(spark, sf), ds.shortlist(spark, sf), ds.CANDIDATE_STATUSES,
+    return _named(
+        crm.dashboard_metrics(
+            ds.candidates(spark, sf), ds.jobs(spark, sf), ds.stored_scans(spark, sf),
+            ds.placements(spark, sf), ds.shortlist(spark, sf), ds.CANDIDATE_STATUSES,
+            ds.principals(spark, sf),
+        )
     )
 
 
@@ -563,9 +595,9 @@ def outcome_funnel_by_job(spark, sf):
     )
 
 
-def _funnel_out(df, key):
+def _funnel_out(df, *keys):
     return df.select(
-        key,
+        *keys,
         *[F.col(t).cast("long").alias(f"n_{t}") for t in lx.OUTCOME_TYPES],
         F.col("total").cast("long"),
         F.col("success").cast("long"),
@@ -584,29 +616,41 @@ def outcome_funnel_by_user(spark, sf):
     return _funnel_out(crm.outcome_funnel(ds.outcomes(spark, sf), ["user_id"]), "user_id")
 
 
+@register(
+    "tenant_funnel",
+    f"WITH {o.OUTCOMES}, {o.PRINCIPALS} SELECT {_WHO}, "
+    + ", ".join(f"count(*) FILTER (t.type = {o.q(t)}) AS n_{t}" for t in lx.OUTCOME_TYPES)
+    + ", count(t.type) AS total, count(*) FILTER (t.type IN ('hired', 'placed')) AS success FROM "
+    + o.seen("outc", "t") + " GROUP BY 1, 2",
+)
+def tenant_funnel(spark, sf):
+    out = _named(crm.tenant_funnel(ds.outcomes(spark, sf), ds.principals(spark, sf)))
+    return _funnel_out(out, "p_user", "p_org")
+
+
 @register(
     "unread_count",
-    f"WITH {o.NOTIF} SELECT user_id, count(*) AS unread_count FROM notif WHERE \"read\" = 0 GROUP BY 1",
+    f"WITH {o.NOTIF}, {o.PRINCIPALS} SELECT {_WHO}, count(*) FILTER (t.\"read\" = 0) AS unread_count FROM "
+    f"{o.seen('notif', 't')} GROUP BY 1, 2",
 )
 def unread_count(spark, sf):
-    return crm.unread_count(ds.notifications(spark, sf), "user_id")
+    return _named(crm.unread_count(ds.notifications(spark, sf), ds.principals(spark, sf)))
 
 
 def _queue_sql(name: str, source: str, item: str, label: str) -> str:
     return (
-        f"SELECT * FROM (SELECT user_id, '{name}' AS queue, {item} AS item_id, {label} AS label, "
-        "CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, "
-        f"{item}) AS BIGINT) AS rank, count(*) OVER (PARTITION BY user_id) AS queue_count FROM {source}) "
-        "WHERE rank <= 10"
+        f"SELECT * FROM (SELECT {_WHO}, '{name}' AS queue, t.{item} AS item_id, t.{label} AS label, "
+        f"CASE WHEN t.{item} IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY u, g ORDER BY "
+        f"t.created_at DESC, t.{item}) AS BIGINT) END AS rank, count(t.{item}) OVER (PARTITION BY u, g) "
+        f"AS queue_count FROM {o.seen(source, 't')}) WHERE rank <= 10 OR rank IS NULL"
     )
 
 
 @register(
     "today_queue",
-    f"{_RISKY}, {o.JOBS}, {o.PLACE}, n AS (SELECT * FROM cand WHERE status = 'new'), "
+    f"{_RISKY}, {o.JOBS}, {o.PLACE}, {o.PRINCIPALS}, n AS (SELECT * FROM cand WHERE status = 'new'), "
     "h AS (SELECT c.* FROM cand c JOIN scan s ON c.scan_id = s.doc_id WHERE s.risk_level = 'RED'), "
-    "e AS (SELECT * FROM jobs WHERE status = 'open' AND job_id NOT IN (SELECT job_id FROM place WHERE "
-    "placement_id % 40 = 0)) "
+    "e AS (SELECT * FROM jobs WHERE status = 'open' AND job_id NOT IN (SELECT job_id FROM place)) "
     + " UNION ALL ".join(
         [
             _queue_sql("new_candidates", "n", "candidate_id", "full_name"),
@@ -616,11 +660,11 @@ def _queue_sql(name: str, source: str, item: str, label: str) -> str:
     ),
 )
 def today_queue(spark, sf):
-    sparse = ds.placements(spark, sf).filter(F.col("placement_id") % 40 == 0)
     out = crm.today_queue(
-        ds.candidates(spark, sf), ds.stored_scans(spark, sf), ds.jobs(spark, sf), sparse
+        ds.candidates(spark, sf), ds.stored_scans(spark, sf), ds.jobs(spark, sf),
+        ds.placements(spark, sf), ds.principals(spark, sf),
     )
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    return _named(out).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(
@@ -652,22 +696,42 @@ def quota_percent(spark, sf):
 
 @register(
     "notification_page",
-    f"WITH {o.NOTIF} SELECT notification_id, \"read\" AS read_now FROM notif ORDER BY \"read\", "
-    "created_at DESC, notification_id LIMIT 50",
+    f"WITH {o.NOTIF}, {o.PRINCIPALS} SELECT {_WHO}, notification_id, \"read\" AS read_now, "
+    "CAST(row_number() OVER (PARTITION BY u, g ORDER BY \"read\", created_at DESC, notification_id) AS "
+    f"BIGINT) AS rank FROM {o.seen('notif', 't')} WHERE notification_id IS NOT NULL QUALIFY rank <= 50",
 )
 def notification_page(spark, sf):
-    return crm.notification_page(ds.notifications(spark, sf)).select(
-        "notification_id", F.col("read").alias("read_now")
+    page = crm.notification_page(ds.notifications(spark, sf), ds.principals(spark, sf))
+    return _named(page).select(
+        "p_user", "p_org", "notification_id", F.col("read").alias("read_now"),
+        F.col("rank").cast("long"),
     )
 
 
+_AUDIT = (
+    f"{o.CAND}, {o.JOBS}, audit AS (SELECT user_id, org_id, 'c' || CAST(candidate_id AS VARCHAR) AS audit_id, "
+    "'Candidate ''' || full_name || ''' added (manual).' AS summary, created_at FROM cand UNION ALL "
+    "SELECT user_id, org_id, 'j' || CAST(job_id AS VARCHAR), 'Shortlist share link created for ''' || "
+    "title || '''.', created_at FROM jobs)"
+)
+
+
 @register(
     "audit_page",
-    f"WITH {o.JOBS} SELECT job_id AS audit_id FROM jobs ORDER BY created_at DESC, job_id LIMIT 200",
+    f"WITH {_AUDIT}, {o.PRINCIPALS} SELECT {_WHO}, audit_id, summary, CAST(row_number() OVER (PARTITION BY "
+    f"u, g ORDER BY created_at DESC, audit_id) AS BIGINT) AS rank FROM {o.seen('audit', 't')} "
+    "WHERE audit_id IS NOT NULL QUALIFY rank <= 200",
 )
 def audit_page(spark, sf):
-    rows = ds.jobs(spark, sf).withColumnRenamed("job_id", "audit_id")
-    return crm.audit_page(rows).select("audit_id")
+    people, jobs = ds.candidates(spark, sf), ds.jobs(spark, sf)
+    log = sinks.audit_rows(
+        people, "candidate.created", F.concat(F.lit("c"), F.col("candidate_id")), F.col("full_name"),
+        F.lit("manual"),
+    ).unionByName(
+        sinks.audit_rows(jobs, "share.created", F.concat(F.lit("j"), F.col("job_id")), F.col("title"))
+    )
+    page = crm.audit_page(log.withColumnRenamed("entity_id", "audit_id"), ds.principals(spark, sf))
+    return _named(page).select("p_user", "p_org", "audit_id", "summary", F.col("rank").cast("long"))
 
 
 @register(
@@ -728,13 +792,14 @@ def unique_pair(spark, sf):
 # ================================================================ imports
 
 _IMPORT = f"""WITH {o.CAND}, rows AS (
-  SELECT o_orderkey AS row_no, {o.user_of('o_custkey')} AS user_id,
+  SELECT o_orderkey AS row_no, {o.user_of('o_custkey')} AS user_id, {o.org_of('o_orderkey')} AS org_id,
          CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'P ' || CAST(o_custkey AS VARCHAR) END AS name,
          CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'hot@example.org' ELSE
            lower('CUST' || CAST(o_custkey % 700 AS VARCHAR) || '@example.org') END AS email FROM orders),
 plan AS (SELECT row_no, user_id, CASE WHEN name = '' THEN 'invalid' WHEN email = '' THEN 'created'
-  WHEN EXISTS (SELECT 1 FROM cand c WHERE c.user_id = rows.user_id AND lower(c.email) = rows.email)
-    OR row_number() OVER (PARTITION BY user_id, email, name = '' ORDER BY row_no) > 1 THEN 'skipped'
+  WHEN EXISTS (SELECT 1 FROM cand c WHERE (c.user_id = rows.user_id OR c.org_id = rows.org_id)
+      AND lower(c.email) = rows.email)
+    OR row_number() OVER (PARTITION BY user_id, org_id, email, name = '' ORDER BY row_no) > 1 THEN 'skipped'
   ELSE 'created' END AS disposition FROM rows)"""
 
 
@@ -748,6 +813,7 @@ def _candidate_plan(spark, sf):
     rows = ds.table(spark, sf, "orders").select(
         k.alias("row_no"),
         ds.user_of(c).alias("user_id"),
+        ds.org_of(k).alias("org_id"),
         F.lit("").alias("full_name"),
         F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit(" P "), c.cast("string"))).alias("name"),
         email.alias("email"),
@@ -774,18 +840,20 @@ def import_counts(spark, sf):
 @register(
     "import_jobs_plan",
     f"WITH {o.JOBS}, rows AS (SELECT p_partkey AS row_no, {o.user_of('p_size')} AS user_id, "
+    f"{o.org_of('p_partkey + 1')} AS org_id, "
     "CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 10 <> 0 THEN "
     "p_brand ELSE '' END AS client FROM part) SELECT row_no, CASE WHEN title = '' THEN 'invalid' WHEN "
-    "EXISTS (SELECT 1 FROM jobs j WHERE j.user_id = rows.user_id AND lower(j.title) = lower(rows.title) "
-    "AND lower(coalesce(j.client_name, '')) = lower(client)) OR row_number() OVER (PARTITION BY user_id, "
+    "EXISTS (SELECT 1 FROM jobs j WHERE (j.user_id = rows.user_id OR j.org_id = rows.org_id) AND lower(j.title) = lower(rows.title) "
+    "AND lower(coalesce(j.client_name, '')) = lower(client)) OR row_number() OVER (PARTITION BY user_id, org_id, "
     "lower(title), lower(client) ORDER BY row_no) > 1 THEN 'skipped' ELSE 'created' END AS disposition, "
-    "CAST(CASE WHEN row_no % 2 = 0 THEN 50 ELSE 2 END AS INTEGER) AS n_skills FROM rows",
+    "CAST(CASE WHEN row_no % 2 = 0 THEN 60 ELSE 2 END AS INTEGER) AS n_skills FROM rows",
 )
 def import_jobs_plan(spark, sf):
     k = F.col("p_partkey")
     rows = ds.table(spark, sf, "part").select(
         k.alias("row_no"),
         ds.user_of(F.col("p_size")).alias("user_id"),
+        ds.org_of(k + 1).alias("org_id"),
         F.when(k % 17 != 0, F.concat(F.upper("p_name"), F.lit(" "))).alias("job_title"),
         F.when(k % 10 != 0, F.upper("p_brand")).alias("client"),
         F.when(k % 2 == 0, F.repeat(F.lit("sql,"), F.lit(60))).otherwise("python, go,").alias(
@@ -944,12 +1012,6 @@ def subscription_state(spark, sf):
     )
 
 
-@register("rate_exceedance")
-def rate_exceedance(spark, sf):
-    log = ds.with_request_columns(ds.table(spark, sf, "events"))
-    return billing.rate_exceedance(log, 120).select("request_id", "route", "identity", "allowed")
-
-
 # ================================================================ streams
 
 
@@ -1015,10 +1077,3 @@ def stream_subscriptions(spark, sf):
     valid = tables.parse_events(payloads).filter("is_valid")
     state = streams.run_subscription_stream(billing.billing_rows(valid), work_dir(spark, "state"))
     return state.select("scope", "owner", "customer", "subscription_id", "status")
-
-
-@register("stream_rate")
-def stream_rate(spark, sf):
-    log = ds.with_request_columns(event_stream(spark, sf))
-    out = streams.drain_to_files(streams.rate_stream(log), work_dir(spark, "out"))
-    return out.select("request_id", "route", "identity", "allowed")

@@ -29,15 +29,21 @@ def detected_type(content: Column) -> Column:
     )
 
 
-def triage_files(files: DataFrame, content_type: str = "content_type") -> DataFrame:
-    """Add ``safe_name`` and ``status``: ok, unsupported, too_large or type_mismatch."""
+def triage_files(
+    files: DataFrame, content_type: str = "content_type", max_bytes: int | None = None
+) -> DataFrame:
+    """Add ``safe_name`` and ``status``: ok, unsupported, too_large or type_mismatch.
+
+    Only a caller with an upload rule passes ``max_bytes``; without it no file is too large.
+    """
+    too_large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
     name = tx.sanitise_filename(F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.lit("unknown")))
     return files.withColumn("safe_name", name).withColumn(
         "status",
         F.when(
             ~F.coalesce(F.col(content_type).isin(lx.UPLOAD_TYPES), F.lit(False)), "unsupported"
         )
-        .when(F.octet_length("content") > lx.MAX_UPLOAD_BYTES, "too_large")
+        .when(too_large, "too_large")
         .when(
             declared_type(F.col("safe_name")) != detected_type(F.col("content")), "type_mismatch"
         )
@@ -45,8 +51,9 @@ def triage_files(files: DataFrame, content_type: str = "content_type") -> DataFr
     )
 
 
-def cap_text(text: Column) -> Column:
-    return F.left(text, F.lit(lx.MAX_TEXT_CHARS))
+def cap_text(text: Column, limit: int | None = None) -> Column:
+    """For a caller that wants a fixed width; detection always reads the whole text."""
+    return tx.shortened(text, limit)
 
 
 def decode_text(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
-from sievework.functions.text import label_of
+from sievework.functions.text import label_of, shortened
 
 SCAN_COLUMNS = [
     "scan_id", "created_at", "user_id", "org_id", "filename", "risk_level", "risk_score",
@@ -15,17 +15,17 @@ SCAN_COLUMNS = [
 ]
 
 
-def scan_rows(scans: DataFrame) -> DataFrame:
-    """Rows as stored: owner required, texts capped, the original text never kept."""
-    capped = scans.filter(F.col("user_id").isNotNull()).withColumns(
-        {
-            "filename": F.left("filename", F.lit(256)),
-            "safe_copy_text": F.left("safe_copy_text", F.lit(lx.MAX_STORED_CHARS)),
-            "summary": F.left("summary", F.lit(lx.MAX_STORED_CHARS)),
-            "ai_text_score": F.bround("ai_text_score", 3),
-        }
+def scan_rows(scans: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
+    """Rows as stored: owner required, whole texts, the original text never kept.
+
+    ``widths``: characters per column, for a store with fixed column widths.
+    """
+    stored = scans.filter(F.col("user_id").isNotNull()).withColumn(
+        "ai_text_score", F.bround("ai_text_score", 3)
     )
-    return capped.select(*[c for c in SCAN_COLUMNS if c in capped.columns])
+    for column, width in (widths or {}).items():
+        stored = stored.withColumn(column, shortened(F.col(column), width))
+    return stored.select(*[c for c in SCAN_COLUMNS if c in stored.columns])
 
 
 def write_scans(scans: DataFrame, path: str, mode: str = "append") -> None:

@@ -6,22 +6,13 @@ sinks write one folder per batch id and overwrite it when a batch is replayed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievework.functions import lexicon as lx
 from sievework.operators import billing, detect, profile, redact
 from sievework.session import work_dir
 
-ALERT_BODY = (
-    "This candidate's CV scanned as high-risk (hidden instructions or sensitive data). "
-    "Review before using it in any AI tool."
-)
-
 
 # ------------------------------------------------------------------ sources, sinks
 
@@ -106,7 +97,7 @@ def high_risk_alerts(new_candidates: DataFrame, scans: DataFrame) -> DataFrame:
         "org_id",
         F.lit("high_risk").alias("type"),
         F.concat(F.lit("High-risk CV: "), F.col("full_name")).alias("title"),
-        F.lit(ALERT_BODY).alias("body"),
+        F.lit(lx.ALERT_BODY).alias("body"),
         "candidate_id",
         F.lit(0).alias("read"),
         "created_at",
@@ -133,7 +124,7 @@ def _as_history(state: DataFrame) -> DataFrame:
     """A stored state row as an event that precedes the batch."""
     return state.select(
         F.lit(None).cast("string").alias("event_id"),
-        F.when(F.col("status") == "incomplete", lx.CHECKOUT_EVENT)
+        F.when(F.col("from_checkout"), lx.CHECKOUT_EVENT)
         .otherwise(lx.SUBSCRIPTION_EVENTS[0])
         .alias("event_type"),
         F.col("last_event_at").alias("created"),
@@ -153,23 +144,43 @@ def subscription_merge(state: DataFrame | None, rows: DataFrame) -> DataFrame:
     return billing.subscription_state(billing.replay(history))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a state table, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    found = []
+    for entry in store.listStatus(root):
+        folder = entry.getPath()
+        done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+        if folder.getName().startswith("version=") and store.exists(done):
+            found.append(int(folder.getName().removeprefix("version=")))
+    return sorted(found)
+
+
+def _drop_version(spark: SparkSession, path: str, version: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run_subscription_stream(rows: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
     """Fold arriving billing rows into a versioned state table and return its last version.
 
-    Version n depends only on version n-1 and batch n, so a repeated batch writes
-    the same folder again.
+    Version n depends only on version n-1 and batch n, so a repeated batch writes the same folder
+    again.  A version older than the one before is removed.  A restart without new data returns
+    the version that was committed last.
     """
     spark = rows.sparkSession
-    last = {"id": -1}
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        state = None
-        if batch_id > 0:
-            state = spark.read.parquet(f"{path}/version={batch_id - 1}")
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        state = spark.read.parquet(f"{path}/version={before[-1]}") if before else None
         subscription_merge(state, batch).write.mode("overwrite").parquet(
             f"{path}/version={batch_id}"
         )
-        last["id"] = batch_id
+        for version in before[:-1]:
+            _drop_version(spark, path, version)
 
     query = (
         rows.writeStream.foreachBatch(merge)
@@ -179,50 +190,7 @@ def run_subscription_stream(rows: DataFrame, path: str, checkpoint: str | None =
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/version={last['id']}")
-
-
-# ------------------------------------------------------------------ request rate
-
-
-def _consume(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ts_us", "request_id"])
-    tokens, last = state.get if state.exists else (float(rows["per_min"].iloc[0]), None)
-    allowed, retry = [], []
-    for now, per_min in zip(rows["ts_us"].to_numpy(), rows["per_min"].to_numpy(), strict=True):
-        rate = per_min / 60.0
-        waited = 0 if last is None else max(0, int(now) - last)
-        tokens = min(float(per_min), tokens + waited / 1e6 * rate)
-        last = int(now) if last is None else max(last, int(now))
-        ok = tokens >= 1
-        allowed.append(ok)
-        retry.append(0.0 if ok else (1 - tokens) / rate)
-        tokens -= 1 if ok else 0
-    state.update((tokens, last))
-    yield pd.DataFrame(
-        {
-            "request_id": rows["request_id"],
-            "route": key[0],
-            "identity": key[1],
-            "allowed": allowed,
-            "retry_after": retry,
-        }
-    )
-
-
-def rate_stream(requests: DataFrame) -> DataFrame:
-    """Token bucket per (route, identity); the state is two numbers per key."""
-    return (
-        requests.withColumn("ts_us", F.unix_micros("ts"))
-        .select("request_id", "route", "identity", "ts_us", "per_min")
-        .groupBy("route", "identity")
-        .applyInPandasWithState(
-            _consume,
-            "request_id long, route string, identity string, allowed boolean, retry_after double",
-            "tokens double, last_us long",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    committed = _versions(spark, path)
+    if not committed:
+        return subscription_merge(None, spark.createDataFrame([], rows.schema))
+    return spark.read.parquet(f"{path}/version={committed[-1]}")

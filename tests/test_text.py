@@ -53,7 +53,7 @@ def test_nfkc(spark):
 
 def expected_base64(text):
     out = []
-    for m in list(re.finditer(lx.BASE64_TOKEN, text))[: lx.MAX_BASE64_TOKENS]:
+    for m in list(re.finditer(lx.BASE64_TOKEN, text)):
         token = m.group().replace("-", "+").replace("_", "/")
         try:
             raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
