@@ -6,13 +6,16 @@ start somewhere in a document with a smaller ``doc_id``.
 1. *Anchors.*  Every window has an anchor, its 5-gram of smallest hash: equal windows have equal anchors, and
    neighbouring windows mostly share theirs, so a document has one anchor per five words.  Anchors found
    in one document only cannot hold a recurring window; a shuffle of (anchor, document) finds them.
+   A document whose whole word sequence a smaller document has is removed as a whole: a row with the
+   sequence's hash finds it in the same shuffle, and it takes no part in what follows.
 2. *Segments.*  Runs of windows around one recurring anchor go, as words, to the shard of that anchor.  Of
    anchors in more than ``HOT`` documents, windows go one by one, by their own hash; a
    window that the task has already seen in a smaller document is settled there and does not travel.
-3. *Automata.*  A shard confirms which of its windows recur in different documents, compiles
-   these phrases into an Aho-Corasick automaton over words (each word is one symbol), and streams its
-   segments through it: every occurrence behind the first document is a range to remove.  Shards are read as sorted
-   streams and closed at ``SHARD_CHARS``; no group is gathered beyond that and one key.
+3. *Automata.*  Of equal segments only the first enters its shard, the others are settled by it.  A
+   shard confirms which of its windows recur in different documents, compiles these phrases
+   into an Aho-Corasick automaton over words (each word is one symbol), and streams its segments
+   through it: every occurrence behind the first document is a range to remove.  Shards are read as
+   sorted streams and closed at ``SHARD_CHARS``; no group is gathered beyond that and one key.
 4. *Ranges* return to their documents by ``doc_id``.  Texts travel compressed.
 
 Defined cases: null text has no words; documents shorter than a window keep everything; a null
@@ -71,14 +74,37 @@ def _cell(found: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of each document (``mark`` 0), and its whole sequence (``mark`` not 0).
+
+    Of copies within the task, the larger document is known to be one: it writes a pair of rows of
+    its own instead of anchors, so that a large group of copies is not dealt to one task.
+    """
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
-        ids, parts, sizes = batch["id"].to_numpy(), [], []
-        for words, _, _ in documents_words(batch["text"], False):
-            parts.append(np.unique(anchors(words)))
-            sizes.append(len(parts[-1]))
-        if parts:
+        ids = batch["id"].to_pylist()
+        keys, marks, owners = [], [], []
+        for doc, (words, _, _) in zip(ids, documents_words(batch["text"], False), strict=True):
+            if len(words) < WINDOW:
+                continue
+            mark, whole = _mark(words), _whole(words)
+            first = seen.setdefault((int(whole[0]), mark), doc)
+            if first < doc:
+                alone = mix(whole ^ np.uint64(doc & (1 << 63) - 1))
+                keys.append(np.repeat(alone, 2))
+                marks.append(np.array([mark, mark]))
+                owners.append(np.array([first, doc]))
+                continue
+            found = np.unique(anchors(words))
+            keys.append(np.append(found, whole))
+            marks.append(np.append(np.zeros(len(found), dtype=np.int64), mark))
+            owners.append(np.full(len(found) + 1, doc))
+        if keys:
             yield pa.record_batch(
-                {"anchor": np.concatenate(parts).view(np.int64), "id": np.repeat(ids, sizes)}
+                {
+                    "anchor": np.concatenate(keys).view(np.int64),
+                    "mark": np.concatenate(marks).astype(np.int64),
+                    "id": np.concatenate(owners).astype(np.int64),
+                }
             )
 
 
@@ -100,6 +126,17 @@ def _text_key(words: np.ndarray) -> int:
     return int(mixed & np.uint64(0x7FFFFFFF))
 
 
+def _whole(words: np.ndarray) -> np.ndarray:
+    """Hash of the sequence, as an array of one."""
+    placed = words * np.uint64(0xD1342543DE82EF95) + np.arange(1, len(words) + 1, dtype=np.uint64)
+    return mix(mix(placed).sum(dtype=np.uint64, keepdims=True))
+
+
+def _mark(words: np.ndarray) -> int:
+    """Number of words and key of the text: a second hash of a whole sequence, never 0."""
+    return len(words) << 31 | _text_key(words)
+
+
 _SEGMENT = pa.schema(
     [("key", pa.int64()), ("id", pa.int64()), ("tid", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.string())]
 )
@@ -114,12 +151,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = list(_unpacked(batch["packed"]))
         fields = zip(
-            batch["id"].to_pylist(), batch["anchors"], batch["hot"], texts,
+            batch["id"].to_pylist(), batch["anchors"], batch["hot"], batch["copies"].to_pylist(), texts,
             documents_words(pa.array(texts, pa.binary()).cast(pa.string()), False), strict=True,
         )
-        for doc, known, hot, text, (words, starts, ends) in fields:
+        for doc, known, hot, copies, text, (words, starts, ends) in fields:
             own = anchors(words)
-            if known.values is None or not len(own):
+            if not len(own):
+                continue
+            if copies and _mark(words) in copies:
+                rows.append((doc, doc, _text_key(words), 0, len(words), None))
+                continue
+            if not len(known.values):
                 continue
             known = np.sort(known.values.to_numpy(zero_copy_only=False).view(np.uint64))
             found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
@@ -216,6 +258,7 @@ class _Shard:
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("tid", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
     shard, current, out = _Shard(), None, []
+    first: dict[str, int] = {}  # segments of the current key
 
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -226,11 +269,16 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if words is None:
                 out.append((doc, tid, start, stop))
                 continue
-            if key != current and shard.chars > SHARD_CHARS:
-                out.extend(shard.ranges())
-                shard = _Shard()
+            if key != current:
+                first = {}
+                if shard.chars > SHARD_CHARS:
+                    out.extend(shard.ranges())
+                    shard = _Shard()
             current = key
-            shard.add(doc, tid, start, words)
+            if first.setdefault(words, doc) != doc:
+                out.append((doc, tid, start, stop))
+            else:
+                shard.add(doc, tid, start, words)
         if len(out) > 1 << 15:
             yield batch_of(out)
             out = []
@@ -269,23 +317,28 @@ def _recurring(texts: DataFrame) -> DataFrame:
     counted = texts.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     # How many documents an anchor can have is known before its rows are dealt out.
     many = counted.to_pandas().query("n > @SALT_ROWS").assign(salts=lambda x: -(-x["n"] // SALT_ROWS))
-    rows = texts.mapInArrow(_anchor_rows, "anchor long, id long")
+    rows = texts.mapInArrow(_anchor_rows, "anchor long, mark long, id long")
     salts = F.lit(1)
     if len(many):  # at most CELLS rows
         table = texts.sparkSession.createDataFrame(many[["cell", "salts"]], "cell long, salts long")
         rows = rows.withColumn("cell", F.col("anchor").bitwiseAND(CELLS - 1)).join(F.broadcast(table), "cell", "left").drop("cell")
         salts = F.coalesce("salts", F.lit(1))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    one = Window.partitionBy("anchor", "salt")
+    one = Window.partitionBy("anchor", "mark", "salt")
     rows = rows.withColumns(
         {"low": F.min("id").over(one), "high": F.max("id").over(one), "n": F.count("*").over(one)}
     )
-    hot = (salts > 1) | (F.col("n") > HOT)
+    part = F.col("mark") == 0
+    hot = part & ((salts > 1) | (F.col("n") > HOT))
     # A salted anchor counts as recurring: a superset is enough, windows are confirmed later.
     return (
-        rows.filter((F.col("low") != F.col("high")) | (salts > 1))
+        rows.filter((F.col("low") != F.col("high")) | (part & (salts > 1)))
         .groupBy("id")
-        .agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(hot, F.col("anchor"))).alias("hot"))
+        .agg(
+            F.collect_list(F.when(part, F.col("anchor"))).alias("anchors"),
+            F.collect_list(F.when(hot, F.col("anchor"))).alias("hot"),
+            F.collect_list(F.when(~part & (F.col("id") > F.col("low")), F.col("mark"))).alias("copies"),
+        )
     )
 
 
@@ -293,7 +346,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """Ranges of words to remove: ``id, tid, start, stop``, per segment, overlapping where segments do."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
     packed = texts.mapInArrow(_squeeze, "id long, packed binary")
-    candidates = packed.join(_recurring(texts), "id").select("id", "packed", "anchors", "hot")
+    candidates = packed.join(_recurring(texts), "id").select("id", "packed", "anchors", "hot", "copies")
     segments = candidates.sortWithinPartitions("id").mapInArrow(_segments, _SEGMENT_SQL)
     return (
         segments.repartition("key")
