@@ -37,6 +37,8 @@ PLANTED = {
     18: "Senior Java and Kubernetes lead, 12 years experience, 3 years of work. "
     "jane.doe@example.com 021 555 1234",
     19: "Junior developer at Acme, 1 year experience, CI/CD and Google Cloud.",
+    20: "Lives at 12 Long View Road. Visa expires 2027. Licence AB123456.",
+    21: "A chronic condition, sees a doctor yearly; non-smoker.",
 }
 JD_SKILLS = {
     0: "We need Python, React, AWS, Docker and PostgreSQL.",

@@ -167,8 +167,7 @@ def read_import_json(spark, sf):
     ds.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("row_no"), F.col("c_name").alias("name")
     ).write.json(path)
-    schema = "row_no string, name string"
-    return spark.read.schema(schema).json(path)
+    return tables.read_import_json(spark, path, ["row_no", "name"])
 
 
 @register(
@@ -221,11 +220,17 @@ def write_scans(spark, sf):
 
 @register(
     "append_audit",
-    f"WITH {o.JOBS}, {o.CAND} SELECT action, entity_id, summary FROM ("
+    f"WITH {o.JOBS}, {o.CAND}, {o.OUTCOMES} SELECT action, entity_id, summary FROM ("
     "SELECT 'candidate.created' AS action, CAST(candidate_id AS VARCHAR) AS entity_id, "
     "'Candidate ''' || full_name || ''' added (manual).' AS summary FROM cand UNION ALL "
     "SELECT 'share.created', CAST(job_id AS VARCHAR), "
-    "'Shortlist share link created for ''' || title || '''.' FROM jobs)",
+    "'Shortlist share link created for ''' || title || '''.' FROM jobs UNION ALL "
+    "SELECT 'candidates.imported', NULL, 'Imported ' || CAST(count(*) AS VARCHAR) || ' candidate(s).' "
+    "FROM cand GROUP BY user_id, org_id UNION ALL "
+    "SELECT 'jobs.imported', NULL, 'Imported ' || CAST(count(*) AS VARCHAR) || ' job(s).' "
+    "FROM jobs GROUP BY user_id, org_id UNION ALL "
+    "SELECT 'outcome.recorded', CAST(candidate_id AS VARCHAR), c.full_name || ' — ' || o.type || ' on ''' "
+    "|| j.title || '''.' FROM outc o JOIN cand c USING (candidate_id) JOIN jobs j USING (job_id))",
 )
 def append_audit(spark, sf):
     path = work_dir(spark, "audit")
@@ -239,6 +244,25 @@ def append_audit(spark, sf):
     sinks.append_audit(
         sinks.audit_rows(jobs, "share.created", F.col("job_id"), F.col("title")), path
     )
+    for rows, action in ((people, "candidates.imported"), (jobs, "jobs.imported")):
+        imports = rows.groupBy("user_id", "org_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max("created_at").alias("created_at")
+        )
+        nobody = F.lit(None).cast("string")
+        sinks.append_audit(sinks.audit_rows(imports, action, nobody, F.col("n").cast("string")), path)
+    made = (
+        ds.outcomes(spark, sf)
+        .join(people.select("candidate_id", "full_name"), "candidate_id")
+        .join(jobs.select("job_id", "title"), "job_id")
+        .withColumnRenamed("occurred_at", "created_at")
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
+    )
+    sinks.append_audit(
+        sinks.audit_rows(
+            made, "outcome.recorded", F.col("candidate_id"), F.col("full_name"), F.col("type"), F.col("title")
+        ),
+        path,
+    )
     return spark.read.parquet(path).select("action", "entity_id", "summary")
 
 
@@ -661,8 +685,8 @@ _SAFE = f"{o.INJ_CTES}, {_LINES}"
 
 @register(
     "remove_injected_lines",
-    f"WITH {_SAFE} SELECT doc_id, count(*) FILTER (line = {_R}) AS removed, count(*) AS n_lines "
-    "FROM cut GROUP BY 1",
+    f"WITH {_SAFE} SELECT doc_id, count(*) FILTER (line = {_R}) AS removed, count(*) AS n_lines, "
+    "md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM cut GROUP BY 1",
 )
 def remove_injected_lines(spark, sf):
     docs = detect.normalise(ds.documents(spark, sf))
@@ -672,6 +696,7 @@ def remove_injected_lines(spark, sf):
         "doc_id",
         F.size(F.filter("lines", lambda x: x == lx.REMOVED_LINE)).cast("long").alias("removed"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"),
     )
 
 

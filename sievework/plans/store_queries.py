@@ -8,7 +8,7 @@ from sievework.functions import lexicon as lx
 from sievework.operators import billing, crm, detect, imports, matching, profile, redact, scope
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
-from sievework.plans.queries import AS_OF_SQL, as_of, joined, register, stamp
+from sievework.plans.queries import _LINES, _TAGGED, AS_OF_SQL, as_of, joined, register, stamp
 from sievework.session import work_dir
 from sievework.sources import sinks, tables
 from sievework.streaming import streams
@@ -463,11 +463,18 @@ def scan_history(spark, sf):
     return listed.select("scan_id", stamp(F.col("created_at")).alias("created_at"), "risk_level")
 
 
-@register("scan_detail")
+@register(
+    "scan_detail",
+    f"WITH {o.SCAN_CTES}, {_LINES} SELECT s.doc_id, s.risk_level, md5(regexp_replace({_TAGGED}, "
+    "'^\\s+|\\s+$', '', 'g')) AS original FROM scan s JOIN swept USING (doc_id)",
+)
 def scan_detail(spark, sf):
     docs = detect.detect(detect.normalise(ds.documents(spark, sf)))
     kept = redact.add_safe_copy(docs).select("doc_id", "risk_level", "safe_copy_text")
-    return crm.scan_detail(kept)
+    detail = crm.scan_detail(kept)
+    return detail.select(
+        "doc_id", "risk_level", F.md5(F.col("original_text").cast("binary")).alias("original")
+    )
 
 
 @register(

@@ -73,10 +73,16 @@ def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in named.columns]).na.fill("")
 
 
-def read_import_json(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """An array of rows, every field read as a string."""
+def read_import_json(
+    spark: SparkSession, path: str, fields: list[str], array: bool = False
+) -> DataFrame:
+    """Rows of JSON lines, every field read as a string.
+
+    ``array``: each file is one array of rows.  Such a file cannot be split and is read by one task;
+    write large imports as JSON lines.
+    """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=array)
 
 
 def unix_timestamp(value: Column) -> Column:

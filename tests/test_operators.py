@@ -280,7 +280,7 @@ def test_import_files(spark, tmp_path):
     ]
     js = tmp_path / "a.json"
     js.write_text('[{"name": "A", "email": null}, {"name": "B", "x": 1}]')
-    rows = tables.read_import_json(spark, str(js), ["name", "email"]).collect()
+    rows = tables.read_import_json(spark, str(js), ["name", "email"], array=True).collect()
     assert [r.name for r in rows] == ["A", "B"]
 
 
