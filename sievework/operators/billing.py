@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
+from sievework.operators.components import components
 from sievework.operators.skew import first_per_key, flag_members, rank_top, running_max_before
 
 # --------------------------------------------------------------------- quota, plans
@@ -147,46 +151,116 @@ def billing_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def resolve_owner(rows: DataFrame) -> DataFrame:
-    """Add ``resolved`` owner and ``disposition`` (mapped, collision, unmappable).
+STORED = "stored"  # a row of the state table, put before all events
+EARLIER = 1 << 62
+
+
+class _Accounts:
+    """Subscription rows of one component, changed event by event."""
+
+    def __init__(self):
+        self.last: dict[str, int | None] = {}  # owner -> time of the last applied event
+        self.born: dict[str, int] = {}
+        self.customer: dict[str, str | None] = {}
+        self.owners: dict[str, set[str]] = {}  # customer -> owners that hold it
+
+    def put(self, owner: str, customer: str | None) -> None:
+        self.last.setdefault(owner, None)
+        self.born.setdefault(owner, len(self.born))
+        old = self.customer.get(owner)
+        if old != customer:
+            if old is not None:
+                self.owners[old].remove(owner)
+            if customer is not None:
+                self.owners.setdefault(customer, set()).add(owner)
+        self.customer[owner] = customer
+
+    def apply(self, kind, owner, customer, has_status, created) -> tuple[str | None, str, bool]:
+        """Resolved owner, disposition, and whether the event changes the row."""
+        if kind == STORED:
+            self.put(owner, customer)
+            self.last[owner] = created
+            return owner, "mapped", True
+        if kind == lx.CHECKOUT_EVENT:
+            if owner is None or customer is None:
+                return None, "unmappable", False
+            self.put(owner, customer)
+            return owner, "mapped", True
+        holders = self.owners.get(customer, ()) if customer is not None else ()
+        if owner not in self.last and holders:
+            owner = min(holders, key=self.born.__getitem__)  # the oldest account
+        if owner is None or customer is None or not has_status:
+            return None, "unmappable", False
+        if any(h != owner for h in holders):
+            return owner, "collision", False
+        last = self.last.get(owner)
+        if last is not None and created is not None and created <= last:
+            return owner, "mapped", False
+        self.put(owner, customer)
+        if created is not None:
+            self.last[owner] = created
+        return owner, "mapped", True
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (part, arrival_no); the state is that of the current part."""
+    current, accounts = None, _Accounts()
+    for batch in batches:
+        found = []
+        fields = ("part", "event_type", "owner", "customer", "has_status", "created_us")
+        for part, kind, owner, customer, has_status, created in zip(
+            *(batch[c].astype(object).where(batch[c].notna(), None) for c in fields), strict=True
+        ):
+            if part != current:
+                current, accounts = part, _Accounts()
+            found.append(accounts.apply(kind, owner, customer, has_status, created))
+        resolved, disposition, applied = zip(*found, strict=True) if found else ((), (), ())
+        yield pd.DataFrame(
+            {
+                "arrival_no": batch["arrival_no"],
+                "resolved": pd.Series(resolved, dtype=object, index=batch.index),
+                "disposition": pd.Series(disposition, dtype=object, index=batch.index),
+                "applied": pd.Series(applied, dtype=bool, index=batch.index),
+            }
+        )
+
 
-    A customer id belongs to the owner named by its earliest event.  An event that
-    names nobody, or a newcomer, goes to the customer's owner; one that names a
-    different, already known owner is refused.
+def replay(rows: DataFrame) -> DataFrame:
+    """Add ``resolved`` owner, ``disposition`` (mapped, collision, unmappable) and ``applied``.
+
+    An event goes to the owner it names; a newcomer, or nobody, gives way to whoever holds the
+    customer id at that moment.  An event whose customer id another owner holds by then is refused, and
+    one older than what its owner has seen changes nothing.  Customers move between owners with every
+    applied event, so each decision depends on all before it that share an owner or a customer,
+    directly or through others.  These connected parts are found first; every part is read as a
+    stream in arrival order, in memory of its accounts only, and parts spread over the tasks.
     """
-    usable = F.col("customer").isNotNull() & (
-        F.col("status").isNotNull() | (F.col("event_type") == lx.CHECKOUT_EVENT)
-    )
-    named = rows.filter(usable & F.col("owner").isNotNull())
-    owners = named.groupBy("scope", "customer").agg(
-        F.min_by("owner", "arrival_no").alias("_c_owner"), F.min("arrival_no").alias("_c_since")
+    owner_node = F.concat_ws("|", F.lit("o"), "scope", "owner")
+    customer_node = F.concat_ws("|", F.lit("c"), "scope", "customer")
+    nodes = rows.select(
+        F.when(F.col("owner").isNotNull(), owner_node).alias("a"),
+        F.when(F.col("customer").isNotNull(), customer_node).alias("b"),
     )
-    settled = (
-        named.join(owners, ["scope", "customer"])
-        .filter(F.col("owner") == F.col("_c_owner"))
-        .groupBy("scope", "owner")
-        .agg(F.min("arrival_no").alias("_o_since"))
+    roots = components(nodes.filter("a is not null and b is not null").distinct(), "accounts")
+    node = F.coalesce(F.when(F.col("owner").isNotNull(), owner_node), customer_node)
+    keyed = rows.withColumn("node", node).join(roots, "node", "left")
+    ordered = keyed.select(
+        F.coalesce("root", "node").alias("part"), "arrival_no", "event_type", "owner", "customer",
+        F.col("status").isNotNull().alias("has_status"), F.unix_micros("created").alias("created_us"),
     )
-    joined = rows.join(owners, ["scope", "customer"], "left").join(
-        settled, ["scope", "owner"], "left"
-    )
-    prior = F.when(F.col("_c_since") < F.col("arrival_no"), F.col("_c_owner"))
-    known = F.coalesce(F.col("_o_since") < F.col("arrival_no"), F.lit(False))
-    checkout = F.col("event_type") == lx.CHECKOUT_EVENT
-    clash = prior.isNotNull() & (prior != F.col("owner"))
-    resolved = (
-        F.when(checkout, F.col("owner"))
-        .when(F.col("owner").isNull() | (clash & ~known), prior)
-        .otherwise(F.col("owner"))
+    decided = (
+        ordered.repartition("part")
+        .sortWithinPartitions("part", "arrival_no")
+        .mapInPandas(
+            _replay, "arrival_no long, resolved string, disposition string, applied boolean"
+        )
     )
-    return joined.withColumns(
-        {
-            "resolved": resolved,
-            "disposition": F.when(~usable | resolved.isNull(), "unmappable")
-            .when(~checkout & clash & known, "collision")
-            .otherwise("mapped"),
-        }
-    ).drop("_c_owner", "_c_since", "_o_since")
+    return rows.join(decided, "arrival_no")
+
+
+def resolve_owner(rows: DataFrame) -> DataFrame:
+    """Add ``resolved`` owner and ``disposition`` at the moment each event arrives."""
+    return replay(rows).drop("applied")
 
 
 def customer_collisions(rows: DataFrame) -> DataFrame:
@@ -210,20 +284,15 @@ def applied_events(
     ).drop("_seen")
 
 
-def replay(rows: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """Resolve, refuse, and mark the events that apply, in arrival order per owner."""
-    mapped = resolve_owner(rows).filter(F.col("disposition") == "mapped")
-    checkout = F.col("event_type") == lx.CHECKOUT_EVENT
-    # A checkout carries no event time of its own into the row, so it never blocks.
-    timed = mapped.withColumn("created", F.when(~checkout, F.col("created")))
-    return applied_events(timed, ["scope", "resolved"], chunk_rows)
-
-
 def subscription_state(replayed: DataFrame) -> DataFrame:
     """State per owner after the replay, from partial aggregates only."""
     live = replayed.filter("applied")
-    change = F.col("event_type") != lx.CHECKOUT_EVENT
+    # A stored row speaks for the events behind it; while these were checkouts, it has no status.
+    change = ~F.coalesce(
+        (F.col("event_type") == lx.CHECKOUT_EVENT) | F.col("from_checkout"), F.lit(False)
+    ) if "from_checkout" in replayed.columns else F.col("event_type") != lx.CHECKOUT_EVENT
     at = F.col("arrival_no")
+    first = F.when(F.col("event_type") == STORED, at + F.lit(EARLIER)).otherwise(at)
 
     def last(value: str, when: Column) -> Column:
         return F.max_by(value, F.when(when, at))
@@ -233,7 +302,8 @@ def subscription_state(replayed: DataFrame) -> DataFrame:
         last("subscription_id", F.col("subscription_id").isNotNull()).alias("subscription_id"),
         F.coalesce(last("status", change), F.lit("incomplete")).alias("status"),
         last("period_end", change).alias("current_period_end"),
-        F.max("created").alias("last_event_at"),
+        F.max(F.when(change, F.col("created"))).alias("last_event_at"),
         # Nothing but checkouts so far: the status is a placeholder, not an event's.
         (F.count_if(change) == 0).alias("from_checkout"),
+        F.min(first).alias("since"),
     )

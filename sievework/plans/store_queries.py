@@ -1012,7 +1012,7 @@ def applied_events(spark, sf):
 
 @register("subscription_state")
 def subscription_state(spark, sf):
-    state = billing.subscription_state(billing.replay(_billing_rows(spark, sf), 1000))
+    state = billing.subscription_state(billing.replay(_billing_rows(spark, sf)))
     return state.select(
         "scope", "owner", "customer", "subscription_id", "status",
         stamp(F.col("current_period_end")).alias("period_end"),

@@ -121,26 +121,26 @@ def funnel_stream(outcomes: DataFrame, *keys: str) -> DataFrame:
 
 
 def _as_history(state: DataFrame) -> DataFrame:
-    """A stored state row as an event that precedes the batch."""
+    """A stored state row as a row that precedes all events, in order of creation."""
     return state.select(
         F.lit(None).cast("string").alias("event_id"),
-        F.when(F.col("from_checkout"), lx.CHECKOUT_EVENT)
-        .otherwise(lx.SUBSCRIPTION_EVENTS[0])
-        .alias("event_type"),
+        F.lit(billing.STORED).alias("event_type"),
         F.col("last_event_at").alias("created"),
-        F.lit(-1).cast("long").alias("arrival_no"),
+        (F.col("since") - F.lit(billing.EARLIER)).alias("arrival_no"),
         "scope",
         "owner",
         "customer",
         "subscription_id",
         "status",
         F.col("current_period_end").alias("period_end"),
+        "from_checkout",
     )
 
 
 def subscription_merge(state: DataFrame | None, rows: DataFrame) -> DataFrame:
     """One step: stored state and a batch of billing rows to the new state."""
-    history = rows if state is None else _as_history(state).unionByName(rows)
+    events = rows.withColumn("from_checkout", F.lit(False))
+    history = events if state is None else _as_history(state).unionByName(events)
     return billing.subscription_state(billing.replay(history))
 
 
@@ -176,7 +176,13 @@ def run_subscription_stream(rows: DataFrame, path: str, checkpoint: str | None =
     def merge(batch: DataFrame, batch_id: int) -> None:
         before = [v for v in _versions(spark, path) if v < batch_id]
         state = spark.read.parquet(f"{path}/version={before[-1]}") if before else None
-        subscription_merge(state, batch).write.mode("overwrite").parquet(
+        # Each event id once, by its first arrival; ids of every batch stay on record.
+        fresh = billing.dedupe_events(batch)
+        if known := [v for v in _versions(spark, f"{path}-ids") if v < batch_id]:
+            seen = spark.read.parquet(*[f"{path}-ids/version={v}" for v in known])
+            fresh = fresh.join(seen, "event_id", "left_anti")
+        fresh.select("event_id").write.mode("overwrite").parquet(f"{path}-ids/version={batch_id}")
+        subscription_merge(state, fresh.select(*batch.columns)).write.mode("overwrite").parquet(
             f"{path}/version={batch_id}"
         )
         for version in before[:-1]:

@@ -82,7 +82,8 @@ def test_imports_first_wins(spark):
         ],
         "user_id string, row_no int, full_name string, name string, email string",
     )
-    have = spark.createDataFrame([("u", "old@X.com")], "user_id string, email string")
+    rows = rows.withColumn("org_id", F.when(F.col("row_no") == 3, "o"))
+    have = spark.createDataFrame([("u", None, "old@X.com")], "user_id string, org_id string, email string")
     got = {r.row_no: r.disposition for r in imports.plan_candidates(rows, have).collect()}
     assert got == {
         1: "created", 2: "skipped", 3: "created", 4: "invalid", 5: "skipped", 6: "created", 7: "invalid",
@@ -133,9 +134,8 @@ SPEC = [
 def test_subscription_replay_and_stream(spark):
     rows = billing_events(spark, SPEC)
     want = {"ann": ("c1", "s1", "canceled"), "bob": ("c2", "s2", "past_due")}
-    for size in (2, 1000):
-        state = billing.subscription_state(billing.replay(rows, size)).collect()
-        assert {r.owner: (r.customer, r.subscription_id, r.status) for r in state} == want
+    state = billing.subscription_state(billing.replay(rows)).collect()
+    assert {r.owner: (r.customer, r.subscription_id, r.status) for r in state} == want
     who = {r.arrival_no: r.disposition for r in billing.resolve_owner(rows).collect()}
     assert who[6] == "collision" and who[9] == "unmappable"
 
@@ -147,6 +147,85 @@ def test_subscription_replay_and_stream(spark):
     assert {r.owner: (r.customer, r.subscription_id, r.status) for r in out} == want
 
 
+def one_by_one(spec):
+    """The rules written down as a loop over a list of account rows."""
+    accounts, fates = [], []
+    for n, (kind, created, owner, customer, sub, status) in enumerate(spec):
+        own = next((a for a in accounts if owner and a["owner"] == owner), None)
+        if kind == "checkout.session.completed":
+            if not owner or not customer:
+                fates.append("unmappable")
+                continue
+            if own is None:
+                own = {"owner": owner, "status": "incomplete", "sub": None, "last": None}
+                accounts.append(own)
+            own["customer"], own["sub"] = customer, sub or own["sub"]
+            fates.append("mapped")
+            continue
+        if own is None and customer:
+            holders = [a for a in accounts if a["customer"] == customer]
+            own = holders[0] if holders else None  # the oldest account
+            owner = own["owner"] if own else owner
+        if not owner or not customer or not status:
+            fates.append("unmappable")
+        elif any(a["customer"] == customer and a["owner"] != owner for a in accounts):
+            fates.append("collision")
+        else:
+            fates.append("mapped")
+            if own and own["last"] is not None and created is not None and created <= own["last"]:
+                continue
+            if own is None:
+                own = {"owner": owner, "sub": None, "last": None}
+                accounts.append(own)
+            own.update(status=status, sub=sub or own["sub"])
+            own["last"] = own["last"] if created is None else created
+            own["customer"] = customer
+    return {a["owner"]: (a["customer"], a["sub"], a["status"]) for a in accounts}, fates
+
+
+def random_spec(rng, n):
+    kinds = [UP, UP, UP, DOWN, "checkout.session.completed"]
+    out = []
+    for _ in range(n):
+        kind = rng.choice(kinds)
+        out.append((
+            kind, rng.choice([None, *range(30)]), rng.choice([None, *"abcdef"]), rng.choice([None, "c1", "c2", "c3", "c4"]),
+            rng.choice([None, f"s{rng.randrange(9)}"]), None if kind.startswith("check") else rng.choice([None, "active", "incomplete", "canceled"]),
+        ))
+    return out
+
+
+def test_replay_follows_customers_like_a_loop(spark):
+    rng = random.Random(4)
+    moved = [
+        (UP, 1, "a", "c1", "s", "active"), (UP, 2, "a", "c2", "s", "active"),
+        (UP, 3, "b", "c1", "t", "active"), (UP, 4, "c", "c9", "u", "active"), (UP, 5, "c", "c2", "u", "active"),
+    ]
+    for spec in [moved, *(random_spec(rng, 60) for _ in range(6))]:
+        rows = billing_events(spark, spec)
+        want, fates = one_by_one([x for x in spec])
+        done = billing.replay(rows)
+        assert [r.disposition for r in sorted(done.collect(), key=lambda r: r.arrival_no)] == fates
+        state = billing.subscription_state(done).collect()
+        assert {r.owner: (r.customer, r.subscription_id, r.status) for r in state} == want
+
+
+def test_stream_state_equals_batch_state_wherever_it_is_cut(spark):
+    rng = random.Random(8)
+    for _ in range(2):
+        spec = random_spec(rng, 40)
+        rows = billing_events(spark, spec)
+        want, _ = one_by_one(spec)
+        path = work_dir(spark, "arrivals")
+        cuts = [0, *sorted(rng.sample(range(1, 40), 2)), 40]
+        for a, b in zip(cuts, cuts[1:]):
+            part = rows.filter(f"arrival_no >= {a} and arrival_no < {b}")
+            part.coalesce(1).write.mode("append").parquet(path)
+        live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = streams.run_subscription_stream(live, work_dir(spark, "state")).collect()
+        assert {r.owner: (r.customer, r.subscription_id, r.status) for r in out} == want
+
+
 def test_stream_restart_without_data_and_incomplete_status(spark):
     schema = (
         "event_id string, event_type string, created timestamp, arrival_no long, scope string, "
