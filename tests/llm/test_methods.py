@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, exact, graph, jaccard, language, lines, mixing, personal, phrases, quality, words
+from sievework.llm import chat, decontaminate, exact, jaccard, language, lines, mixing, personal, phrases, quality, words
+from sievework.operators.components import components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,7 +118,7 @@ def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
-    found = {r.node: r.root for r in graph.components(df).collect()}
+    found = {r.node: r.root for r in components(df).collect()}
     root = {n: n for e in links for n in e}
     for _ in range(100):
         for a, b in links:
