@@ -49,18 +49,36 @@ _JD_OUT = """CAST(CASE WHEN coalesce(n_jd, 0) < 3 THEN least(coalesce(raw, 0), 6
     CAST(coalesce(ncv.n, 0) - coalesce(n_hit, 0) AS BIGINT) AS bonus"""
 
 
-def _jd_counts(df):
+def _jd_counts(df, *more):
     return df.select(
         "doc_id", "jd_id", F.col("match_score").cast("long"),
         *[F.size(f"{n}_skills").cast("long").alias(n) for n in ("matched", "missing", "bonus")],
+        *more,
     )
 
 
+_JD_LISTS = """lists AS (SELECT w.doc_id, w.jd_id,
+  string_agg(j.skill, '|' ORDER BY j.skill) FILTER (d.skill IS NOT NULL) AS matched_list,
+  string_agg(j.skill, '|' ORDER BY j.skill) FILTER (d.skill IS NULL) AS missing_list
+  FROM wanted w JOIN jskills j USING (jd_id) LEFT JOIN dskills d ON d.doc_id = w.doc_id AND d.skill = j.skill
+  GROUP BY 1, 2),
+extra AS (SELECT w.doc_id, w.jd_id, string_agg(d.skill, '|' ORDER BY d.skill) AS bonus_list FROM wanted w
+  JOIN dskills d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM jskills j WHERE j.jd_id = w.jd_id
+  AND j.skill = d.skill) GROUP BY 1, 2)"""
+_JD_NOTE = (
+    "CASE WHEN coalesce(n_jd, 0) < 3 THEN 'Only ' || CAST(CAST(coalesce(n_jd, 0) AS BIGINT) AS VARCHAR) || "
+    "' recognisable skill' || CASE WHEN coalesce(n_jd, 0) <> 1 THEN 's' ELSE '' END || ' found in the JD — "
+    "score is capped at 60/100 until the JD lists more requirements.' ELSE '' END"
+)
+
+
 @register(
     "jd_match_pairs",
-    f"WITH {o.SKILLS}, {_JD}, wanted AS (SELECT doc_id, doc_id % 40 AS jd_id FROM docs), {_SCORED} "
-    f"SELECT w.doc_id, w.jd_id, {_JD_OUT} FROM wanted w LEFT JOIN scores USING (doc_id, jd_id) "
-    "LEFT JOIN ncv USING (doc_id)",
+    f"WITH {o.SKILLS}, {_JD}, wanted AS (SELECT doc_id, doc_id % 40 AS jd_id FROM docs), {_SCORED}, "
+    f"{_JD_LISTS} SELECT w.doc_id, w.jd_id, {_JD_OUT}, coalesce(matched_list, '') AS matched_list, "
+    "coalesce(missing_list, '') AS missing_list, coalesce(bonus_list, '') AS bonus_list, "
+    f"{_JD_NOTE} AS note FROM wanted w LEFT JOIN scores USING (doc_id, jd_id) LEFT JOIN ncv USING (doc_id) "
+    "LEFT JOIN lists USING (doc_id, jd_id) LEFT JOIN extra USING (doc_id, jd_id)",
 )
 def jd_match_pairs(spark, sf):
     cvs = ds.skills_of_documents(spark, sf).withColumnRenamed("skills", "cv_skills")
@@ -68,7 +86,12 @@ def jd_match_pairs(spark, sf):
         "jd_id", F.col("skills").alias("jd_skills")
     )
     pairs = cvs.withColumn("jd_id", F.col("doc_id") % 40).join(jds, "jd_id")
-    return _jd_counts(matching.jd_match(pairs))
+    scored = matching.jd_match(pairs)
+    return _jd_counts(
+        scored,
+        *[joined(f"{n}_skills").alias(f"{n}_list") for n in ("matched", "missing", "bonus")],
+        F.col("coverage_note").alias("note"),
+    )
 
 
 @register(
