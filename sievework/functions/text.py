@@ -120,7 +120,7 @@ def decode_base64_tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern(f"{NOT_SPACE}+")), F.lit(0)))
+    return F.regexp_count(text, F.lit(pattern(f"{NOT_SPACE}+")))
 
 
 def escape_markup(text: Column) -> Column:

@@ -740,10 +740,10 @@ def scan_corpus(spark, sf):
     found = redact.add_safe_copy(detect.detect(detect.normalise(ds.documents(spark, sf))))
     full = profile.analyse_corpus(found.drop(*detect.WORK_COLUMNS))
     return full.select(
-        "doc_id", "risk_level", "risk_score", "summary",
-        F.length("safe_copy_text").alias("safe_chars"),
+        "doc_id", "risk_level", F.col("risk_score").cast("long"), "summary",
+        F.length("safe_copy_text").cast("long").alias("safe_chars"),
         F.col("match_analysis.summary").alias("candidate_summary"),
-        F.col("match_analysis.completeness.score").alias("completeness"),
+        F.col("match_analysis.completeness.score").cast("long").alias("completeness"),
     )
 
 
@@ -754,7 +754,7 @@ def scan_corpus(spark, sf):
 )
 def hidden_surfaces(spark, sf):
     shown = hidden.hidden_surfaces(ds.pages(spark, sf))
-    found = detect.normalise(shown.select("page_id", F.col("hidden_text").alias("text")))
+    found = detect.normalise(shown.select("page_id", "text"))  # visible and hidden text together
     return found.select("page_id", joined("families").alias("families"))
 
 
@@ -872,6 +872,14 @@ def candidate_summary(spark, sf):
     return full.select("doc_id", F.col("match_analysis.summary").alias("summary"))
 
 
+ORACLES["scan_corpus"] = (
+    f"WITH {o.SCAN_CTES}, {_LINES}, " + _SUMMARY.removeprefix("WITH ").removeprefix(o.DOCS + ",") + f", {o.COMPLETE}, "
+    "risk AS (" + ORACLES["scan_summary"].removeprefix(f"WITH {o.SCAN_CTES} ") + "), people AS ("
+    + ORACLES["candidate_summary"].removeprefix(f"{_SUMMARY} ") + ") SELECT s.doc_id, s.risk_level, s.risk_score, "
+    f"risk.summary, CAST(len(regexp_replace({_TAGGED}, '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS safe_chars, "
+    "people.summary AS candidate_summary, CAST(comp.score AS BIGINT) AS completeness FROM scan s "
+    "JOIN swept USING (doc_id) JOIN risk USING (doc_id) JOIN people USING (doc_id) JOIN comp USING (doc_id)"
+)
 _RF = lx.RED_FLAGS
 
 
@@ -1010,17 +1018,46 @@ def signals(spark, sf):
     return prompts.signals(full).select("doc_id", "signals")
 
 
+def _escaped(expr: str) -> str:
+    return f"replace(replace(replace({expr}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _data(tag: str, expr: str) -> str:
+    return f"'<{tag}>' || chr(10) || {_escaped(expr)} || chr(10) || '</{tag}>'"
+
+
+_GAP = " || chr(10) || chr(10) || "
+_SIGNAL = "'{\"lang\":\"' || lang || '\"}'"
+_ROLE = "CASE WHEN doc_id % 3 = 0 THEN '(none provided)' ELSE source END"
+
+
 @register(
     "build_prompts",
-    "SELECT doc_id, md5('Extract facts.' || chr(10) || chr(10) || '<cv>' || chr(10) || "
-    "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || '</cv>' || "
-    "chr(10) || chr(10) || 'Respond with JSON.') AS digest FROM documents",
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, md5(" + _GAP.join(["'Open.'", *blocks, "'Respond with JSON.'"])
+        + ") AS digest FROM documents"
+        for kind, blocks in (
+            ("facts", [_data("cv", "text")]),
+            ("assessment", [_data("signals", _SIGNAL), _data("cv", "text"), _data("role", _ROLE)]),
+            ("followup", [_data("signals", _SIGNAL), _data("cv", "text"), _data("question", "source")]),
+        )
+    ),
 )
 def build_prompts(spark, sf):
-    made = prompts.build_prompts(
-        ds.table(spark, sf, "documents"), "facts", "Extract facts.", "Respond with JSON."
+    docs = ds.table(spark, sf, "documents").withColumns(
+        {
+            "signals": F.to_json(F.struct("lang")),
+            "safe_copy_text": F.col("text"),
+            "role": F.when(F.col("doc_id") % 3 != 0, F.col("source")).otherwise(""),
+        }
     )
-    return made.select("doc_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+    made = [
+        prompts.build_prompts(docs, kind, "Open.", "Respond with JSON.", ask).select(
+            "doc_id", F.lit(kind).alias("kind"), F.md5(F.col("prompt").cast("binary")).alias("digest")
+        )
+        for kind, ask in (("facts", None), ("assessment", "role"), ("followup", "source"))
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @register(
