@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.words import documents_words, mix, shingles
+from sievework.llm.words import BLOCK, documents_words, mix, shingles
 from sievework.session import materialise
 
 WINDOW, ANCHOR = 13, 5
@@ -120,6 +120,23 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
     return (unpacker.decompress(p.as_py()) for p in column)
 
 
+def _opened(column: pa.Array) -> Iterator[tuple[bytes, tuple]]:
+    """Texts and their words, unpacked a block at a time."""
+
+    def block(texts: list[bytes]) -> Iterator[tuple[bytes, tuple]]:
+        strings = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        return zip(texts, documents_words(strings, False), strict=True)
+
+    held, size = [], 0
+    for text in _unpacked(column):
+        held.append(text)
+        size += len(text)
+        if size > BLOCK:
+            yield from block(held)
+            held, size = [], 0
+    yield from block(held)
+
+
 def _text_key(words: np.ndarray) -> int:
     """Tells rows of one ``doc_id`` apart."""
     mixed = mix(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64)
@@ -149,12 +166,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     held = 0
     for batch in batches:
-        texts = list(_unpacked(batch["packed"]))
         fields = zip(
-            batch["id"].to_pylist(), batch["anchors"], batch["hot"], batch["copies"].to_pylist(), texts,
-            documents_words(pa.array(texts, pa.binary()).cast(pa.string()), False), strict=True,
+            batch["id"].to_pylist(), batch["anchors"], batch["hot"], batch["copies"].to_pylist(),
+            _opened(batch["packed"]), strict=True,
         )
-        for doc, known, hot, copies, text, (words, starts, ends) in fields:
+        for doc, known, hot, copies, (text, (words, starts, ends)) in fields:
             own = anchors(words)
             if not len(own):
                 continue
@@ -291,7 +307,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        texts = list(_unpacked(batch["packed"]))
+        texts = _unpacked(batch["packed"])
         fields = zip(batch["id"].to_pylist(), batch["ranges"].to_pylist(), texts, strict=True)
         for doc, ranges, text in fields:
             words = text.split()
