@@ -11,8 +11,8 @@ Rejection is calibrated on the learning rows: a text whose cross-entropy lies mo
 deviations above the mean of learning texts of that language and about that length is marked
 ``rejected``; its nearest language is reported all the same.
 
-At most ``max_grams`` n-grams, the most frequent ones, reach the driver and the tasks: the size of the
-model is bounded by that parameter, what is counted is all of the learning rows.
+At most ``max_grams`` n-grams, those above a frequency, reach the driver and the tasks: the size of
+the model is bounded by that parameter, what is counted is all of the learning rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, also when there is nothing to
 learn from; equal cross-entropies go to the first language in code point order; a null ``doc_id``
@@ -208,16 +208,21 @@ def held_out(doc_id: Column) -> Column:
 
 def train(rows: DataFrame, max_grams: int = MAX_GRAMS) -> KneserNey | None:
     """Models of all languages in ``rows`` (``lang``, ``text``); None if there is nothing to learn."""
-    counted = (
+    every = materialise(
         rows.filter("lang is not null and text is not null")
         .select("lang", "text")
         .mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "gram")
-        .limit(max_grams)
-        .toArrow()
+        .agg(F.sum("n").alias("n")),
+        "language-grams",
     )
+    # The smallest power of two so that n-grams at least that frequent fit into the model.
+    kinds = {r["k"]: r["c"] for r in every.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}
+    least, held = 64, 0
+    while least > 0 and held + kinds.get(least - 1, 0) <= max_grams:
+        least -= 1
+        held += kinds.get(least, 0)
+    counted = every.filter(F.log2("n") >= least).toArrow()
     if not counted.num_rows:
         return None
     langs = counted["lang"].to_numpy()

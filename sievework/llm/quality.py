@@ -5,8 +5,8 @@ shrunk toward the corpus mean, every path's toward its host's, with strengths es
 sites really differ (method of moments); a site with few documents stays near its parent.  A document's
 posterior odds are its own odds times the odds its path moves the corpus mean by.
 
-The model is fitted on at most ``MAX_LABELLED`` labelled documents, taken in hash order; statistics,
-site sums and decisions cover all documents.  Site sums are partial aggregates, so a host with a third
+The model is fitted on about ``MAX_LABELLED`` labelled documents at most, a share of all by hash of
+their id; statistics, site sums and decisions cover all documents.  Site sums are partial aggregates, so a host with a third
 of all documents is one small row per task.
 
 Defined cases: texts without words (null, empty) have posterior 0 and are rejected; without labels of
@@ -28,6 +28,7 @@ from sievework.llm.words import buffers, documents_words
 from sievework.session import materialise
 
 MAX_LABELLED = 20_000
+SLOTS = 1 << 30  # hash slots; a share of them is the sample
 FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "distinct_pairs",
     "upper", "digits", "symbols", "pipes", "marks", "line_length",
@@ -148,14 +149,14 @@ def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).filter(
         "y is not null and doc_id is not null"
     )
-    sample = (
+    usable = materialise(
         rows.filter(F.element_at("x", 1) > 0)
         .join(known, "doc_id")
-        .select("x", "y", F.xxhash64("doc_id").alias("o"), "doc_id")
-        .orderBy("o", "doc_id", "x", "y")
-        .limit(max_labelled)
-        .collect()
+        .select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")),
+        "quality-labelled",
     )
+    share = min(1.0, max_labelled / max(1, usable.count()))
+    sample = sorted(usable.filter(F.col("slot") < int(share * SLOTS)).collect())
     y = np.array([float(r["y"] > 0) for r in sample])
     weights = None
     if len(y) and 0 < y.sum() < len(y):
