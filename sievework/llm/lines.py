@@ -50,13 +50,15 @@ def drop_recurring(
         ),
         "line-leaves",
     )
-    recurring = (
+    # Written first: the join below then meets a plain table, and Spark can split a hot template.
+    recurring = materialise(
         lines.filter((F.col("leaf.n_words") >= min_words) & F.col("_id").isNotNull())
         .select("leaf", "_id")
         .distinct()
         .groupBy("leaf")
         .agg(F.count("*").alias("n_docs"), F.min("_id").alias("keeper"))
-        .filter(F.col("n_docs") >= min_docs)
+        .filter(F.col("n_docs") >= min_docs),
+        "line-recurring",
     )
     flags = (
         lines.join(recurring, "leaf", "left")
