@@ -42,8 +42,8 @@ WINDOW, ANCHOR = 13, 5
 CELLS = 1 << 18
 SALT_ROWS = 200_000
 HOT = 1000
-SHARD_CHARS = 1 << 20
-SEEN_WINDOWS = 200_000
+SHARD_CHARS = 1 << 19
+SEEN_WINDOWS = 50_000
 _NO_ID = -(1 << 63)
 
 
@@ -211,7 +211,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = plain[begins[k] : begins[last] + lengths[last]]
                 rows.append((int(own[k].view(np.int64)), doc, tid, k, last + 1, piece.decode()))
                 held += len(piece)
-            if held > 1 << 21:
+            if held > 1 << 20 or len(rows) > 1 << 14:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT)
                 rows, held = [], 0
     if rows:
@@ -305,27 +305,36 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        texts = _unpacked(batch["packed"])
-        fields = zip(batch["id"].to_pylist(), batch["ranges"].to_pylist(), texts, strict=True)
-        for doc, ranges, text in fields:
+        rows, held = [], 0
+        for doc, ranges, text in zip(batch["id"].to_pylist(), batch["ranges"], _unpacked(batch["packed"]), strict=True):
             words = text.split()
-            gone = np.zeros(len(words) + 1, dtype=np.int64)
-            if ranges:
-                column = pa.array([text], pa.binary()).cast(pa.string())
+            n_removed = 0
+            if ranges.is_valid and len(ranges.values):
+                column = pa.array([text], pa.large_binary()).cast(pa.large_string())
                 tid = _text_key(next(iter(documents_words(column, False)))[0])
-                for r in ranges:
-                    if r["tid"] == tid:
-                        gone[r["start"]] += 1
-                        gone[r["stop"]] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
-            kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if ranges else b" ".join(words)
-            row = (None if doc == _NO_ID else doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                own, start, stop = (ranges.values.field(c).to_numpy() for c in ("tid", "start", "stop"))
+                steps = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(steps, start[own == tid], 1)
+                np.add.at(steps, stop[own == tid], -1)
+                gone = (np.cumsum(steps[:-1]) > 0).tolist()
+                n_removed = sum(gone)
+                words_kept = [w for w, g in zip(words, gone, strict=True) if not g]
+            else:
+                words_kept = words
+            kept = b" ".join(words_kept)
+            rows.append((None if doc == _NO_ID else doc, len(words), n_removed, hashlib.sha256(kept).hexdigest(), kept.decode()))
+            held += len(kept)
+            if held > 1 << 22:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
 
 def _recurring(texts: DataFrame) -> DataFrame:
