@@ -323,7 +323,7 @@ text_query(
     lambda t: tx.strip_think(
         F.concat(F.lit(" <THINK>\n"), t, F.lit("</think> ok <think>"), t, F.lit("</Think>"), t)
     ),
-    "regexp_replace('ok ' || text, '\s+$', '')",
+    "regexp_replace('ok ' || text, '\\s+$', '')",
 )
 text_query(
     "word_count", lambda t: tx.word_count(t).cast("string"),
