@@ -160,6 +160,31 @@ def test_predictions_read_the_text_only(spark, documents):
     assert a == b
 
 
+def test_no_gram_is_left_out_of_a_large_model(spark):
+    rng = random.Random(12)
+    rows = [(4 * i, "common", " ".join(rng.choice(["abba", "cab", "bead", "dab"]) for _ in range(60))) for i in range(40)]
+    rows += [(1000, "rare", "xylo quiz jynx"), (1001, None, "quiz xylo"), (1001, None, "quiz xylo"), (None, None, "a cab"), (1002, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = {}
+    for lang in ("common", "rare"):
+        found = np.concatenate([language.grams(language.symbols(t)) for _, x, t in rows if x == lang])
+        learned[lang] = np.unique(found, return_counts=True)
+    whole = language.KneserNey(learned)
+    for max_grams in (1 << 21, 60):
+        model = language.train(docs, max_grams)
+        assert model.langs == ["common", "rare"] and (model.n_blocks > 1) == (max_grams == 60)
+        out = language.predict(docs, model).collect()
+        assert len(out) == len(rows)
+        expected = {}
+        for doc_id, _, text in rows:
+            sums = whole.log_probs(language.grams(language.symbols(text))).astype(float).sum(axis=0)
+            expected[doc_id] = whole.langs[sums.argmax()], -sums.max() / max(len(language.symbols(text)), 1)
+        for r in out:
+            if r.n_symbols:
+                assert r.lang_pred == expected[r.doc_id][0] and abs(r.cross_entropy - expected[r.doc_id][1]) < 1e-4
+        assert {r.lang_pred for r in out if r.doc_id in (1000, 1001)} == {"rare"}
+
+
 # --------------------------------------------------------------------- 3 personal
 
 BASE = {
