@@ -17,6 +17,9 @@ two sets of similarity t or more then share a shingle among their first ``n - ce
 5. *The rest.*  Pairs of groups that share a posting, fit in size and position, and are not in one
    component yet are expanded to classes and verified, so no link between components is lost.
 
+Steps 4 and 5 give components only, which is all that ``keep_one`` needs.  ``components_of`` takes every pair of
+groups that share a posting and fit, in one component or not, so its links are all there are.
+
 Defined cases: texts without words (null, empty) have size 0 and are linked with nothing; fewer words than a
 shingle make one shingle; equal sets are one class, with no pairs inside; a null ``doc_id`` counts as
 the smallest id; repeated rows are returned as often as they occur; an empty table gives an empty
@@ -187,9 +190,9 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
     return inner.union(hubs.select(F.col("top.gid").alias("g1"), F.col("hub.gid").alias("g2"))).distinct()
 
 
-def _other_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """``g1, g2`` that may hold a link and are not in one component; ``groups``: ``gid, root``,
-    the root null where a group's classes are in several.
+def _group_pairs(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``g1, g2`` that may hold a link; with ``groups``, only those that are not in one component yet.
+    ``groups``: ``gid, root``, the root null where a group's classes are in several.
 
     Only the first shingle two groups share can decide, so a pair is not formed at a shingle whose
     predecessors among the groups' shared shingles are the same: they share that one as well."""
@@ -197,13 +200,17 @@ def _other_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     rows = postings.withColumns({"prev": F.lag("token").over(own), "prev_pos": F.lag("pos").over(own)})
     # Each task that has read a copy of a group wrote the group's postings: one of them is enough.
     rows = rows.filter(F.col("prev_pos").isNull() | (F.col("prev_pos") < F.col("pos"))).drop("prev_pos")
-    rows = rows.join(groups, "gid")
-    spread = (
-        rows.groupBy("token")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("root").isNull()).alias("mixed"))
-        .filter("low <> high or mixed")
-    )
-    rows = rows.join(spread.select("token"), "token").select("token", "gid", "n", "pos", "prev", "root")
+    if groups is None:
+        rows = rows.withColumn("root", F.lit(None).cast("binary"))
+    else:
+        rows = rows.join(groups, "gid")
+        spread = (
+            rows.groupBy("token")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("root").isNull()).alias("mixed"))
+            .filter("low <> high or mixed")
+        )
+        rows = rows.join(spread.select("token"), "token")
+    rows = rows.select("token", "gid", "n", "pos", "prev", "root")
     a, b = rows.alias("a"), rows.alias("b")
     smaller_first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
     indexed = F.col("a.pos") <= F.col("a.n") - F.ceil(F.col("a.n") * (2 * NUM) / (NUM + DEN))
@@ -247,14 +254,15 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, turn: str) ->
 
 class Classes:
     """``documents``: ``id, n, cid``; ``classes``: ``cid, rep``, its smallest id; ``links`` between
-    classes: ``a, b``, enough of them to connect every component."""
+    classes: ``a, b``, each once with ``a < b``."""
 
     def __init__(self, documents: DataFrame, classes: DataFrame, links: DataFrame):
         self.documents, self.classes, self.links = documents, classes, links
 
 
-def join_classes(docs: DataFrame) -> Classes:
-    """Find the links between the distinct shingle sets of ``docs``."""
+def join_classes(docs: DataFrame, every: bool = True) -> Classes:
+    """Find the links between the distinct shingle sets of ``docs``: every one, or only enough of them to
+    connect every component."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
     ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(texts))
     documents = materialise(
@@ -264,9 +272,19 @@ def join_classes(docs: DataFrame) -> Classes:
     classes = materialise(
         documents.filter("n > 0").groupBy("cid", "gid").agg(F.min("id").alias("rep")), "jaccard-classes"
     )
-    firsts = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     postings = _posting_rows(texts, ranks)
+    if every:
+        same = classes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1")
+        same = same.select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+        one, two = (classes.select(F.col("cid").alias(c), F.col("gid").alias(g)) for c, g in (("a", "g1"), ("b", "g2")))
+        pairs = (
+            _group_pairs(postings, None).union(same).join(one, "g1").join(two, "g2")
+            .filter("g1 <> g2 or a < b")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        )
+        return Classes(documents, classes.select("cid", "rep"), _links(pairs, texts, classes, "all"))
 
+    firsts = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     stars = _star_pairs(postings)
     one, two = firsts.toDF("g1", "a"), firsts.toDF("g2", "b")
     pairs = stars.join(one, "g1").join(two, "g2").select("a", "b")
@@ -283,7 +301,7 @@ def join_classes(docs: DataFrame) -> Classes:
     groups = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     groups = materialise(groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("root")), "jaccard-groups")
     mixed = groups.filter("root is null").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    rest = _other_pairs(postings, groups).union(mixed)
+    rest = _group_pairs(postings, groups).union(mixed)
     one, two = rooted.toDF("a", "g1", "root_a"), rooted.toDF("b", "g2", "root_b")
     rest = (
         rest.join(one, "g1").join(two, "g2")
@@ -297,27 +315,36 @@ def join_classes(docs: DataFrame) -> Classes:
 
 
 def components_of(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, class_id``, ids being smallest members."""
+    """Per row: ``doc_id, n_shingles, component_id, class_id, n_links``, ids being smallest members;
+    ``n_links`` is the number of other classes that the row's class is linked with."""
     found = join_classes(docs)
-    roots = components(found.links, "jaccard-roots").toDF("cid", "root")
-    labelled = found.classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    labelled = materialise(labelled.join(smallest, "root").select("cid", "rep", "component"), "jaccard-components")
+    ends = found.links.select(F.col("a").alias("cid")).union(found.links.select("b"))
+    n_links = ends.groupBy("cid").agg(F.count("*").alias("n_links"))
+    labelled = _labelled(found).join(n_links, "cid", "left")
     real = lambda c: F.when(c != F.lit(_NO_ID), c)
     return found.documents.join(labelled, "cid", "left").select(
         real(F.col("id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         real(F.coalesce("component", "id")).alias("component_id"),
         real(F.coalesce("rep", "id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def _labelled(found: Classes) -> DataFrame:
+    """``cid, rep, component`` of every class."""
+    roots = components(found.links, "jaccard-roots").toDF("cid", "root")
+    labelled = found.classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
+    return materialise(labelled.join(smallest, "root").select("cid", "rep", "component"), "jaccard-components")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest ``doc_id``; documents without
     words all stay."""
-    found = components_of(docs)
-    dropped = materialise(
-        found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped"
-    )
+    found = join_classes(docs, every=False)
+    rows = found.documents.join(_labelled(found), "cid")
+    other = (F.col("id") != F.col("component")) & (F.col("component") != _NO_ID)
+    dropped = materialise(rows.filter(other).select(F.col("id").alias("doc_id")).distinct(), "jaccard-dropped")
     kept = docs.join(dropped, "doc_id", "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -114,6 +114,29 @@ def test_salted_postings_lose_nothing(spark, monkeypatch):
     assert found == brute_components(corpus)
 
 
+def test_every_link_is_found(spark):
+    rng = random.Random(9)
+    corpus = {}
+    for family in range(2):
+        base = [f"f{family}w{rng.randrange(60)}" for _ in range((70, 120)[family])]
+        for k in range(40):
+            corpus[100 * family + k] = edited(rng, base, rng.randrange(8))
+    corpus |= {500: corpus[3], 501: "", 502: "a b c"}
+    sets = {d: shingle_set(t) for d, t in corpus.items()}
+    expected = {}
+    for d, own in sets.items():
+        others = {x for x in sets.values() if own and x and x != own and 4 * len(own & x) >= 3 * len(own | x)}
+        expected[d] = len(others)
+    df = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard.components_of(df).collect()} == expected
+    found = jaccard.join_classes(df)
+    by_set = {sets[d]: n for d, n in expected.items()}
+    assert found.links.count() == found.links.distinct().count() == sum(by_set.values()) // 2
+    few = jaccard.keep_one(df)
+    smallest = {d for d, (n, root) in brute_components(corpus).items() if not n or d == root}
+    assert {r.doc_id for r in few.collect()} == smallest
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
