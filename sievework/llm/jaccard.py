@@ -104,6 +104,7 @@ def _sets(batches: Iterator[pa.RecordBatch], ranks: tuple[np.ndarray, np.ndarray
         yield pa.record_batch(
             {
                 "id": batch["id"],
+                "print": batch["print"],
                 "n": pa.array([s.n for s in found], pa.int64()),
                 "cid": pa.array([s.identity() for s in found], pa.binary()),
                 "gid": pa.array([s.group() for s in found], pa.int64()),
@@ -242,9 +243,9 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, turn: str) ->
     """The pairs of classes (``a, b``) that are similar enough, by their whole texts."""
     pairs = materialise(pairs, f"jaccard-pairs-{turn}")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = classes.join(needed, "cid").select("cid", F.col("rep").alias("id"))
+    chosen = classes.join(needed, "cid").select("cid", F.col("rep").alias("id"), "print")
     found = materialise(
-        texts.join(chosen, "id").select("cid", "text").dropDuplicates(["cid"]), f"jaccard-texts-{turn}"
+        texts.join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"]), f"jaccard-texts-{turn}"
     )
     left = found.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = found.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
@@ -263,14 +264,18 @@ class Classes:
 def join_classes(docs: DataFrame, every: bool = True) -> Classes:
     """Find the links between the distinct shingle sets of ``docs``: every one, or only enough of them to
     connect every component."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
+    # Rows of one id, or of none, may have different texts: the print tells which one is meant.
+    texts = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("print"), "text"
+    )
     ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(texts))
     documents = materialise(
-        texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, n long, cid binary, gid long"),
+        texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, print long, n long, cid binary, gid long"),
         "jaccard-documents",
     )
+    smallest = documents.filter("n > 0").groupBy("cid", "gid").agg(F.min(F.struct("id", "print")).alias("of"))
     classes = materialise(
-        documents.filter("n > 0").groupBy("cid", "gid").agg(F.min("id").alias("rep")), "jaccard-classes"
+        smallest.select("cid", "gid", F.col("of.id").alias("rep"), F.col("of.print").alias("print")), "jaccard-classes"
     )
     postings = _posting_rows(texts, ranks)
     if every:

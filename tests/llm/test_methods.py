@@ -137,6 +137,15 @@ def test_every_link_is_found(spark):
     assert {r.doc_id for r in few.collect()} == smallest
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    one, two = ([f"{c}{k}" for k in range(30)] for c in "ab")
+    rows = [(None, one), (None, two), (5, one[:-1]), (6, two[:-1]), (7, [f"c{k}" for k in range(30)]), (7, one[1:])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    # classes: `one` and its two shorter forms, each linked with the others; `two` and its shorter form; c
+    found = sorted((r.doc_id or 0, r.n_links) for r in jaccard.components_of(df).collect())
+    assert found == [(0, 1), (0, 2), (5, 2), (6, 1), (7, 0), (7, 2)]
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
