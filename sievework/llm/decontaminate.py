@@ -7,7 +7,8 @@ of neighbouring windows are differences of one running sum.  Only windows that s
 of that length are fingerprinted; any other has similarity 0 with all of them.  The fingerprints of
 the items are indexed by ``BLOCKS`` bytes: of two fingerprints within ``RADIUS`` bits, some byte
 differs in at most RADIUS // BLOCKS bits, so the lookup finds every item within the radius.
-Candidates are verified by the weighted Jaccard similarity of their 5-word shingles.  Two texts
+Candidates are verified by the weighted Jaccard similarity of their 5-word shingles.  A document shorter
+than an item, but long enough to be as similar, is one window as a whole.  Two texts
 at the least similarity of 0.75 differ in about 11 of 64 bits, with a deviation of 3; the radius is 23.
 
 The items go to the tasks in blocks of bounded text size; a larger benchmark means more
@@ -112,8 +113,12 @@ class Index:
                     spots.setdefault(int(self.groups[k]), []).append(at)
                     k += 1
         for group, x in enumerate(self.lengths):
-            if x.n_words > len(words):
-                break
+            if x.n_words > len(words):  # the document may be the item without some of its words
+                if not spots or len(own) < least * x.n_shingles:
+                    break
+                if group in spots:
+                    self._whole(x, own, len(words), least, best)
+                continue
             if x.n_words < WIDTH:
                 windows = shingles(words, x.n_words)
                 for item, own_set in zip(x.ids, x.sets, strict=True):
@@ -124,6 +129,14 @@ class Index:
                 self._search(x, own, np.unique(spots[group]), least, best)
         return [(item, at, n, sim) for item, (sim, at, n) in sorted(best.items())]
 
+    @staticmethod
+    def _whole(x: _Length, own: np.ndarray, n_words: int, least: float, best: dict) -> None:
+        _, items = x.lookup(pack(votes(own).sum(axis=0)[None]))
+        for i in items.tolist():
+            sim = weighted_jaccard(own, x.sets[i])
+            if sim >= least and sim > best.get(x.ids[i], (0.0,))[0]:
+                best[x.ids[i]] = (sim, 0, n_words)
+
     @staticmethod
     def _search(x: _Length, own: np.ndarray, hits: np.ndarray, least: float, best: dict) -> None:
         m, last = x.n_shingles, len(own) - x.n_shingles

@@ -339,6 +339,16 @@ def test_leaks_against_brute_force(spark, texts):
     assert n > 20
 
 
+def test_items_cut_at_either_end():
+    item = [f"w{k}" for k in range(40)]
+    index = decontaminate.Index([(7, " ".join(item)), (8, " ".join(f"v{k}" for k in range(45)))])
+    for own, leak in ((item[:-2], True), (item[2:], True), (item[1:-2], True), (item[:32], True), (item[:30], False), (item[:4], False)):
+        (words_, _, _), = words.documents_words(pa.array([" ".join(own)]), True)
+        found = index.matches(words_, 0.75)
+        assert [(i, at, n) for i, at, n, _ in found] == ([(7, 0, len(own))] if leak else [])
+        assert not leak or found[0][3] == (len(own) - 4) / 36
+
+
 def test_lookup_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, 20).astype(np.uint64)) for _ in range(30)]
