@@ -6,7 +6,8 @@ kind, which expands from the anchor to the left and right and validates what it
 leftmost and do not overlap; a span that fails its validation is consumed all the same.
 
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` are the base; the method adds ``url`` (scheme, host and
-path) and ``account`` (a cue such as ``IBAN`` or ``account no.`` and the identifier behind it).
+path) and ``account`` (a cue such as ``IBAN`` or ``account no.``, in any mixture of cases, and the identifier
+behind it).
 
 Defined cases: null text has no spans; repeated rows are judged alike; an empty table gives an empty
 result.  Extra columns are ignored.
@@ -35,7 +36,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"https?://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
-_ACCOUNT = re.compile(r"(?:\.|:|#|\s|is\s|no\.?\s)*([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){8,30}|[0-9](?:[ -]?[0-9]){5,17})\b")
+_ACCOUNT = re.compile(r"(?i:\.|:|#|\s|is\s|no\.?\s)*([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){8,30}|[0-9](?:[ -]?[0-9]){5,17})\b")
 
 
 @functools.cache
@@ -51,12 +52,20 @@ def automaton() -> ahocorasick.Automaton:
     for scheme in ("http://", "https://"):
         found.add_word(scheme, ("url", len(scheme)))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("account", len(form)))
+        found.add_word(cue, ("account", len(cue)))
     found.make_automaton()
     return found
 
 
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def _folded(text: str) -> str:
+    """Lower case, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -113,7 +122,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Valid spans per kind, in order; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = dict.fromkeys(KINDS, 0)
-    for end, (kind, length) in automaton().iter(text):
+    for end, (kind, length) in automaton().iter(_folded(text)):
         at = end + 1 if kind == "account" else end + 1 - length
         if kind == "ip":
             at = end - 1  # the digit; the dot follows

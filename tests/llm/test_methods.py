@@ -262,6 +262,17 @@ def test_personal_extras_and_corpus(texts):
         assert {k: found[k] for k in personal.BASE} == brute_spans(text)
 
 
+def test_account_cues_in_any_case():
+    for text in (
+        "Account Number: 12345678", "Account No. 12345678", "ACCOUNT No 12345678", "Routing Number 021000021",
+        "Passport No 1234567", "rOuTiNg nUmBeR 021000021", "Iban NZ12 3456 7890 1234", "Acct NO. 12345678",
+    ):
+        for before in ("", "İ é "):
+            found = personal.spans(before + text)["account"]
+            assert len(found) == 1 and (before + text)[slice(*found[0])].replace(" ", "").isalnum(), text
+    assert not personal.spans("see HTTP://A.EXAMPLE account of ab12 3456")["url"]
+
+
 # ------------------------------------------------------------------------- 4 chat
 
 
