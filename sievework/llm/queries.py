@@ -201,3 +201,49 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
+
+
+@query(
+    "op11_divergence",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM documents
+    ), occurring AS (SELECT no, lang, source, unnest(ts) AS term FROM docs),
+    kept AS (
+      SELECT lang, term, count(*) AS n FROM occurring GROUP BY lang, term HAVING count(DISTINCT no) >= 30
+    ), langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    cells AS (
+      SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source),
+    groups AS (
+      SELECT g.lang, g.source, coalesce(t.total, 0)::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t USING (lang, source)
+    ), shares AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+      FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+      LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ), apart AS (
+      SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    ), terms AS (
+      SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+    QUALIFY part = 'pair' OR rank <= 50
+    """,
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
