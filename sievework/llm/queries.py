@@ -247,3 +247,48 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.divergence import audit
 
     return audit(table(spark, sf_dir, "documents"))
+
+
+def _clustering_sql() -> str:
+    """Five rounds and the last assignment, one after the other."""
+    near = """
+    near{0} AS MATERIALIZED (
+      SELECT no, vec_id, v, c AS cluster, d AS distance FROM (
+        SELECT k.no, k.vec_id, k.v, c.c,
+               list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM kept k, centroids{0} c)
+      QUALIFY row_number() OVER (PARTITION BY no ORDER BY d, c) = 1
+    )"""
+    move = """
+    sums{0} AS (
+      SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM near{0}) GROUP BY cluster, pos
+    ), means{0} AS (
+      SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM sums{0} GROUP BY cluster
+    ), centroids{1} AS MATERIALIZED (
+      SELECT c.c, coalesce(m.v, c.v) AS v FROM centroids{0} c LEFT JOIN means{0} m ON c.c = m.cluster
+    )"""
+    steps = [near.format(0)]
+    for k in range(5):
+        steps += [move.format(k, k + 1), near.format(k + 1)]
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), centroids0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+      FROM (SELECT v, sha256('2:' || vec_id) AS h FROM kept ORDER BY h LIMIT 40)
+    ), {", ".join(steps)}
+    SELECT n.vec_id, n.cluster::INT AS cluster, n.distance,
+           (sum(n.distance) OVER (PARTITION BY n.cluster))::BIGINT AS cluster_inertia,
+           (sum(n.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM near5 n JOIN centroids5 c ON n.cluster = c.c
+    """
+
+
+@query("op12_centroids", _clustering_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
