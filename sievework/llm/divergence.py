@@ -29,30 +29,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.llm.words import text_slices
 from sievework.session import materialise
 
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 SCALE, SMOOTH = 1_000_000_000, 5
 TOP_TERMS = 50
-BLOCK_BYTES = 1 << 24
 SHARD_TERMS, BLOCK_SOURCES = 4096, 256
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``BLOCK_BYTES`` of text, or of one row."""
-    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
-    row = 0
-    while row < len(ends):
-        begun = ends[row - 1] if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, begun + BLOCK_BYTES, side="right")))
-        yield batch.slice(row, stop - row)
-        row = stop
-
-
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in _blocks(batch):
+        for block in text_slices(batch):
             groups = pa.table({"lang": block["lang"], "source": block["source"]})
             found = groups.append_column("row", pa.array(np.arange(len(block)), pa.int64()))
             found = found.group_by(["lang", "source"], use_threads=False).aggregate([("row", "list")])
@@ -111,7 +100,7 @@ def _probability(count: str, total: str, kept: str) -> str:
 
 
 def _shard_sums(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
-    """``source, other, part`` of one shard and two blocks of sources: the sum of ``|p - q|`` over the terms
+    """``lang, one, two, part`` of one shard and two blocks of sources: the sum of ``|p - q|`` over the terms
     that occur there, less what they would add if no source had them."""
     cells = cells.combine_chunks()
     sources = cells["source"].combine_chunks().dictionary_encode()
@@ -138,8 +127,8 @@ def _shard_sums(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
     return pa.table(
         {
             "lang": pa.array([key[0].as_py()] * len(k), pa.string()),
-            "source": sources.dictionary.take(pa.array(k)),
-            "other": sources.dictionary.take(pa.array(others)),
+            "one": sources.dictionary.take(pa.array(k)),
+            "two": sources.dictionary.take(pa.array(others)),
             "part": pa.array(apart, pa.int64()),
         }
     )
@@ -195,8 +184,10 @@ class Audit:
         )
         sums = (
             dealt.groupBy("lang", "shard", "one", "two")
-            .applyInArrow(_shard_sums, "lang string, source string, other string, part long")
-            .groupBy("lang", "source", "other").agg(F.sum("part").alias("part"))
+            .applyInArrow(_shard_sums, "lang string, one string, two string, part long")
+            # A shard names a pair in the order in which it met the sources.
+            .groupBy("lang", F.least("one", "two").alias("source"), F.greatest("one", "two").alias("other"))
+            .agg(F.sum("part").alias("part"))
         )
         sums = materialise(sums, "divergence-pairs")
         ends = self.groups.select("lang", "source", "base", "kept")
