@@ -292,3 +292,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.centroids import clustered
 
     return clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_licenses")
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.licenses import license_labels
+
+    return license_labels(table(spark, sf_dir, "documents"))

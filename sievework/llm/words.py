@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,17 @@ class _Powers:
         return cls.up, cls.down
 
 
+def text_slices(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` bytes of ``text``, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        begun = ends[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, begun + limit, side="right")))
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column; nulls have no bytes."""
     if isinstance(column, pa.ChunkedArray):
