@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
-from sievework.operators.components import components
-from sievework.operators.skew import first_per_key, flag_members, rank_top, running_max_before
+from sievework.operators.skew import (
+    first_per_key,
+    flag_members,
+    rank_top,
+    running_before,
+    running_max_before,
+)
+from sievework.session import materialise
 
 # --------------------------------------------------------------------- quota, plans
 
@@ -120,8 +126,8 @@ def dedupe_events(events: DataFrame, order: str = "arrival_no") -> DataFrame:
     return events.join(firsts.select(order), order, "left_semi")
 
 
-def billing_rows(events: DataFrame) -> DataFrame:
-    """Flatten parsed events to the fields the replay reads.
+def billing_fields(events: DataFrame) -> DataFrame:
+    """Flatten parsed events of any type to the fields the replay reads.
 
     ``owner`` is the id named by the event itself: the organisation's when the
     scope says so, else the user's.
@@ -135,9 +141,7 @@ def billing_rows(events: DataFrame) -> DataFrame:
             F.when(checkout, F.nullif(obj["client_reference_id"], F.lit(""))), meta["user_id"]
         )
     )
-    return events.filter(
-        F.col("event_type").isin([*lx.SUBSCRIPTION_EVENTS, lx.CHECKOUT_EVENT])
-    ).select(
+    return events.select(
         "event_id",
         "event_type",
         "created",
@@ -151,111 +155,302 @@ def billing_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def only_billing(rows: DataFrame) -> DataFrame:
+    """The events that can change an account."""
+    return rows.filter(F.col("event_type").isin([*lx.SUBSCRIPTION_EVENTS, lx.CHECKOUT_EVENT]))
+
+
+def billing_rows(events: DataFrame) -> DataFrame:
+    """The fields of the events that can change an account."""
+    return billing_fields(only_billing(events))
+
+
 STORED = "stored"  # a row of the state table, put before all events
 EARLIER = 1 << 62
+CHUNK = 1_000_000  # arrivals of one key that a task holds at most
+FEW = 200_000  # contested events that one task may decide in order of arrival
+
+
+def _effective(rows: DataFrame) -> DataFrame:
+    """The events that can change an account, narrow: ``arrival_no, scope, owner, customer, hard, created``.
+
+    ``hard`` ones (checkouts, stored rows) take their customer whoever holds it.  ``created`` is null where the
+    event does not tell how new it is.  All other events can be mapped to nobody.
+    """
+    hard = F.col("event_type").isin(lx.CHECKOUT_EVENT, STORED)
+    able = F.col("customer").isNotNull() & F.when(hard, F.col("owner").isNotNull()).otherwise(
+        F.col("status").isNotNull()
+    )
+    return rows.filter(able).select(
+        "arrival_no", "scope", "owner", "customer", hard.alias("hard"),
+        F.when(F.col("event_type") != lx.CHECKOUT_EVENT, F.unix_micros("created")).alias("created"),
+    )
+
+
+def _customers(events: DataFrame) -> DataFrame:
+    """``scope, customer, first, sole``: first arrival that names an owner, and the owner of a customer that no
+    other owner ever names, who in turn never names another customer; null where it is contested."""
+    named = events.filter("owner is not null").groupBy("scope", "owner", "customer").agg(
+        F.min("arrival_no").alias("first")
+    )
+    faithful = named.groupBy("scope", "owner").agg(F.count("*").alias("n")).filter("n = 1").select(
+        "scope", F.col("owner").alias("sole"), F.lit(True).alias("faithful")
+    )
+    by_customer = named.groupBy("scope", "customer").agg(
+        F.min("first").alias("first"), F.when(F.count("*") == 1, F.min("owner")).alias("sole")
+    )
+    return by_customer.join(faithful, ["scope", "sole"], "left").select(
+        "scope", "customer", "first", F.when(F.col("faithful"), F.col("sole")).alias("sole")
+    )
+
+
+def _newer(last: str) -> Column:
+    return F.col(last).isNull() | F.col("created").isNull() | (F.col("created") > F.col(last))
+
+
+def _settled(events: DataFrame, chunk: int) -> DataFrame:
+    """Decisions where one owner and one customer only know each other: nothing can collide, the owner holds
+    the customer from the first event that names them, and an event counts if it is newer than all before."""
+    mapped = F.col("hard") | F.col("owner").isNotNull() | (F.col("arrival_no") > F.col("first"))
+    seen = running_before(
+        events.withColumn("mapped", F.coalesce(mapped, F.lit(False))), ["scope", "customer"], "arrival_no",
+        {"last": ("max", F.when(F.col("mapped"), F.col("created")))}, chunk,
+    )
+    return seen.select(
+        "arrival_no",
+        F.when(F.col("mapped"), F.col("sole")).alias("resolved"),
+        F.when(F.col("mapped"), "mapped").otherwise("unmappable").alias("disposition"),
+        (F.col("mapped") & (F.col("hard") | _newer("last"))).alias("applied"),
+    )
+
+
+def _owner_lines(decided: DataFrame, chunk: int) -> DataFrame:
+    """Timelines of owners: a row per (event, owner it names or changes) with what came before it.
+
+    ``known`` since when the owner exists, ``held`` the customer held, ``last`` the newest event applied.
+    """
+    changes = F.col("applied") & F.col("resolved").eqNullSafe(F.col("owner"))
+    told = decided.filter("owner is not null").withColumns({"key": F.col("owner"), "puts": changes, "asks": F.lit(True)})
+    else_where = decided.filter(F.col("applied") & ~F.col("resolved").eqNullSafe(F.col("owner"))).withColumns(
+        {"key": F.col("resolved"), "puts": F.lit(True), "asks": F.lit(False)}
+    )
+    put = lambda value: F.when(F.col("puts"), value)
+    return running_before(
+        told.unionByName(else_where), ["scope", "key"], "arrival_no",
+        {
+            "known": ("min", put(F.col("arrival_no"))),
+            "now": ("max", put(F.struct("arrival_no", "customer"))),
+            "last": ("max", put(F.col("created"))),
+        },
+        chunk,
+    ).withColumn("held", F.col("now.customer")).drop("now")
+
+
+def _moves(lines: DataFrame) -> DataFrame:
+    """Where ownership begins (``step`` 1) and ends (-1): ``scope, customer, arrival_no, step, owner, born``."""
+    moved = lines.filter(F.col("puts") & ~F.col("held").eqNullSafe(F.col("customer")))
+    born = F.coalesce("known", "arrival_no").alias("born")
+    row = ["arrival_no", F.col("key").alias("owner"), born]
+    begun = moved.select("scope", "customer", F.lit(1).alias("step"), *row)
+    ended = moved.filter("held is not null").select("scope", F.col("held").alias("customer"), F.lit(-1).alias("step"), *row)
+    return begun.unionByName(ended)
+
+
+def _decide(decided: DataFrame, chunk: int) -> DataFrame:
+    """All decisions anew, each against the ownership intervals that the given decisions make.
+
+    A decision that depends only on right ones comes out right, so every turn settles at least the next
+    event in order, and in practice all but the few whose predecessors were overturned.
+    """
+    lines = _owner_lines(decided, chunk)
+    moves = _moves(lines)
+    asked = decided.filter(~F.col("hard")).select("scope", "customer", "arrival_no", F.lit(0).alias("step"), F.lit(True).alias("asks"))
+    points = moves.select("scope", "customer", "arrival_no", "step", "born").unionByName(asked, allowMissingColumns=True)
+    held = running_before(
+        points, ["scope", "customer"], "arrival_no",
+        {"holders": ("sum", F.col("step")), "births": ("sum", F.col("step") * F.col("born").cast("decimal(20, 0)"))},
+        chunk,
+    ).filter("asks").select("arrival_no", F.coalesce("holders", F.lit(0)).alias("holders"), "births")
+    own = lines.filter("asks").select("arrival_no", "known", "held", F.col("last").alias("own_last"))
+    facts = (
+        decided.filter(~F.col("hard")).join(held, "arrival_no").join(own, "arrival_no", "left")
+        .withColumn("passed", F.col("owner").isNull() | (F.col("known").isNull() & (F.col("holders") > 0)))
+    )
+    # A sole holder is told by the arrival that made the account, which is unique.
+    accounts = lines.filter("puts").groupBy("scope", F.col("key").alias("holder")).agg(
+        F.min(F.coalesce("known", "arrival_no")).cast("decimal(20, 0)").alias("births")
+    )
+    taken = facts.filter(F.col("passed") & (F.col("holders") == 1)).select("scope", "births", "arrival_no")
+    taken = taken.join(accounts, ["scope", "births"]).select("scope", F.col("holder").alias("key"), "arrival_no")
+    puts = lines.filter("puts").select("scope", "key", "arrival_no", "created")
+    lasts = running_before(
+        puts.join(taken.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+        .withColumn("asks", F.lit(False))
+        .unionByName(taken.withColumn("asks", F.lit(True)), allowMissingColumns=True),
+        ["scope", "key"], "arrival_no", {"their_last": ("max", F.col("created"))}, chunk,
+    ).filter("asks").select("arrival_no", F.col("key").alias("holder"), "their_last")
+
+    others = F.col("holders") - F.when(F.col("held") == F.col("customer"), 1).otherwise(0)
+    soft = facts.join(lasts, "arrival_no", "left").withColumns(
+        {
+            "last": F.when(F.col("passed"), F.col("their_last")).otherwise(F.col("own_last")),
+            "refused": F.when(F.col("passed"), F.col("holders") > 1).otherwise(others > 0),
+            "to": F.when(F.col("passed"), F.col("holder")).otherwise(F.col("owner")),
+        }
+    )
+    applied = ~F.col("refused") & F.col("to").isNotNull() & _newer("last")
+    soft = soft.select(
+        "arrival_no", "scope", "owner", "customer", "hard", "created", F.col("to").alias("resolved"),
+        applied.alias("applied"), "refused", (F.col("passed") & F.col("refused")).alias("crowded"),
+        (
+            (applied != F.col("applied")) | (applied & ~F.col("to").eqNullSafe(F.col("resolved")))
+        ).alias("changed"),
+    )
+    fixed = decided.filter("hard").select(*[c for c in soft.columns if c != "changed"], F.lit(False).alias("changed"))
+    return soft.unionByName(fixed)
+
+
+def _oldest_holders(decided: DataFrame, chunk: int) -> DataFrame:
+    """``arrival_no, oldest``: the account a refused newcomer would have gone to, the oldest of several holders.
+
+    Intervals are cut into stretches of ``chunk`` arrivals, so an event meets the holders of its own stretch only.
+    """
+    asked = decided.filter("crowded").select("scope", "customer", "arrival_no")
+    span = asked.agg(F.min("arrival_no"), F.max("arrival_no")).first()
+    if span[0] is None:
+        return asked.select("arrival_no", F.lit(None).cast("string").alias("oldest"))
+    moves = _moves(_owner_lines(decided, chunk)).join(
+        asked.select("scope", "customer").distinct(), ["scope", "customer"], "left_semi"
+    )
+    in_turn = Window.partitionBy("scope", "customer", "owner").orderBy("arrival_no")
+    part = lambda c: F.floor(c / F.lit(chunk)).cast("long")
+    held = moves.withColumn("until", F.lead("arrival_no").over(in_turn)).filter("step = 1").select(
+        "scope", "customer", "owner", "born", F.col("arrival_no").alias("since"),
+        F.coalesce("until", F.lit(span[1])).alias("until"),
+    )
+    held = held.filter((F.col("since") < span[1]) & (F.col("until") >= span[0])).withColumn(
+        "part",
+        F.explode(F.sequence(part(F.greatest("since", F.lit(span[0]))), part(F.least("until", F.lit(span[1]))))),
+    )
+    met = asked.withColumn("part", part(F.col("arrival_no"))).join(held, ["scope", "customer", "part"]).filter(
+        "since < arrival_no and arrival_no <= until"
+    )
+    return met.groupBy("arrival_no").agg(F.min_by("owner", "born").alias("oldest"))
+
+
+def _by_turns(events: DataFrame, chunk: int) -> DataFrame:
+    """Decisions by turns over ownership intervals, until none changes."""
+    decided = events.withColumns(
+        {
+            "resolved": F.col("owner"),
+            "applied": F.col("owner").isNotNull(),
+            "refused": F.lit(False),
+            "crowded": F.lit(False),
+            "changed": F.lit(True),
+        }
+    )
+    decided = materialise(decided, "ownership")
+    while not decided.filter("changed").isEmpty():
+        decided = materialise(_decide(decided, chunk), "ownership")
+    found = decided.join(_oldest_holders(decided, chunk), "arrival_no", "left")
+    resolved = F.coalesce("oldest", "resolved")
+    return found.select(
+        "arrival_no",
+        resolved.alias("resolved"),
+        F.when(F.col("refused"), "collision").when(resolved.isNull(), "unmappable").otherwise("mapped").alias("disposition"),
+        "applied",
+    )
 
 
 class _Accounts:
-    """Subscription rows of one component, changed event by event."""
+    """Accounts of one scope, changed event by event."""
 
     def __init__(self):
-        self.last: dict[str, int | None] = {}  # owner -> time of the last applied event
+        self.last: dict[str, int | None] = {}  # owner -> time of the newest event applied
         self.born: dict[str, int] = {}
-        self.customer: dict[str, str | None] = {}
+        self.customer: dict[str, str] = {}
         self.owners: dict[str, set[str]] = {}  # customer -> owners that hold it
 
-    def put(self, owner: str, customer: str | None) -> None:
-        self.last.setdefault(owner, None)
+    def put(self, owner: str, customer: str, created: int | None) -> None:
         self.born.setdefault(owner, len(self.born))
         old = self.customer.get(owner)
-        if old != customer:
-            if old is not None:
-                self.owners[old].remove(owner)
-            if customer is not None:
-                self.owners.setdefault(customer, set()).add(owner)
+        if old is not None:
+            self.owners[old].discard(owner)
+        self.owners.setdefault(customer, set()).add(owner)
         self.customer[owner] = customer
-
-    def apply(self, kind, owner, customer, has_status, created) -> tuple[str | None, str, bool]:
-        """Resolved owner, disposition, and whether the event changes the row."""
-        if kind == STORED:
-            self.put(owner, customer)
+        if created is not None or owner not in self.last:
             self.last[owner] = created
-            return owner, "mapped", True
-        if kind == lx.CHECKOUT_EVENT:
-            if owner is None or customer is None:
+
+    def apply(self, hard, owner, customer, created) -> tuple[str | None, str, bool]:
+        """Resolved owner, disposition, and whether the event changes the account."""
+        holders = self.owners.get(customer, ())
+        if not hard:
+            if owner not in self.last and holders:
+                owner = min(holders, key=self.born.__getitem__)  # the oldest account
+            if owner is None:
                 return None, "unmappable", False
-            self.put(owner, customer)
-            return owner, "mapped", True
-        holders = self.owners.get(customer, ()) if customer is not None else ()
-        if owner not in self.last and holders:
-            owner = min(holders, key=self.born.__getitem__)  # the oldest account
-        if owner is None or customer is None or not has_status:
-            return None, "unmappable", False
-        if any(h != owner for h in holders):
-            return owner, "collision", False
-        last = self.last.get(owner)
-        if last is not None and created is not None and created <= last:
-            return owner, "mapped", False
-        self.put(owner, customer)
-        if created is not None:
-            self.last[owner] = created
+            if any(h != owner for h in holders):
+                return owner, "collision", False
+            last = self.last.get(owner)
+            if last is not None and created is not None and created <= last:
+                return owner, "mapped", False
+        self.put(owner, customer, created)
         return owner, "mapped", True
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (part, arrival_no); the state is that of the current part."""
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (scope, arrival_no)."""
     current, accounts = None, _Accounts()
     for batch in batches:
         found = []
-        fields = ("part", "event_type", "owner", "customer", "has_status", "created_us")
-        for part, kind, owner, customer, has_status, created in zip(
-            *(batch[c].astype(object).where(batch[c].notna(), None) for c in fields), strict=True
-        ):
-            if part != current:
-                current, accounts = part, _Accounts()
-            found.append(accounts.apply(kind, owner, customer, has_status, created))
-        resolved, disposition, applied = zip(*found, strict=True) if found else ((), (), ())
-        yield pd.DataFrame(
-            {
-                "arrival_no": batch["arrival_no"],
-                "resolved": pd.Series(resolved, dtype=object, index=batch.index),
-                "disposition": pd.Series(disposition, dtype=object, index=batch.index),
-                "applied": pd.Series(applied, dtype=bool, index=batch.index),
-            }
-        )
+        fields = ("scope", "hard", "owner", "customer", "created")
+        for scope, *event in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in fields), strict=True):
+            if scope != current:
+                current, accounts = scope, _Accounts()
+            found.append(accounts.apply(*event))
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        names = ("resolved", "disposition", "applied")
+        yield pd.DataFrame({"arrival_no": batch["arrival_no"], **{n: pd.Series(c, dtype=object) for n, c in zip(names, columns, strict=True)}})
+
+
+def _contested(events: DataFrame, chunk: int, few: int) -> DataFrame:
+    """Decisions where owners share customers: of up to ``few`` events in order of arrival, one task a scope,
+    of more by turns."""
+    events = events.select("arrival_no", "scope", "owner", "customer", "hard", "created")
+    if events.limit(few + 1).count() > few:
+        return _by_turns(events, chunk)
+    return events.repartition("scope").sortWithinPartitions("scope", "arrival_no").mapInPandas(
+        _in_order, "arrival_no long, resolved string, disposition string, applied boolean"
+    )
 
 
-def replay(rows: DataFrame) -> DataFrame:
+def replay(rows: DataFrame, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
     """Add ``resolved`` owner, ``disposition`` (mapped, collision, unmappable) and ``applied``.
 
     An event goes to the owner it names; a newcomer, or nobody, gives way to whoever holds the
     customer id at that moment.  An event whose customer id another owner holds by then is refused, and
-    one older than what its owner has seen changes nothing.  Customers move between owners with every
-    applied event, so each decision depends on all before it that share an owner or a customer,
-    directly or through others.  These connected parts are found first; every part is read as a
-    stream in arrival order, in memory of its accounts only, and parts spread over the tasks.
+    one older than what its owner has seen changes nothing.
+
+    Events that name no customer, or no status, are nobody's.  Owners and customers that only know each other
+    are decided in one pass.  The others depend on who holds their customer when they arrive, and that on
+    earlier decisions.  Up to ``few`` of them are decided one after the other.  Beyond, given any decisions, running sums over the timelines of owners and customers
+    tell the holders at every arrival and so all decisions anew; where nothing changes any more, they
+    are those of the order of arrival.  No key's timeline is in one task: it is cut every ``chunk`` arrivals.
     """
-    owner_node = F.concat_ws("|", F.lit("o"), "scope", "owner")
-    customer_node = F.concat_ws("|", F.lit("c"), "scope", "customer")
-    nodes = rows.select(
-        F.when(F.col("owner").isNotNull(), owner_node).alias("a"),
-        F.when(F.col("customer").isNotNull(), customer_node).alias("b"),
-    )
-    roots = components(nodes.filter("a is not null and b is not null").distinct(), "accounts")
-    node = F.coalesce(F.when(F.col("owner").isNotNull(), owner_node), customer_node)
-    keyed = rows.withColumn("node", node).join(roots, "node", "left")
-    ordered = keyed.select(
-        F.coalesce("root", "node").alias("part"), "arrival_no", "event_type", "owner", "customer",
-        F.col("status").isNotNull().alias("has_status"), F.unix_micros("created").alias("created_us"),
-    )
-    decided = (
-        ordered.repartition("part")
-        .sortWithinPartitions("part", "arrival_no")
-        .mapInPandas(
-            _replay, "arrival_no long, resolved string, disposition string, applied boolean"
-        )
+    events = materialise(_effective(rows), "billing-events")
+    known = events.join(_customers(events), ["scope", "customer"], "left").withColumn(
+        "contested", F.col("sole").isNull() & F.col("first").isNotNull()
+    )
+    known = materialise(known, "billing-known")
+    decided = _settled(known.filter(~F.col("contested")), chunk).unionByName(
+        _contested(known.filter("contested"), chunk, few)
+    )
+    return rows.join(decided, "arrival_no", "left").withColumns(
+        {
+            "disposition": F.coalesce("disposition", F.lit("unmappable")),
+            "applied": F.coalesce("applied", F.lit(False)),
+        }
     )
-    return rows.join(decided, "arrival_no")
 
 
 def resolve_owner(rows: DataFrame) -> DataFrame:

@@ -53,6 +53,44 @@ def running_max_before(
     )
 
 
+_FOLDS = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, None)}
+
+
+def running_before(
+    df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], chunk: int
+) -> DataFrame:
+    """Add running aggregates over the key's rows of smaller ``order``; rows of equal order do not see each other.
+
+    ``values``: output name to (``max``, ``min`` or ``sum``, column); null where nothing came before.  ``order``
+    is a long without nulls.  A key's rows are cut into stretches of ``chunk`` order numbers: one task never
+    holds more of a key than that, however hot it is.
+    """
+    inputs = {f"_in_{out}": value for out, (_, value) in values.items()}
+    marked = df.withColumns({**inputs, "_chunk": F.expr(f"floor({order} / {chunk}BD)").cast("long")})
+    fold = lambda out, name: _FOLDS[values[out][0]][0](name)
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        marked.groupBy(*keys, "_chunk").agg(*[fold(out, f"_in_{out}").alias(f"_of_{out}") for out in values])
+        .withColumns({f"_carry_{out}": fold(out, f"_of_{out}").over(by_chunk) for out in values})
+        .select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate([*keys, "_chunk"])], *[f"_carry_{out}" for out in values])
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    local = marked.withColumns({f"_local_{out}": fold(out, f"_in_{out}").over(inside) for out in values})
+    on = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate([*keys, "_chunk"])],
+    )
+    joined = local.join(carried, on)
+
+    def both(out: str) -> Column:
+        parts = [F.col(f"_carry_{out}"), F.col(f"_local_{out}")]
+        if values[out][0] == "sum":
+            return F.coalesce(parts[0] + parts[1], *parts)
+        return _FOLDS[values[out][0]][1](*parts)
+
+    return joined.select(*df.columns, *[both(out).alias(out) for out in values])
+
+
 def first_per_key(df: DataFrame, keys: list[str | Column], order: str) -> DataFrame:
     """The lowest ``order`` of each key: partial aggregation first, so hot keys are cheap."""
     return df.groupBy(*keys).agg(F.min(order).alias(order))

@@ -996,14 +996,73 @@ def dedupe_events(spark, sf):
     return billing.dedupe_events(valid).select("arrival_no")
 
 
-@register("resolve_owner")
+# Event by event: ``walk`` is a dictionary of accounts and of the events decided so far.
+_WALK = """
+WITH RECURSIVE arrived AS (
+  SELECT min(event_id) AS e FROM events WHERE event_id % 101 <> 0
+  GROUP BY CAST(floor(event_id / 10.0 * 9) AS BIGINT)
+), told AS MATERIALIZED (
+  SELECT e, 'evt_' || CAST(floor(e / 10.0 * 9) AS BIGINT) AS event_id,
+         CASE WHEN user_id % 4 = 0 THEN 'org' ELSE 'user' END AS scope, e % 7 = 2 AS hard,
+         CASE WHEN user_id % 4 = 0 THEN CASE WHEN e % 6 <> 0 THEN 'o' || (user_id % 12) END
+              WHEN e % 6 <> 0 OR (e % 7 = 2 AND e % 14 = 2) THEN 'u' || user_id END AS owner,
+         CASE WHEN e % 29 <> 0 THEN 'cus_' || ((user_id + CASE WHEN e % 11 = 0 THEN 1 ELSE 0 END) % 90) END AS customer,
+         CASE WHEN e % 7 = 2 THEN CASE WHEN e % 2 = 0 THEN 'sub_c' || e END ELSE 'sub_' || e END AS subscription_id,
+         CASE WHEN e % 7 <> 2 AND e % 31 <> 0 THEN ['active', 'trialing', 'past_due', 'canceled'][e % 4 + 1] END AS status,
+         CASE WHEN e % 47 <> 0 THEN epoch_us(ts) // 1000000 - e % 5 * 200000 END AS created,
+         TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(e % 40 AS INT)) AS period_end
+  FROM arrived JOIN events ON e = event_id WHERE e % 7 <> 4
+), able AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY e) AS no FROM told
+  WHERE customer IS NOT NULL AND CASE WHEN hard THEN owner IS NOT NULL ELSE status IS NOT NULL END
+), walk(scope, slot, no, owner, customer, born, last, fate, applied) USING KEY (scope, slot) AS (
+  SELECT scope, 'start', 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, false
+  FROM (SELECT DISTINCT scope FROM able)
+  UNION
+  SELECT scope, unnest(CASE WHEN applied THEN ['event ' || no, 'account ' || owner] ELSE ['event ' || no] END), no, owner,
+         customer, coalesce(born, no), CASE WHEN hard OR created IS NULL THEN last ELSE created END, fate, applied
+  FROM (
+    SELECT *, fate = 'mapped' AND (hard OR last IS NULL OR created IS NULL OR created > last) AS applied
+    FROM (
+      SELECT x.scope, x.no, x.hard, x.customer, x.created, x.owner, a.born, a.last,
+             CASE WHEN x.hard THEN 'mapped' WHEN x.owner IS NULL THEN 'unmappable'
+                  WHEN x.holders > coalesce(CASE WHEN a.customer = x.customer THEN 1 END, 0) THEN 'collision' ELSE 'mapped' END AS fate
+      FROM (
+        SELECT e.scope, e.no, e.hard, e.customer, e.created,
+               count(k.slot) FILTER (k.customer = e.customer) AS holders,
+               CASE WHEN e.hard OR bool_or(k.owner = e.owner) THEN e.owner
+                    ELSE coalesce(arg_min(k.owner, k.born) FILTER (k.customer = e.customer), e.owner) END AS owner
+        FROM (SELECT scope, max(no) AS no FROM walk GROUP BY scope) w
+        JOIN able e ON e.scope = w.scope AND e.no = w.no + 1
+        LEFT JOIN recurring.walk k ON k.scope = e.scope AND k.slot LIKE 'account %' AND (k.owner = e.owner OR k.customer = e.customer)
+        GROUP BY e.scope, e.no, e.hard, e.customer, e.created, e.owner
+      ) x LEFT JOIN recurring.walk a ON a.scope = x.scope AND a.slot = 'account ' || x.owner
+    )
+  )
+), decided AS (
+  SELECT t.*, w.owner AS resolved, coalesce(w.fate, 'unmappable') AS disposition, coalesce(w.applied, false) AS applied
+  FROM told t LEFT JOIN able b ON b.e = t.e LEFT JOIN walk w ON w.scope = b.scope AND w.slot = 'event ' || b.no
+)
+"""
+_ACCOUNTS = (
+    "SELECT scope, resolved AS owner, arg_max(customer, e) AS customer, "
+    "arg_max(subscription_id, e) FILTER (subscription_id IS NOT NULL) AS subscription_id, "
+    "coalesce(arg_max(status, e) FILTER (NOT hard), 'incomplete') AS status{} "
+    "FROM decided WHERE applied GROUP BY scope, resolved"
+)
+
+
+@register("resolve_owner", f"{_WALK} SELECT event_id, scope, resolved, disposition FROM decided")
 def resolve_owner(spark, sf):
     return billing.resolve_owner(_billing_rows(spark, sf)).select(
         "event_id", "scope", "resolved", "disposition"
     )
 
 
-@register("customer_collisions")
+@register(
+    "customer_collisions",
+    f"{_WALK} SELECT event_id, scope, owner, customer FROM decided WHERE disposition = 'collision'",
+)
 def customer_collisions(spark, sf):
     return billing.customer_collisions(_billing_rows(spark, sf)).select(
         "event_id", "scope", "owner", "customer"
@@ -1033,7 +1092,10 @@ def applied_events(spark, sf):
     return billing.applied_events(rows, ["k"], chunk_rows=1000).select("arrival_no", "applied")
 
 
-@register("subscription_state")
+_PERIOD_END = ", " + o.ts("arg_max(period_end, e) FILTER (NOT hard)") + " AS period_end"
+
+
+@register("subscription_state", f"{_WALK} {_ACCOUNTS.format(_PERIOD_END)}")
 def subscription_state(spark, sf):
     state = billing.subscription_state(billing.replay(_billing_rows(spark, sf)))
     return state.select(
@@ -1058,10 +1120,10 @@ def stream_dedupe_events(spark, sf):
 @register("stream_usage", _MONTHLY)
 def stream_usage(spark, sf):
     usage = ds.with_usage_columns(event_stream(spark, sf))
-    out = streams.drain_changes(
-        streams.usage_stream(usage), work_dir(spark, "out"), ["user_id", "period"]
+    days = streams.drain_changes(
+        streams.usage_stream(usage), work_dir(spark, "out"), ["user_id", "day"]
     )
-    return out.select(
+    return streams.months(days).select(
         "user_id", "period", F.col("count").alias("scans"),
         F.col("assessments_used").alias("assessments"),
     )
@@ -1101,9 +1163,9 @@ def stream_funnel(spark, sf):
     return _funnel_out(out, "user_id")
 
 
-@register("stream_subscriptions")
+@register("stream_subscriptions", f"{_WALK} {_ACCOUNTS.format('')}")
 def stream_subscriptions(spark, sf):
     payloads = ds.with_payload(event_stream(spark, sf))
     valid = tables.parse_events(payloads).filter("is_valid")
-    state = streams.run_subscription_stream(billing.billing_rows(valid), work_dir(spark, "state"))
+    state = streams.run_subscription_stream(billing.billing_fields(valid), work_dir(spark, "state"))
     return state.select("scope", "owner", "customer", "subscription_id", "status")

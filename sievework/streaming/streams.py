@@ -6,12 +6,16 @@ sinks write one folder per batch id and overwrite it when a batch is replayed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from sievework.functions import lexicon as lx
 from sievework.operators import billing, detect, profile, redact
-from sievework.session import work_dir
+from sievework.session import materialise, work_dir
+from sievework.sources.buckets import BucketTable
 
 
 # ------------------------------------------------------------------ sources, sinks
@@ -41,9 +45,13 @@ def drain_to_files(stream: DataFrame, path: str, checkpoint: str | None = None)
 
 
 def drain_changes(
-    stream: DataFrame, path: str, keys: list[str], checkpoint: str | None = None
-) -> DataFrame:
-    """Update mode: each batch's changed rows go to their own folder; returns the last per key."""
+    stream: DataFrame, path: str, keys: list[str], checkpoint: str | None = None,
+    progress: Callable[[dict], None] | None = None,
+) -> DataFrame:
+    """Update mode: each batch's changed rows go to their own folder; returns the last per key.
+
+    ``progress`` is called with the figures of each of the latest batches.
+    """
     spark = stream.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -57,6 +65,8 @@ def drain_changes(
         .start()
     )
     query.awaitTermination()
+    for figures in query.recentProgress if progress else []:
+        progress(figures)
     log = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     values = [c for c in log.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*values), "batch").alias("_row")
@@ -72,14 +82,27 @@ def dedupe_events(events: DataFrame, delay: str = "7 days", ts: str = "ts") -> D
 
 
 def usage_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Running counts per user and calendar month."""
+    """Running counts per user and day: ``user_id, day, count, assessments_used``.
+
+    Days are event-time windows, so the state of a day goes when the watermark has passed its end: state is that
+    of the days still open, not of all months.  Events later than ``delay`` are not counted; the stream's
+    progress reports how many they were.  ``months`` folds the days.
+    """
     return (
         events.withWatermark("ts", delay)
-        .groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("period"))
+        .groupBy("user_id", F.window("ts", "1 day"))
         .agg(
             F.count_if(F.col("kind") == "scan").alias("count"),
             F.count_if(F.col("kind") == "assessment").alias("assessments_used"),
         )
+        .select("user_id", F.to_date("window.start").alias("day"), "count", "assessments_used")
+    )
+
+
+def months(days: DataFrame) -> DataFrame:
+    """Daily usage folded into ``user_id, period, count, assessments_used``."""
+    return days.groupBy("user_id", F.date_format("day", "yyyy-MM").alias("period")).agg(
+        F.sum("count").alias("count"), F.sum("assessments_used").alias("assessments_used")
     )
 
 
@@ -144,59 +167,99 @@ def subscription_merge(state: DataFrame | None, rows: DataFrame) -> DataFrame:
     return billing.subscription_state(billing.replay(history))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions of a state table, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(root):
-        return []
-    found = []
-    for entry in store.listStatus(root):
-        folder = entry.getPath()
-        done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-        if folder.getName().startswith("version=") and store.exists(done):
-            found.append(int(folder.getName().removeprefix("version=")))
-    return sorted(found)
+class _FirstArrival(StatefulProcessor):
+    """Lets the earliest arrival of an event id pass, once; ``ttl_ms`` forgets ids after that time."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "arrival_no long", self.ttl_ms)
 
-def _drop_version(spark: SparkSession, path: str, version: int) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        if not self.seen.exists():
+            first = min(rows, key=lambda r: r["arrival_no"])
+            self.seen.update((first["arrival_no"],))
+            yield first
 
+    def close(self) -> None:
+        pass
 
-def run_subscription_stream(rows: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
-    """Fold arriving billing rows into a versioned state table and return its last version.
 
-    Version n depends only on version n-1 and batch n, so a repeated batch writes the same folder
-    again.  A version older than the one before is removed.  A restart without new data returns
-    the version that was committed last.
+def first_arrivals(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Each event id once: its first arrival, whatever batch the others come in.
+
+    One small value per id in the keyed state store, read and written for the ids of a batch only.
+    """
+    rows.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return rows.groupBy("event_id").transformWithState(
+        _FirstArrival(ttl_ms), rows.schema, "Append", "None" if ttl_ms is None else "ProcessingTime"
+    )
+
+
+STATE = (
+    "scope string, owner string, customer string, subscription_id string, status string, "
+    "current_period_end timestamp, last_event_at timestamp, from_checkout boolean, since long"
+)
+
+
+def _tables(spark: SparkSession, path: str, buckets: int, before: int | None = None) -> tuple[BucketTable, BucketTable]:
+    """The accounts by owner, and which owners hold a customer."""
+    accounts = BucketTable(spark, f"{path}/accounts", STATE, ["scope", "owner"], None, buckets, before)
+    holders = BucketTable(
+        spark, f"{path}/holders", "scope string, customer string, owner string",
+        ["scope", "customer", "owner"], ["scope", "customer"], buckets, before,
+    )
+    return accounts, holders
+
+
+def merge_subscriptions(
+    spark: SparkSession, path: str, batch: DataFrame, version: int, buckets: int = 64
+) -> dict[str, list[int]]:
+    """Fold a batch of billing rows into the tables under ``path``; returns the buckets written.
+
+    A batch can change the accounts it names and those that hold one of its customers, and nothing it decides
+    depends on others: an account that leaves a customer matters only to events on that customer.  So only
+    their buckets are read and written.
+    """
+    accounts, holders = _tables(spark, path, buckets, before=version)
+    accounts.vacuum()
+    holders.vacuum()
+    named = batch.filter("owner is not null").select("scope", "owner")
+    customers = batch.filter("customer is not null").select("scope", "customer")
+    touched = materialise(named.unionByName(holders.lookup(customers).select("scope", "owner")).distinct(), "subscriptions")
+    state = materialise(accounts.lookup(touched), "subscriptions")
+    new = materialise(subscription_merge(state, batch), "subscriptions")
+    held = lambda t: t.select("scope", "customer", "owner")
+    moved = held(new).exceptAll(held(state)), held(state).exceptAll(held(new))
+    return {"accounts": accounts.merge(version, new), "holders": holders.merge(version, *moved)}
+
+
+def run_subscription_stream(
+    rows: DataFrame, path: str, checkpoint: str | None = None, buckets: int = 64, ttl_ms: int | None = None
+) -> DataFrame:
+    """Fold arriving events into the subscription tables under ``path`` and return the accounts.
+
+    ``rows`` are billing rows of any event type (``billing.billing_fields``): ids count for all of them, accounts
+    change by some.  A batch reads and writes the buckets of its own keys; version n depends on the versions
+    before n and batch n only, so a repeated batch writes the same again, and a restart without
+    new data returns what was committed last.
     """
     spark = rows.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in _versions(spark, path) if v < batch_id]
-        state = spark.read.parquet(f"{path}/version={before[-1]}") if before else None
-        # Each event id once, by its first arrival; ids of every batch stay on record.
-        fresh = billing.dedupe_events(batch)
-        if known := [v for v in _versions(spark, f"{path}-ids") if v < batch_id]:
-            seen = spark.read.parquet(*[f"{path}-ids/version={v}" for v in known])
-            fresh = fresh.join(seen, "event_id", "left_anti")
-        fresh.select("event_id").write.mode("overwrite").parquet(f"{path}-ids/version={batch_id}")
-        subscription_merge(state, fresh.select(*batch.columns)).write.mode("overwrite").parquet(
-            f"{path}/version={batch_id}"
-        )
-        for version in before[:-1]:
-            _drop_version(spark, path, version)
+        merge_subscriptions(spark, path, billing.only_billing(batch), batch_id, buckets)
 
     query = (
-        rows.writeStream.foreachBatch(merge)
+        first_arrivals(rows, ttl_ms)
+        .writeStream.foreachBatch(merge)
         .outputMode("append")
         .option("checkpointLocation", checkpoint or work_dir(spark, "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    committed = _versions(spark, path)
-    if not committed:
-        return subscription_merge(None, spark.createDataFrame([], rows.schema))
-    return spark.read.parquet(f"{path}/version={committed[-1]}")
+    return _tables(spark, path, buckets)[0].read()

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from sievework.operators import billing, crm, detect, imports, matching, notes, profile, prompts, scope
-from sievework.operators.skew import running_max_before
+from sievework.operators.skew import running_before, running_max_before
 from sievework.session import work_dir
 from sievework.sources import files, tables
+from sievework.sources.buckets import BucketTable
 from sievework.streaming import streams
 
 
@@ -373,3 +374,103 @@ def test_upload_triage(spark, tmp_path):
     assert got == {"a.pdf": "ok", "b.txt": "type_mismatch", "c_d.txt": "ok", "e.txt": "ok"}
     kept = files.decode_text(up.filter(F.col("filename").endswith("txt"))).collect()
     assert {r.text for r in kept} == {"PK\x03\x04", "caf� �"}
+
+
+def test_turns_follow_customers_like_a_loop(spark):
+    """Ownership by turns, with timelines cut into short stretches, against the loop."""
+    rng = random.Random(12)
+    flips = []  # two customers handed around, every hand-over decided by the one before
+    for n in range(7):
+        flips += [(UP, n, "abc"[n % 3], f"c{n % 2}", None, "active")]
+    crowd = [("checkout.session.completed", 1, o, "c1", None, None) for o in "abc"] + [
+        (UP, 2, None, "c1", "s", "active"), (UP, 3, "new", "c1", "s", "active"), (UP, 4, "a", "c2", "s", "active"),
+        (UP, 5, "new", "c1", "s", "active"), (UP, 6, "b", "c3", "s", "active"), (UP, 7, "new", "c1", "s", "active"),
+    ]
+    for spec, chunk in [(flips, 5), (crowd, 2), (random_spec(rng, 45), 7)]:
+        rows = billing_events(spark, spec)
+        want, fates = one_by_one(spec)
+        done = billing.replay(rows, chunk=chunk, few=0)
+        got = sorted(done.collect(), key=lambda r: r.arrival_no)
+        assert [r.disposition for r in got] == fates
+        loop = sorted(billing.replay(rows).collect(), key=lambda r: r.arrival_no)
+        assert [(r.resolved, r.applied) for r in got] == [(r.resolved, r.applied) for r in loop]
+        state = billing.subscription_state(done).collect()
+        assert {r.owner: (r.customer, r.subscription_id, r.status) for r in state} == want
+
+
+def test_running_before(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(-40, 40), rng.choice([None, *range(9)])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    values = {"top": ("max", F.col("v")), "low": ("min", F.col("v")), "all": ("sum", F.col("v"))}
+    for chunk in (7, 1000):
+        for r in running_before(df, ["k"], "t", values, chunk).collect():
+            seen = [v for k, t, v in rows if k == r.k and t < r.t and v is not None]
+            want = (max(seen), min(seen), sum(seen)) if seen else (None, None, None)
+            assert (r.top, r.low, r["all"]) == want
+
+
+def test_batches_touch_the_buckets_of_their_keys(spark):
+    schema = billing_events(spark, []).schema
+    path = work_dir(spark, "subscriptions")
+    ids = [f"u{n}" for n in range(200)]
+    first = billing_events(spark, [(UP, 1, u, f"c{u}", "s", "active") for u in ids])
+    streams.merge_subscriptions(spark, path, first, 0, buckets=32)
+    second = billing_events(spark, [(UP, 2, "u7", "cu7", "s", "canceled"), (UP, 2, None, "cu9", "t", "past_due")])
+    second = second.withColumn("arrival_no", F.col("arrival_no") + 1000)
+    for _ in range(2):  # a repeated batch changes nothing
+        written = streams.merge_subscriptions(spark, path, second, 1, buckets=32)
+        assert 1 <= len(written["accounts"]) <= 2 and not written["holders"]
+        accounts, _ = streams._tables(spark, path, 32)
+        assert {v for b, v in accounts.pointer.items() if b in written["accounts"]} == {1}
+        assert {v for b, v in accounts.pointer.items() if b not in written["accounts"]} == {0}
+        got = {r.owner: r.status for r in accounts.read().collect()}
+        assert got == {u: {"u7": "canceled", "u9": "past_due"}.get(u, "active") for u in ids}
+    assert spark.createDataFrame([], schema).schema == schema
+
+
+def test_a_bucket_table_forgets_what_no_version_needs(spark):
+    path = work_dir(spark, "buckets")
+    table = lambda **x: BucketTable(spark, path, "k long, v string", ["k"], buckets=4, **x)
+    for version, (keys, gone) in enumerate([(range(20), []), ([1, 2], []), ([3], [5]), ([], [1])]):
+        changes = spark.createDataFrame([(k, f"v{version}") for k in keys], "k long, v string")
+        removed = spark.createDataFrame([(k,) for k in gone], "k long")
+        now = table()
+        now.vacuum()
+        now.merge(version, changes, removed)
+    want = {k: "v0" for k in range(20)} | {2: "v1", 3: "v2"}
+    del want[5], want[1]
+    assert {r.k: r.v for r in table().read().collect()} == want
+    assert {r.k for r in table(before=3).read().collect()} == {*want, 1}
+
+
+def test_ids_of_every_event_type_count(spark):
+    """A re-sent id is dropped whatever type its first arrival had, also in a later batch."""
+    rows = billing_events(spark, [
+        ("invoice.paid", 1, "a", "c1", "s", "active"), (UP, 2, "a", "c1", "s", "active"), (UP, 3, "b", "c2", "s", "active"),
+        (UP, 4, "b", "c2", "s", "canceled"),
+    ]).withColumn("event_id", F.expr("element_at(array('x', 'x', 'y', 'y'), cast(arrival_no + 1 as int))"))
+    path = work_dir(spark, "arrivals")
+    for part in (rows.filter("arrival_no in (0, 1, 2)"), rows.filter("arrival_no = 3")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = streams.run_subscription_stream(live, work_dir(spark, "state")).collect()
+    assert [(r.owner, r.status) for r in out] == [("b", "active")]
+
+
+def test_usage_state_leaves_with_the_watermark(spark):
+    path, at = work_dir(spark, "usage"), datetime(2024, 1, 28)
+    rows = [(f"u{n % 5}", at + timedelta(hours=n), ["scan", "assessment"][n % 3 == 0]) for n in range(240)]
+    for part in range(4):
+        chunk = rows[part * 60 : part * 60 + 60]
+        spark.createDataFrame(chunk, "user_id string, ts timestamp, kind string").coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema("user_id string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(path)
+    sizes = []
+    days = streams.drain_changes(
+        streams.usage_stream(live), work_dir(spark, "out"), ["user_id", "day"],
+        progress=lambda p: sizes.append(p["stateOperators"][0]["numRowsTotal"]),
+    )
+    got = {tuple(r) for r in streams.months(days).collect()}
+    batch = spark.createDataFrame(rows, "user_id string, ts timestamp, kind string")
+    assert got == {tuple(r) for r in billing.monthly_usage(batch).collect()}
+    assert len(days.collect()) == 50 and max(sizes) < 50 and sizes[-1] < max(sizes)
