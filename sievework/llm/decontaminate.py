@@ -11,10 +11,11 @@ Candidates are verified by the weighted Jaccard similarity of their 5-word shing
 than an item, but long enough to be as similar, is one window as a whole.  Two texts
 at the least similarity of 0.75 differ in about 11 of 64 bits, with a deviation of 3; the radius is 23.
 
-The items go to the tasks in blocks of bounded text size; a larger benchmark means more
+The items go to the tasks in blocks of bounded text size, one at a time; a larger benchmark means more
 passes over the documents, never a larger broadcast.
 
-Defined cases: null and empty texts have no windows and are kept; items without words are ignored;
+Defined cases: null and empty texts have no windows and are kept; items without words are
+ignored, items without an id count, each for itself;
 items or documents of fewer than five words have their whole word sequence as one shingle; of windows
 with equal similarity the first is reported; repeated rows are judged alike; an empty benchmark keeps
 everything.  Extra columns pass through.
@@ -22,15 +23,17 @@ everything.  Extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.words import documents_words, shingles
+from sievework.llm.words import documents_words, shingles, whole_row
+from sievework.session import materialise
 
 WIDTH, BLOCKS, RADIUS = 5, 8, 23
 BLOCK_CHARS = 8_000_000
@@ -157,40 +160,72 @@ class Index:
                         best[x.ids[i]] = (sim, part + w, x.n_words)
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        "item_id is not null and text is not null"
-    )
+_NO_ITEM = -(1 << 62)  # items without an id count down from here
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items and the number of blocks they go in."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
+    return items, -(-chars // BLOCK_CHARS)
+
+
+def _index(items: DataFrame, k: int, n: int) -> Index:
+    part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+    return Index([(_NO_ITEM - nth if item is None else item, text) for nth, (item, text) in enumerate(rows)])
 
 
 _HITS = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,similarity:double>>"
+_HIT_NAMES = ("item_id", "first_word", "n_words", "similarity")
+
+
+def _searched(rows: DataFrame, index: Broadcast, least: float, out: str) -> DataFrame:
+    """``rows`` with the hits of one index in ``out``."""
+
+    def search(batches):
+        kind = None
+        for batch in batches:
+            found = []
+            for words, _, _ in documents_words(batch["text"], True):
+                hits = index.value.matches(words, least)
+                hits = [(None if hit[0] <= _NO_ITEM else hit[0], *hit[1:]) for hit in hits]
+                found.append([dict(zip(_HIT_NAMES, hit, strict=True)) for hit in hits])
+            at = batch.schema.get_field_index(out)
+            kind = batch.schema.field(at)
+            yield batch.set_column(at, kind, pa.array(found, kind.type))
+
+    rows = rows.withColumn(out, F.array().cast(_HITS))
+    return rows.mapInArrow(search, T.StructType(rows.schema.fields))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, out: str = "leaks") -> DataFrame:
     """``docs`` with ``leaks``: per benchmark item that a window of the text repeats, the best window."""
-    names = ("item_id", "first_word", "n_words", "similarity")
-    rows = docs.withColumn(out, F.array().cast(_HITS))
-    for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches, shared=shared):
-            for batch in batches:
-                found = []
-                texts = documents_words(batch["text"], True)
-                for old, (words, _, _) in zip(batch[out].to_pylist(), texts, strict=True):
-                    new = shared.value.matches(words, least)
-                    found.append([*old, *(dict(zip(names, hit, strict=True)) for hit in new)])
-                at = batch.schema.get_field_index(out)
-                field = batch.schema.field(at)
-                yield batch.set_column(at, field, pa.array(found, field.type))
-
-        rows = rows.mapInArrow(search, T.StructType(rows.schema.fields))
-    return rows
+    items, n = _items(benchmark)
+    context = docs.sparkSession.sparkContext
+    if n == 0:
+        return docs.withColumn(out, F.array().cast(_HITS))
+    if n == 1:
+        return _searched(docs, context.broadcast(_index(items, 0, 1)), least, out)
+    # One block at a time: its hits are written, few and narrow, before the next one is sent.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), "text")
+    parts = []
+    for k in range(n):
+        shared = context.broadcast(_index(items, k, n))
+        hits = _searched(texts, shared, least, "hits").filter(F.size("hits") > 0)
+        hits = hits.select("id", "print", "hits").dropDuplicates(["id", "print"])
+        parts.append(materialise(hits, f"leaks{k}"))
+        shared.unpersist()
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("id", "print").agg(
+        F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")
+    )
+    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"))
+    on = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.print") == F.col("f.print"))
+    joined = rows.alias("d").join(every.alias("f"), on, "left")
+    return joined.select(
+        *[F.col(f"d.doc.`{c}`") for c in docs.columns if c != out],
+        F.coalesce("f.hits", F.array().cast(_HITS)).alias(out),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:

@@ -15,6 +15,7 @@ empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     settled = []
     open_rows = hashed
-    for turn in range(1 << 10):
+    for turn in itertools.count():
         keys = ["n_bytes", "print"]
         groups = open_rows.groupBy(*keys).agg(
             F.max(F.struct("id", "text_sha256")).alias("keeper"), F.count("*").alias("n")

@@ -23,7 +23,8 @@ groups that share a posting and fit, in one component or not, so its links are a
 Defined cases: texts without words (null, empty) have size 0 and are linked with nothing; fewer words than a
 shingle make one shingle; equal sets are one class, with no pairs inside; a null ``doc_id`` counts as
 the smallest id; repeated rows are returned as often as they occur; an empty table gives an empty
-result.  Extra columns are ignored by ``components_of`` and pass through ``keep_one``.
+result.  Extra columns are ignored by ``components_of`` and pass through ``keep_one``, which keeps one row of a
+component, whatever ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.components import components
-from sievework.llm.words import documents_words, mix, shingles
+from sievework.llm.words import documents_words, mix, shingles, whole_row
 from sievework.session import materialise
 
 WIDTH, NUM, DEN = 5, 3, 4  # similarity of NUM / DEN
@@ -337,19 +338,38 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(found: Classes) -> DataFrame:
-    """``cid, rep, component`` of every class."""
+    """``cid, rep, root, component`` of every class."""
     roots = components(found.links, "jaccard-roots").toDF("cid", "root")
     labelled = found.classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    return materialise(labelled.join(smallest, "root").select("cid", "rep", "component"), "jaccard-components")
+    return materialise(labelled.join(smallest, "root").select("cid", "rep", "root", "component"), "jaccard-components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest ``doc_id``; documents without
-    words all stay."""
+    """One row of each component: that of the smallest real ``doc_id``, or of none if all are null, and of texts
+    under one id the one of the smallest hash.  Documents without words all stay.
+
+    A row is known by its id and its text's hash, so another text under a dropped row's id stays; of rows
+    alike in both, one stays.
+    """
     found = join_classes(docs, every=False)
-    rows = found.documents.join(_labelled(found), "cid")
-    other = (F.col("id") != F.col("component")) & (F.col("component") != _NO_ID)
-    dropped = materialise(rows.filter(other).select(F.col("id").alias("doc_id")).distinct(), "jaccard-dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = found.documents.join(_labelled(found).select("cid", "root"), "cid").groupBy("root", "id", "print").agg(
+        F.count("*").alias("copies")
+    )
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id") == _NO_ID, "id", "print")).alias("first"))
+    judged = materialise(
+        rows.join(first, "root").select(
+            "id", "print", ((F.col("id") == F.col("first.id")) & (F.col("print") == F.col("first.print"))).alias("stays"),
+            "copies",
+        ).filter("not stays or copies > 1"),
+        "jaccard-judged",
+    )
+    keyed = docs.select(
+        whole_row(docs).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.xxhash64("text").alias("print"),
+    )
+    alone = keyed.join(judged, ["id", "print"], "left_anti").select("doc")
+    # Repeated rows of one id and text: any of them, chosen by what it holds.
+    repeated = keyed.join(judged.filter("stays"), ["id", "print"], "left_semi").withColumn("held", F.to_json("doc"))
+    one = repeated.groupBy("id", "print").agg(F.min_by("doc", "held").alias("doc")).select("doc")
+    return alone.unionByName(one).select(*[F.col(f"doc.`{c}`") for c in docs.columns])

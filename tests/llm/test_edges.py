@@ -61,7 +61,7 @@ def test_jaccard(odd, empty):
     assert jaccard.components_of(empty).count() == 0
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 2, 3, 4, 5, 8]
 
 
 def test_keep_one_keeps_the_smallest_id(spark):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import centroids, divergence, licenses
+from sievework.llm import centroids, decontaminate, divergence, jaccard, licenses
 
 FOLD = str.maketrans({c: c + 32 for c in range(65, 91)})
 CLASHES = ["term", "n", "d", "row", "code", "group", "rank", "value", "part", "p", "q", "base", "cluster", "distance",
@@ -234,3 +234,39 @@ def test_notices(spark):
     assert (span.start, span.end) == (3, 3 + 70 + 2) and abs(span.coverage - 70 / len(words)) < 1e-9
     assert not rows[3].spans and not rows[4].spans
     assert [(s.start, s.end) for s in rows[5].spans] == [(0, len(words)), (len(words) + 1, 2 * len(words) + 1)]
+
+
+# ------------------------------------------------------------------ stages of earlier operators
+
+
+def test_keep_one_drops_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d), (7, a + " more"), (8, None), (8, None)]
+    rows = [(i, t, n) for n, (i, t) in enumerate(rows)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(3))
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, a), (2, b), (3, c), (None, d), (8, None), (8, None)])
+
+
+def test_items_without_an_id_and_blocks_one_at_a_time(spark, monkeypatch):
+    passages = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcd"]
+    items = [(1, passages[0]), (None, passages[1]), (None, passages[2]), (4, None)]
+    docs = [(n, f"x y {p} z") for n, p in enumerate(passages)] + [(None, passages[1]), (None, passages[3]), (0, passages[2]), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+
+    def found():
+        rows = decontaminate.leaks(df, bench).collect()
+        return sorted(((r.doc_id, r.text, r.leaks) for r in rows), key=str)
+
+    one = found()
+    assert [len(x) for _, _, x in one] == [len([p for p in passages[:3] if p in (t or "")]) for _, t, _ in one]
+    assert {h.item_id for _, _, x in one for h in x} == {1, None}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    alive = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: alive.append(v) or broadcast(v))
+    assert found() == one and len(alive) > 1
+    kept = decontaminate.decontaminate(df, bench)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"]
