@@ -94,18 +94,42 @@ def snippet_sql(text: str, start: str, end: str, reach: int = 30) -> str:
     return f"concat('...', replace({piece}, '\\n', ' '), '...')"
 
 
+FEW_PAIRS = 256
+
+
+def _before_sql(kept: str, points: str, tie: str) -> str:
+    """Per point, in order: how many of ``kept`` stand before it; ``tie`` says which side goes first."""
+    first, second = ("0", "1") if tie == "kept" else ("1", "0")
+    merged = (
+        f"array_sort(concat(transform({kept}, p -> named_struct('at', p, 'side', {first}, 'point', false)), "
+        f"transform({points}, p -> named_struct('at', p, 'side', {second}, 'point', true))))"
+    )
+    placed = f"transform({merged}, (x, i) -> named_struct('i', i, 'point', x.point))"
+    return f"transform(filter({placed}, x -> x.point), (x, j) -> x.i - j)"
+
+
 def suppress_overlaps_sql(groups: list[str], kept_type: str) -> str:
     """Fold span arrays in priority order.
 
     A span is dropped when its start or its end falls inside a span kept from an
-    earlier group.  Spans of one group never overlap, so whole groups are
-    filtered at once.
+    earlier group.  Spans of one group are in order and never overlap, so whole groups are
+    filtered at once.  A few are compared with each other; of many, starts and ends are merged with those
+    of the kept spans in one sort: a point is inside a span where more have begun than ended.
     """
     clash = (
         "exists(kept, k -> (k.start <= s.start AND s.start < k.`end`) "
         "OR (k.start < s.`end` AND s.`end` <= k.`end`))"
     )
+    swept = "filter(grp, (s, j) -> get(sb, j) <= get(se, j) AND get(eb, j) <= get(ee, j))"
+    for name, kept, points, tie in (
+        ("ee", "kept.`end`", "grp.`end`", "point"),
+        ("eb", "kept.start", "grp.`end`", "point"),
+        ("se", "kept.`end`", "grp.start", "kept"),
+        ("sb", "kept.start", "grp.start", "kept"),
+    ):
+        swept = let(_before_sql(kept, points, tie), name, swept)
     return (
         f"aggregate(array({', '.join(groups)}), cast(array() AS {kept_type}), "
-        f"(kept, grp) -> concat(kept, filter(grp, s -> NOT {clash})))"
+        f"(kept, grp) -> concat(kept, CASE WHEN cast(size(kept) AS bigint) * size(grp) <= {FEW_PAIRS} "
+        f"THEN filter(grp, s -> NOT {clash}) ELSE {swept} END))"
     )

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as invisible
 TINY_POINTS = 3.0
 NEAR_WHITE = 0.9
 INK_LIMIT = 0.1
 
-_STYLED = r"(?is)<[a-z][a-z0-9]*\b[^>]*?\bstyle\s*=\s*[\"']([^\"'>]*)[\"'][^>]*>([^<]*)"
 _COMMENT = r"(?s)<!--(.*?)-->"
 _META = (
     r"(?is)<meta\b[^>]*?\bname\s*=\s*[\"'](?:title|author|subject|keywords|description)[\"']"
@@ -21,49 +22,112 @@ _META = (
 _TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
-def _number(style: Column, regex: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(style, regex, group), F.lit("")).try_cast("double")
+# Elements without content, and those that begin a new line
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCK = frozenset("address article aside blockquote br dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p "
+                  "pre section table td th tr ul".split())
+SELF_CLOSING = frozenset("dd dt li option p td th tr".split())  # a second one ends the first
+RAW = frozenset(("script", "style"))
 
-
-def is_tiny(style: Column) -> Column:
-    points = _number(style, r"(?i)font-size\s*:\s*([0-9.]+)\s*pt")
-    pixels = _number(style, r"(?i)font-size\s*:\s*([0-9.]+)\s*px") * 0.75
-    return F.coalesce(F.coalesce(points, pixels) < TINY_POINTS, F.lit(False))
-
-
-def is_near_white(style: Column) -> Column:
-    colour = r"(?i)(?:^|[;\s])color\s*:\s*"
-    named = style.rlike(colour + r"white\b")
-    short = style.rlike(colour + r"#[ef]{3}(?![0-9a-f])")
-    long = style.rlike(colour + r"#(?:e[6-9a-f]|f[0-9a-f]){3}(?![0-9a-f])")
-    rgb = [
-        _number(style, colour + r"rgba?\(\s*([0-9.]+)[\s,]+([0-9.]+)[\s,]+([0-9.]+)", i) / 255
-        for i in (1, 2, 3)
-    ]
-    cmyk = [
-        _number(
-            style,
-            colour + r"device-cmyk\(\s*([0-9.]+)[\s,]+([0-9.]+)[\s,]+([0-9.]+)[\s,]+([0-9.]+)",
-            i,
-        )
-        for i in (1, 2, 3, 4)
-    ]
-    light = reduce(lambda a, b: a & b, [c >= NEAR_WHITE for c in rgb])
-    bare = reduce(lambda a, b: a & b, [c <= INK_LIMIT for c in cmyk])
-    return named | short | long | F.coalesce(light, F.lit(False)) | F.coalesce(bare, F.lit(False))
+_TOKEN = re.compile(
+    r"""<!--.*?-->|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)\b(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S
+)
+_STYLE = re.compile(r"""\bstyle\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+_SIZE = re.compile(r"font-size\s*:\s*([0-9.]+)\s*(pt|px)", re.I)
+_COLOUR = re.compile(r"(?:^|[;\s])color\s*:\s*([^;]+)", re.I)
+_LIGHT = re.compile(r"white\b|#[ef]{3}(?![0-9a-f])|#(?:e[6-9a-f]|f[0-9a-f]){3}(?![0-9a-f])", re.I)
+_CHANNELS = re.compile(r"(rgba?|device-cmyk)\(([^)]*)", re.I)
+
+
+def _numbers(found: str) -> list[float]:
+    parts = [x for x in re.split(r"[\s,/]+", found.strip()) if x]
+    try:
+        return [float(x) for x in parts]
+    except ValueError:
+        return []
+
+
+def is_tiny(style: str) -> bool | None:
+    """Does the style make text too small to read?  None: it does not set a size in points or pixels."""
+    sizes = [_numbers(n)[:1] and (unit.lower(), _numbers(n)[0]) for n, unit in _SIZE.findall(style)]
+    if not (sizes := [x for x in sizes if x]):
+        return None
+    unit, value = sizes[-1]
+    return value * (0.75 if unit == "px" else 1) < TINY_POINTS
+
+
+def is_near_white(style: str) -> bool | None:
+    """Does the style make text about as light as paper?  None: it sets no colour."""
+    colours = [c.strip() for c in _COLOUR.findall(style) if c.strip().lower() != "inherit"]
+    if not colours:
+        return None
+    if _LIGHT.match(colours[-1]):
+        return True
+    if found := _CHANNELS.match(colours[-1]):
+        values = _numbers(found[2])
+        if found[1].lower() == "device-cmyk":
+            return len(values) >= 4 and max(values[:4]) <= INK_LIMIT
+        return len(values) >= 3 and min(values[:3]) / 255 >= NEAR_WHITE
+    return False
+
+
+def hidden_in(html: str) -> list[str]:
+    """Text of elements that cannot be seen, one entry per stretch of it.
+
+    One pass over tags and texts with the open elements on a stack.  Size and colour are inherited until a style
+    sets them anew; an end tag closes the elements inside, one that closes nothing is ignored.
+    """
+    found: list[str] = []
+    held: list[str] = []
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    raw = ""
+    for token in _TOKEN.finditer(html):
+        tag = (token["tag"] or "").lower()
+        if raw:
+            if token["end"] and tag == raw:
+                raw = ""
+            continue
+        if not tag:
+            text = token[0]
+            if text.startswith("<!--"):
+                continue
+            if stack[-1][1] or stack[-1][2]:
+                held.append(text)
+            elif held and text.strip():
+                found.append("".join(held).strip())
+                held = []
+            continue
+        if held and tag in BLOCK:
+            held.append("\n")
+        if token["end"]:
+            if any(x[0] == tag for x in stack[1:]):
+                while stack.pop()[0] != tag:
+                    pass
+            continue
+        if tag in SELF_CLOSING and stack[-1][0] == tag:
+            stack.pop()
+        style = _STYLE.search(token["rest"])
+        css = (style[1] or style[2] or "") if style else ""
+        tiny, white = is_tiny(css), is_near_white(css)
+        _, was_tiny, was_white = stack[-1]
+        if tag in RAW:
+            raw = tag
+        elif tag not in VOID and not token["rest"].rstrip().endswith("/"):
+            stack.append((tag, was_tiny if tiny is None else tiny, was_white if white is None else white))
+    if held:
+        found.append("".join(held).strip())
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _hidden_udf(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: hidden_in(h) if h else [])
 
 
 def hidden_runs(html: Column) -> Column:
-    """array<string>: text of elements styled to be invisible."""
-    styled = F.zip_with(
-        F.regexp_extract_all(html, F.lit(_STYLED), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(_STYLED), F.lit(2)),
-        lambda s, t: F.struct(s.alias("style"), t.alias("text")),
-    )
-    unseen = F.filter(styled, lambda x: is_tiny(x["style"]) | is_near_white(x["style"]))
-    return F.when(
-        html.rlike(r"(?i)\bstyle\s*="), F.transform(unseen, lambda x: x["text"])
-    ).otherwise(F.array().cast("array<string>"))
+    """array<string>: text of elements styled to be invisible, or inside such.  Only pages with a style are parsed."""
+    styled = F.when(html.rlike(r"(?i)\bstyle\s*="), html)
+    return F.transform(_hidden_udf(styled), lambda t: F.regexp_replace(t, r"\s*\n\s*", "\n"))
 
 
 def visible_text(html: Column) -> Column:

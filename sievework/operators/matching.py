@@ -7,8 +7,11 @@ tokens; nothing is compared that shares no token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
 from sievework.operators.profile import STRINGS, flat_skills
 from sievework.operators.scope import visible_to
-from sievework.operators.skew import rank_top
+from sievework.operators.skew import rank_top, split_join
+from sievework.session import materialise
 
 
 def category_weight(category: Column) -> Column:
@@ -107,6 +111,104 @@ def jd_match_corpus(cvs: DataFrame, jds: DataFrame) -> DataFrame:
     )
 
 
+JD_BLOCK = 1_000
+SET_ROWS = 256
+
+
+class _Wanted:
+    """Job descriptions as numbers: per category its weight, size and skills, in the order of the map."""
+
+    def __init__(self, rows: list):
+        skills = {s: k for k, s in enumerate(sorted({s for r in rows for v in r.skills.values() for s in v}))}
+        self.number = skills
+        self.jds = []
+        for r in rows:
+            parts = [
+                (float(lx.CATEGORY_WEIGHTS.get(c, lx.DEFAULT_CATEGORY_WEIGHT)), len(v), np.array([skills[s] for s in v]))
+                for c, v in r.skills.items() if v
+            ]
+            own = np.unique(np.concatenate([p[2] for p in parts]))
+            self.jds.append((r.jd_id, parts, own, sum(p[0] for p in parts)))
+
+    def scores(self, parts: list, total: float, n: int, has: np.ndarray) -> np.ndarray:
+        """``match_score`` of rows of ``has`` (which skills are there): the arithmetic of ``jd_match``."""
+        earned = np.zeros(len(has))
+        for weight, size, own in parts:
+            earned += weight * (has[:, own].sum(axis=1) / size)
+        raw = np.rint(100 * earned / total).astype(np.int64)
+        return np.minimum(raw, lx.SPARSE_JD_CAP) if n < lx.MIN_JD_SKILLS else raw
+
+
+def _best_sets(batches: Iterator[pa.RecordBatch], wanted: _Wanted, k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` skill sets of a task per job description, by score and smallest document.
+
+    Sets come sorted, so neighbours have skills in common.  Of a block of sets, the skills that any of them has
+    bound every category's share; a block whose bound is below a description's k-th best is passed over.
+    """
+    best: list[list[tuple[int, int, str]]] = [[] for _ in wanted.jds]
+    for batch in batches:
+        for at in range(0, len(batch), SET_ROWS):
+            part = batch.slice(at, SET_ROWS)
+            docs, keys = part["first_doc"].to_numpy(), part["cv_set"].to_pylist()
+            has = np.zeros((len(part), len(wanted.number)), dtype=bool)
+            for row, skills in enumerate(part["flat"].to_pylist()):
+                has[row, [wanted.number[s] for s in skills if s in wanted.number]] = True
+            any_has = has.any(axis=0)[None]
+            for j, (_, parts, own, total) in enumerate(wanted.jds):
+                held = best[j]
+                if not any_has[0, own].any():
+                    continue
+                if len(held) == k and wanted.scores(parts, total, len(own), any_has)[0] < -held[-1][0]:
+                    continue
+                rows = np.flatnonzero(has[:, own].any(axis=1))
+                scores = wanted.scores(parts, total, len(own), has[rows])
+                order = np.lexsort((docs[rows], -scores))[:k]
+                held += [(-int(scores[i]), int(docs[rows[i]]), keys[rows[i]]) for i in order]
+                held.sort()
+                del held[k:]
+    rows = [(wanted.jds[j][0], key, -score, doc) for j, held in enumerate(best) for score, doc, key in held]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = {"jd_id": pa.int64(), "cv_set": pa.string(), "score": pa.int64(), "first_doc": pa.int64()}
+    yield pa.record_batch({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+
+def jd_top(cvs: DataFrame, jds: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` CVs per job description, of those that share a skill: score, then ``doc_id``; with ``rank``.
+
+    ``cvs`` and ``jds`` as for ``jd_match_corpus``.  Each distinct skill set is looked at once with its smallest
+    documents; a task keeps ``k`` sets per description, and only those become pairs.  ``k`` sets of a
+    higher score, or of an equal one and smaller documents, leave no place for another set's documents.
+    Descriptions go to the tasks ``JD_BLOCK`` at a time.
+    """
+    key = F.array_join(F.array_sort(_flat(F.col("skills"))), _SEP)
+    people = materialise(cvs.select("doc_id", "skills", key.alias("cv_set")).filter("cv_set <> ''"), "cv-skills")
+    few = rank_top(people, ["cv_set"], [F.asc("doc_id")], k).select("doc_id", "cv_set")
+    sets = people.groupBy("cv_set").agg(F.min("doc_id").cast("long").alias("first_doc"))
+    sets = sets.repartitionByRange("cv_set").sortWithinPartitions("cv_set").select(
+        "cv_set", "first_doc", F.split("cv_set", _SEP).alias("flat")
+    )
+    sets = materialise(sets, "skill-sets")
+    kept = F.filter(F.map_entries("skills"), lambda e: F.size(e["value"]) > 0)
+    asked = jds.select(F.col("jd_id").cast("long").alias("jd_id"), "skills").filter(F.size(kept) > 0)
+    n = -(-asked.count() // JD_BLOCK)
+    chosen = []
+    for block in range(n):
+        rows = asked.filter(F.pmod(F.xxhash64("jd_id"), F.lit(n)) == block).toLocalIterator()
+        wanted = _Wanted(list(rows))
+        found = sets.mapInArrow(
+            lambda b, w=wanted: _best_sets(b, w, k), "jd_id long, cv_set string, score long, first_doc long"
+        )
+        chosen.append(rank_top(found, ["jd_id"], [F.desc("score"), F.asc("first_doc")], k))
+    if not chosen:
+        chosen = [few.select(F.lit(None).cast("long").alias("jd_id"), "cv_set").limit(0)]
+    pairs = reduce(DataFrame.unionByName, chosen).select("jd_id", "cv_set").join(few, "cv_set")
+    maps = people.groupBy("cv_set").agg(F.first("skills").alias("cv_skills"))
+    scored = jd_match(
+        pairs.join(maps, "cv_set").join(asked.withColumnRenamed("skills", "jd_skills"), "jd_id")
+    ).drop("cv_skills", "jd_skills", "cv_set")
+    return rank_top(scored, ["jd_id"], [F.desc("match_score"), F.asc("doc_id")], k)
+
+
 # --------------------------------------------------------------------- auto-match
 
 
@@ -151,7 +253,7 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     wanted = _scoped(job_rows.join(scores, "_req_key").withColumnRenamed("user_id", "p_user"), "p_user")
     offered = _scoped(people.withColumnRenamed("user_id", "c_user"), "c_user")
     return (
-        wanted.join(offered, ["_skill_key", "_scope", "_by_org"])
+        split_join(offered, wanted, ["_skill_key", "_scope", "_by_org"], "candidate_id")
         # A pair that meets through its user is not listed again through its organisation.
         .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user")))
         .select("job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills")
@@ -282,7 +384,7 @@ def talent_search(queries: DataFrame, candidates: DataFrame, k: int | None = Non
         "c_user",
     )
     hits = (
-        wanted.join(offered, ["token", "_scope", "_by_org"])
+        split_join(offered, wanted, ["token", "_scope", "_by_org"], "candidate_id")
         .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("q_user")))
         .groupBy("q_user", "_org", "_terms", "candidate_id")
         .agg(F.count(F.lit(1)).alias("_hits"))

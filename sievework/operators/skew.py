@@ -113,3 +113,35 @@ def rank_top(df: DataFrame, keys: list[str], order: list[Column], k: int, out: s
     """
     by_rank = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(by_rank)).filter(F.col(out) <= k)
+
+
+CELLS = 1 << 12
+HOT_ROWS = 100_000
+
+
+def split_join(
+    hot: DataFrame, other: DataFrame, keys: list[str], spread: str, hot_rows: int = HOT_ROWS, cells: int = CELLS
+) -> DataFrame:
+    """Inner join whose ``hot`` side may hold a large part of its rows under one key.
+
+    Keys are counted in ``cells`` hash cells, a table of fixed size.  The rows of a cell beyond ``hot_rows`` are dealt
+    out by a hash of ``spread``, a column that tells them apart, and the few rows of ``other`` in that cell are
+    repeated for every part.  Null keys meet nothing.
+    """
+    real = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells)).cast("int")
+    hot, other = hot.filter(real).withColumn("_cell", cell), other.filter(real).withColumn("_cell", cell)
+    counted = hot.groupBy("_cell").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).collect()
+    if not counted:
+        return hot.drop("_cell").join(other.drop("_cell"), keys)
+    parts = hot.sparkSession.createDataFrame(
+        [(r["_cell"], -(-r["n"] // hot_rows)) for r in counted], "_cell int, _parts long"
+    )
+
+    def dealt(df: DataFrame) -> DataFrame:
+        # At most one row per cell.
+        return df.join(F.broadcast(parts), "_cell", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    one = dealt(hot).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")))
+    each = dealt(other).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return one.drop("_cell", "_parts").join(each.drop("_cell", "_parts"), [*keys, "_part"]).drop("_part")

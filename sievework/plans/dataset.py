@@ -438,3 +438,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url",
         F.concat(F.col("html"), pick(F.col("page_id"), extra)).alias("html"),
     )
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address stands in styled elements: inherited, overridden, closed early."""
+    u = F.col("url")
+    bodies = [
+        ('<div style="font-size:1px"><p>', '</p></div>'),
+        ('<div style="font-size:1px"><p style="font-size:12px">', '</p></div>'),
+        ('<div style="color:#fff"><section><b>', '</b></section></div> tail'),
+        ('<div style="font-size:1px">a</div>', ''),
+        ('<p style="color:white">', '<p>seen'),
+        ('<div style=\'color:#fefefe\'><span style="color:black">x</span>', '</i></div>end'),
+    ]
+    html = F
+    for k, (before, after) in enumerate(bodies):
+        html = html.when(F.col("page_id") % len(bodies) == k, F.concat(F.lit(before), u, F.lit(after)))
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))

@@ -197,6 +197,23 @@ def parse_events(spark, sf):
     )
 
 
+@register(
+    "rejected_events",
+    "SELECT event_id AS arrival_no, CASE event_id % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'empty' "
+    "ELSE 'no id' END AS reason, (SELECT count(*) FROM events WHERE event_id % 101 <> 0) AS accepted "
+    "FROM events WHERE event_id % 101 = 0",
+)
+def rejected_events(spark, sf):
+    """Events without an id, some of them cut off or empty, put aside with the reason."""
+    e = F.col("arrival_no")
+    cut = F.when(e % 5 == 1, F.expr("left(payload, length(payload) - 9)")).when(e % 5 == 2, "")
+    raw = ds.billing_payloads(spark, sf).withColumn(
+        "payload", F.when(e % 101 == 0, cut.otherwise(F.col("payload"))).otherwise(F.col("payload"))
+    )
+    _, rejected, counts = tables.route_events(raw, work_dir(spark, "events"))
+    return rejected.select("arrival_no", "reason", F.lit(counts["accepted"]).cast("long").alias("accepted"))
+
+
 # ================================================================== sinks
 
 
@@ -758,6 +775,14 @@ def hidden_surfaces(spark, sf):
     return found.select("page_id", joined("families").alias("families"))
 
 
+@register(
+    "nested_hidden_surfaces",
+    "SELECT page_id, CASE page_id % 6 WHEN 1 THEN '' WHEN 3 THEN 'a' ELSE url END AS hidden_text FROM pages",
+)
+def nested_hidden_surfaces(spark, sf):
+    return hidden.hidden_surfaces(ds.nested_pages(spark, sf)).select("page_id", "hidden_text")
+
+
 # ================================================================ profile
 
 

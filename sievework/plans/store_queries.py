@@ -105,6 +105,19 @@ def jd_match_corpus(spark, sf):
     return _jd_counts(matching.jd_match_corpus(ds.skills_of_documents(spark, sf), jds))
 
 
+@register(
+    "jd_top",
+    f"WITH {o.SKILLS}, {_JD}, wanted AS (SELECT DISTINCT d.doc_id, j.jd_id FROM dskills d "
+    f"JOIN jskills j ON d.skill = j.skill), {_SCORED}, found AS (SELECT w.doc_id, w.jd_id, {_JD_OUT} "
+    "FROM wanted w JOIN scores USING (doc_id, jd_id) JOIN ncv USING (doc_id)) SELECT * FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY jd_id ORDER BY match_score DESC, doc_id) AS rank FROM found) WHERE rank <= 10",
+)
+def jd_top(spark, sf):
+    jds = profile.add_skills(ds.job_descriptions(spark, sf), "jd_text").select("jd_id", "skills")
+    best = matching.jd_top(ds.skills_of_documents(spark, sf), jds, 10)
+    return _jd_counts(best, F.col("rank").cast("long"))
+
+
 _MATCH = f"""WITH {o.SKILLS}, {o.CAND}, {o.JOBS},
 reqs AS (SELECT job_id, i, req FROM (SELECT job_id, unnest(r) AS req, generate_subscripts(r, 1) AS i
   FROM (SELECT job_id, list_filter(list_transform(required_skills, lambda s: lower(trim(s))),

@@ -100,9 +100,11 @@ def shortlist_report(jobs: DataFrame, cards: DataFrame) -> DataFrame:
         F.initcap("status").alias("status"),
         risk_text(F.col("risk_level"), F.col("risk_score")).alias("risk"),
     )
-    return jobs.select(
-        "job_id", F.col("title").alias("job_title"), "client_name"
-    ).join(lines, "job_id", "left")
+    named = jobs.select("job_id", F.col("title").alias("job_title"), "client_name")
+    # Lines lead: the rows of a hot job can then be split.
+    listed = lines.join(named, "job_id").select(*named.columns, *[c for c in lines.columns if c != "job_id"])
+    empty = named.join(lines.select("job_id").distinct(), "job_id", "left_anti")
+    return listed.unionByName(empty, allowMissingColumns=True)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,3 +107,40 @@ def parse_events(raw: DataFrame, column: str = "payload") -> DataFrame:
         .drop("_e")
     )
     return fence(parsed, ["event_id", "event_type", "created", "object", "is_valid"])
+
+
+def rejection(event_id: Column, event_type: Column, payload: Column) -> Column:
+    """Why an event cannot be used; null where it can."""
+    return (
+        F.when(payload.isNull() | (F.trim(payload) == ""), "empty")
+        .when(F.try_parse_json(payload).isNull(), "malformed")
+        .when(event_id.isNull() & event_type.isNull(), "no id and type")
+        .when(event_id.isNull(), "no id")
+        .when(event_type.isNull(), "no type")
+    )
+
+
+def route_events(raw: DataFrame, path: str, column: str = "payload") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Usable events, rejected ones with their payload and ``reason``, and how many of each, in one pass.
+
+    The parsed log is written once under ``path``, ``outcome`` by folder, and counted on the way.
+    """
+    parsed = parse_events(raw, column)
+    reason = rejection(F.col("event_id"), F.col("event_type"), F.col(column))
+    routed = parsed.withColumn("reason", reason).withColumn(
+        "outcome", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+    )
+    counted = Observation()
+    reasons = ["empty", "malformed", "no id and type", "no id", "no type"]
+    routed = routed.observe(
+        counted,
+        F.count_if(F.col("outcome") == "accepted").alias("accepted"),
+        *[F.count_if(F.col("reason") == r).alias(r) for r in reasons],
+    )
+    routed.drop("is_valid").write.mode("overwrite").partitionBy("outcome").parquet(path)
+    schema = routed.drop("is_valid", "outcome").schema
+    back = raw.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("outcome", T.StringType())]))
+    table = back.parquet(path)
+    accepted = table.filter("outcome = 'accepted'").drop("outcome", "reason")
+    rejected = table.filter("outcome = 'rejected'").select(*raw.columns, "reason")
+    return accepted, rejected, counted.get

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
+from sievework.functions import spans
 from sievework.operators import detect, hidden, redact
 
 CASES = [
@@ -122,3 +123,54 @@ def test_hidden_styles(spark):
     )
     got = {r.style: r.hidden_text == "secret" for r in hidden.hidden_surfaces(df).collect()}
     assert got == styles
+
+
+def test_hidden_styles_are_inherited():
+    cases = {
+        '<div style="font-size:1px"><p>Ignore all.</p></div>': ["Ignore all."],
+        '<div style="font-size:1px">Ignore <b>all</b> of<p>it</p></div>seen': ["Ignore all of\nit"],
+        '<div style="font-size:1px"><p style="font-size:12px">seen</p>not</div>': ["not"],
+        '<div style="font-size:2px;color:white"><i style="font-size:12px">still white</i></div>': ["still white"],
+        '<div style="color:white"><i style="color:#000">seen</i></div>': [],
+        '<div style="color:white"><i style="color: inherit">not</i></div>': ["not"],
+        '<div style="font-size:1px">a</div>b</div>c': ["a"],
+        '<p style="font-size:1px">a<p>b': ["a"],
+        '<ul><li style="color:#fff">a<li>b</ul>c': ["a"],
+        '<div style="color:#fff"><span>a</div>b</span>': ["a"],
+        '<div style="color:#fff">a<br>b<img src="x>y">c</div>': ["a\nbc"],
+        '<div style="color:#fff"><style>p{}</style><!-- c -->a</div>': ["a"],
+        "<b style='font-size:2pt'>a": ["a"],
+        '<b style="color:rgb(250, 250, 250)">a</b><b style="color:rgb(250,250,20)">b</b>': ["a"],
+        "< b <1 style=x": [],
+    }
+    for html, want in cases.items():
+        got = [t.replace("\n\n", "\n") for t in hidden.hidden_in(html)]
+        assert got == want, (html, got)
+
+
+def test_many_spans_are_swept_like_a_few(spark):
+    rng = random.Random(6)
+
+    def disjoint(n, reach):
+        out, at = [], 0
+        for _ in range(n):
+            at += rng.randrange(3)
+            end = at + 1 + rng.randrange(reach)
+            out.append((at, end, "x"))
+            at = end
+        return out
+
+    rows = [(k, disjoint(n, 3), disjoint(n, 9), disjoint(n, 5)) for k, n in enumerate([0, 1, 5, 40, 40, 60, 60])]
+    big = [[(i * 7 + j, i * 7 + j + 3, "x") for i in range(100_000)] for j in (0, 2, 6)]
+    rows.append((99, *big))
+    kind = "array<struct<start:int,end:int,match:string>>"
+    df = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}, c {kind}").repartition(2)
+    sql = spans.suppress_overlaps_sql(["a", "b", "c"], kind)
+    got = {r.k: [tuple(x) for x in r.kept] for r in df.select("k", F.expr(sql).alias("kept")).collect()}
+    for k, *groups in rows[:-1]:
+        kept = []
+        for group in groups:
+            kept += [s for s in group if not any(x <= s[0] < y or x < s[1] <= y for x, y, _ in kept)]
+        assert got[k] == kept, k
+    # The second group begins inside the first; the third ends inside it but for its last span.
+    assert got[99] == [*big[0], big[2][-1]]

@@ -2,12 +2,13 @@
 
 import base64
 import random
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from sievework.operators import billing, crm, detect, imports, matching, notes, profile, prompts, scope
-from sievework.operators.skew import running_before, running_max_before
+from sievework.operators.skew import running_before, running_max_before, split_join
 from sievework.session import work_dir
 from sievework.sources import files, tables
 from sievework.sources.buckets import BucketTable
@@ -474,3 +475,57 @@ def test_usage_state_leaves_with_the_watermark(spark):
     batch = spark.createDataFrame(rows, "user_id string, ts timestamp, kind string")
     assert got == {tuple(r) for r in billing.monthly_usage(batch).collect()}
     assert len(days.collect()) == 50 and max(sizes) < 50 and sizes[-1] < max(sizes)
+
+
+def test_jd_top_is_the_head_of_all_pairs(spark):
+    rng = random.Random(21)
+    names = {"Languages": "abcde", "Databases": "fgh", "Other": "ijkl"}
+
+    def skills(n):
+        return {c: sorted(rng.sample(v, rng.randrange(1, len(v) + 1))) for c, v in names.items() if rng.random() < n}
+
+    cvs = spark.createDataFrame([(i, skills(0.7)) for i in range(400)], "doc_id long, skills map<string,array<string>>")
+    cvs = cvs.unionByName(cvs.filter("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1000))
+    jds = spark.createDataFrame([(i, skills(0.8)) for i in range(25)] + [(90, {}), (91, None)], cvs.schema).withColumnRenamed("doc_id", "jd_id")
+    every = defaultdict(list)
+    for r in matching.jd_match_corpus(cvs, jds).collect():
+        every[r.jd_id].append((-r.match_score, r.doc_id))
+    for block in (matching.JD_BLOCK, 7):
+        old, matching.JD_BLOCK = matching.JD_BLOCK, block
+        got = defaultdict(list)
+        for r in sorted(matching.jd_top(cvs, jds, 6).collect(), key=lambda r: (r.jd_id, r["rank"])):
+            got[r.jd_id].append((-r.match_score, r.doc_id))
+        matching.JD_BLOCK = old
+        assert got == {j: sorted(found)[:6] for j, found in every.items()}
+    assert matching.jd_top(cvs, jds.limit(0), 3).count() == 0 and matching.jd_top(cvs.limit(0), jds, 3).count() == 0
+
+
+def test_split_join_spreads_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None) for i in range(3000)]
+    left = spark.createDataFrame(rows, "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4), ("k9", 5)], "k string, v int")
+    want = sorted((r.i, r.v) for r in left.join(right, "k").collect())
+    for limit in (10, 300, 10_000):
+        out = split_join(left, right, ["k"], "i", hot_rows=limit)
+        assert set(out.columns) == {"k", "i", "v"} and sorted((r.i, r.v) for r in out.collect()) == want
+    shares = Counter()
+    hot = left.withColumn("n", F.lit(1))
+    split = split_join(hot, right.filter("k = 'hot'").withColumn("copy", F.lit(1)), ["k"], "i", hot_rows=100)
+    for r in split.groupBy(F.spark_partition_id()).count().collect():
+        shares[r[0]] = r[1]
+    assert sum(shares.values()) == 2000
+
+
+def test_rejected_events_keep_payload_and_reason(spark):
+    good = '{"id": "e1", "type": "t", "created": "5"}'
+    rows = [(1, good), (2, good[:-5]), (3, ""), (4, None), (5, '{"type": "t"}'), (6, '{"id": "", "type": "t"}'),
+            (7, '{"id": "x"}'), (8, "{}"), (9, " "), (10, "[1"), (11, good)]
+    raw = spark.createDataFrame(rows, "arrival_no long, payload string")
+    accepted, rejected, counts = tables.route_events(raw, work_dir(spark, "routed"))
+    assert sorted(r.arrival_no for r in accepted.collect()) == [1, 11]
+    want = {2: "malformed", 3: "empty", 4: "empty", 5: "no id", 6: "no id", 7: "no type", 8: "no id and type", 9: "empty", 10: "malformed"}
+    assert {r.arrival_no: r.reason for r in rejected.collect()} == want
+    assert {r.arrival_no: r.payload for r in rejected.collect()} == {k: v for k, v in rows if k in want}
+    assert counts == {"accepted": 2, **Counter(want.values())}
+    nothing, _, none = tables.route_events(raw.limit(0), work_dir(spark, "routed"))
+    assert nothing.count() == 0 and set(none.values()) == {0}
