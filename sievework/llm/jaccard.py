@@ -17,8 +17,10 @@ two sets of similarity t or more then share a shingle among their first ``n - ce
 5. *The rest.*  Pairs of groups that share a posting, fit in size and position, and are not in one
    component yet are expanded to classes and verified, so no link between components is lost.
 
-Steps 4 and 5 give components only, which is all that ``keep_one`` needs.  ``components_of`` takes every pair of
-groups that share a posting and fit, in one component or not, so its links are all there are.
+6. *Links.*  Steps 4 and 5 give components, which is all that ``keep_one`` needs.  Every link is inside one, so
+   ``components_of`` sends the shingle sets of components of two classes and more, in blocks of bounded size, to
+   tasks that count the shared shingles of all pairs of a block in one product.  What comes
+   out is one number per class and block; no pair is written.
 
 Defined cases: texts without words (null, empty) have size 0 and are linked with nothing; fewer words than a
 shingle make one shingle; equal sets are one class, with no pairs inside; a null ``doc_id`` counts as
@@ -192,8 +194,8 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
     return inner.union(hubs.select(F.col("top.gid").alias("g1"), F.col("hub.gid").alias("g2"))).distinct()
 
 
-def _group_pairs(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``g1, g2`` that may hold a link; with ``groups``, only those that are not in one component yet.
+def _group_pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """``g1, g2`` that may hold a link and are not in one component yet.
     ``groups``: ``gid, root``, the root null where a group's classes are in several.
 
     Only the first shingle two groups share can decide, so a pair is not formed at a shingle whose
@@ -202,16 +204,13 @@ def _group_pairs(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
     rows = postings.withColumns({"prev": F.lag("token").over(own), "prev_pos": F.lag("pos").over(own)})
     # Each task that has read a copy of a group wrote the group's postings: one of them is enough.
     rows = rows.filter(F.col("prev_pos").isNull() | (F.col("prev_pos") < F.col("pos"))).drop("prev_pos")
-    if groups is None:
-        rows = rows.withColumn("root", F.lit(None).cast("binary"))
-    else:
-        rows = rows.join(groups, "gid")
-        spread = (
-            rows.groupBy("token")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("root").isNull()).alias("mixed"))
-            .filter("low <> high or mixed")
-        )
-        rows = rows.join(spread.select("token"), "token")
+    rows = rows.join(groups, "gid")
+    spread = (
+        rows.groupBy("token")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("root").isNull()).alias("mixed"))
+        .filter("low <> high or mixed")
+    )
+    rows = rows.join(spread.select("token"), "token")
     rows = rows.select("token", "gid", "n", "pos", "prev", "root")
     a, b = rows.alias("a"), rows.alias("b")
     smaller_first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
@@ -262,34 +261,27 @@ class Classes:
         self.documents, self.classes, self.links = documents, classes, links
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Rows of one id, or of none, may have different texts: the print tells which one is meant."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("print"), "text"
+    )
+
+
 def join_classes(docs: DataFrame, every: bool = True) -> Classes:
     """Find the links between the distinct shingle sets of ``docs``: every one, or only enough of them to
     connect every component."""
-    # Rows of one id, or of none, may have different texts: the print tells which one is meant.
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("print"), "text"
-    )
+    texts = _texts(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(texts))
     documents = materialise(
         texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, print long, n long, cid binary, gid long"),
         "jaccard-documents",
     )
-    smallest = documents.filter("n > 0").groupBy("cid", "gid").agg(F.min(F.struct("id", "print")).alias("of"))
+    smallest = documents.filter("n > 0").groupBy("cid", "gid", "n").agg(F.min(F.struct("id", "print")).alias("of"))
     classes = materialise(
-        smallest.select("cid", "gid", F.col("of.id").alias("rep"), F.col("of.print").alias("print")), "jaccard-classes"
+        smallest.select("cid", "gid", "n", F.col("of.id").alias("rep"), F.col("of.print").alias("print")), "jaccard-classes"
     )
     postings = _posting_rows(texts, ranks)
-    if every:
-        same = classes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1")
-        same = same.select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-        one, two = (classes.select(F.col("cid").alias(c), F.col("gid").alias(g)) for c, g in (("a", "g1"), ("b", "g2")))
-        pairs = (
-            _group_pairs(postings, None).union(same).join(one, "g1").join(two, "g2")
-            .filter("g1 <> g2 or a < b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        )
-        return Classes(documents, classes.select("cid", "rep"), _links(pairs, texts, classes, "all"))
-
     firsts = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     stars = _star_pairs(postings)
     one, two = firsts.toDF("g1", "a"), firsts.toDF("g2", "b")
@@ -316,17 +308,134 @@ def join_classes(docs: DataFrame, every: bool = True) -> Classes:
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    more = _links(rest, texts, classes, "rest")
-    return Classes(documents, classes.select("cid", "rep"), links.union(more))
+    found = Classes(documents, classes, links.union(_links(rest, texts, classes, "rest")))
+    if every:
+        pairs = _blocks(found, _labelled(found), texts).applyInArrow(_linked_pairs, "a binary, b binary")
+        found.links = materialise(pairs, "jaccard-links")
+    return found
+
+
+# --------------------------------------------------- links inside components
+
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 19
+SMALL = 64
+STEP = 1.1  # blocks of a large component hold sets of about one size
+_REACH = int(np.ceil(np.log(DEN / NUM) / np.log(STEP)))
+_FEW = 16  # classes of a block that share a shingle; of more, a matrix product counts
+
+
+def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingles(words, WIDTH)) for words, _, _ in documents_words(batch["text"], True)]
+        yield pa.record_batch({"cid": batch["cid"], "shingles": pa.array([x.tobytes() for x in sets], pa.large_binary())})
+
+
+def _blocks(found: Classes, labelled: DataFrame, texts: DataFrame):
+    """Classes with their shingle sets, grouped so that every link is inside one group: ``root, one, two``.
+
+    Links are inside components.  Those of up to ``SMALL`` classes go whole into bags of about
+    ``BLOCK_CLASSES``; larger ones are cut by size and then by hash into blocks of that many, and a class
+    goes once to every block of a size that it could be linked with.  A single class has no link and stays away.
+    """
+    sized = labelled.join(found.classes.select("cid", "n", "print"), "cid")
+    whole = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    members = materialise(sized.join(whole, "root"), "jaccard-members")
+    chosen = members.select("cid", F.col("rep").alias("id"), "print")
+    sets = texts.join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"])
+    sets = materialise(sets.mapInArrow(_class_sets, "cid binary, shingles binary"), "jaccard-sets")
+
+    small = (F.col("m") <= SMALL) & (F.col("all") <= BLOCK_SHINGLES)
+    many, much = members.filter(small).agg(F.count("*"), F.sum("n")).first()
+    bags = int(max(1, -(-many // BLOCK_CLASSES), -(-(much or 0) // BLOCK_SHINGLES)))
+    bag = F.pmod(F.xxhash64("root"), F.lit(bags))
+    bagged = members.filter(small).select(
+        "cid", "n", F.lit(None).cast("binary").alias("root"), bag.alias("block"), bag.alias("one"), bag.alias("two")
+    )
+    level = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int")
+    large = members.filter(~small).withColumn("level", level)
+    slices = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    # One entry per level of size: fewer than 250 for any length a text can have.
+    levels = large.groupBy("root", "level").agg(slices.alias("slices")).groupBy("root").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", "slices"))).alias("levels")
+    )
+    number = lambda lev, s: lev.cast("long") * F.lit(1 << 32) + s
+    there = F.filter(F.sequence(F.col("level") - _REACH, F.col("level") + _REACH), lambda x: F.map_contains_key("levels", x))
+    others = F.flatten(
+        F.transform(there, lambda x: F.transform(F.sequence(F.lit(0), F.col("levels")[x] - 1), lambda s: number(x, s)))
+    )
+    cut = large.join(levels, "root").withColumn(
+        "block", number(F.col("level"), F.pmod(F.xxhash64("cid"), F.col("levels")[F.col("level")]))
+    ).withColumn("other", F.explode(others))
+    cut = cut.select(
+        "cid", "n", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+    )
+    return bagged.unionByName(cut).join(sets, "cid").groupBy("root", "one", "two")
+
+
+def _linked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left and of the right block, and which are linked; the blocks may be one."""
+    n, block = table["n"].to_numpy(), table["block"].to_numpy()
+    left = np.flatnonzero(block == table["one"][0].as_py())
+    right = np.flatnonzero(block == table["two"][0].as_py())
+    tokens = np.frombuffer(b"".join(table["shingles"].to_pylist()), dtype=np.uint64)
+    rows = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, rows = tokens[order], rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    times = np.diff(np.concatenate([starts, [len(tokens)]]))
+    common = np.repeat(times, times)
+    both = np.zeros((len(n), len(n)))
+    few = np.flatnonzero((common > 1) & (common <= _FEW))
+    own, of = rows[few], tokens[few]
+    for lag in range(1, min(_FEW, len(few))):
+        same = of[lag:] == of[:-lag]
+        pairs = own[:-lag][same] * len(n) + own[lag:][same]
+        both += np.bincount(pairs, minlength=both.size).reshape(both.shape)
+    both += both.T
+    most = np.flatnonzero(times > _FEW)
+    for at in range(0, len(most), 4096):
+        part = most[at : at + 4096]
+        has = np.zeros((len(n), len(part)), dtype=np.float32)
+        column = np.repeat(np.arange(len(part)), times[part])
+        spots = np.concatenate([np.arange(starts[k], starts[k] + times[k]) for k in part])
+        has[rows[spots], column] = 1
+        both[np.ix_(left, right)] += has[left] @ has[right].T
+    shared = both[np.ix_(left, right)]
+    alike = DEN * shared >= NUM * (n[left][:, None] + n[right][None, :] - shared)
+    return left, right, alike & (left[:, None] != right[None, :])
+
+
+def _linked_counts(table: pa.Table) -> pa.Table:
+    """``cid, n_links``: links of every class of the group that has one."""
+    left, right, linked = _linked(table)
+    count = np.zeros(len(table), dtype=np.int64)
+    count[left] += linked.sum(axis=1)
+    if left[0] != right[0]:
+        count[right] += linked.sum(axis=0)
+    some = np.flatnonzero(count)
+    return pa.table({"cid": table["cid"].take(pa.array(some)), "n_links": count[some]})
+
+
+def _linked_pairs(table: pa.Table) -> pa.Table:
+    """``a, b``: every link of the group once, with ``a < b``."""
+    left, right, linked = _linked(table)
+    ids = table["cid"].to_pylist()
+    i, j = np.nonzero(linked)
+    pairs = {tuple(sorted((ids[a], ids[b]))) for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True)}
+    a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, class_id, n_links``, ids being smallest members;
     ``n_links`` is the number of other classes that the row's class is linked with."""
-    found = join_classes(docs)
-    ends = found.links.select(F.col("a").alias("cid")).union(found.links.select("b"))
-    n_links = ends.groupBy("cid").agg(F.count("*").alias("n_links"))
-    labelled = _labelled(found).join(n_links, "cid", "left")
+    found = join_classes(docs, every=False)
+    classes = _labelled(found)
+    n_links = (
+        _blocks(found, classes, _texts(docs)).applyInArrow(_linked_counts, "cid binary, n_links long")
+        .groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+    )
+    labelled = classes.join(n_links, "cid", "left").drop("root")
     real = lambda c: F.when(c != F.lit(_NO_ID), c)
     return found.documents.join(labelled, "cid", "left").select(
         real(F.col("id")).alias("doc_id"),

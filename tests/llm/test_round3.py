@@ -270,3 +270,31 @@ def test_items_without_an_id_and_blocks_one_at_a_time(spark, monkeypatch):
     assert found() == one and len(alive) > 1
     kept = decontaminate.decontaminate(df, bench)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"]
+
+
+@pytest.mark.parametrize("small,block,few", [(0, 5, 3), (10, 1000, 1), (64, 7, 16)])
+def test_links_are_counted_whatever_the_blocks(spark, monkeypatch, small, block, few):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(jaccard, "_FEW", few)
+    rng = random.Random(4)
+    corpus = {}
+    for family, size in enumerate([60, 90, 200]):
+        base = [f"f{family}w{rng.randrange(80)}" for _ in range(size)]
+        for k in range(35):
+            words = list(base)
+            for _ in range(rng.randrange(7)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(999)}"
+            corpus[100 * family + k] = " ".join(words[: len(words) - rng.randrange(12)])
+    corpus |= {900: corpus[3], 901: None, 902: "alone here", 903: "two of three words now ok", 904: "Two of three words now ok"}
+    sets = {}
+    for d, text in corpus.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    linked = lambda x, y: x and y and x != y and 4 * len(x & y) >= 3 * len(x | y)
+    every = set(sets.values())
+    want = {d: sum(bool(linked(own, other)) for other in every) for d, own in sets.items()}
+    docs = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard.components_of(docs).collect()} == want
+    links = jaccard.join_classes(docs).links
+    assert links.count() == links.distinct().count() == sum(bool(linked(x, y)) for x in every for y in every) // 2
