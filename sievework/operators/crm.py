@@ -11,6 +11,8 @@ from sievework.operators.detect import first_pii
 from sievework.operators.profile import headline
 from sievework.operators.scope import CELL, summed_for, top_for
 from sievework.operators.skew import first_per_key, flag_members
+from sievework.session import materialise
+from sievework.sources.buckets import BucketTable
 
 # ------------------------------------------------------------- filters and lookups
 
@@ -106,6 +108,18 @@ def merge_changes(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     )
 
 
+def merge_stored(table: BucketTable, version: int, changes: DataFrame, key: str) -> list[int]:
+    """``merge_changes`` on a stored table: only the buckets of changed keys are read and written.
+    A repeated ``version`` changes nothing further.  Returns the buckets written."""
+    return table.merge(version, materialise(merge_changes(table.lookup(changes), changes, key), "merged"))
+
+
+def mark_read_stored(table: BucketTable, version: int, ids: DataFrame) -> list[int]:
+    """``mark_read`` on a stored table, for listed notifications."""
+    listed = ids.select("notification_id").distinct()
+    return table.merge(version, materialise(mark_read(table.lookup(listed), listed), "marked"))
+
+
 # --------------------------------------------------------------------------- joins
 
 
@@ -299,25 +313,34 @@ def dashboard_metrics(
     Each table is aggregated once per (user, organisation); principals sum these cells.
     """
 
-    def cells(df: DataFrame, prefix: str, column: str | None = None, values=()) -> DataFrame:
-        return df.groupBy(*CELL).agg(
-            *[F.count_if(F.col(column) == v).alias(f"{prefix}_{v}") for v in values],
-            F.count(F.lit(1)).alias(f"{prefix}_total"),
-        )
-
-    parts = [
-        cells(candidates, "candidates", "status", statuses),
-        cells(jobs, "jobs", "status", lx.JOB_STATUSES),
-        cells(scans, "risk", "risk_level", ["GREEN", "ORANGE", "RED"]).drop("risk_total"),
-        cells(placements, "placements"),
-        cells(shortlist, "shortlist"),
-    ]
+    tables = {
+        "candidates": candidates, "jobs": jobs, "scans": scans, "placements": placements, "shortlist": shortlist,
+    }
+    parts = [dashboard_cells(rows, name, statuses) for name, rows in tables.items()]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part, allowMissingColumns=True)
     measures = [c for c in every.columns if c not in CELL]
-    out = summed_for(every.na.fill(0, measures), principals)
-    return out.withColumn("open_jobs", F.col("jobs_open"))
+    return dashboard_of(every.na.fill(0, measures), principals)
+
+
+def dashboard_cells(rows: DataFrame, name: str, statuses: list[str]) -> DataFrame:
+    """What one table of the store adds to the dashboard, per (user, organisation)."""
+    prefix, column, values = {
+        "candidates": ("candidates", "status", statuses),
+        "jobs": ("jobs", "status", lx.JOB_STATUSES),
+        "scans": ("risk", "risk_level", ["GREEN", "ORANGE", "RED"]),
+    }.get(name, (name, None, []))
+    counts = rows.groupBy(*CELL).agg(
+        *[F.count_if(F.col(column) == v).alias(f"{prefix}_{v}") for v in values],
+        F.count(F.lit(1)).alias(f"{prefix}_total"),
+    )
+    return counts.drop("risk_total")
+
+
+def dashboard_of(cells: DataFrame, principals: DataFrame) -> DataFrame:
+    """The dashboard from its cells, counted afresh or kept up to date (``deltas.Cells``)."""
+    return summed_for(cells, principals).withColumn("open_jobs", F.col("jobs_open"))
 
 
 def outcome_funnel(outcomes: DataFrame, keys: list[str], every: DataFrame | None = None):

@@ -43,6 +43,11 @@ def joined(column, sep: str = "|"):
     return F.array_join(column, sep)
 
 
+def oracle_of(name: str) -> str:
+    """The twin of a registered query, for another way to the same rows."""
+    return ORACLES[name]
+
+
 def stamp(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
@@ -170,6 +175,17 @@ def read_import_json(spark, sf):
     return tables.read_import_json(spark, path, ["row_no", "name"])
 
 
+@register("read_import_array", oracle_of("read_import_json"))
+def read_import_array(spark, sf):
+    """Files that each hold one array."""
+    path = work_dir(spark, "json")
+    rows = ds.table(spark, sf, "customer").select(F.col("c_custkey").alias("row_no"), F.col("c_name").alias("name"))
+    lines = rows.select(F.floor(F.col("row_no") / 500).alias("file"), F.to_json(F.struct("row_no", "name")).alias("row"))
+    arrays = lines.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    return tables.read_import_json(spark, path, ["row_no", "name"], array=True)
+
+
 @register(
     "load_table",
     f"WITH {o.JOBS} SELECT job_id, title, array_to_string(required_skills, '|') AS skills FROM jobs",

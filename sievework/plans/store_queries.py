@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
-from sievework.operators import billing, crm, detect, imports, matching, profile, redact, scope
+from sievework.operators import billing, crm, deltas, detect, imports, matching, profile, redact, scope
 from sievework.plans import dataset as ds
 from sievework.plans import oracles as o
-from sievework.plans.queries import _LINES, _TAGGED, AS_OF_SQL, as_of, joined, register, stamp
+from sievework.plans.queries import _LINES, _TAGGED, AS_OF_SQL, as_of, joined, oracle_of, register, stamp
 from sievework.session import work_dir
 from sievework.sources import sinks, tables
+from sievework.sources.buckets import BucketTable
 from sievework.streaming import streams
 
 EVENTS = (
@@ -293,12 +294,12 @@ def high_risk_candidates(spark, sf):
 @register(
     "open_jobs_without_candidates",
     f"WITH {o.JOBS}, {o.PLACE} SELECT job_id, title FROM jobs WHERE status = 'open' AND job_id NOT IN "
-    "(SELECT job_id FROM place)",
+    "(SELECT job_id FROM place WHERE job_id % 7 <> 3)",
 )
 def open_jobs_without_candidates(spark, sf):
-    return crm.open_jobs_without_candidates(ds.jobs(spark, sf), ds.placements(spark, sf)).select(
-        "job_id", "title"
-    )
+    """Every job of the store has placements; here those of some jobs were withdrawn."""
+    left = ds.placements(spark, sf).filter(F.col("job_id") % 7 != 3)
+    return crm.open_jobs_without_candidates(ds.jobs(spark, sf), left).select("job_id", "title")
 
 
 @register(
@@ -549,6 +550,34 @@ def validate_enum(spark, sf):
     "client_name FROM jobs",
 )
 def merge_changes(spark, sf):
+    table, changes = _job_changes(spark, sf)
+    return crm.merge_changes(table, changes, "job_id")
+
+
+@register("merge_stored", oracle_of("merge_changes"))
+def merge_stored(spark, sf):
+    """The same changes on a stored table, the second batch of them twice."""
+    table, changes = _job_changes(spark, sf)
+    path = work_dir(spark, "jobs")
+    stored = lambda v: BucketTable(spark, path, "job_id long, title string, client_name string", ["job_id"], before=v)
+    stored(0).merge(0, table)
+    for version in (1, 2, 2):
+        crm.merge_stored(stored(version), version, changes.filter(F.col("change_no") == version), "job_id")
+    return stored(None).read()
+
+
+@register("mark_read_stored", oracle_of("mark_read"))
+def mark_read_stored(spark, sf):
+    rows = ds.notifications(spark, sf).select("notification_id", "user_id", "org_id", "read")
+    path, schema = work_dir(spark, "notifications"), "notification_id long, user_id string, org_id string, read int"
+    stored = lambda v: BucketTable(spark, path, schema, ["notification_id"], before=v)
+    stored(0).merge(0, rows)
+    ids = rows.filter(F.col("notification_id") % 3 == 0)
+    crm.mark_read_stored(stored(1), 1, ids)
+    return stored(None).read().select("notification_id", F.col("read").alias("read_now"))
+
+
+def _job_changes(spark, sf):
     table = ds.jobs(spark, sf).select("job_id", "title", "client_name")
     k = F.col("job_id")
     first = table.filter(k % 3 == 0).select(
@@ -565,7 +594,7 @@ def merge_changes(spark, sf):
         "job_id", F.lit(1).alias("change_no"),
         F.create_map(F.lit("client_name"), F.lit("Only")).alias("fields"),
     )
-    return crm.merge_changes(table, first.unionByName(second).unionByName(single), "job_id")
+    return table, first.unionByName(second).unionByName(single)
 
 
 # ======================================================== store: aggregates
@@ -614,6 +643,45 @@ def dashboard_metrics(spark, sf):
     )
 
 
+@register(
+    "maintained_dashboard",
+    f"WITH {o.CAND}, {o.JOBS}, {o.PLACE}, {o.PRINCIPALS}, "
+    f"cand2 AS (SELECT * REPLACE (CASE WHEN candidate_id % 4 = 1 THEN {o.q(ds.CANDIDATE_STATUSES[0])} ELSE status END "
+    "AS status) FROM cand WHERE candidate_id % 9 <> 0), "
+    "jobs2 AS (SELECT * REPLACE (CASE WHEN job_id % 5 = 0 THEN 'u1' ELSE user_id END AS user_id) FROM jobs), "
+    f"a AS (SELECT {_WHO}, {_STATUS}, count(t.candidate_id) AS candidates_total FROM "
+    f"{o.seen('cand2', 't')} GROUP BY 1, 2), "
+    f"b AS (SELECT {_WHO}, {_JSTATUS}, count(t.job_id) AS jobs_total FROM {o.seen('jobs2', 't')} GROUP BY 1, 2), "
+    f"p AS (SELECT {_WHO}, count(t.job_id) AS placements_total FROM {o.seen('place', 't')} GROUP BY 1, 2) "
+    "SELECT *, jobs_open AS open_jobs FROM a JOIN b USING (p_user, p_org) JOIN p USING (p_user, p_org)",
+)
+def maintained_dashboard(spark, sf):
+    """Cells counted once, then changed by batches: new statuses and deletions, jobs that move, one batch twice."""
+    people, jobs, placed = ds.candidates(spark, sf), ds.jobs(spark, sf), ds.placements(spark, sf)
+    count = {n: lambda rows, n=n: crm.dashboard_cells(rows, n, ds.CANDIDATE_STATUSES) for n in ("candidates", "jobs", "placements")}
+    k, j = F.col("candidate_id"), F.col("job_id")
+    changed = people.filter((k % 4 == 1) | (k % 9 == 0))
+    now = changed.filter(k % 9 != 0).withColumn("status", F.lit(ds.CANDIDATE_STATUSES[0]))
+    moved = jobs.filter(j % 5 == 0)
+    keys = ["user_id", "org_id"]
+    batches = [
+        [(n, rows.limit(0), rows) for n, rows in (("candidates", people), ("jobs", jobs), ("placements", placed))],
+        [("candidates", changed, now)],
+        [("jobs", moved, moved.withColumn("user_id", F.lit("u1")))],
+    ]
+    every = [c for n, rows in (("candidates", people), ("jobs", jobs), ("placements", placed)) for c in count[n](rows).columns]
+    measures = list(dict.fromkeys(c for c in every if c not in keys))
+    cells = deltas.Cells(spark, work_dir(spark, "dashboard"), dict.fromkeys(keys, "string"), measures)
+    for version in (0, 1, 2, 2):
+        parts = [deltas.changed_cells(before, after, count[n], keys) for n, before, after in batches[version]]
+        changes = parts[0]
+        for part in parts[1:]:
+            changes = changes.unionByName(part, allowMissingColumns=True)
+        changes = changes.fillna(0, [c for c in changes.columns if c not in keys])
+        cells.apply(version, changes.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in changes.columns if c not in keys]))
+    return _named(crm.dashboard_of(cells.read(), ds.principals(spark, sf)))
+
+
 @register(
     "risk_breakdown",
     f"WITH {o.SCAN_CTES} SELECT user_id, count(*) FILTER (risk_level = 'GREEN') AS green, "

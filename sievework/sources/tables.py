@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.fence import fence
+from sievework.sources.json_array import read_json_array
 
 EVENT_OBJECT = (
     "struct<id:string,customer:string,subscription:string,client_reference_id:string,"
@@ -78,11 +79,12 @@ def read_import_json(
 ) -> DataFrame:
     """Rows of JSON lines, every field read as a string.
 
-    ``array``: each file is one array of rows.  Such a file cannot be split and is read by one task;
-    write large imports as JSON lines.
+    ``array``: each file is one array of rows, cut into splits all the same (``json_array``).
     """
+    if array:
+        return read_json_array(spark, path, fields)
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    return spark.read.schema(schema).json(path, multiLine=array)
+    return spark.read.schema(schema).json(path)
 
 
 def unix_timestamp(value: Column) -> Column:

@@ -1,17 +1,19 @@
 """Profile, matching, imports, billing and streams on small fixtures."""
 
 import base64
+import json
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sievework.operators import billing, crm, detect, imports, matching, notes, profile, prompts, scope
+from sievework.operators import billing, crm, deltas, detect, imports, matching, notes, profile, prompts, scope
 from sievework.operators.skew import running_before, running_max_before, split_join
 from sievework.session import work_dir
 from sievework.sources import files, tables
 from sievework.sources.buckets import BucketTable
+from sievework.sources.json_array import read_json_array
 from sievework.streaming import streams
 
 
@@ -529,3 +531,47 @@ def test_rejected_events_keep_payload_and_reason(spark):
     assert counts == {"accepted": 2, **Counter(want.values())}
     nothing, _, none = tables.route_events(raw.limit(0), work_dir(spark, "routed"))
     assert nothing.count() == 0 and set(none.values()) == {0}
+
+
+def test_one_json_array_is_read_by_many_tasks(spark):
+    rng = random.Random(17)
+    odd = ['a "quoted" }, {', "back\\slash\\", "[1, {", "ünï}", "", None, "line\nbreak", "\\\"}"]
+    rows = [{"row_no": str(i), "name": rng.choice(odd), "more": {"x": [1, {"y": "}"}]}} for i in range(400)]
+    rows[7]["name"] = "}" * 700 + '"' * 50  # one object across several splits
+    path = work_dir(spark, "array")
+    texts = spark.createDataFrame([(json.dumps(rows[:300], indent=rng.choice([None, 1])),), (json.dumps(rows[300:]),), ("[]",), ("",)], "value string")
+    texts.repartition(4).write.text(path, lineSep="\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "300")
+    try:
+        found = read_json_array(spark, path, ["row_no", "name", "more", "absent"])
+        got = sorted(((r.row_no, r.name, r.more and json.loads(r.more), r.absent) for r in found.collect()), key=lambda r: int(r[0]))
+        assert spark.read.text(path).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(r["row_no"], r["name"], r["more"], None) for r in rows]
+
+
+def test_cells_follow_any_changes(spark):
+    rng = random.Random(31)
+    keys, types = ["job_id", "user_id"], {"job_id": "long", "user_id": "string"}
+    schema = "id long, job_id long, user_id string, type string"
+    count = lambda df: crm.zero_filled(df, keys, "type", ["hired", "placed"])
+    cells = deltas.Cells(spark, work_dir(spark, "cells"), types, ["hired", "placed"], buckets=8)
+    rows = {}
+    for version in range(4):
+        was = {}
+        for i in rng.sample(range(60), 25):
+            was[i] = rows.pop(i, None)
+            if rng.random() < 0.7:
+                rows[i] = (i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), rng.choice(["hired", "placed", "other"]))
+        before = spark.createDataFrame([r for r in was.values() if r], schema)
+        after = spark.createDataFrame([rows[i] for i in was if i in rows], schema)
+        changes = deltas.changed_cells(before, after, count, keys)
+        for _ in range(1 + version % 2):  # a repeated batch counts once
+            cells.apply(version, changes)
+    recount = count(spark.createDataFrame(list(rows.values()), schema)).filter("hired + placed > 0")
+    order = ["job_id", "user_id", "hired", "placed"]
+    assert Counter(cells.read().select(order).collect()) == Counter(recount.select(order).collect())
