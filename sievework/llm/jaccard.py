@@ -13,7 +13,9 @@ two sets of similarity t or more then share a shingle among their first ``n - ce
    get, before any shuffle; long ones are salted, so no task gathers a hot shingle.
 4. *Stars.*  Each posting links its groups to the one in whose order the shingle stands first, which has the
    fewest rarer shingles of its own: among edited copies that is the least edited one.  These pairs,
-   one or a few per group, are verified on whole sets and settle nearly all components.
+   one or a few per group, are verified on whole sets and settle nearly all components.  Before texts are
+   fetched, a pair must pass a bound: the cells in which the parities of two sets differ are no more than the
+   shingles in which the sets differ.
 5. *The rest.*  Pairs of groups that share a posting, fit in size and position, and are not in one
    component yet are expanded to classes and verified, so no link between components is lost.
 
@@ -34,10 +36,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.components import components
 from sievework.llm.words import documents_words, mix, shingles, whole_row
@@ -95,6 +99,11 @@ class Set:
         a, b = mix(self.hashes ^ _OTHER).sum(dtype=np.uint64), mix(self.hashes + _OTHER).sum(dtype=np.uint64)
         return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
+    def parity(self) -> bytes:
+        """Parity of the number of shingles per cell, in twice as many cells as shingles at least (a power of 2)."""
+        cells = 1 << max(6, (2 * self.n - 1).bit_length())
+        return np.packbits(np.bincount((self.hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
+
     def group(self) -> int:
         """64 bits of prefix and size."""
         x = mix(self.prefix ^ _OTHER).sum(dtype=np.uint64) + np.uint64(self.n)
@@ -111,6 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch], ranks: tuple[np.ndarray, np.ndarray
                 "n": pa.array([s.n for s in found], pa.int64()),
                 "cid": pa.array([s.identity() for s in found], pa.binary()),
                 "gid": pa.array([s.group() for s in found], pa.int64()),
+                "parity": pa.array([s.parity() for s in found], pa.binary()),
             }
         )
 
@@ -239,13 +249,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
 
 
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """The parities of ``size`` bytes of cells, each two or more of the given ones together."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, dtype=np.uint8).reshape(-1, size), axis=0)
+
+
+def _may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shingle of one set only flips one cell, so the sets differ in as many shingles as cells at least."""
+    for batch in batches:
+        n = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+        most = n + 2 * (-NUM * n // (NUM + DEN))  # how many they may differ in
+        apart = []
+        for x, y in zip(batch["p_a"].to_pylist(), batch["p_b"].to_pylist(), strict=True):
+            size = min(len(x), len(y))
+            apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
+        yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(np.array(apart, dtype=np.int64) <= most))
+
+
+_CELL_BITS = 24
+
+
+def _among(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``texts`` whose ``id, print`` may be among ``chosen``: a bitmap of fixed size (2 MB) keeps most others from the
+    shuffle of the join that follows."""
+    cell = F.pmod(F.xxhash64("id", "print"), F.lit(1 << _CELL_BITS))
+    marked = chosen.select((cell + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")
+    )
+    bits = np.zeros(1 << (_CELL_BITS - 3), dtype=np.uint8)
+    for r in marked.collect():
+        part = np.frombuffer(r.bits, dtype=np.uint8)
+        bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(T.BooleanType())
+    def there(cells: pd.Series) -> pd.Series:
+        at = cells.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.filter(there(cell))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, turn: str) -> DataFrame:
-    """The pairs of classes (``a, b``) that are similar enough, by their whole texts."""
+    """The pairs of classes (``a, b``) that are similar enough, by their whole texts; those that their parities tell
+    apart do not need them."""
+    one, two = (
+        classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab"
+    )
+    pairs = pairs.join(one, "a").join(two, "b").mapInArrow(_may_be_alike, "a binary, b binary")
     pairs = materialise(pairs, f"jaccard-pairs-{turn}")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = classes.join(needed, "cid").select("cid", F.col("rep").alias("id"), "print")
+    chosen = materialise(
+        classes.join(needed, "cid").select("cid", F.col("rep").alias("id"), "print"), f"jaccard-chosen-{turn}"
+    )
     found = materialise(
-        texts.join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"]), f"jaccard-texts-{turn}"
+        _among(texts, chosen).join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"]),
+        f"jaccard-texts-{turn}",
     )
     left = found.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = found.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
@@ -274,12 +333,15 @@ def join_classes(docs: DataFrame, every: bool = True) -> Classes:
     texts = _texts(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(texts))
     documents = materialise(
-        texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, print long, n long, cid binary, gid long"),
+        texts.mapInArrow(lambda b: _sets(b, ranks.value), "id long, print long, n long, cid binary, gid long, parity binary"),
         "jaccard-documents",
     )
-    smallest = documents.filter("n > 0").groupBy("cid", "gid", "n").agg(F.min(F.struct("id", "print")).alias("of"))
+    smallest = documents.filter("n > 0").groupBy("cid", "gid", "n").agg(
+        F.min(F.struct("id", "print")).alias("of"), F.first("parity").alias("parity")
+    )
     classes = materialise(
-        smallest.select("cid", "gid", "n", F.col("of.id").alias("rep"), F.col("of.print").alias("print")), "jaccard-classes"
+        smallest.select("cid", "gid", "n", "parity", F.col("of.id").alias("rep"), F.col("of.print").alias("print")),
+        "jaccard-classes",
     )
     postings = _posting_rows(texts, ranks)
     firsts = classes.groupBy("gid").agg(F.min("cid").alias("first"))
@@ -341,7 +403,7 @@ def _blocks(found: Classes, labelled: DataFrame, texts: DataFrame):
     whole = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
     members = materialise(sized.join(whole, "root"), "jaccard-members")
     chosen = members.select("cid", F.col("rep").alias("id"), "print")
-    sets = texts.join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"])
+    sets = _among(texts, chosen).join(chosen, ["id", "print"]).select("cid", "text").dropDuplicates(["cid"])
     sets = materialise(sets.mapInArrow(_class_sets, "cid binary, shingles binary"), "jaccard-sets")
 
     small = (F.col("m") <= SMALL) & (F.col("all") <= BLOCK_SHINGLES)

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,25 @@ def test_links_are_counted_whatever_the_blocks(spark, monkeypatch, small, block,
     assert {r.doc_id: r.n_links for r in jaccard.components_of(docs).collect()} == want
     links = jaccard.join_classes(docs).links
     assert links.count() == links.distinct().count() == sum(bool(linked(x, y)) for x in every for y in every) // 2
+
+
+def test_parities_never_tell_alike_sets_apart():
+    rng = np.random.default_rng(8)
+    ranks = (np.zeros(jaccard.WORD_CELLS, dtype=np.uint16), np.zeros(jaccard.SHINGLE_CELLS, dtype=np.uint16))
+    rows, alike = [], []
+    for n in [5, 6, 9, 33, 64, 65, 300, 5000] * 6:
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        other = base.copy()
+        spots = rng.choice(n, rng.integers(0, max(1, n // 20) + 1), replace=False)
+        other[spots] = rng.integers(0, 2**63, len(spots), dtype=np.uint64)
+        if rng.random() < 0.3:
+            other = rng.integers(0, 2**63, n + 2, dtype=np.uint64)
+        x, y = jaccard.Set(base, ranks), jaccard.Set(other[: len(other) - int(rng.integers(0, 3))], ranks)
+        both = len(np.intersect1d(x.hashes, y.hashes))
+        rows.append({"a": b"a%d" % len(rows), "b": b"b", "n_a": x.n, "n_b": y.n, "p_a": x.parity(), "p_b": y.parity()})
+        alike.append(4 * both >= 3 * (x.n + y.n - both))
+    batch = pa.RecordBatch.from_pylist(rows)
+    (kept,) = jaccard._may_be_alike(iter([batch]))
+    passed = {r["a"] for r in kept.to_pylist()}
+    assert all(r["a"] in passed for r, yes in zip(rows, alike, strict=True) if yes) and any(alike)
+    assert len(passed) < len(rows)
