@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from sievework.functions import lexicon as lx
 from sievework.operators import billing, detect, profile, redact
@@ -167,37 +166,23 @@ def subscription_merge(state: DataFrame | None, rows: DataFrame) -> DataFrame:
     return billing.subscription_state(billing.replay(history))
 
 
-class _FirstArrival(StatefulProcessor):
-    """Lets the earliest arrival of an event id pass, once; ``ttl_ms`` forgets ids after that time."""
+def first_arrivals(rows: DataFrame) -> DataFrame:
+    """Each event id once: its first arrival, whatever batch the others come in (update mode).
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "arrival_no long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
-        if not self.seen.exists():
-            first = min(rows, key=lambda r: r["arrival_no"])
-            self.seen.update((first["arrival_no"],))
-            yield first
-
-    def close(self) -> None:
-        pass
-
-
-def first_arrivals(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Each event id once: its first arrival, whatever batch the others come in.
-
-    One small value per id in the keyed state store, read and written for the ids of a batch only.
+    A native aggregate holds one row per id in the state store, and a batch touches that of its own ids only: an id
+    whose earliest and latest sighting, by the clock of the batch, are one has not been there before.  Ids are
+    never forgotten; ``dedupe_events`` is the form with a watermark.
     """
     rows.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    return rows.groupBy("event_id").transformWithState(
-        _FirstArrival(ttl_ms), rows.schema, "Append", "None" if ttl_ms is None else "ProcessingTime"
+    seen = rows.withColumn("_seen", F.current_timestamp()).groupBy("event_id").agg(
+        F.min_by(F.struct(*rows.columns), "arrival_no").alias("_row"),
+        F.min("_seen").alias("_from"),
+        F.max("_seen").alias("_to"),
     )
+    return seen.filter("_from = _to").select("_row.*")
 
 
 STATE = (
@@ -239,7 +224,7 @@ def merge_subscriptions(
 
 
 def run_subscription_stream(
-    rows: DataFrame, path: str, checkpoint: str | None = None, buckets: int = 64, ttl_ms: int | None = None
+    rows: DataFrame, path: str, checkpoint: str | None = None, buckets: int = 64
 ) -> DataFrame:
     """Fold arriving events into the subscription tables under ``path`` and return the accounts.
 
@@ -254,9 +239,9 @@ def run_subscription_stream(
         merge_subscriptions(spark, path, billing.only_billing(batch), batch_id, buckets)
 
     query = (
-        first_arrivals(rows, ttl_ms)
+        first_arrivals(rows)
         .writeStream.foreachBatch(merge)
-        .outputMode("append")
+        .outputMode("update")
         .option("checkpointLocation", checkpoint or work_dir(spark, "checkpoint"))
         .trigger(availableNow=True)
         .start()
