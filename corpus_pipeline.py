@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept.  All but the last
 return the columns of ``documents``; the last returns the documents that the mix takes, with ``copies``.
+
+Defined cases, each as its operator's docstring says: documents without words (null, empty or blank text) are
+rejected by the first stage; rows without a ``doc_id`` are rows of their own, keep their lines, and of near duplicates
+the one with a real id stays; rows of one id and text count as copies; an empty table, or tables without labels or
+benchmark items, go through; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
