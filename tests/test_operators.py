@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sievework.operators import billing, crm, deltas, detect, imports, matching, notes, profile, prompts, scope
+from sievework.operators import billing, crm, deltas, detect, imports, matching, notes, profile, prompts, scope, skew
 from sievework.operators.skew import running_before, running_max_before, split_join
 from sievework.session import work_dir
 from sievework.sources import files, tables
@@ -575,3 +575,27 @@ def test_cells_follow_any_changes(spark):
     recount = count(spark.createDataFrame(list(rows.values()), schema)).filter("hired + placed > 0")
     order = ["job_id", "user_id", "hired", "placed"]
     assert Counter(cells.read().select(order).collect()) == Counter(recount.select(order).collect())
+
+
+def _first(plan, *names):
+    return min(plan.find(n) for n in names)
+
+
+def test_available_candidates_in_blocks(spark, monkeypatch):
+    """Pairs of a slot are formed after the last shuffle; repeated, null and taken rows as with listed pairs."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 7)
+    jobs = spark.createDataFrame([(j, j % 2) for j in [*range(40), 3, 3, 8]] + [(None, 1), (99, None)], "job_id long, slot long")
+    people = spark.createDataFrame(
+        [(c, c % 2) for c in [*range(50), 5, 5, 6]] + [(None, 0), (98, None)], "candidate_id long, slot long"
+    )
+    taken = spark.createDataFrame(
+        [(j, c) for j in range(40) for c in range(50) if (j * c) % 3 == 0] + [(3, 5), (None, 4), (4, None)],
+        "job_id long, candidate_id long",
+    )
+    listed = crm.available_candidates(jobs.join(people, "slot"), taken).select("job_id", "candidate_id")
+    found = crm.available_candidates(jobs, taken, people)
+    assert found.columns == ["job_id", "candidate_id"]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, listed.collect()), key=key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert _first(plan, "Generate explode") < _first(plan, "Exchange")
