@@ -19,7 +19,7 @@ from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
 from sievework.operators.profile import STRINGS, flat_skills
 from sievework.operators.scope import visible_to
-from sievework.operators.skew import rank_top, split_join
+from sievework.operators.skew import evenly, in_blocks, rank_top, split_join
 from sievework.session import materialise
 
 
@@ -248,16 +248,43 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``jobs``: ``job_id, user_id, org_id, required_skills``;
     ``candidates``: ``candidate_id, user_id, org_id, full_name, skills`` (skill map).
+
+    Jobs of one tenant cell and requirement list, and people of one cell and skill set, meet in blocks; pairs
+    are formed last and never shuffled.
     """
     job_rows, people, scores = _scored(jobs, candidates)
-    wanted = _scoped(job_rows.join(scores, "_req_key").withColumnRenamed("user_id", "p_user"), "p_user")
-    offered = _scoped(people.withColumnRenamed("user_id", "c_user"), "c_user")
-    return (
-        split_join(offered, wanted, ["_skill_key", "_scope", "_by_org"], "candidate_id")
-        # A pair that meets through its user is not listed again through its organisation.
-        .filter(~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user")))
-        .select("job_id", "candidate_id", "full_name", "score", "matched_skills", "missing_skills")
+    asked = in_blocks(job_rows, ["user_id", "org_id", "_req_key"], F.struct("job_id"), "job_id", "_jobs").select(
+        F.col("user_id").alias("p_user"), F.col("org_id").alias("p_org"), "_req_key", F.col("_block").alias("_jb"), "_jobs"
+    )
+    seen = in_blocks(
+        people, ["user_id", "org_id", "_skill_key"], F.struct("candidate_id", "full_name"), "candidate_id", "_people"
+    ).select(
+        F.col("user_id").alias("c_user"), F.col("org_id").alias("c_org"), "_skill_key", F.col("_block").alias("_cb"), "_people"
+    )
+    wanted = _scoped(
+        asked.select("p_user", "p_org", "_req_key", "_jb", F.col("p_org").alias("org_id")).join(
+            scores.select("_req_key", "_skill_key"), "_req_key"
+        ),
+        "p_user",
+    )
+    offered = _scoped(seen.select("c_user", "c_org", "_skill_key", "_cb", F.col("c_org").alias("org_id")), "c_user")
+    # A pair that meets through its user is not listed again through its organisation.
+    met = wanted.join(offered, ["_skill_key", "_scope", "_by_org"]).filter(
+        ~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user"))
     )
+    met = met.drop("_scope", "_by_org").join(scores, ["_req_key", "_skill_key"])
+    cells = _attached(met, asked, ["p_user", "p_org", "_req_key", "_jb"])
+    cells = _attached(evenly(cells, "c_user", "c_org", "_skill_key", "_cb"), seen, ["c_user", "c_org", "_skill_key", "_cb"])
+    found = ["score", "matched_skills", "missing_skills"]
+    each = cells.select(F.inline("_jobs"), "_people", *found)
+    return each.select("job_id", F.inline("_people"), *found)
+
+
+def _attached(cells: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` with the array of the block that ``keys`` name; a null key is a value like others."""
+    named = blocks.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], blocks.columns[-1])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)])
+    return cells.join(named, on).drop(*[f"_of{i}" for i in range(len(keys))])
 
 
 def _scored(jobs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

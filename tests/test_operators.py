@@ -599,3 +599,28 @@ def test_available_candidates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, listed.collect()), key=key)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert _first(plan, "Generate explode") < _first(plan, "Exchange")
+
+
+def test_auto_match_in_blocks(spark, monkeypatch):
+    """Pairs are formed after the last shuffle, each once, with null tenants and repeated rows."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 5)
+    draw = random.Random(5)
+    tenant = lambda: (draw.choice(["u0", "u1", None]), draw.choice(["o0", None, "u0"]))
+    asked = [(j, tenant()[0] or "u2", tenant()[1], draw.choice([["Python"], ["Go", "python"], ["SQL"], []])) for j in range(60)]
+    asked += asked[:4]
+    there = [(c, *tenant(), f"n{c}", {"Languages": draw.choice([["Python"], ["Go"], ["Go", "Python"], ["Rust"]])}) for c in range(70)]
+    there += [there[3], (3, *there[3][1:3], "another", there[3][4])]
+    jobs = spark.createDataFrame(asked, "job_id long, user_id string, org_id string, required_skills array<string>")
+    people = spark.createDataFrame(
+        there, "candidate_id long, user_id string, org_id string, full_name string, skills map<string,array<string>>"
+    )
+    wanted = Counter()
+    for j, ju, jo, required in asked:
+        for c, cu, co, name, skills in there:
+            hit = {r.lower() for r in required} & {s.lower() for s in skills["Languages"]}
+            if hit and ((ju is not None and ju == cu) or (jo is not None and jo == co)):
+                wanted[j, c, name, round(100 * len(hit) / len(required))] += 1
+    found = matching.auto_match(jobs, people)
+    assert Counter((r.job_id, r.candidate_id, r.full_name, r.score) for r in found.collect()) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert _first(plan, "Generate inline") < _first(plan, "Exchange")
