@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import lexicon as lx
 from sievework.functions import regexes as rx
 from sievework.functions import text as tx
+from sievework.functions.marks import TEXT_TESTS, marked
 from sievework.functions.spans import touched_lines_sql
 from sievework.operators.fence import fence
 
@@ -103,15 +104,25 @@ def add_safe_copy(normalised_docs: DataFrame, out: str = "safe_copy_text") -> Da
             F.coalesce(F.array_join(sweep_lines(F.col("_lines")), "\n"), "normalised"),
         )
         .withColumns(
-            {"_low": rx.fold_case(F.col("_clean")), "_digits": rx.has_digit(F.col("_clean"))}
+            {
+                "_low": F.when(F.col("_clean") == F.col("stripped"), F.col("lowered")).otherwise(
+                    rx.fold_case(F.col("_clean"))
+                ),
+                "_digits": rx.has_digit(F.col("_clean")),
+                # The marks are those of the stripped text; of another text all are set.
+                "_marks": F.when(F.col("_clean") == F.col("stripped"), F.col("marks")).otherwise(F.lit(-1)),
+            }
+        )
+        .withColumn(
+            "_kinds",
+            rx.pii_present("_clean", "_low", "_digits", lambda kind: marked("_marks", TEXT_TESTS, kind)),
         )
-        .withColumn("_kinds", rx.pii_present("_clean", "_low", "_digits"))
         .withColumn(
             out,
             F.when(F.size("_kinds") > 0, annotate_pii(F.col("_clean"), F.col("_kinds"))).otherwise(
                 tx.trim_space(F.col("_clean"))
             ),
         )
-        .drop("_lines", "_clean", "_low", "_digits", "_kinds")
+        .drop("_lines", "_clean", "_low", "_digits", "_kinds", "_marks")
     )
     return fence(copied, [out])
