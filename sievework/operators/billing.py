@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,144 +226,6 @@ def _settled(events: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _owner_lines(decided: DataFrame, chunk: int) -> DataFrame:
-    """Timelines of owners: a row per (event, owner it names or changes) with what came before it.
-
-    ``known`` since when the owner exists, ``held`` the customer held, ``last`` the newest event applied.
-    """
-    changes = F.col("applied") & F.col("resolved").eqNullSafe(F.col("owner"))
-    told = decided.filter("owner is not null").withColumns({"key": F.col("owner"), "puts": changes, "asks": F.lit(True)})
-    else_where = decided.filter(F.col("applied") & ~F.col("resolved").eqNullSafe(F.col("owner"))).withColumns(
-        {"key": F.col("resolved"), "puts": F.lit(True), "asks": F.lit(False)}
-    )
-    put = lambda value: F.when(F.col("puts"), value)
-    return running_before(
-        told.unionByName(else_where), ["scope", "key"], "arrival_no",
-        {
-            "known": ("min", put(F.col("arrival_no"))),
-            "now": ("max", put(F.struct("arrival_no", "customer"))),
-            "last": ("max", put(F.col("created"))),
-        },
-        chunk,
-    ).withColumn("held", F.col("now.customer")).drop("now")
-
-
-def _moves(lines: DataFrame) -> DataFrame:
-    """Where ownership begins (``step`` 1) and ends (-1): ``scope, customer, arrival_no, step, owner, born``."""
-    moved = lines.filter(F.col("puts") & ~F.col("held").eqNullSafe(F.col("customer")))
-    born = F.coalesce("known", "arrival_no").alias("born")
-    row = ["arrival_no", F.col("key").alias("owner"), born]
-    begun = moved.select("scope", "customer", F.lit(1).alias("step"), *row)
-    ended = moved.filter("held is not null").select("scope", F.col("held").alias("customer"), F.lit(-1).alias("step"), *row)
-    return begun.unionByName(ended)
-
-
-def _decide(decided: DataFrame, chunk: int) -> DataFrame:
-    """All decisions anew, each against the ownership intervals that the given decisions make.
-
-    A decision that depends only on right ones comes out right, so every turn settles at least the next
-    event in order, and in practice all but the few whose predecessors were overturned.
-    """
-    lines = _owner_lines(decided, chunk)
-    moves = _moves(lines)
-    asked = decided.filter(~F.col("hard")).select("scope", "customer", "arrival_no", F.lit(0).alias("step"), F.lit(True).alias("asks"))
-    points = moves.select("scope", "customer", "arrival_no", "step", "born").unionByName(asked, allowMissingColumns=True)
-    held = running_before(
-        points, ["scope", "customer"], "arrival_no",
-        {"holders": ("sum", F.col("step")), "births": ("sum", F.col("step") * F.col("born").cast("decimal(20, 0)"))},
-        chunk,
-    ).filter("asks").select("arrival_no", F.coalesce("holders", F.lit(0)).alias("holders"), "births")
-    own = lines.filter("asks").select("arrival_no", "known", "held", F.col("last").alias("own_last"))
-    facts = (
-        decided.filter(~F.col("hard")).join(held, "arrival_no").join(own, "arrival_no", "left")
-        .withColumn("passed", F.col("owner").isNull() | (F.col("known").isNull() & (F.col("holders") > 0)))
-    )
-    # A sole holder is told by the arrival that made the account, which is unique.
-    accounts = lines.filter("puts").groupBy("scope", F.col("key").alias("holder")).agg(
-        F.min(F.coalesce("known", "arrival_no")).cast("decimal(20, 0)").alias("births")
-    )
-    taken = facts.filter(F.col("passed") & (F.col("holders") == 1)).select("scope", "births", "arrival_no")
-    taken = taken.join(accounts, ["scope", "births"]).select("scope", F.col("holder").alias("key"), "arrival_no")
-    puts = lines.filter("puts").select("scope", "key", "arrival_no", "created")
-    lasts = running_before(
-        puts.join(taken.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
-        .withColumn("asks", F.lit(False))
-        .unionByName(taken.withColumn("asks", F.lit(True)), allowMissingColumns=True),
-        ["scope", "key"], "arrival_no", {"their_last": ("max", F.col("created"))}, chunk,
-    ).filter("asks").select("arrival_no", F.col("key").alias("holder"), "their_last")
-
-    others = F.col("holders") - F.when(F.col("held") == F.col("customer"), 1).otherwise(0)
-    soft = facts.join(lasts, "arrival_no", "left").withColumns(
-        {
-            "last": F.when(F.col("passed"), F.col("their_last")).otherwise(F.col("own_last")),
-            "refused": F.when(F.col("passed"), F.col("holders") > 1).otherwise(others > 0),
-            "to": F.when(F.col("passed"), F.col("holder")).otherwise(F.col("owner")),
-        }
-    )
-    applied = ~F.col("refused") & F.col("to").isNotNull() & _newer("last")
-    soft = soft.select(
-        "arrival_no", "scope", "owner", "customer", "hard", "created", F.col("to").alias("resolved"),
-        applied.alias("applied"), "refused", (F.col("passed") & F.col("refused")).alias("crowded"),
-        (
-            (applied != F.col("applied")) | (applied & ~F.col("to").eqNullSafe(F.col("resolved")))
-        ).alias("changed"),
-    )
-    fixed = decided.filter("hard").select(*[c for c in soft.columns if c != "changed"], F.lit(False).alias("changed"))
-    return soft.unionByName(fixed)
-
-
-def _oldest_holders(decided: DataFrame, chunk: int) -> DataFrame:
-    """``arrival_no, oldest``: the account a refused newcomer would have gone to, the oldest of several holders.
-
-    Intervals are cut into stretches of ``chunk`` arrivals, so an event meets the holders of its own stretch only.
-    """
-    asked = decided.filter("crowded").select("scope", "customer", "arrival_no")
-    span = asked.agg(F.min("arrival_no"), F.max("arrival_no")).first()
-    if span[0] is None:
-        return asked.select("arrival_no", F.lit(None).cast("string").alias("oldest"))
-    moves = _moves(_owner_lines(decided, chunk)).join(
-        asked.select("scope", "customer").distinct(), ["scope", "customer"], "left_semi"
-    )
-    in_turn = Window.partitionBy("scope", "customer", "owner").orderBy("arrival_no")
-    part = lambda c: F.floor(c / F.lit(chunk)).cast("long")
-    held = moves.withColumn("until", F.lead("arrival_no").over(in_turn)).filter("step = 1").select(
-        "scope", "customer", "owner", "born", F.col("arrival_no").alias("since"),
-        F.coalesce("until", F.lit(span[1])).alias("until"),
-    )
-    held = held.filter((F.col("since") < span[1]) & (F.col("until") >= span[0])).withColumn(
-        "part",
-        F.explode(F.sequence(part(F.greatest("since", F.lit(span[0]))), part(F.least("until", F.lit(span[1]))))),
-    )
-    met = asked.withColumn("part", part(F.col("arrival_no"))).join(held, ["scope", "customer", "part"]).filter(
-        "since < arrival_no and arrival_no <= until"
-    )
-    return met.groupBy("arrival_no").agg(F.min_by("owner", "born").alias("oldest"))
-
-
-def _by_turns(events: DataFrame, chunk: int) -> DataFrame:
-    """Decisions by turns over ownership intervals, until none changes."""
-    decided = events.withColumns(
-        {
-            "resolved": F.col("owner"),
-            "applied": F.col("owner").isNotNull(),
-            "refused": F.lit(False),
-            "crowded": F.lit(False),
-            "changed": F.lit(True),
-        }
-    )
-    decided = materialise(decided, "ownership")
-    while not decided.filter("changed").isEmpty():
-        decided = materialise(_decide(decided, chunk), "ownership")
-    found = decided.join(_oldest_holders(decided, chunk), "arrival_no", "left")
-    resolved = F.coalesce("oldest", "resolved")
-    return found.select(
-        "arrival_no",
-        resolved.alias("resolved"),
-        F.when(F.col("refused"), "collision").when(resolved.isNull(), "unmappable").otherwise("mapped").alias("disposition"),
-        "applied",
-    )
-
-
 class _Accounts:
     """Accounts of one scope, changed event by event."""
 
@@ -370,31 +234,52 @@ class _Accounts:
         self.born: dict[str, int] = {}
         self.customer: dict[str, str] = {}
         self.owners: dict[str, set[str]] = {}  # customer -> owners that hold it
+        self.ages: dict[str, list[tuple[int, str]]] = {}  # customer -> heap of (born, owner), some of which hold it no more
+        self.more: dict[str, int] = {}  # customer -> holders besides these, all younger than the oldest of these
+        self.changed: set[str] = set()
 
-    def put(self, owner: str, customer: str, created: int | None) -> None:
-        self.born.setdefault(owner, len(self.born))
-        old = self.customer.get(owner)
-        if old is not None:
-            self.owners[old].discard(owner)
-        self.owners.setdefault(customer, set()).add(owner)
+    def add(self, owner: str, customer: str, created: int | None, born: int) -> None:
+        """An account as it was found."""
+        self.last[owner], self.born[owner] = created, born
+        self._hold(owner, customer)
+
+    def _hold(self, owner: str, customer: str) -> None:
         self.customer[owner] = customer
+        self.owners.setdefault(customer, set()).add(owner)
+        heapq.heappush(self.ages.setdefault(customer, []), (self.born[owner], owner))
+
+    def oldest(self, customer: str) -> str:
+        """The oldest account that holds the customer; those that left are dropped when they come up."""
+        ages, holders = self.ages[customer], self.owners[customer]
+        while ages[0][1] not in holders:
+            heapq.heappop(ages)
+        return ages[0][1]
+
+    def put(self, owner: str, customer: str, created: int | None, born: int) -> None:
+        self.born.setdefault(owner, born)
+        old = self.customer.get(owner)
+        if old != customer:
+            if old is not None:
+                self.owners[old].discard(owner)
+            self._hold(owner, customer)
         if created is not None or owner not in self.last:
             self.last[owner] = created
+        self.changed.add(owner)
 
-    def apply(self, hard, owner, customer, created) -> tuple[str | None, str, bool]:
-        """Resolved owner, disposition, and whether the event changes the account."""
+    def apply(self, hard, owner, customer, created, born) -> tuple[str | None, str, bool]:
+        """Resolved owner, disposition, and whether the event changes the account; ``born`` tells an account's age."""
         holders = self.owners.get(customer, ())
         if not hard:
             if owner not in self.last and holders:
-                owner = min(holders, key=self.born.__getitem__)  # the oldest account
+                owner = self.oldest(customer)
             if owner is None:
                 return None, "unmappable", False
-            if any(h != owner for h in holders):
+            if customer in self.more or any(h != owner for h in holders):
                 return owner, "collision", False
             last = self.last.get(owner)
             if last is not None and created is not None and created <= last:
                 return owner, "mapped", False
-        self.put(owner, customer, created)
+        self.put(owner, customer, created, born)
         return owner, "mapped", True
 
 
@@ -407,18 +292,187 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for scope, *event in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in fields), strict=True):
             if scope != current:
                 current, accounts = scope, _Accounts()
-            found.append(accounts.apply(*event))
+            found.append(accounts.apply(*event, len(accounts.born)))
         columns = zip(*found, strict=True) if found else ((), (), ())
         names = ("resolved", "disposition", "applied")
         yield pd.DataFrame({"arrival_no": batch["arrival_no"], **{n: pd.Series(c, dtype=object) for n, c in zip(names, columns, strict=True)}})
 
 
+# Kinds of rows that a stretch of events is replayed from, in the order in which they are read.
+_ACCOUNT, _CROWD, _EVENT = 0, 1, 2
+_STRETCH_IN = (
+    "scope string, part long, kind int, arrival_no long, owner string, customer string, created long, born long, "
+    "hard boolean, others long"
+)
+_STRETCH_OUT = (
+    "scope string, part long, kind int, arrival_no long, owner string, customer string, created long, born long, "
+    "disposition string, applied boolean"
+)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (scope, part, kind, arrival_no): the accounts that a stretch of events meets, then the events.
+
+    Returns a row per event, with the owner it goes to, and one per account that was changed, as it was at the end."""
+    schema = pa.schema([
+        ("scope", pa.string()), ("part", pa.int64()), ("kind", pa.int32()), ("arrival_no", pa.int64()), ("owner", pa.string()),
+        ("customer", pa.string()), ("created", pa.int64()), ("born", pa.int64()), ("disposition", pa.string()), ("applied", pa.bool_()),
+    ])
+    current, accounts = None, _Accounts()
+
+    def ends() -> list[tuple]:
+        return [
+            (*current, _ACCOUNT, None, o, accounts.customer[o], accounts.last[o], accounts.born[o], None, None)
+            for o in accounts.changed
+        ]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        rows = []
+        names = [f.split()[0] for f in _STRETCH_IN.split(", ")]
+        columns = (batch.column(n).to_pylist() for n in names)
+        for scope, part, kind, arrival_no, owner, customer, created, born, hard, others in zip(*columns, strict=True):
+            if (scope, part) != current:
+                rows += ends()
+                current, accounts = (scope, part), _Accounts()
+            if kind == _EVENT:
+                to, fate, applied = accounts.apply(hard, owner, customer, created, arrival_no)
+                rows.append((scope, part, kind, arrival_no, to, None, None, None, fate, applied))
+            else:
+                accounts.add(owner, customer, created, born)
+                if others:
+                    accounts.more[customer] = others
+        yield out(rows)
+    yield out(ends())
+
+
+def _known_at(named: DataFrame, ends: DataFrame) -> DataFrame:
+    """Lines of accounts: a row per (account, stretch that names or changes it) with the account as it was when the
+    stretch began (``old``, null if it was not there) and when it was over (``new``); ``asks`` where it is named."""
+    rows = named.select("scope", "owner", "part", F.lit(True).alias("asks")).join(
+        ends.select("scope", "owner", "part", F.struct("customer", "created").alias("end"), "born"),
+        ["scope", "owner", "part"], "full",
+    )
+    line = Window.partitionBy("scope", "owner").orderBy("part")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    until = line.rowsBetween(Window.unboundedPreceding, 0)
+    after = F.lead("part").over(line)
+    return rows.select(
+        "scope", "owner", "part", F.coalesce("asks", F.lit(False)).alias("asks"),
+        F.last("end", ignorenulls=True).over(before).alias("old"), F.min("born").over(before).alias("old_born"),
+        F.last("end", ignorenulls=True).over(until).alias("new"), F.min("born").over(until).alias("new_born"),
+        after.alias("next"), F.lead(F.coalesce("asks", F.lit(False))).over(line).alias("next_asks"),
+    )
+
+
+def _covers(first: str, last: str, levels: int) -> str:
+    """SQL: the fewest dyadic ranges ``(level, place)`` that make up the stretches ``first`` to ``last``."""
+    low = f"(({first} + shiftleft(1L, l) - 1) div shiftleft(1L, l))"
+    high = f"(({last} + 1) div shiftleft(1L, l) - 1)"
+    return (
+        f"filter(flatten(transform(sequence(0, {levels}), l -> array("
+        f"CASE WHEN {low} <= {high} AND {low} % 2 = 1 THEN named_struct('level', l, 'place', {low}) END, "
+        f"CASE WHEN {low} <= {high} AND {high} % 2 = 0 THEN named_struct('level', l, 'place', {high}) END))), "
+        "x -> x IS NOT NULL)"
+    )
+
+
+def _found_by(named: DataFrame, asked: DataFrame, ends: DataFrame, parts: int) -> DataFrame:
+    """What every stretch finds when it begins, given how accounts were left by the ones before: the accounts it names,
+    and per customer it names the oldest of the other holders and how many more there are.
+
+    The others do not move while the stretch lasts, as only events that name an account move it.  The stretches an account
+    lasts without being named are taken apart into dyadic ranges, so a stretch meets one row per level and customer.
+    """
+    lines = materialise(_known_at(named, ends), "ownership")
+    own = lines.filter("asks and old is not null").select(
+        "scope", "part", F.lit(_ACCOUNT).alias("kind"), "owner", "old.customer", "old.created",
+        F.col("old_born").alias("born"), F.lit(0).cast("long").alias("others"),
+    )
+    levels = max(parts - 1, 1).bit_length()
+    idle = lines.filter("new is not null").select(
+        "scope", "new.customer", F.struct(F.col("new_born").alias("born"), "owner", "new.created").alias("holder"),
+        (F.col("part") + 1).alias("since"),
+        F.coalesce(F.col("next") - F.when(F.col("next_asks"), 1).otherwise(0), F.lit(parts - 1)).alias("until"),
+    )
+    ranges = (
+        idle.filter("since <= until").withColumn("at", F.explode(F.expr(_covers("since", "until", levels))))
+        .groupBy("scope", "customer", "at.level", "at.place")
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("holder").alias("oldest"))
+    )
+    meets = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn(
+        "place", F.expr("part div shiftleft(1L, level)")
+    )
+    crowd = (
+        meets.join(ranges, ["scope", "customer", "level", "place"])
+        .groupBy("scope", "part", "customer")
+        .agg(F.sum("holders").alias("holders"), F.min("oldest").alias("oldest"))
+        .select(
+            "scope", "part", F.lit(_CROWD).alias("kind"), "oldest.owner", "customer", "oldest.created",
+            "oldest.born", (F.col("holders") - 1).alias("others"),
+        )
+    )
+    return own.unionByName(crowd)
+
+
+def _by_stretches(events: DataFrame, size: int) -> DataFrame:
+    """Decisions of stretches of about ``size`` events, each replayed from the accounts that the ones before it leave.
+
+    At first the accounts are guessed: events that take their customer whoever holds it count, no others.  A stretch
+    that finds other accounts than it was replayed from is replayed again, until none is.  A stretch depends on
+    earlier ones only, so every turn settles at least one more; in practice a guess is soon forgotten, as accounts keep
+    little of what came before.
+    """
+    spark = events.sparkSession
+    parts = -(-events.count() // size)
+    dealt = events.repartitionByRange(max(parts, 1), "scope", "arrival_no").withColumn("_part", F.spark_partition_id())
+    dealt = materialise(dealt.withColumn("part", F.col("_part").cast("long")).drop("_part"), "stretches")
+    parts = dealt.agg(F.max("part")).first()[0] + 1
+    named = materialise(dealt.filter("owner is not null").select("scope", "owner", "part").distinct(), "ownership")
+    asked = materialise(dealt.select("scope", "customer", "part").distinct(), "ownership")
+    ends = dealt.filter("hard").groupBy("scope", "part", "owner").agg(
+        F.max_by("customer", "arrival_no").alias("customer"), F.max("created").alias("created"), F.min("arrival_no").alias("born")
+    )
+    schema = "scope string, part long, turn int"
+    done, last, turn = None, {}, 0
+    while True:
+        found = materialise(_found_by(named, asked, ends, parts), "ownership")
+        # A stretch is known by two sums over what it finds; the driver holds one row per stretch.
+        rows = F.xxhash64("kind", "owner", "customer", "created", "born", "others")
+        seen = dealt.select("scope", "part").distinct().join(
+            found.groupBy("scope", "part").agg(F.bit_xor(rows).alias("mixed"), F.sum(rows.cast("decimal(20, 0)")).alias("sum")),
+            ["scope", "part"], "left",
+        )
+        now = {(r.scope, r.part): (r.mixed, r.sum) for r in seen.collect()}
+        anew = [k for k, v in now.items() if k not in last or last[k][0] != v]
+        if not anew:
+            break
+        last |= {k: (now[k], turn) for k in anew}
+        wanted = F.broadcast(spark.createDataFrame([(*k, turn) for k in anew], schema).drop("turn"))
+        fields = [f.split()[0] for f in _STRETCH_IN.split(", ")]
+        input_rows = (
+            dealt.withColumn("kind", F.lit(_EVENT)).unionByName(found, allowMissingColumns=True).join(wanted, ["scope", "part"]).select(*fields)
+            .repartition(len(anew), "scope", "part").sortWithinPartitions("scope", "part", "kind", "arrival_no")
+        )
+        replayed = materialise(input_rows.mapInArrow(_stretches, _STRETCH_OUT).withColumn("turn", F.lit(turn)), "stretches")
+        done = replayed if done is None else done.unionByName(replayed)
+        # Only the latest replay of a stretch counts.
+        current = F.broadcast(spark.createDataFrame([(*k, t) for k, (_, t) in last.items()], schema))
+        valid = done.join(current, ["scope", "part", "turn"])
+        ends = valid.filter(F.col("kind") == _ACCOUNT).select("scope", "part", "owner", "customer", "created", "born")
+        turn += 1
+    return valid.filter(F.col("kind") == _EVENT).select("arrival_no", F.col("owner").alias("resolved"), "disposition", "applied")
+
+
 def _contested(events: DataFrame, chunk: int, few: int) -> DataFrame:
     """Decisions where owners share customers: of up to ``few`` events in order of arrival, one task a scope,
-    of more by turns."""
+    of more by stretches."""
     events = events.select("arrival_no", "scope", "owner", "customer", "hard", "created")
     if events.limit(few + 1).count() > few:
-        return _by_turns(events, chunk)
+        return _by_stretches(events, min(chunk, FEW))
     return events.repartition("scope").sortWithinPartitions("scope", "arrival_no").mapInPandas(
         _in_order, "arrival_no long, resolved string, disposition string, applied boolean"
     )
@@ -433,10 +487,12 @@ def replay(rows: DataFrame, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
 
     Events that name no customer, or no status, are nobody's.  Owners and customers that only know each other
     are decided in one pass.  The others depend on who holds their customer when they arrive, and that on
-    earlier decisions.  Up to ``few`` of them are decided one after the other.  Beyond, given any decisions, running sums over the timelines of owners and customers
-    tell the holders at every arrival and so all decisions anew; where nothing changes any more, they
-    are those of the order of arrival.  No key's timeline is in one task: it is cut every ``chunk`` arrivals.
+    earlier decisions.  Up to ``few`` of them are decided one after the other.  Beyond, they are cut into stretches that are
+    replayed side by side, each from the accounts that those before leave, until none finds other accounts than it was
+    replayed from: then all decisions are those of the order of arrival.  No task holds more than a stretch, of ``chunk``
+    events at most, and what it finds.
     """
+    rows = materialise(rows, "billing-rows")
     events = materialise(_effective(rows), "billing-events")
     known = events.join(_customers(events), ["scope", "customer"], "left").withColumn(
         "contested", F.col("sole").isNull() & F.col("first").isNotNull()

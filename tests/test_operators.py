@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import billing, crm, deltas, detect, imports, matching, notes, profile, prompts, scope, skew
 from sievework.operators.skew import running_before, running_max_before, split_join
-from sievework.session import work_dir
+from sievework.session import materialise, work_dir
 from sievework.sources import files, tables
 from sievework.sources.buckets import BucketTable
 from sievework.sources.json_array import read_json_array
@@ -624,3 +624,23 @@ def test_auto_match_in_blocks(spark, monkeypatch):
     assert Counter((r.job_id, r.candidate_id, r.full_name, r.score) for r in found.collect()) == wanted
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert _first(plan, "Generate inline") < _first(plan, "Exchange")
+
+
+def test_stretches_follow_long_chains_in_few_turns(spark, monkeypatch):
+    """Every hand-over is decided by the one before; stretches settle whole chains at once."""
+    chain = []
+    for n in range(12):
+        chain += [(UP, n, "abc"[n % 3], f"c{n % 2}", None, "active")]
+    written = []
+    monkeypatch.setattr(billing, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    done = billing.replay(billing_events(spark, chain), chunk=100, few=0).collect()
+    assert [r.disposition for r in sorted(done, key=lambda r: r.arrival_no)] == one_by_one(chain)[1]
+    assert len(written) < 13
+
+
+def test_dyadic_ranges_cover_each_stretch_once(spark):
+    pairs = [(a, b) for a in range(9) for b in range(a, 9)]
+    df = spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", f"{billing._covers('a', 'b', 4)} AS at")
+    for r in df.collect():
+        met = sorted(p for x in r["at"] for p in range(x.place << x.level, (x.place + 1) << x.level))
+        assert met == list(range(r.a, r.b + 1))
