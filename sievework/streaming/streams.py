@@ -236,7 +236,9 @@ def run_subscription_stream(
     spark = rows.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_subscriptions(spark, path, billing.only_billing(batch), batch_id, buckets)
+        # Written once: every further use of the batch would run the stream's query again.
+        new = materialise(billing.only_billing(batch), "arrivals")
+        merge_subscriptions(spark, path, new, batch_id, buckets)
 
     query = (
         first_arrivals(rows)
