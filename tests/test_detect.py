@@ -204,3 +204,13 @@ def test_marks_hold_wherever_a_pattern_matches(spark):
     assert all(r.buzz for r in rows.values() if texts[r.doc_id] is not None)
     assert [k for k, r in rows.items() if r.run] == [12]
     assert rows[0].n and rows[1].n and rows[2].n and rows[16].n
+
+
+def test_one_pass_finds_the_same_spans(spark):
+    from sievework.functions.spans import marked_spans_sql, spans_sql
+
+    rows = [("ab ab$0 xab",), ("ab",), ("x",), ("",), ("äb ab\nab" * 300,), ("abab \\ab 𝄞ab",)]
+    df = spark.createDataFrame(rows, "t string")
+    for regex in (r"(?dU)\bab", "(?<!a)b", "a|b", "ab$"):
+        both = df.selectExpr(f"{spans_sql('t', regex)} AS a", f"{marked_spans_sql('t', regex)} AS b").collect()
+        assert all(r.a == r.b for r in both), regex
