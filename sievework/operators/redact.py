@@ -99,30 +99,29 @@ def add_safe_copy(normalised_docs: DataFrame, out: str = "safe_copy_text") -> Da
             ),
         )
         .withColumn("_lines", F.when(F.col("_lines").isNotNull(), collapse_markers(F.col("_lines"))))
+        .withColumn("_left", F.array_join("_lines", "\n"))
+        .withColumn("_left_low", rx.fold_case(F.col("_left")))
+        # A family that matches in a line matches in the text, so only a text where one does needs the sweep.
         .withColumn(
             "_clean",
-            F.coalesce(F.array_join(sweep_lines(F.col("_lines")), "\n"), "normalised"),
-        )
-        .withColumns(
-            {
-                "_low": F.when(F.col("_clean") == F.col("stripped"), F.col("lowered")).otherwise(
-                    rx.fold_case(F.col("_clean"))
-                ),
-                "_digits": rx.has_digit(F.col("_clean")),
-                # The marks are those of the stripped text; of another text all are set.
-                "_marks": F.when(F.col("_clean") == F.col("stripped"), F.col("marks")).otherwise(F.lit(-1)),
-            }
+            F.when(rx.holds_any("_left", "_left_low", "families"), F.array_join(sweep_lines(F.col("_lines")), "\n")).otherwise(
+                F.coalesce("_left", "normalised")
+            ),
         )
         .withColumn(
-            "_kinds",
-            rx.pii_present("_clean", "_low", "_digits", lambda kind: marked("_marks", TEXT_TESTS, kind)),
+            "_low",
+            F.when(F.col("_clean") == F.col("stripped"), F.col("lowered"))
+            .when(F.col("_clean") == F.col("_left"), F.col("_left_low"))
+            .otherwise(rx.fold_case(F.col("_clean"))),
         )
+        # Between the markers, whose brackets no type matches, stand whole lines of the normalised text, so its marks hold.
+        .withColumn("_kinds", rx.pii_present("_clean", "_low", "", lambda kind: marked("norm_marks", TEXT_TESTS, kind)))
         .withColumn(
             out,
             F.when(F.size("_kinds") > 0, annotate_pii(F.col("_clean"), F.col("_kinds"))).otherwise(
                 tx.trim_space(F.col("_clean"))
             ),
         )
-        .drop("_lines", "_clean", "_low", "_digits", "_kinds", "_marks")
+        .drop("_lines", "_left", "_left_low", "_clean", "_low", "_kinds")
     )
     return fence(copied, [out])
