@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import lexicon as lx
+from sievework.functions import marks as mk
 from sievework.functions import regexes as rx
 from sievework.functions import text as tx
 from sievework.operators.fence import fence
@@ -27,6 +28,66 @@ _OTHER_SKILLS = [
 ]
 
 
+# ------------------------------------------------------------------------- marks
+
+_CLAIM_ANCHORS = [
+    ["led", "managed", "built", "architected", "designed", "delivered"],
+    ["increased", "reduced", "improved", "cut", "saved", "grew"],
+    ["improvement", "increase", "reduction", "faster", "growth", "uplift"],
+    ["team of", "managed"],
+]
+# Classes of the first characters of every match, in lower case.
+_CLAIM_STARTS = [("lmbad", "eaur"), ("ircsg", "nemuar"), (r"\d",), ("tm", "ea")]
+_LEVEL_ANCHORS = [
+    ["phd", "ph.d", "doctor"], ["msc", "m.sc", "m.s", "master", "mba", "meng"],
+    ["bsc", "b.sc", "b.s", "b.e", "beng", "bachelor", "b.a"], ["associate", "a.s", "a.a"],
+    ["high school", "secondary school", "diploma", "ged"],
+    ["bootcamp", "boot camp", "selftaught", "self-taught", "online course", "certification"],
+]
+_COMPLETENESS_ANCHORS = {
+    "Has email": [["@"]],
+    "Has LinkedIn": [["linkedin.com/in/"]],
+    "Has GitHub": [["github.com/"]],
+    "Has work-entry dates": [["20"]],
+    "Has skills heading": [["skills", "technologies", "stack"]],
+}
+_WORD = "any word skill"
+_SECTION = "education section"
+_YEARS = "years"
+_EMPLOYER = "employer"
+_SENIOR = "seniority "
+_EDGE = "(?:^|$|[^A-Za-z0-9_])"
+_PHONE = rf"{mk.DIGIT}[{mk.DIGIT}{mk.SPACE}\-().]{{7}}"
+# Bits of what a whole text may hold; see ``marks``.
+TESTS = {
+    _WORD: [_EDGE + mk.group([s.lower() for s in _WORD_SKILLS]) + _EDGE],
+    **{s: [mk.group([s.lower()])] for s in _OTHER_SKILLS},
+    **{body: [mk.group(words)] for body, words in zip(lx.CLAIM_PATTERNS, _CLAIM_ANCHORS)},
+    **{label: [mk.group(words)] for (label, _), words in zip(lx.EDUCATION_LEVELS, _LEVEL_ANCHORS)},
+    **{label: [mk.group(g) for g in groups] for label, groups in _COMPLETENESS_ANCHORS.items()},
+    "Has phone": [_PHONE],
+    _SECTION: [mk.group(["education", "academic", "qualification"])],
+    _YEARS: [rf"{mk.DIGIT}\+?[{mk.SPACE}]*[yY]"],
+    _EMPLOYER: [rf"(?:at|@)[{mk.SPACE}]+[A-Z]"],
+    **{
+        f"{_SENIOR}{score}": [_EDGE + mk.group([w.replace("\\", "") for w in words])]
+        for score, words in lx.SENIORITY.items()
+    },
+}
+_seen = mk.seen(TESTS, dict.fromkeys(_OTHER_SKILLS, mk.group([s.lower() for s in _OTHER_SKILLS])))
+
+
+def with_marks(docs: DataFrame, text: str) -> DataFrame:
+    """Add ``_marks`` and the ``_words`` of the text."""
+    look = docs.withColumn("_seen", _seen(F.col(text)))
+    return look.withColumns({"_marks": F.col("_seen.marks"), "_words": F.col("_seen.n_words")}).drop("_seen")
+
+
+def _may(name: str, marks: str | None) -> Column:
+    """False only where the marks tell that a text does not hold this."""
+    return F.lit(True) if marks is None else F.expr(mk.marked(marks, TESTS, name))
+
+
 def _escape(literal: str) -> str:
     return "".join(c if c.isalnum() or c in " &/#-" else "\\" + c for c in literal)
 
@@ -38,21 +99,24 @@ def _strings(values: list[str]) -> Column:
 # ------------------------------------------------------------------------ skills
 
 
-def skill_hits(text: str, lowered: str) -> Column:
+def skill_hits(text: str, lowered: str, marks: str | None = None) -> Column:
     """Taxonomy skills present in the text column, as one flat array.
 
     A skill made of word characters is present exactly when it is one of the
     text's words, so one split and one hash intersection replace a hundred
     regex passes.  Only skills with other characters keep a pattern.
     ``lowered``: column holding ``regexes.fold_case`` of the text.
+    ``marks``: column of ``with_marks``, here and below; without it, everything is searched for.
     """
     words = F.split(F.col(lowered), r"[^\p{L}\p{N}_]+", -1)
-    found = F.array_intersect(_strings([s.lower() for s in _WORD_SKILLS]), words)
+    found = F.when(
+        _may(_WORD, marks), F.array_intersect(_strings([s.lower() for s in _WORD_SKILLS]), words)
+    ).otherwise(F.array().cast(STRINGS))
     by_pattern = F.array_compact(
         F.array(
             *[
                 F.when(
-                    rx.present(text, lowered, rf"\b{_escape(s)}\b", True, [[s.lower()]]), s.lower()
+                    _may(s, marks) & rx.present(text, lowered, rf"\b{_escape(s)}\b", True, [[s.lower()]]), s.lower()
                 )
                 for s in _OTHER_SKILLS
             ]
@@ -96,10 +160,10 @@ def doc_skills(docs: DataFrame, key: str, skills: str = "skills") -> DataFrame:
 # -------------------------------------------------------------------- experience
 
 
-def year_claims(text: Column) -> Column:
+def year_claims(text: Column, marks: str | None = None) -> Column:
     raw = F.when(
-        rx.matches(text, r"\d\+?\s*y", True),
-        F.regexp_extract_all(text, F.lit(rx.pattern(lx.YEARS, True)), F.lit(1)),
+        rx.matches(text, r"\d\+?\s*y", True) if marks is None else _may(_YEARS, marks) & text.isNotNull(),
+        F.regexp_extract_all(text, F.lit(rx.started(lx.YEARS, True, r"\d")), F.lit(1)),
     ).otherwise(F.array().cast(STRINGS))
     years = F.transform(raw, lambda y: y.try_cast("int"))
     return F.filter(years, lambda y: y.isNotNull() & (y > 0) & (y <= 50))
@@ -113,16 +177,15 @@ def max_years(claims: Column) -> Column:
     return F.array_max(claims)
 
 
-def seniority_score(lowered: str) -> Column:
+def seniority_score(lowered: str, marks: str | None = None) -> Column:
     """Highest score among words that start with a seniority keyword."""
     out = F
     for score, words in lx.SENIORITY.items():
         firsts = "".join(sorted({w[0] for w in words}))
         literals = [w.replace("\\", "") for w in words]
         out = out.when(
-            rx.present(
-                lowered, lowered, rf"\b(?:{'|'.join(words)})", False, [literals], f"[{firsts}]"
-            ),
+            _may(f"{_SENIOR}{score}", marks)
+            & rx.present(lowered, lowered, rf"\b(?:{'|'.join(words)})", False, [literals], f"[{firsts}]"),
             score,
         )
     return out.otherwise(0)
@@ -155,7 +218,7 @@ def years_to_tier(years: Column) -> Column:
 # --------------------------------------------------------------------- education
 
 
-def education_section(text: Column) -> Column:
+def education_section(text: Column, marks: str | None = None) -> Column:
     """Lines after the first education heading, up to another heading; null if none."""
     lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
     stripped = F.transform(lines, tx.trim_space)
@@ -168,45 +231,45 @@ def education_section(text: Column) -> Column:
     ).cast("int")
     kept = F.when(stop > 0, F.slice(body, F.lit(1), stop - 1)).otherwise(body)
     section = F.nullif(tx.trim_space(F.array_join(kept, "\n")), F.lit(""))
-    maybe = rx.matches(text, r"education|academic|qualification", True)
+    maybe = rx.matches(text, r"education|academic|qualification", True) if marks is None else _may(_SECTION, marks)
     return F.when(maybe, F.when(start > 0, section))
 
 
-def education_level(scope: str, lowered_scope: str) -> Column:
-    """Highest level named in the section, or in the whole text when there is none."""
+def education_level(scope: str, lowered_scope: str, marks: str | None = None) -> Column:
+    """Highest level named in the section, or in the whole text when there is none.
+
+    ``marks``: those of the whole text, whose lines the section is made of.
+    """
     firsts = ["[pd]", "m", "b", "a", "[hsdg]", "[bsoc]"]
     out = F
     for (label, body), first in zip(lx.EDUCATION_LEVELS, firsts):
-        out = out.when(rx.present(scope, lowered_scope, body, True, None, first), label)
+        out = out.when(_may(label, marks) & rx.present(scope, lowered_scope, body, True, None, first), label)
     return out.otherwise(lx.NO_EDUCATION)
 
 
 # ------------------------------------------------------------------------ claims
 
 
-_CLAIM_ANCHORS = [
-    ["led", "managed", "built", "architected", "designed", "delivered"],
-    ["increased", "reduced", "improved", "cut", "saved", "grew"],
-    ["improvement", "increase", "reduction", "faster", "growth", "uplift"],
-    ["team of", "managed"],
-]
-
-
-def claim_present(text: str, lowered: str) -> list[Column]:
+def claim_present(text: str, lowered: str, marks: str | None = None) -> list[Column]:
     return [
-        rx.present(text, lowered, body, True, [anchors])
-        for body, anchors in zip(lx.CLAIM_PATTERNS, _CLAIM_ANCHORS)
+        _may(body, marks)
+        & rx.present(text, lowered, body, True, [anchors] if marks is None else None, "".join(f"[{s}]" for s in starts))
+        for body, anchors, starts in zip(lx.CLAIM_PATTERNS, _CLAIM_ANCHORS, _CLAIM_STARTS)
     ]
 
 
-def raw_claims(text: str, lowered: str) -> Column:
+def raw_claims(text: str, lowered: str, marks: str | None = None) -> Column:
     """Every claim-like phrase, pattern by pattern, trimmed."""
     none = F.array().cast(STRINGS)
     found = [
         F.when(
-            there, F.regexp_extract_all(F.col(text), F.lit(rx.pattern(body, True)), F.lit(0))
+            there, F.regexp_extract_all(F.col(text), F.lit(rx.started(body, True, *starts)), F.lit(0))
         ).otherwise(none)
-        for body, there in zip(lx.CLAIM_PATTERNS, claim_present(text, lowered))
+        for body, starts, there in zip(
+            lx.CLAIM_PATTERNS,
+            _CLAIM_STARTS,
+            claim_present(text, lowered) if marks is None else [_may(body, marks) & F.col(text).isNotNull() for body in lx.CLAIM_PATTERNS],
+        )
     ]
     return F.transform(F.concat(*found), tx.trim_space)
 
@@ -240,7 +303,7 @@ def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims")
         "_claim_low", F.col("_low") if "_low" in docs.columns else rx.fold_case(F.col(text))
     )
     kept = (
-        low.withColumn("_claims", raw_claims(text, "_claim_low"))
+        low.withColumn("_claims", raw_claims(text, "_claim_low", "_marks" if "_marks" in docs.columns else None))
         .withColumn("_stripped", F.transform("_claims", tx.strip_invisible))
         .withColumn(
             "_tokens",
@@ -276,25 +339,16 @@ def add_key_claims(docs: DataFrame, text: str = "text", out: str = "key_claims")
 # ------------------------------------------------------------------ completeness
 
 
-_COMPLETENESS_ANCHORS = {
-    "Has email": [["@"]],
-    "Has LinkedIn": [["linkedin.com/in/"]],
-    "Has GitHub": [["github.com/"]],
-    "Has work-entry dates": [["20"]],
-    "Has skills heading": [["skills", "technologies", "stack"]],
-}
-
-
-def completeness_breakdown(text: str, lowered: str, words: Column) -> Column:
+def completeness_breakdown(text: str, lowered: str, words: Column, marks: str | None = None) -> Column:
     """map<signal, boolean> over the nine signals."""
     pairs = []
     for label, _, body, ci in lx.COMPLETENESS:
         if body is not None:
-            hit = rx.present(text, lowered, body, ci, _COMPLETENESS_ANCHORS.get(label))
+            hit = _may(label, marks) & rx.present(text, lowered, body, ci, _COMPLETENESS_ANCHORS.get(label) if marks is None else None)
         elif label.startswith("Word count"):
             hit = words >= int(label.rsplit(" ", 1)[1])
         else:
-            hit = reduce(lambda a, b: a | b, claim_present(text, lowered))
+            hit = reduce(lambda a, b: a | b, claim_present(text, lowered, marks))
         pairs += [F.lit(label), hit]
     return F.create_map(*pairs)
 
@@ -354,10 +408,9 @@ def candidate_summary(
     )
 
 
-def employers(text: Column) -> Column:
-    return F.array_distinct(
-        F.regexp_extract_all(text, F.lit(rx.pattern(lx.EMPLOYER)), F.lit(1))
-    )
+def employers(text: Column, marks: str | None = None) -> Column:
+    found = F.regexp_extract_all(text, F.lit(rx.started(lx.EMPLOYER, False, "a@")), F.lit(1))
+    return F.array_distinct(F.when(_may(_EMPLOYER, marks), found).otherwise(F.array().cast(STRINGS)))
 
 
 def red_flags(
@@ -416,25 +469,32 @@ ANALYSIS_FIELDS = [
 def extract_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Skills, years, tier and education columns, plus the working counts."""
     t = F.col(text)
+    senior = reduce(lambda a, b: a | b, (_may(f"{_SENIOR}{score}", "_marks") for score in lx.SENIORITY))
     facts = (
-        docs.withColumns({"_low": rx.fold_case(t), "_plain_low": F.lower(t), "_scope": F.coalesce(education_section(t), t)})
+        with_marks(docs, text)
+        .withColumns(
+            {
+                "_low": rx.fold_case(t),
+                "_plain_low": F.when(senior, F.lower(t)),
+                "_scope": F.coalesce(education_section(t, "_marks"), t),
+            }
+        )
         .withColumns(
             {
-                "_hits": skill_hits(text, "_low"),
-                "_years": year_claims(t),
-                "_words": tx.word_count(t),
+                "_hits": skill_hits(text, "_low", "_marks"),
+                "_years": year_claims(t, "_marks"),
                 "_scope_low": F.when(F.col("_scope") == t, F.col("_low")).otherwise(
                     rx.fold_case(F.col("_scope"))
                 ),
-                "_seniority": seniority_score("_plain_low"),
-                "_employers": F.size(employers(t)),
+                "_seniority": seniority_score("_plain_low", "_marks"),
+                "_employers": F.size(employers(t, "_marks")),
             }
         )
         .withColumns(
             {
                 "skills": group_skills(F.col("_hits")),
                 "years_experience": max_years(F.col("_years")),
-                "education_level": education_level("_scope", "_scope_low"),
+                "education_level": education_level("_scope", "_scope_low", "_marks"),
             }
         )
         .withColumn(
@@ -444,7 +504,7 @@ def extract_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     return fence(
         facts,
-        ["_low", "_years", "_words", "_employers", "skills", "years_experience",
+        ["_low", "_marks", "_years", "_words", "_employers", "skills", "years_experience",
          "education_level", "experience_tier"],
     )
 
@@ -486,7 +546,7 @@ def complete_analysis(facts: DataFrame, text: str = "text") -> DataFrame:
     total = total_skills(F.col("skills"))
     out = add_key_claims(facts, text)
     out = out.withColumn(
-        "_breakdown", completeness_breakdown(text, "_low", F.col("_words"))
+        "_breakdown", completeness_breakdown(text, "_low", F.col("_words"), "_marks")
     )
     analysis = F.struct(
         F.col("skills").alias("skills"),
@@ -517,7 +577,7 @@ def complete_analysis(facts: DataFrame, text: str = "text") -> DataFrame:
         F.col("match_engine").alias("match_engine"),
     )
     done = out.withColumn("match_analysis", analysis).drop(
-        "_low", "_years", "_words", "_employers", "_breakdown", "skills", "experience_tier",
+        "_low", "_marks", "_years", "_words", "_employers", "_breakdown", "skills", "experience_tier",
         "years_experience", "education_level", "key_claims", "match_engine",
     )
     return fence(done, ["match_analysis"])
@@ -525,10 +585,10 @@ def complete_analysis(facts: DataFrame, text: str = "text") -> DataFrame:
 
 def add_skills(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the skill map alone."""
-    staged = docs.withColumn("_low", rx.fold_case(F.col(text)))
-    hits = staged.withColumn("_hits", skill_hits(text, "_low"))
+    staged = with_marks(docs, text).withColumn("_low", rx.fold_case(F.col(text)))
+    hits = staged.withColumn("_hits", skill_hits(text, "_low", "_marks"))
     return fence(
-        hits.withColumn("skills", group_skills(F.col("_hits"))).drop("_low", "_hits"), ["skills"]
+        hits.withColumn("skills", group_skills(F.col("_hits"))).drop("_low", "_hits", "_marks", "_words"), ["skills"]
     )
 
 

@@ -644,3 +644,31 @@ def test_dyadic_ranges_cover_each_stretch_once(spark):
     for r in df.collect():
         met = sorted(p for x in r["at"] for p in range(x.place << x.level, (x.place + 1) << x.level))
         assert met == list(range(r.a, r.b + 1))
+
+
+def test_analysis_with_marks_finds_what_the_plain_search_finds(spark):
+    """What the marks of a text pass over, no pattern would have found; a null text stays as it was."""
+    from sievework.functions import regexes as rx
+    from sievework.functions import text as tx
+
+    texts = [
+        "Led a team of 12 engineers across offices", "Kubernetes, C++ and Google Cloud; ſhell", "Ph.D MSC", "5+ YRS of work at Acme",
+        "ſkills in a stack", "principal, sr. dev\nEducation:\nhigh school\nSkills\nBSc", "ıntern", "R", "x@y.nz +64 21 555 1234 2019 - present",
+        "linkedin.com/in/a github.com/b", "10% improvement 　", "nothing", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    marked = profile.with_marks(docs, "text").withColumns({"low": F.lower("text"), "_low": rx.fold_case(F.col("text"))})
+
+    def columns(marks):
+        return F.to_json(
+            F.struct(
+                profile.skill_hits("text", "_low", marks), profile.year_claims(F.col("text"), marks),
+                profile.seniority_score("low", marks), profile.education_section(F.col("text"), marks),
+                profile.education_level("text", "_low", marks), profile.raw_claims("text", "_low", marks),
+                profile.completeness_breakdown("text", "_low", F.col("_words"), marks), profile.employers(F.col("text"), marks),
+            )
+        )
+
+    rows = marked.select("doc_id", "_words", tx.word_count(F.col("text")).alias("words"), columns("_marks").alias("a"), columns(None).alias("b"))
+    for r in rows.collect():
+        assert (r.a, r._words) == (r.b, r.words), texts[r.doc_id]
