@@ -238,3 +238,58 @@ def test_marks_of_the_normalised_text_serve_its_safe_copy(spark):
     assert [r.safe_copy_text for r in rows] == [r.plain for r in rows]
     assert rows[0].norm_marks != rows[0].marks
     assert rows[0].safe_copy_text == "Passport [PII:NZ_PASSPORT]\n[HIDDEN INSTRUCTION REMOVED]\n[PII:VISA_STATUS]"
+
+
+def test_figures_are_looked_for_once(monkeypatch):
+    """Shapes that need a figure are tried on texts with one only; marks are those of every pattern tried alone."""
+    import pyarrow as pa
+
+    from sievework.functions import marks
+
+    texts = pa.array(["prose alone"] * 6 + ["AB123456 ok", "٣٤", "06-0273-0123456-00 born 1/2/1990", None, "results driven 7"])
+    whole = marks._found
+    tried = []
+    monkeypatch.setattr(marks, "_found", lambda some, p: tried.append((p, len(some))) or whole(some, p))
+    bits = marks._bits(texts, marks.TEXT_TESTS)
+    shapes = {p for ps in marks._SHAPES.values() for p in ps if marks.DIGIT in p and p != marks.DIGIT}
+    assert all(n <= 4 for p, n in tried if p in shapes)
+    for k, (name, patterns) in enumerate(marks.TEXT_TESTS.items()):
+        alone = [bool(x) for x in sum(whole(texts, p).astype(int) for p in patterns) == len(patterns)]
+        assert [bool(b >> k & 1) for b in bits] == alone, name
+
+
+def test_words_are_counted_beside_wide_spaces(spark):
+    from sievework.functions.marks import word_counts
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    pool = ["a", "é", "漢", "。", "—", " ", "　", "\x85", "\xa0", " ", " ", "​", " ", "\n", "\x1c", "𝄞"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", None, "　", "x "]
+    counts = word_counts(pa.array(texts)).to_pylist()
+    assert counts == [None if t is None else len(re.findall(r"[^\s\x1c-\x1f]+", t)) for t in texts]
+    assert word_counts(pa.array(texts).slice(7, 50)).to_pylist() == counts[7:57]
+
+
+def test_starts_of_types_leave_no_match_out(spark):
+    """The classes tried first lose no match of a type, in any case."""
+    from sievework.functions import regexes as rx
+
+    rng = random.Random(12)
+    pool = [
+        "DOB: 1/2/1990", "dAte of Birth 01-02-99", "born 3.4.1985", "12 Long View Road", "7 Oak St", "vıſa expires 2027",
+        "WORK permit 2025", "residency until 2030", "citizen 1999", "PR 2024", "Health", "GP", "medİcal", "doctor", "non-smoker",
+        "ſmoker", "disability", "CHRONIC", "married", "Single", "dıvorced", "widowed", "civil union", "de facto", "spouſe",
+        "husband", "wife", "AB123456", "NZ1234567", "AB١٢٣٤٥٦", "123-456-789", "١٢٣ ٤٥٦ ٧٨٩", "12-3456-1234567-00",
+        "+64 21 234 5678", "021-234 5678", "0 21 2345678", "+1 (555) 123-4567", "ab", "x", "10",
+    ]
+    texts = [rng.choice([" ", "\n", ", ", "-"]).join(rng.choices(pool, k=4)) for _ in range(600)] + pool
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", rx.fold_case(F.col("text")))
+    for kind, body, ci in lx.PII_TYPES:
+        plain = rx.literal(rx.pattern(body, ci))
+        rows = df.selectExpr(
+            f"regexp_extract_all(text, {rx.literal(dict(rx.PII)[kind])}, 0) AS a", f"regexp_extract_all(text, {plain}, 0) AS b",
+            rx.present_sql("text", "low", body, ci, None, rx.PII_FIRST.get(kind, "")) + " AS c", f"text RLIKE {plain} AS d",
+        ).collect()
+        assert all(r.a == r.b and r.c == r.d for r in rows), kind
+        assert kind == "email" or any(r.a for r in rows), kind
