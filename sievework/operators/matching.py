@@ -19,7 +19,7 @@ from sievework.functions import lexicon as lx
 from sievework.functions import text as tx
 from sievework.operators.profile import STRINGS, flat_skills
 from sievework.operators.scope import visible_to
-from sievework.operators.skew import evenly, in_blocks, rank_top, split_join
+from sievework.operators.skew import cell_by_cell, evenly, in_blocks, rank_top, split_join
 from sievework.session import materialise
 
 
@@ -243,23 +243,28 @@ def score_profiles(req_sets: DataFrame, skill_sets: DataFrame) -> DataFrame:
     )
 
 
-def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
+def auto_match(jobs: DataFrame, candidates: DataFrame, told: dict[str, Column] | None = None) -> DataFrame:
     """Candidates with at least one required skill, per job, within tenant scope.
 
     ``jobs``: ``job_id, user_id, org_id, required_skills``;
     ``candidates``: ``candidate_id, user_id, org_id, full_name, skills`` (skill map).
+    ``told``: further columns made of ``score, matched_skills, missing_skills``, once per pair of skill lists.
 
     Jobs of one tenant cell and requirement list, and people of one cell and skill set, meet in blocks; pairs
     are formed last and never shuffled.
     """
+    told = told or {}
     job_rows, people, scores = _scored(jobs, candidates)
+    scores = scores.withColumns(told)
     asked = in_blocks(job_rows, ["user_id", "org_id", "_req_key"], F.struct("job_id"), "job_id", "_jobs").select(
         F.col("user_id").alias("p_user"), F.col("org_id").alias("p_org"), "_req_key", F.col("_block").alias("_jb"), "_jobs"
     )
+    # Names travel apart from ids, so that callers without use for them do not carry them.
     seen = in_blocks(
         people, ["user_id", "org_id", "_skill_key"], F.struct("candidate_id", "full_name"), "candidate_id", "_people"
     ).select(
-        F.col("user_id").alias("c_user"), F.col("org_id").alias("c_org"), "_skill_key", F.col("_block").alias("_cb"), "_people"
+        F.col("user_id").alias("c_user"), F.col("org_id").alias("c_org"), "_skill_key", F.col("_block").alias("_cb"),
+        F.col("_people")["candidate_id"].alias("_ids"), F.col("_people")["full_name"].alias("_names"),
     )
     wanted = _scoped(
         asked.select("p_user", "p_org", "_req_key", "_jb", F.col("p_org").alias("org_id")).join(
@@ -273,16 +278,18 @@ def auto_match(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
         ~F.col("_by_org") | ~F.col("c_user").eqNullSafe(F.col("p_user"))
     )
     met = met.drop("_scope", "_by_org").join(scores, ["_req_key", "_skill_key"])
-    cells = _attached(met, asked, ["p_user", "p_org", "_req_key", "_jb"])
-    cells = _attached(evenly(cells, "c_user", "c_org", "_skill_key", "_cb"), seen, ["c_user", "c_org", "_skill_key", "_cb"])
-    found = ["score", "matched_skills", "missing_skills"]
-    each = cells.select(F.inline("_jobs"), "_people", *found)
-    return each.select("job_id", F.inline("_people"), *found)
+    job_block, people_block = ["p_user", "p_org", "_req_key", "_jb"], ["c_user", "c_org", "_skill_key", "_cb"]
+    cells = _attached(_attached(met, asked, job_block), seen, people_block)
+    found = ["score", "matched_skills", "missing_skills", *told]
+    each = evenly(cells, *job_block, *people_block).select(F.inline("_jobs"), "_ids", "_names", *found)
+    each = cell_by_cell(each).select("job_id", F.posexplode("_ids").alias("_at", "candidate_id"), "_names", *found)
+    return each.select("job_id", "candidate_id", F.get("_names", F.col("_at")).alias("full_name"), *found)
 
 
 def _attached(cells: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """``cells`` with the array of the block that ``keys`` name; a null key is a value like others."""
-    named = blocks.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], blocks.columns[-1])
+    """``cells`` with the arrays of the block that ``keys`` name; a null key is a value like others."""
+    arrays = [c for c in blocks.columns if c not in keys]
+    named = blocks.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], *arrays)
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)])
     return cells.join(named, on).drop(*[f"_of{i}" for i in range(len(keys))])
 

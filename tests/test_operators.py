@@ -626,6 +626,28 @@ def test_auto_match_in_blocks(spark, monkeypatch):
     assert _first(plan, "Generate inline") < _first(plan, "Exchange")
 
 
+def test_auto_match_tells_once_per_pair_of_lists(spark, monkeypatch):
+    """Texts are made before pairs; a cell's jobs and their people are formed in two steps, so no task holds all its pairs."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 4)
+    names = [None, "b", "a"]
+    jobs = spark.createDataFrame(
+        [(j, "u", None, ["Go", "SQL", "go"]) for j in range(9)], "job_id long, user_id string, org_id string, required_skills array<string>"
+    )
+    people = spark.createDataFrame(
+        [(c, "u", "o", names[c % 3], {"x": ["Go"]}) for c in [*range(11), 4]] + [(None, "u", None, "none", {"x": ["SQL"]})],
+        "candidate_id long, user_id string, org_id string, full_name string, skills map<string,array<string>>",
+    )
+    found = matching.auto_match(jobs, people, {"told": F.array_join("matched_skills", "|")})
+    wanted = Counter((j, c, names[c % 3], 67, "go|go") for j in range(9) for c in [*range(11), 4])
+    wanted += Counter((j, None, "none", 33, "sql") for j in range(9))
+    assert Counter((r.job_id, r.candidate_id, r.full_name, r.score, r.told) for r in found.collect()) == wanted
+    narrow = found.select("job_id", "candidate_id", "told")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    steps = [plan.find(x) for x in ("Generate posexplode", "Coalesce", "Generate inline", "Exchange")]
+    assert -1 not in steps and steps == sorted(steps)
+    assert "array_join" not in plan[: steps[3]] and "_names" not in plan[: steps[3]]
+
+
 def test_stretches_follow_long_chains_in_few_turns(spark, monkeypatch):
     """Every hand-over is decided by the one before; stretches settle whole chains at once."""
     chain = []
