@@ -626,6 +626,18 @@ def test_auto_match_in_blocks(spark, monkeypatch):
     assert _first(plan, "Generate inline") < _first(plan, "Exchange")
 
 
+def test_available_candidates_of_few_people_are_spread(spark, monkeypatch):
+    """Many jobs and one block of people: the cells of one slot are dealt out, taken and repeated people as always."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 4)
+    jobs = spark.createDataFrame([(j, 1) for j in range(120)], "job_id long, slot long")
+    people = spark.createDataFrame([(c, 1) for c in (0, 1, 2, 2)], "candidate_id long, slot long")
+    taken = spark.createDataFrame([(j, 1) for j in range(0, 120, 2)] * 2, "job_id long, candidate_id long")
+    found = crm.available_candidates(jobs, taken, people).withColumn("part", F.spark_partition_id()).collect()
+    wanted = Counter((j, c) for j in range(120) for c in (0, 1, 2, 2) if (j % 2, c) != (0, 1))
+    assert Counter((r.job_id, r.candidate_id) for r in found) == wanted
+    assert len({r.part for r in found}) > 1
+
+
 def test_auto_match_tells_once_per_pair_of_lists(spark, monkeypatch):
     """Texts are made before pairs; a cell's jobs and their people are formed in two steps, so no task holds all its pairs."""
     monkeypatch.setattr(skew, "BLOCK_ROWS", 4)
